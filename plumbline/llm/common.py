@@ -56,9 +56,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs whose plans are out of use."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)  # dropped Python objects reach the JVM in the background
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def id_key(col: str | Column) -> Column:
