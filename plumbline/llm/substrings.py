@@ -6,6 +6,9 @@ packed string of its words, to the minimiser's bucket. Equal windows always meet
 sorted by minimiser and origin, their windows are hashed to 128 bits and sorted, and every window but the
 earliest of its kind is marked; marks come back as word intervals and join their documents.
 
+Most buckets would get a single string, which has no twin. A first pass counts strings by bucket; only those of
+buckets with two or more travel (a bit map of bounded size says which).
+
 Skew: a task forwards a string only once however often its documents repeat it (the later ones are marked on
 the spot), so a passage in a third of all documents costs its bucket a row for each task. A bucket streams:
 only the windows of the current minimiser stay in memory, `memory_windows` at most; windows beyond that are
@@ -19,6 +22,7 @@ Extra columns pass through; those named like a result column give way to it.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,8 @@ from plumbline.llm.common import as_bytes, free_shuffles, id_key, partitions, sc
 
 #: Bytes of text hashed at a time.
 CHUNK = 2 << 20
-#: Windows a travelling string has at most.
-RUN = 256
+#: Of two to the power of this many bits, at most, is the map of buckets that more than one string goes to (64 MB).
+FILTER_BITS = 29
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -87,7 +91,60 @@ def _grams(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return _mix(out)
 
 
-def _super_kmers(size: int, gram: int):
+def _runs(docs: list[list[bytes]], size: int, gram: int):
+    """Super-k-mers of the documents' words: (buffer, bucket, document, first window, windows, from byte, to byte)."""
+    buffer = b"\n".join(b" ".join(words) for words in docs)
+    starts, ends, h = word_hashes(buffer)
+    grams = _grams(h, gram, _P)
+    low = np.uint64(len(grams).bit_length())  # the low bits tell places apart: a run shares one occurrence of its minimiser
+    least = _slide_min((grams >> low << low) | np.arange(len(grams), dtype=np.uint64), size - gram + 1)  # by window
+    counts = np.array([len(x) for x in docs])
+    base = np.concatenate([[0], np.cumsum(counts)])
+    doc = np.repeat(np.arange(len(docs)), counts)[: len(least)]
+    at = np.arange(len(least)) - base[doc]
+    valid = at <= counts[doc] - size
+    fresh = np.ones(len(least), bool)
+    fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    heads = np.flatnonzero(fresh & valid)
+    after = np.flatnonzero(fresh | ~valid)
+    tails = np.append(after, len(least))[np.searchsorted(after, heads, "right")]
+    bucket = (least[heads] >> np.uint64(33)).astype(np.int32)
+    return buffer, bucket, doc[heads], at[heads], tails - heads, starts[heads], ends[tails + size - 2]
+
+
+def _bucket_counts(size: int, gram: int):
+    """(bucket, n): how many super-k-mers each bucket would get, by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for first, last in slices([len(t) for t in texts], CHUNK):
+                docs = [w for t in texts[first:last] if len(w := t.split()) >= size]
+                if docs:
+                    bucket, n = np.unique(_runs(docs, size, gram)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    return run
+
+
+def _shared_buckets(docs: DataFrame, size: int, gram: int) -> np.ndarray:
+    """A bit map of buckets that get two super-k-mers or more; only those can hold equal windows.
+
+    Its size is bounded by FILTER_BITS: beyond that many shared buckets more strings travel than need to, and no
+    result changes. Buckets fall on one bit by their low bits.
+    """
+    counts = docs.select("text").mapInArrow(_bucket_counts(size, gram), "bucket int, n long")
+    shared = scratch(counts.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+    bits = min(FILTER_BITS, max(20, math.ceil(math.log2(16 * max(1, shared.count())))))
+    at = F.col("bucket").bitwiseAND((1 << bits) - 1).cast("long")
+    parts = shared.groupBy((at / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32768).alias("b")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts:
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def _super_kmers(size: int, gram: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -95,38 +152,23 @@ def _super_kmers(size: int, gram: int):
             order = sorted(range(len(texts)), key=lambda i: keys[i])  # what comes first is the earliest
             seen: dict[bytes, tuple[int, int]] = {}
             for first, last in slices([len(texts[i]) for i in order], CHUNK):
-                yield _strings([(keys[i], tags[i], texts[i].split()) for i in order[first:last]], seen, size, gram)
+                yield _strings([(keys[i], tags[i], texts[i].split()) for i in order[first:last]], seen, size, gram, shared.value)
 
     return run
 
 
-def _strings(docs: list, seen: dict, size: int, gram: int) -> pa.RecordBatch:
+def _strings(docs: list, seen: dict, size: int, gram: int, shared: np.ndarray) -> pa.RecordBatch:
     docs = [x for x in docs if len(x[2]) >= size]
     out: list[list] = [[], [], [], [], [], []]
     if docs:
-        buffer = b"\n".join(b" ".join(words) for _, _, words in docs)
-        starts, ends, h = word_hashes(buffer)
-        least = _slide_min(_grams(h, gram, _P), size - gram + 1)  # by window
-        counts = np.array([len(x[2]) for x in docs])
-        base = np.concatenate([[0], np.cumsum(counts)])
-        doc = np.repeat(np.arange(len(docs)), counts)[: len(least)]
-        at = np.arange(len(least)) - base[doc]
-        valid = at <= counts[doc] - size
-        fresh = np.ones(len(least), bool)
-        fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        run_of = np.maximum.accumulate(np.where(fresh, np.arange(len(least)), 0))
-        fresh |= (np.arange(len(least)) - run_of) % RUN == 0
-        heads = np.flatnonzero(fresh & valid)
-        after = np.flatnonzero(fresh | ~valid)
-        tails = np.append(after, len(least))[np.searchsorted(after, heads, "right")]
-        bucket = (least[heads] >> np.uint64(33)).astype(np.int32)
-        left, right, first = starts[heads].tolist(), ends[tails + size - 2].tolist(), at[heads].tolist()
-        for b, d, a, z, s, n in zip(bucket.tolist(), doc[heads].tolist(), left, right, first, (tails - heads).tolist()):
+        buffer, *columns = _runs([x[2] for x in docs], size, gram)
+        bit = columns[0] & (8 * len(shared) - 1)
+        some = np.flatnonzero((shared[bit >> 3] >> (bit & 7)) & 1)
+        for b, d, s, n, a, z in zip(*(c[some].tolist() for c in columns)):
             text = buffer[a:z]
             key, tag, _ = docs[d]
             was = seen.setdefault(text, (key, s))
-            later = was < (key, s)
-            for column, x in zip(out, (b, key, tag, s, n, None if later else text)):
+            for column, x in zip(out, (b, key, tag, s, n, None if was < (key, s) else text)):
                 column.append(x)
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["bucket", "doc", "tag", "start", "n", "words"])
@@ -201,7 +243,8 @@ def repeated_words(docs: DataFrame, size: int = 20, gram: int = 2, memory_window
     """(doc, tag, start, n): intervals of words that a window with an earlier twin covers."""
     spark = docs.sparkSession
     source = docs.select(id_key("doc_id").alias("doc"), F.hash("text").alias("tag"), "text")
-    travel = source.mapInArrow(_super_kmers(size, gram), "bucket int, doc long, tag int, start int, n int, words binary")
+    shared = spark.sparkContext.broadcast(_shared_buckets(docs, size, gram))
+    travel = source.mapInArrow(_super_kmers(size, gram, shared), "bucket int, doc long, tag int, start int, n int, words binary")
     dealt = travel.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc", "start")
     marks = scratch(dealt.mapInArrow(_mark(size, memory_windows), "kind int, doc long, tag int, start int, n int, h1 long, h2 long"), "marks")
     del travel, dealt
