@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, language, lines, packing, pii, quality, substrings, tokens
+from plumbline.llm import chat, decontaminate, jaccard, language, lines, packing, pii, quality, substrings, tokens
 from plumbline.llm.common import scratch, table
 
 
@@ -60,6 +60,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.join(counted, ["file", "nth"], "left").select("doc_id", "n_tokens")
 
 
-_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds: doc_id, contaminated, item_ids, edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
