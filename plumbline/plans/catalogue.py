@@ -1,10 +1,727 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins.
+
+Each query applies operators of this package to the driver tables; each twin says the same in SQL for DuckDB. Money is
+summed as decimals and averages are rounded, so that digits do not depend on the order of addition.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import calendar_index, fnv1a, masked, month_steps, period, period_label, pseudonym, ratio, row_key, surrogate_key, truthy
+from plumbline.operators import anomaly, customers, experiment, kpi, ledger, privacy, profile, quality, rootcause, segments, warehouse
+from plumbline.plans import dialect, recipes
+from plumbline.sources import demo, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = " ".join(sql.split())
+        return fn
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def money(c: str) -> Column:
+    return F.col(c).cast("decimal(18,2)")
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
+
+
+ROLES = {"revenue": "v", "date": "o_orderdate", "order_id": "o_orderkey", "customer_id": "o_custkey"}
+
+
+def orders(spark, d) -> DataFrame:
+    return t(spark, d, "orders").withColumn("v", money("o_totalprice"))
+
+
+def items(spark, d) -> DataFrame:
+    return t(spark, d, "lineitem").withColumn("v", money("l_extendedprice"))
+
+
+_ORD = "(SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)"
+_ITM = "(SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem)"
+
+# -- KPIs ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT c_mktsegment AS segment, coalesce(sum(v) FILTER (WHERE o_orderdate >= '2000-01-01'), 0) AS cur, coalesce(sum(v) FILTER (WHERE o_orderdate < '2000-01-01'), 0) AS base
+  FROM {_ORD} o JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '1999-01-01' AND o_orderdate < '2001-01-01' GROUP BY 1),
+  x AS (SELECT *, cur - base AS delta, sum(cur) OVER () AS tc, sum(base) OVER () AS tb FROM s)
+  SELECT segment, cur, base, delta, round(100 * CAST(delta AS DOUBLE) / CAST(tc - tb AS DOUBLE), 6) AS contribution, round(100 * CAST(cur AS DOUBLE) / CAST(tc AS DOUBLE) - 100 * CAST(base AS DOUBLE) / CAST(tb AS DOUBLE), 6) AS mix_shift,
+  round(CAST(base AS DOUBLE) * CAST(tc - tb AS DOUBLE) / CAST(tb AS DOUBLE), 4) AS expected FROM x""")
+def mix_shift_segments(spark, d):
+    """Which customer segments explain the change in order value, 2000 against 1999: one scan, window totals."""
+    o = orders(spark, d).where((F.col("o_orderdate") >= "1999-01-01") & (F.col("o_orderdate") < "2001-01-01"))
+    now = F.col("o_orderdate") >= "2000-01-01"
+    s = o.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.coalesce(F.sum(F.when(now, F.col("v"))), F.lit(0)).alias("cur"), F.coalesce(F.sum(F.when(~now, F.col("v"))), F.lit(0)).alias("base"))
+    w = Window.partitionBy(F.lit(1))
+    x = s.withColumn("delta", F.col("cur") - F.col("base")).withColumn("tc", F.sum("cur").over(w)).withColumn("tb", F.sum("base").over(w))
+    return x.select("segment", "cur", "base", "delta", r6(ratio(F.col("delta"), F.col("tc") - F.col("tb"), 100)).alias("contribution"), r6(ratio(F.col("cur"), F.col("tc"), 100) - ratio(F.col("base"), F.col("tb"), 100)).alias("mix_shift"), F.round(F.col("base").cast("double") * (F.col("tc") - F.col("tb")).cast("double") / F.col("tb").cast("double"), 4).alias("expected"))
+
+
+@query("""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, count(*) AS record_count,
+  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT o_orderkey), 6) AS aov, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT o_custkey), 6) AS revenue_per_customer,
+  round(CAST(count(DISTINCT o_orderkey) AS DOUBLE) / count(DISTINCT o_custkey), 6) AS purchase_frequency FROM orders GROUP BY 1""")
+def kpi_series_month(spark, d):
+    s = kpi.series(orders(spark, d), "o_orderdate", "month", ROLES, ["revenue", "orders", "customers", "record_count", "aov", "revenue_per_customer", "purchase_frequency"])
+    return rounded(s, "aov", "revenue_per_customer", "purchase_frequency")
+
+
+@query(f"""WITH s AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, CAST(sum(v) AS DOUBLE) AS revenue, CAST(count(DISTINCT o_orderkey) AS DOUBLE) AS orders FROM {_ORD} GROUP BY 1),
+  u AS (SELECT 'revenue' AS kpi_id, period, revenue AS value FROM s UNION ALL SELECT 'orders', period, orders FROM s), w AS (SELECT *, lag(value) OVER (PARTITION BY kpi_id ORDER BY period) AS previous FROM u)
+  SELECT kpi_id, period, value, previous, round(value - previous, 4) AS delta, round((value - previous) / abs(previous) * 100, 6) AS delta_pct,
+  CASE WHEN abs((value - previous) / abs(previous) * 100) < 0.5 THEN 'flat' WHEN value > previous THEN 'up' WHEN value < previous THEN 'down' ELSE 'flat' END AS direction FROM w""")
+def kpi_scorecard_quarter(spark, d):
+    return kpi.scorecard(orders(spark, d), "o_orderdate", "quarter", ROLES, ["revenue", "orders"]).withColumn("delta", F.round("delta", 4)).withColumn("delta_pct", r6("delta_pct"))
+
+
+@query("""SELECT count(DISTINCT date_trunc('day', o_orderdate)) AS day, count(DISTINCT date_trunc('week', o_orderdate)) AS week, count(DISTINCT date_trunc('month', o_orderdate)) AS month, count(DISTINCT date_trunc('quarter', o_orderdate)) AS quarter, count(DISTINCT date_trunc('year', o_orderdate)) AS year FROM orders""")
+def grain_choice(spark, d):
+    return orders(spark, d).agg(*[F.count_distinct(period("o_orderdate", g)).alias(g) for g in kpi.GRAINS])
+
+
+@query("""WITH p AS (SELECT year(o_orderdate) AS yr, o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1, 2) SELECT CAST(yr AS BIGINT) AS yr, count(*) AS customers, round(100 * avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END), 6) AS repeat_rate FROM p GROUP BY 1""")
+def kpi_repeat_rate(spark, d):
+    o = orders(spark, d).withColumn("yr", F.year("o_orderdate").cast("long"))
+    return rounded(kpi.repeat_rate(o, "o_custkey", "o_orderkey", ["yr"]), "repeat_rate")
+
+
+@query(f"""WITH c AS (SELECT o_custkey, sum(v) AS total FROM {_ORD} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_custkey) AS k, count(*) OVER () AS n FROM c)
+  SELECT max(n) AS entities, round(100 * CAST(sum(CASE WHEN k <= greatest(1, floor(0.1 * n)) THEN total END) AS DOUBLE) / CAST(sum(total) AS DOUBLE), 6) AS share FROM r""")
+def kpi_top_decile_share(spark, d):
+    return rounded(kpi.top_share(orders(spark, d), "o_custkey", "v", decile=True), "share")
+
+
+@query(f"""WITH c AS (SELECT l_suppkey, sum(v) AS total FROM {_ITM} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, l_suppkey) AS k FROM c)
+  SELECT count(*) AS entities, round(100 * CAST(sum(CASE WHEN k <= 5 THEN total END) AS DOUBLE) / CAST(sum(total) AS DOUBLE), 6) AS share FROM r""")
+def kpi_top5_concentration(spark, d):
+    return rounded(kpi.top_share(items(spark, d), "l_suppkey", "v", 5), "share")
+
+
+@query(f"WITH c AS (SELECT l_suppkey, CAST(sum(v) AS DOUBLE) AS total FROM {_ITM} GROUP BY 1) SELECT round(10000 * sum(total * total) / (sum(total) * sum(total)), 4) AS hhi FROM c")
+def kpi_hhi(spark, d):
+    return kpi.concentration(items(spark, d).withColumn("v", F.col("v").cast("double")), "l_suppkey", "v").select(F.round("hhi", 4).alias("hhi"))
+
+
+@query("SELECT l_linestatus, round(avg(l_discount) * 100, 6) AS discount_depth FROM lineitem GROUP BY 1")
+def kpi_discount_depth(spark, d):
+    i = items(spark, d)
+    return rounded(kpi.aggregate(i, {"discount": "l_discount", "revenue": "v"}, ["discount_depth"], [F.col("l_linestatus")]), "discount_depth")
+
+
+@query("SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS period, round(100 * avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END), 6) AS return_rate, round(100 * CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS fraud_value_rate FROM lineitem GROUP BY 1")
+def kpi_flag_rates(spark, d):
+    i = items(spark, d).withColumn("flag", F.when(F.col("l_returnflag") == "R", "yes").otherwise("no"))
+    return rounded(kpi.series(i, "l_shipdate", "year", {"return_flag": "flag", "fraud_flag": "flag", "revenue": "v"}, ["return_rate", "fraud_value_rate"]), "return_rate", "fraud_value_rate")
+
+
+@query("""SELECT o_orderstatus, round(100 * CAST(sum(m) AS DOUBLE) / CAST(sum(v) AS DOUBLE), 6) AS gross_margin_pct, sum(v) AS revenue, round(CAST(sum(v) AS DOUBLE) / CAST(sum(c) AS DOUBLE), 6) AS roas FROM (SELECT o_orderstatus, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS c, CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""")
+def kpi_ratios(spark, d):
+    i = items(spark, d).withColumn("c", (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,2)")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rounded(kpi.aggregate(i, {"revenue": "v", "cost": "c", "marketing_spend": "c"}, ["gross_margin_pct", "revenue", "roas"], [F.col("o_orderstatus")]), "gross_margin_pct", "roas")
+
+
+# -- segments, windows, grouping ----------------------------------------------------------------------
+
+
+def _recipe(name: str):
+    def run(spark, d, name=name):
+        orders(spark, d).select("o_orderdate", "o_totalprice", "o_orderpriority", "o_custkey", "o_orderkey").createOrReplaceTempView("plumbline_orders")
+        return spark.sql(recipes.recipes("plumbline_orders", "o_orderdate", "o_totalprice", "o_orderpriority", "o_custkey", "o_orderkey")[name])
+
+    QUERIES[f"recipe_{name}"] = run
+    ORACLES[f"recipe_{name}"] = recipes.recipes("orders", "o_orderdate", "o_totalprice", "o_orderpriority", "o_custkey", "o_orderkey")[name]
+
+
+for _name in recipes.recipes("", "", "", "", "", ""):
+    _recipe(_name)
+
+
+@query(recipes.quantiles("orders", "o_totalprice", "o_orderpriority")[1])
+def recipe_quantiles(spark, d):
+    t(spark, d, "orders").createOrReplaceTempView("plumbline_quantiles")
+    return spark.sql(recipes.quantiles("plumbline_quantiles", "o_totalprice", "o_orderpriority")[0])
+
+
+@query(f"""WITH s AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, o_orderpriority AS segment, sum(v) AS total FROM {_ORD} GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY total DESC, segment) AS position FROM s) WHERE position <= 3""")
+def topn_per_period(spark, d):
+    return segments.top_per_period(orders(spark, d), "o_orderdate", "quarter", "o_orderpriority", F.col("v"))
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS entity, sum(v) AS total FROM {_ORD} GROUP BY 1) SELECT entity, total, row_number() OVER (ORDER BY total DESC, entity) AS position, round(100 * CAST(sum(total) OVER (ORDER BY total DESC, entity ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE), 6) AS cumulative_share FROM c""")
+def pareto_customers(spark, d):
+    totals = orders(spark, d).groupBy(F.col("o_custkey").alias("entity")).agg(F.sum("v").alias("total"))
+    return rounded(segments.cumulative(totals), "cumulative_share")
+
+
+@query(f"""WITH s AS (SELECT p_brand AS segment, sum(v) AS total FROM {_ITM} JOIN part ON l_partkey = p_partkey GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, segment) AS k FROM s)
+  SELECT CASE WHEN k <= 7 THEN segment ELSE 'Other (' || (SELECT count(*) FROM r WHERE k > 7) || ')' END AS segment, sum(total) AS total FROM r GROUP BY 1""")
+def top_k_other(spark, d):
+    i = items(spark, d).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return segments.with_other(i, "p_brand", F.col("v"), 8)
+
+
+@query(f"""WITH s AS (SELECT o_orderpriority AS segment, sum(v) AS total, coalesce(sum(v) FILTER (WHERE o_orderdate >= '2000-01-01' AND o_orderdate < '2001-01-01'), 0) - coalesce(sum(v) FILTER (WHERE o_orderdate >= '1999-01-01' AND o_orderdate < '2000-01-01'), 0) AS delta FROM {_ORD} GROUP BY 1)
+  SELECT segment, total, round(100 * CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE), 6) AS share, delta FROM s ORDER BY total DESC, segment LIMIT 12""")
+def segment_slices(spark, d):
+    return rounded(segments.slices(orders(spark, d), "o_orderpriority", F.col("v"), F.col("o_orderdate"), "2000-01-01", "1999-01-01", "2001-01-01"), "share")
+
+
+@query("""WITH s AS (SELECT r_name AS segment, n_name AS child, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
+  g AS (SELECT segment FROM s GROUP BY 1 ORDER BY sum(total) DESC, segment LIMIT 3), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY total DESC, child) AS k FROM s WHERE segment IN (SELECT segment FROM g)) SELECT segment, child, total FROM r WHERE k <= 4""")
+def nested_breakdown(spark, d):
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return segments.nested(c, "r_name", "n_name", money("c_acctbal"), 3, 4)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube(spark, d):
+    return t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(money("l_quantity")).alias("quantity"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, d):
+    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def approx_aggregates(spark, d):
+    """Approximate distinct counts and quantiles: sketches differ between engines, so rows only."""
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_extendedprice", 0.9).alias("p90"))
+
+
+@query("""SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS previous_order, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate)) AS BIGINT) AS rank_year, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate)) AS BIGINT) AS dense_year, first_value(o_orderkey) OVER w AS first_order, CAST(ntile(4) OVER w AS BIGINT) AS quartile FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def window_functions(spark, d):
+    w, y = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy(F.year("o_orderdate"))
+    return t(spark, d, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("previous_order"), F.rank().over(y).cast("long").alias("rank_year"), F.dense_rank().over(y).cast("long").alias("dense_year"), F.first("o_orderkey").over(w).alias("first_order"), F.ntile(4).over(w).cast("long").alias("quartile"))
+
+
+@query("""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT period, n, list(n) OVER (ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past FROM m) SELECT period, n, CAST(list_aggregate(past, 'median') AS DOUBLE) AS trailing_median FROM w""")
+def rolling_median(spark, d):
+    m = t(spark, d, "orders").groupBy(period("o_orderdate", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("period").rowsBetween(-12, -1)  # one row for each month
+    return m.withColumn("_p", F.array_sort(F.collect_list("n").over(w))).select("period", "n", F.when(F.size("_p") > 0, (F.get("_p", F.floor((F.size("_p") - 1) / 2).cast("int")) + F.get("_p", F.floor(F.size("_p") / 2).cast("int"))) / 2.0).alias("trailing_median"))
+
+
+# -- profile and quality ------------------------------------------------------------------------------
+
+
+def _unpivot_counts(table: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 4) AS missing_pct, count(DISTINCT {c}) AS distinct_values, round(100.0 * count(DISTINCT {c}) / count({c}), 4) AS unique_pct, count(DISTINCT {c}) = count({c}) AS is_unique, count(DISTINCT {c}) <= 1 AS is_constant FROM {table}" for c in cols)
+
+
+@query(_unpivot_counts("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
+def profile_counts(spark, d):
+    return profile.counts(t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+def _numeric(table: str, c: str) -> str:
+    return f"""SELECT '{c}' AS "column", n, low, high, round(mean, 6) AS mean, median, round(std, 6) AS std, p05, p25, p75, p95, zeros, negatives,
+      round((s3 / n - 3 * mean * s2 / n + 2 * mean * mean * mean) / (std * std * std), 4) AS skewness FROM (SELECT count({c}) AS n, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, avg({c}) AS mean, CAST(median({c}) AS DOUBLE) AS median, stddev_samp({c}) AS std,
+      CAST(quantile_cont({c}, 0.05) AS DOUBLE) AS p05, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS p25, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS p75, CAST(quantile_cont({c}, 0.95) AS DOUBLE) AS p95, count(*) FILTER (WHERE {c} = 0) AS zeros, count(*) FILTER (WHERE {c} < 0) AS negatives, sum(CAST({c} AS DOUBLE) * {c} * {c}) AS s3, sum(CAST({c} AS DOUBLE) * {c}) AS s2 FROM {table})"""
+
+
+@query(" UNION ALL ".join(_numeric("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def profile_numeric(spark, d):
+    p = profile.numeric_summary(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return p.select("column", "n", "low", "high", r6("mean").alias("mean"), "median", r6("std").alias("std"), "p05", "p25", "p75", "p95", "zeros", "negatives", F.round("skewness", 4).alias("skewness"))
+
+
+@query("""WITH v AS (SELECT source AS x, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), s AS (SELECT CAST(n AS DOUBLE) / sum(n) OVER () AS p FROM v) SELECT count(*) AS levels, round(-sum(p * log2(p)), 6) AS entropy, round(sum(p * p), 6) AS hhi FROM s""")
+def entropy_hhi(spark, d):
+    return rounded(profile.entropy(t(spark, d, "documents"), "source"), "entropy", "hhi")
+
+
+@query("SELECT lang AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(lang) FROM documents), 4) AS pct FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+def profile_top_values(spark, d):
+    return profile.top_values(t(spark, d, "documents"), "lang")
+
+
+@query("""WITH x AS (SELECT DISTINCT epoch(o_orderdate) AS s FROM orders), g AS (SELECT s - lag(s) OVER (ORDER BY s) AS gap FROM x) SELECT count(*) + 0 AS dates, median(gap) AS median_gap, 'daily' AS granularity, count(*) FILTER (WHERE gap > 1.6 * 86400) AS gaps FROM g""")
+def date_granularity(spark, d):
+    return profile.date_granularity(t(spark, d, "orders"), "o_orderdate").withColumn("median_gap", F.col("median_gap").cast("double"))
+
+
+@query("""SELECT 'l_orderkey' AS first, 'l_linenumber' AS second, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_pairs, count(DISTINCT (l_orderkey, l_linenumber)) = count(*) AS is_key FROM lineitem UNION ALL SELECT 'l_orderkey', 'l_partkey', count(DISTINCT (l_orderkey, l_partkey)), count(DISTINCT (l_orderkey, l_partkey)) = count(*) FROM lineitem UNION ALL SELECT 'l_linenumber', 'l_partkey', count(DISTINCT (l_linenumber, l_partkey)), count(DISTINCT (l_linenumber, l_partkey)) = count(*) FROM lineitem""")
+def primary_key_pairs(spark, d):
+    return profile.key_pairs(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("SELECT count(DISTINCT o_custkey) AS child_values, count(DISTINCT CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey END) AS contained, CAST(count(DISTINCT CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey END) AS DOUBLE) / count(DISTINCT o_custkey) AS ratio FROM orders")
+def foreign_keys(spark, d):
+    return profile.inclusion(t(spark, d, "orders"), "o_custkey", t(spark, d, "customer"), "c_custkey")
+
+
+@query("SELECT count(*) * 3 AS cells, (count(*) - count(text)) + (count(*) - count(lang)) + (count(*) - count(source)) AS missing_cells, round(100 - 100.0 * ((count(*) - count(text)) + (count(*) - count(lang)) + (count(*) - count(source))) / (count(*) * 3), 6) AS completeness FROM documents")
+def q_missing(spark, d):
+    return rounded(quality.missing(t(spark, d, "documents").select("text", "lang", "source")), "completeness")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text, lang, source) SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_rows, CAST(sum(n) AS BIGINT) - count(*) AS duplicates FROM g")
+def q_exact_duplicates(spark, d):
+    return quality.exact_duplicates(t(spark, d, "documents").select("text", "lang", "source"))
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def q_key_duplicates(spark, d):
+    return quality.key_duplicates(t(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("SELECT count(*) FILTER (WHERE l_quantity < 0) AS negative_quantity, count(*) FILTER (WHERE l_discount < 0 OR l_discount > 0.08) AS discount_range, count(*) FILTER (WHERE l_shipdate > TIMESTAMP '2001-01-02' OR l_shipdate < TIMESTAMP '1970-01-01') AS date_range, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) AS flag_values FROM lineitem")
+def q_validity(spark, d):
+    return quality.validity(t(spark, d, "lineitem"), {"negative_quantity": quality.negative("l_quantity"), "discount_range": quality.outside_percentage("l_discount", 0.08), "date_range": quality.implausible_date("l_shipdate", "2001-01-01"), "flag_values": ~F.col("l_returnflag").isin("A", "N")})
+
+
+@query("""WITH s AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 11 = 0 THEN c_mktsegment || ' ' ELSE c_mktsegment END AS v FROM customer), g AS (SELECT v, count(*) AS n FROM s GROUP BY 1), f AS (SELECT lower(trim(v)) AS l, count(DISTINCT trim(v)) AS forms FROM g GROUP BY 1)
+  SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(CASE WHEN v <> trim(v) OR forms > 1 THEN n ELSE 0 END) AS BIGINT) AS inconsistent FROM g JOIN f ON lower(trim(v)) = l""")
+def q_casing(spark, d):
+    c = t(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.lower("c_mktsegment")).when(F.col("c_custkey") % 11 == 0, F.concat("c_mktsegment", F.lit(" "))).otherwise(F.col("c_mktsegment")).alias("v"))
+    return quality.casing(c, "v")
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT round(max(a - 1.5 * (b - a)), 6) AS low_fence, round(max(b + 1.5 * (b - a)), 6) AS high_fence, count(*) FILTER (WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outliers, round(100 * coalesce(sum(abs(value)) FILTER (WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)), 0) / sum(abs(value)), 6) AS share_of_total FROM events, q""")
+def q_outliers_tukey(spark, d):
+    return rounded(quality.tukey(t(spark, d, "events"), "value"), "low_fence", "high_fence", "share_of_total")
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, median(value) AS m, quantile_cont(value, 0.75) AS b, mad(value) AS d FROM events) SELECT count(value) AS n, round(max(m), 6) AS median, round(max(d), 6) AS mad, count(*) FILTER (WHERE (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AND abs(value - m) / (1.4826 * d) > 3.5) AS outliers FROM events, q""")
+def q_outliers_iqr_mad(spark, d):
+    return rounded(quality.robust_outliers(t(spark, d, "events"), "value"), "median", "mad")
+
+
+@query("SELECT CAST(max(o_orderdate) AS DATE) AS latest, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') AS age_days, greatest(0.0, 100 - 1.5 * greatest(0, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') - 45)) :: DOUBLE AS core_score, CAST(CASE WHEN date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') <= 7 THEN 100 WHEN date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') <= 31 THEN 92 WHEN date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') <= 93 THEN 80 WHEN date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-01') <= 366 THEN 62 ELSE 40 END AS BIGINT) AS sql_score FROM orders")
+def q_timeliness(spark, d):
+    return quality.timeliness(t(spark, d, "orders"), "o_orderdate", "2001-12-01")
+
+
+@query("SELECT count(*) AS violations FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def q_accepted_values(spark, d):
+    return quality.accepted(t(spark, d, "orders"), "o_orderstatus", ["F", "O"])
+
+
+@query("SELECT count(*) AS violations FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def q_relationships(spark, d):
+    return quality.orphans(t(spark, d, "lineitem"), "l_orderkey", t(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey")
+
+
+# -- root cause ---------------------------------------------------------------------------------------
+
+_RC = ("1999-01-01", "2000-01-01", "2001-01-01")
+
+
+def _rc_sql(dims: list[str]) -> str:
+    side = lambda k, cond: f"count(*) FILTER (WHERE {cond}) AS n{k}, round(coalesce(sum(CAST(v AS DOUBLE)) FILTER (WHERE {cond}), 0), 2) AS s{k}, CAST(coalesce(sum(1.0) FILTER (WHERE {cond}), 0) AS DOUBLE) AS w{k}"
+    one = "SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS segment, " + side(1, "o_orderdate >= '2000-01-01'") + ", " + side(0, "o_orderdate < '2000-01-01'") + f" FROM {_ORD} WHERE o_orderdate >= '1999-01-01' AND o_orderdate < '2001-01-01' GROUP BY 2"
+    return " UNION ALL ".join(one.replace("{d}", x) for x in dims)
+
+
+def _rc(spark, d) -> DataFrame:
+    return rootcause.segment_moments(orders(spark, d), ["o_orderstatus", "o_orderpriority"], "o_orderdate", *_RC, F.col("v"))
+
+
+@query(_rc_sql(["o_orderstatus", "o_orderpriority"]))
+def rc_moments(spark, d):
+    return _rc(spark, d).select("dimension", "segment", "n1", F.round("s1", 2).alias("s1"), "w1", "n0", F.round("s0", 2).alias("s0"), "w0")
+
+
+@query(f"""WITH m AS ({_rc_sql(["o_orderstatus", "o_orderpriority"])}), x AS (SELECT *, s1 - s0 AS delta, sum(s1 - s0) OVER w AS td, sum(s0) OVER w AS t0, sum(s1) OVER w AS t1, sum(abs(s0)) OVER w AS ta FROM m WINDOW w AS (PARTITION BY dimension))
+  SELECT dimension, segment, round(delta, 2) AS delta, round(100 * delta / td, 5) AS contribution, round(100 * s1 / t1 - 100 * s0 / t0, 5) AS mix_shift, round(abs(s0) / ta * td, 2) AS expected, round(delta - abs(s0) / ta * td, 2) AS excess FROM x""")
+def rc_additive(spark, d):
+    a = rootcause.additive(_rc(spark, d))
+    return a.select("dimension", "segment", F.round("delta", 2).alias("delta"), F.round("contribution", 5).alias("contribution"), F.round("mix_shift", 5).alias("mix_shift"), F.round("expected", 2).alias("expected"), F.round("excess", 2).alias("excess"))
+
+
+@query(f"""WITH m AS ({_rc_sql(["o_orderstatus", "o_orderpriority"])}), x AS (SELECT *, w0 / sum(w0) OVER p AS a0, w1 / sum(w1) OVER p AS a1, s0 / w0 AS r0, s1 / w1 AS r1, sum(s0) OVER p / sum(w0) OVER p AS r FROM m WINDOW p AS (PARTITION BY dimension))
+  SELECT dimension, segment, round(a1 * (r1 - r0), 4) AS rate_effect, round((a1 - a0) * (r0 - r), 4) AS mix_effect FROM x""")
+def rc_mix_rate(spark, d):
+    return rootcause.mix_rate(_rc(spark, d)).select("dimension", "segment", F.round("rate_effect", 4).alias("rate_effect"), F.round("mix_effect", 4).alias("mix_effect"))
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority AS segment, sum(v) AS value FROM {_ORD} WHERE o_orderdate >= '2000-01-01' AND o_orderdate < '2000-02-01' GROUP BY 1), b AS (SELECT o_orderpriority AS segment, sum(v) AS value FROM {_ORD} WHERE o_orderdate >= '1999-12-01' AND o_orderdate < '2000-01-01' AND o_orderpriority <> '1-URGENT' GROUP BY 1)
+  SELECT coalesce(c.segment, b.segment) AS segment, coalesce(c.value, 0) AS current, coalesce(b.value, 0) AS baseline, coalesce(c.value, 0) - coalesce(b.value, 0) AS delta FROM c FULL JOIN b ON c.segment IS NOT DISTINCT FROM b.segment""")
+def rc_full_outer_segments(spark, d):
+    g = lambda df: df.groupBy(F.col("o_orderpriority").alias("segment")).agg(F.sum("v").alias("value"))
+    o = orders(spark, d)
+    c = g(o.where((F.col("o_orderdate") >= "2000-01-01") & (F.col("o_orderdate") < "2000-02-01")))
+    b = g(o.where((F.col("o_orderdate") >= "1999-12-01") & (F.col("o_orderdate") < "2000-01-01") & (F.col("o_orderpriority") != "1-URGENT")))
+    return rootcause.full_outer(c, b, ["segment"])
+
+
+@query(f"""SELECT o_orderpriority AS parent, o_orderstatus AS child, coalesce(sum(v) FILTER (WHERE o_orderdate >= '2000-01-01'), 0) AS s1, coalesce(sum(v) FILTER (WHERE o_orderdate < '2000-01-01'), 0) AS s0, count(*) AS n FROM {_ORD} WHERE o_orderdate >= '1999-01-01' AND o_orderdate < '2001-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2""")
+def rc_drilldown(spark, d):
+    return rootcause.drill(orders(spark, d), "o_orderpriority", ["1-URGENT", "2-HIGH"], "o_orderstatus", "o_orderdate", *_RC, F.col("v"))
+
+
+@query()
+def rc_power(spark, d):
+    return rootcause.power(rootcause.additive(_rc(spark, d)))
+
+
+# -- anomalies, series --------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS segment, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1), m AS (SELECT median(total) AS med, 1.4826 * mad(total) AS d FROM s) SELECT segment, round(total, 4) AS total, round(med, 4) AS median, round(d, 4) AS mad, round((total - med) / greatest(d, abs(med) * 0.02), 4) AS z, abs((total - med) / greatest(d, abs(med) * 0.02)) >= 2.5 AS is_anomaly FROM s, m""")
+def segment_mad_z(spark, d):
+    a = anomaly.segment_scores(t(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,4)")).groupBy("user_id").agg(F.sum("value").cast("double").alias("value")), "user_id", F.col("value"))
+    return a.withColumns({c: F.round(F.col(c), 4) for c in ("total", "median", "mad", "z")})
+
+
+@query("""WITH s AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS period, count(*) AS value FROM events GROUP BY 1), m AS (SELECT median(value) AS med, 1.4826 * mad(value) AS d FROM s) SELECT period, value, CAST(med AS DOUBLE) AS median, round(d, 6) AS mad, round(CASE WHEN d > 0 THEN (value - med) / d ELSE 0 END, 6) AS z, CASE WHEN d > 0 THEN abs((value - med) / d) >= 3 ELSE false END AS is_anomaly FROM s, m""")
+def temporal_mad_z(spark, d):
+    s = t(spark, d, "events").groupBy(period("ts", "day").alias("period")).agg(F.count(F.lit(1)).alias("value"))
+    return rounded(anomaly.temporal_scores(s), "mad", "z")
+
+
+def _monthly(spark, d) -> DataFrame:
+    return kpi.scorecard(orders(spark, d), "o_orderdate", "month", ROLES, ["revenue", "orders", "customers"]).select("kpi_id", F.col("period").cast("string").alias("period"), "value")
+
+
+@query()
+def series_anomalies(spark, d):
+    return anomaly.series_anomalies(_monthly(spark, d), 12)
+
+
+@query()
+def series_forecasts(spark, d):
+    return anomaly.forecasts(_monthly(spark, d), 6, 12)
+
+
+@query()
+def series_trends(spark, d):
+    return anomaly.trends(_monthly(spark, d))
+
+
+@query()
+def series_decomposition(spark, d):
+    return anomaly.decomposition(_monthly(spark, d))
+
+
+# -- customers ----------------------------------------------------------------------------------------
+
+_ACT = f"(SELECT o_custkey AS customer, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at, count(*) AS frequency, sum(v) AS monetary FROM {_ORD} GROUP BY 1)"
+
+
+@query(f"""WITH a AS (SELECT *, CAST(floor((epoch_us((SELECT max(o_orderdate) FROM orders) + INTERVAL 1 DAY) - epoch_us(last_at)) / 86400000000) AS BIGINT) AS recency FROM {_ACT}),
+  k AS (SELECT *, (rank() OVER (ORDER BY recency DESC) + (count(*) OVER (PARTITION BY recency) - 1) / 2.0) / count(*) OVER () AS rr, (rank() OVER (ORDER BY frequency) + (count(*) OVER (PARTITION BY frequency) - 1) / 2.0) / count(*) OVER () AS rf, (rank() OVER (ORDER BY monetary) + (count(*) OVER (PARTITION BY monetary) - 1) / 2.0) / count(*) OVER () AS rm FROM a),
+  s AS (SELECT customer, recency, frequency, monetary, CAST(greatest(1, least(5, ceil(round(rr * 5, 9)))) AS BIGINT) AS r, CAST(greatest(1, least(5, ceil(round(rf * 5, 9)))) AS BIGINT) AS f, CAST(greatest(1, least(5, ceil(round(rm * 5, 9)))) AS BIGINT) AS m FROM k)
+  SELECT *, CASE WHEN r >= 4 AND f >= 4 THEN 'Champions' WHEN r >= 3 AND f >= 4 THEN 'Loyal customers' WHEN r <= 2 AND f >= 4 AND m >= 4 THEN 'Cannot lose them' WHEN r >= 4 AND f >= 3 THEN 'Potential loyalists' WHEN r >= 4 AND f <= 2 THEN 'New customers' WHEN r >= 3 AND f <= 2 THEN 'Promising' WHEN r >= 3 THEN 'Needs attention' WHEN f >= 3 THEN 'At risk' WHEN r <= 1 AND f <= 1 THEN 'Lost' ELSE 'Hibernating' END AS segment FROM s""")
+def rfm_rank(spark, d):
+    return customers.rfm(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))
+
+
+@query()
+def rfm_summary(spark, d):
+    return customers.rfm_summary(rfm_rank(spark, d))
+
+
+@query(f"""WITH a AS (SELECT *, date_diff('day', CAST(last_at AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS recency FROM {_ACT}), b AS (SELECT customer, CAST(floor(percent_rank() OVER (ORDER BY recency DESC) * 5) + 1 AS BIGINT) AS r, CAST(floor(percent_rank() OVER (ORDER BY frequency) * 5) + 1 AS BIGINT) AS f, CAST(floor(percent_rank() OVER (ORDER BY monetary) * 5) + 1 AS BIGINT) AS m FROM a)
+  SELECT *, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Champions' WHEN r >= 3 AND f >= 3 THEN 'Loyal' WHEN r >= 4 AND f <= 2 THEN 'New / promising' WHEN r >= 3 AND m >= 4 THEN 'Big spenders' WHEN r = 2 AND f >= 3 THEN 'At risk' WHEN r = 2 THEN 'Cooling' WHEN r = 1 AND m >= 4 THEN 'Lost high value' ELSE 'Dormant' END AS segment FROM b""")
+def rfm_percent_rank(spark, d):
+    return customers.rfm_percent_rank(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"), "o_orderkey")
+
+
+@query(f"SELECT customer, CAST(ntile(5) OVER (ORDER BY last_at, customer) AS BIGINT) AS r, CAST(ntile(5) OVER (ORDER BY frequency, customer) AS BIGINT) AS f, CAST(ntile(5) OVER (ORDER BY monetary, customer) AS BIGINT) AS m FROM {_ACT}")
+def rfm_ntile(spark, d):
+    return customers.rfm_ntile(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))
+
+
+_COHORT = """WITH s AS (SELECT DISTINCT o_custkey AS c, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS i FROM orders), f AS (SELECT c, min(i) AS cohort FROM s GROUP BY 1), z AS (SELECT cohort, count(*) AS size FROM f GROUP BY 1), e AS (SELECT max(i) AS e FROM s),
+  grid AS (SELECT cohort, size, unnest(range(0, least(12, e - cohort) + 1)) AS step FROM z, e), x AS (SELECT cohort, i - cohort AS step, count(*) AS n FROM s JOIN f USING (c) GROUP BY 1, 2), cells AS (SELECT grid.cohort, grid.step, coalesce(n, 0) AS customers, size FROM grid LEFT JOIN x ON x.cohort = grid.cohort AND x.step = grid.step)"""
+
+
+@query(f"{_COHORT} SELECT cohort, step, customers, size, round(customers / CAST(size AS DOUBLE), 6) AS retention FROM cells")
+def cohort_matrix(spark, d):
+    return rounded(customers.cohorts(t(spark, d, "orders"), "o_custkey", "o_orderdate"), "retention")
+
+
+@query(f"{_COHORT} SELECT step, CAST(sum(customers) AS BIGINT) AS customers, CAST(sum(size) AS BIGINT) AS size, round(CAST(sum(customers) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS retention FROM cells GROUP BY 1")
+def cohort_curve(spark, d):
+    return rounded(customers.retention_curve(customers.cohorts(t(spark, d, "orders"), "o_custkey", "o_orderdate")), "retention")
+
+
+@query(f"""SELECT customer, round(CASE WHEN epoch(TIMESTAMP '2002-01-01' - first_at) > 0 AND frequency > 1 THEN power(epoch(last_at - first_at) / epoch(TIMESTAMP '2002-01-01' - first_at), frequency - 1) ELSE 1.0 END, 8) AS probability_alive FROM {_ACT}""")
+def prob_alive(spark, d):
+    a = customers.activity(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))
+    return customers.alive(a, F.lit("2002-01-01").cast("timestamp_ntz")).withColumn("probability_alive", F.round("probability_alive", 8))
+
+
+@query(f"""WITH r AS (SELECT CAST(monetary AS DOUBLE) AS v, row_number() OVER (ORDER BY monetary) AS k, count(*) OVER () AS n FROM {_ACT}) SELECT count(*) AS customers, round(2 * sum(v * k) / (max(n) * sum(v)) - (max(n) + 1.0) / max(n), 6) AS gini FROM r""")
+def gini(spark, d):
+    return rounded(customers.gini(customers.activity(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))), "gini")
+
+
+@query(f"""WITH p AS (SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) AS segment, sum(v) AS v, count(*) AS n FROM {_ORD} GROUP BY 1) SELECT segment, count(*) AS customers, sum(v) AS revenue, CAST(sum(n) AS BIGINT) AS orders, round(CAST(sum(v) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS aov, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS frequency, round(CAST(sum(v) AS DOUBLE) / count(*), 6) AS value_per_customer FROM p GROUP BY 1""")
+def clv_inputs(spark, d):
+    return rounded(customers.clv_inputs(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"), "o_orderpriority"), "aov", "frequency", "value_per_customer")
+
+
+@query("""WITH f AS (SELECT user_id, min(ts) FILTER (WHERE event_type = 'view') AS a, min(ts) FILTER (WHERE event_type = 'click') AS b, min(ts) FILTER (WHERE event_type = 'purchase') AS c FROM events GROUP BY 1)
+  SELECT 'view' AS step, CAST(1 AS BIGINT) AS position, count(*) FILTER (WHERE a IS NOT NULL) AS entities FROM f UNION ALL SELECT 'click', 2, count(*) FILTER (WHERE b >= a) FROM f UNION ALL SELECT 'purchase', 3, count(*) FILTER (WHERE b >= a AND c >= b) FROM f""")
+def funnel(spark, d):
+    return customers.funnel(t(spark, d, "events"), "user_id", "event_type", "ts", ["view", "click", "purchase"])
+
+
+# -- ledger -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS invoices, count(DISTINCT l_suppkey) AS customers, count(DISTINCT l_partkey) AS products, count(*) FILTER (WHERE l_suppkey IS NULL) AS no_customer, count(*) FILTER (WHERE l_quantity <= 0) AS non_positive_quantity, count(*) FILTER (WHERE l_extendedprice <= 0) AS non_positive_price, count(DISTINCT CASE WHEN upper(CAST(l_orderkey AS VARCHAR)) LIKE 'C%' THEN l_orderkey END) AS cancelled_invoices FROM lineitem""")
+def ledger_census(spark, d):
+    return ledger.census(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
+
+
+@query(f"""SELECT 'all' AS scope, count(*) AS row_count, sum(v) AS total FROM {_ITM} UNION ALL SELECT 'sales', count(*), sum(v) FROM {_ITM} WHERE NOT upper(CAST(l_orderkey AS VARCHAR)) LIKE 'C%' AND l_quantity > 0 AND l_extendedprice > 0 UNION ALL SELECT 'kept', count(*), sum(v) FROM {_ITM} WHERE l_returnflag <> 'R'""")
+def ledger_reconciliation(spark, d):
+    i = items(spark, d)
+    return ledger.reconciliation(i, F.col("v"), {"all": F.lit(True), "sales": ledger.sales_scope("l_orderkey", "l_quantity", "l_extendedprice"), "kept": F.col("l_returnflag") != "R"})
+
+
+@query(f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(v) AS revenue, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, CAST((SELECT max(o_orderdate) FROM orders) AS DATE) < CAST(date_trunc('month', o_orderdate) AS DATE) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS is_partial FROM {_ORD} GROUP BY 1, 5""")
+def ledger_trends(spark, d):
+    return ledger.trend(orders(spark, d), "o_orderdate", "month", F.col("v"), "o_orderkey", "o_custkey")
+
+
+@query(f"""WITH p AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS o, sum(v) AS v FROM {_ORD} GROUP BY 1) SELECT count(*) AS customers, count(*) FILTER (WHERE o > 1) AS repeat_customers, round(100.0 * count(*) FILTER (WHERE o > 1) / count(*), 6) AS repeat_rate, round(100 * CAST(sum(CASE WHEN o > 1 THEN v ELSE 0 END) AS DOUBLE) / CAST(sum(v) AS DOUBLE), 6) AS repeat_revenue_share FROM p""")
+def repeat_block(spark, d):
+    return rounded(ledger.repeat_block(orders(spark, d), "o_custkey", "o_orderkey", F.col("v")), "repeat_rate", "repeat_revenue_share")
+
+
+# -- experiments and tests ----------------------------------------------------------------------------
+
+_ARM = "CASE o_custkey % 2 WHEN 0 THEN 'control' ELSE 'offer' END"
+
+
+def _arm() -> Column:
+    return F.when(F.col("o_custkey") % 2 == 0, "control").otherwise("offer")
+
+
+@query(f"SELECT {_ARM} AS arm, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean, round(var_samp(o_totalprice), 2) AS variance, count(*) FILTER (WHERE o_orderstatus = 'F') AS successes FROM orders GROUP BY 1")
+def ab_arm_moments(spark, d):
+    return experiment.arm_moments(t(spark, d, "orders"), _arm(), F.col("o_totalprice"), F.col("o_orderstatus") == "F").withColumn("mean", F.round("mean", 4)).withColumn("variance", F.round("variance", 2))
+
+
+@query(f"""WITH b AS (SELECT o_custkey, {_ARM} AS arm, CAST(sum(CASE WHEN o_orderdate >= '2000-01-01' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS y, CAST(sum(CASE WHEN o_orderdate < '2000-01-01' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS x FROM orders GROUP BY 1, 2), q AS (SELECT covar_samp(y, x) / var_samp(x) AS theta, avg(x) AS m FROM b)
+  SELECT arm, count(*) AS n, round(avg(y - theta * (x - m)), 3) AS adjusted_mean, round(max(theta), 8) AS theta FROM b, q GROUP BY 1""")
+def cuped(spark, d):
+    late = F.col("o_orderdate") >= "2000-01-01"
+    b = orders(spark, d).groupBy("o_custkey").agg(F.sum(F.when(late, F.col("v")).otherwise(0)).alias("y"), F.sum(F.when(~late, F.col("v")).otherwise(0)).alias("x"))
+    return experiment.cuped(b, F.col("y"), F.col("x")).groupBy(_arm().alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("adjusted"), 3).alias("adjusted_mean"), F.round(F.max("theta"), 8).alias("theta"))
+
+
+@query("SELECT o_custkey % 2 = 1 AS treated, o_orderdate >= '2000-01-01' AS after, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(var_samp(o_totalprice), 2) AS variance FROM orders GROUP BY 1, 2")
+def did_moments(spark, d):
+    return experiment.did_moments(t(spark, d, "orders"), F.col("o_custkey") % 2 == 1, F.col("o_orderdate") >= "2000-01-01", F.col("o_totalprice")).withColumn("mean", F.round("mean", 4)).withColumn("variance", F.round("variance", 2))
+
+
+@query()
+def srm_counts(spark, d):
+    """Arm sizes of a hash split; crc32 is Spark's, so rows only."""
+    c = t(spark, d, "customer")
+    return c.groupBy(experiment.assign(c, "c_custkey", ["control", "offer"], "s1").alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 8) AS pearson, count(*) AS n FROM lineitem")
+def corr_pearson(spark, d):
+    return t(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("pearson"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM orders) SELECT round(corr(a, b), 8) AS spearman, count(*) AS n FROM r""")
+def corr_spearman(spark, d):
+    o = t(spark, d, "orders").select("o_totalprice", "o_custkey")
+    return customers.ranked(customers.ranked(o, "o_totalprice"), "o_custkey").agg(F.round(F.corr("o_totalprice_rank", "o_custkey_rank"), 8).alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderpriority AS grp, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(var_samp(o_totalprice), 2) AS variance FROM orders GROUP BY 1")
+def anova_components(spark, d):
+    return t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.var_samp("o_totalprice"), 2).alias("variance"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
+def chi2_table(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT l_returnflag = 'R' AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS k FROM lineitem) SELECT g AS returned, count(*) AS n, CAST(sum(k) AS DOUBLE) AS rank_sum FROM r GROUP BY 1""")
+def mann_whitney_ranks(spark, d):
+    i = t(spark, d, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").alias("returned"))
+    n = i.agg(F.count(F.lit(1)).alias("_t"))
+    return customers.ranked(i, "l_quantity").crossJoin(F.broadcast(n)).groupBy("returned").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_quantity_rank") * F.col("_t")), 1).alias("rank_sum"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 1000) / 10000.0 AS p FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT coalesce(max(k) FILTER (WHERE p <= 0.10 * k / m), 0) AS last FROM r) SELECT id, p :: DOUBLE AS p, k <= last AS significant FROM r, c""")
+def bh_flags(spark, d):
+    p = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 37 % 1000) / 10000.0).cast("double").alias("p"))
+    r = p.withColumn("k", F.row_number().over(Window.orderBy("p", "id")))  # one row for each hypothesis
+    m = r.agg(F.count(F.lit(1)).alias("m"))
+    last = r.crossJoin(F.broadcast(m)).agg(F.coalesce(F.max(F.when(F.col("p") <= 0.10 * F.col("k") / F.col("m"), F.col("k"))), F.lit(0)).alias("last"))
+    return r.crossJoin(F.broadcast(last)).select("id", "p", (F.col("k") <= F.col("last")).alias("significant"))
+
+
+# -- privacy ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'c_name' AS "column", count(c_name) AS n, CAST(0 AS DOUBLE) AS payment_card, avg(CASE WHEN regexp_full_match(c_name, '[^@\\s]+@[^@\\s]+\\.[A-Za-z]{2,}') THEN 1.0 ELSE 0 END) :: DOUBLE AS email FROM customer""")
+def pii_rates(spark, d):
+    return privacy.value_shares(t(spark, d, "customer"), ["c_name"]).select("column", "n", "payment_card", "email")
+
+
+@query("""WITH e AS (SELECT c_custkey, lower(c_mktsegment) || c_custkey || '@mail.example.com' AS email, '4539 5787 6362 1' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS card, '10.1.' || (c_custkey % 200) || '.7' AS ip, c_name FROM customer)
+  SELECT c_custkey, left(split_part(email, '@', 1), 1) || repeat('*', greatest(3, length(split_part(email, '@', 1)) - 1)) || '@mail.example.com' AS email, '**** **** **** ' || right(regexp_replace(card, '[^0-9]', '', 'g'), 4) AS card, '10.1.x.x' AS ip, substr(sha256(c_name), 1, 6) AS token FROM e""")
+def mask_values(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.col("c_custkey"), F.lit("@mail.example.com")).alias("email"), F.concat(F.lit("4539 5787 6362 1"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")).alias("card"), F.concat(F.lit("10.1."), F.col("c_custkey") % 200, F.lit(".7")).alias("ip"), "c_name")
+    return c.select("c_custkey", masked("email", "email").alias("email"), masked("card", "payment_card").alias("card"), masked("ip", "ip_address").alias("ip"), pseudonym(F.col("c_name")).alias("token"))
+
+
+@query()
+def fnv_pseudonyms(spark, d):
+    return t(spark, d, "nation").select("n_name", fnv1a(F.col("n_name")).alias("h"))
+
+
+# -- joins, sets, scalars -----------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= '2001-01-01'")
+def join_inner(spark, d):
+    return t(spark, d, "orders").where(F.col("o_orderdate") >= "2001-01-01").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+def join_left_dim(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def join_semi(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '2001-01-01')")
+def join_anti(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "orders").where(F.col("o_orderdate") >= "2001-01-01"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)")
+def scalar_subquery(spark, d):
+    o = t(spark, d, "orders")
+    return o.crossJoin(F.broadcast(o.agg((F.avg("o_totalprice") * 2).alias("_m")))).where("o_totalprice > _m").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_all(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).unionByName(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
+def distinct_rows(spark, d):
+    return t(spark, d, "orders").select("o_orderpriority", "o_orderstatus").distinct()
+
+
+@query("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT CAST(n AS BIGINT) AS n FROM r")
+def recursive_cte(spark, d):
+    return spark.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT CAST(n AS BIGINT) AS n FROM r")
+
+
+@query("""SELECT o_orderkey, CAST(date_diff('month', TIMESTAMP '1995-01-31', o_orderdate) AS BIGINT) AS months, date_diff('day', TIMESTAMP '1995-01-31', o_orderdate) AS days, md5(strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderpriority) AS key, strftime(date_trunc('month', o_orderdate), '%b %Y') AS label, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS quarter_index, upper(trim(o_orderpriority)) AS up, lower(o_orderstatus) IN ('f') AS done FROM orders""")
+def scalar_functions(spark, d):
+    o = t(spark, d, "orders")
+    start = F.lit("1995-01-31").cast("timestamp_ntz")
+    return o.select("o_orderkey", month_steps(start, F.col("o_orderdate")).alias("months"), F.datediff("o_orderdate", start).cast("long").alias("days"), surrogate_key(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority")).alias("key"), period_label(F.date_trunc("month", "o_orderdate"), "month").alias("label"), calendar_index(F.col("o_orderdate"), "Q").alias("quarter_index"), F.upper(F.trim("o_orderpriority")).alias("up"), (F.lower("o_orderstatus") == "f").alias("done"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE lower(event_type) IN ('1', 'true', 'yes', 'y', 't')) AS truthy, count(DISTINCT json_extract_string(props, '$.k')) AS k FROM events GROUP BY 1")
+def json_and_flags(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(truthy("event_type", "plugin")).alias("truthy"), F.count_distinct(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query("SELECT count(DISTINCT concat_ws(chr(31), CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS row_keys FROM nation")
+def row_keys(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return n.agg(F.count_distinct(row_key(n)).alias("row_keys"))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i IN (SELECT CAST(floor(k * (SELECT count(*) FROM orders) / 100.0) AS BIGINT) FROM range(0, 100) x(k))")
+def systematic_sample(spark, d):
+    return readers.systematic_sample(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+# -- warehouse, dialect, demo -------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT event_type AS pool, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) FILTER (WHERE value > 50) AS good, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, good / CAST(n AS DOUBLE) AS rate FROM g), w AS (SELECT *, lag(rate) OVER (PARTITION BY pool ORDER BY week) AS previous_rate FROM r)
+  SELECT pool, week, good, n, round(rate, 6) AS rate, round(previous_rate, 6) AS previous_rate, round((rate - previous_rate) / nullif(previous_rate, 0), 6) AS change FROM w""")
+def pool_mom_change(spark, d):
+    e = t(spark, d, "events").select(F.col("event_type").alias("pool"), period("ts", "week").alias("week"), (F.col("value") > 50).cast("long").alias("good"), F.lit(1).cast("long").alias("n"))
+    return rounded(warehouse.month_over_month(e, "pool", "week", "good", "n"), "rate", "previous_rate", "change")
+
+
+def _telesales(spark) -> DataFrame:
+    return warehouse.monthly_funnel(warehouse.staging(demo.generate(spark, "telesales", 6000)))
+
+
+@query()
+def warehouse_pool_health(spark, d):
+    return warehouse.pool_health(_telesales(spark))
+
+
+@query()
+def warehouse_campaigns(spark, d):
+    campaigns, _ = warehouse.seeds(spark)
+    return warehouse.with_dim(warehouse.campaign_performance(_telesales(spark)), campaigns, "campaign")
+
+
+@query()
+def warehouse_summary(spark, d):
+    return warehouse.summary(_telesales(spark))
+
+
+@query("SELECT o_orderpriority, o_orderkey, date_diff('month', TIMESTAMP '1995-01-01', o_orderdate) AS m FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def console_qualify(spark, d):
+    """A console statement in DuckDB's dialect, translated."""
+    t(spark, d, "orders").createOrReplaceTempView("plumbline_console")
+    sql = "SELECT \"o_orderpriority\", o_orderkey, date_diff('month', CAST('1995-01-01' AS TIMESTAMP), o_orderdate) AS m FROM plumbline_console QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2"
+    return spark.sql(dialect.translate(sql, "spark")[0]).withColumn("m", F.col("m").cast("long"))
+
+
+@query()
+def demo_root_cause(spark, d):
+    """The planted cause of a demo table, recovered."""
+    df = demo.generate(spark, "banking", 20_000)
+    m = rootcause.segment_moments(df, ["region", "channel", "customer_segment"], "date", "2024-04-25", "2024-05-25", "2024-06-24", F.col("transaction_amount"))
+    return rootcause.power(rootcause.additive(m))
+
+
+@query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_window_kpis(spark, d):
+    """The streaming roll-up, applied to the table as a batch."""
+    from plumbline.streaming.windows import window_kpis
+
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return window_kpis(e, "ts", "value", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
