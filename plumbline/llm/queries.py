@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, jaccard, language, lines, packing, pii, quality, substrings, tokens
+from plumbline.llm import chat, decontaminate, jaccard, language, lines, oracles, packing, pii, quality, substrings, tokens
 from plumbline.llm.common import scratch, table
 
 
@@ -72,4 +72,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+#: Tokens, learned labels, spans and alignments are not for SQL: op4, op6, op7, op8 and op10 are tested against brute force.
+ORACLES: dict[str, str] = {"op1_line_dedup": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op3_chat_format": oracles.OP3, "op5_quality_rules": oracles.OP5, "op9_jaccard_join": oracles.OP9}
