@@ -371,9 +371,11 @@ def rc_drilldown(spark, d):
     return rootcause.drill(orders(spark, d), "o_orderpriority", ["1-URGENT", "2-HIGH"], "o_orderstatus", "o_orderdate", *_RC, F.col("v"))
 
 
-@query()
+@query(f"""WITH m AS ({_rc_sql(["o_orderstatus", "o_orderpriority"])}), x AS (SELECT dimension, s1 - s0 AS delta, s1 - s0 - abs(s0) / (sum(abs(s0)) OVER w) * (sum(s1 - s0) OVER w) AS excess FROM m WINDOW w AS (PARTITION BY dimension))
+  SELECT dimension, count(*) AS segments, round(least(1.0, sum(abs(excess)) / sum(abs(delta))), 5) AS dispersion, round(max(abs(excess)) / sum(abs(excess)), 5) AS concentration, round(abs(sum(delta)) / sum(abs(delta)), 5) AS coverage FROM x GROUP BY 1""")
 def rc_power(spark, d):
-    return rootcause.power(rootcause.additive(_rc(spark, d)))
+    p = rootcause.power(rootcause.additive(_rc(spark, d)))
+    return p.withColumns({c: F.round(c, 5) for c in ("dispersion", "concentration", "coverage")})
 
 
 # -- anomalies, series --------------------------------------------------------------------------------
@@ -428,9 +430,33 @@ def rfm_rank(spark, d):
     return customers.rfm(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))
 
 
-@query()
+@query(f"""WITH s AS ({ORACLES["rfm_rank"]}) SELECT segment, count(*) AS customers, sum(monetary) AS value, round(100.0 * count(*) / (SELECT count(*) FROM s), 5) AS customer_share, round(100 * CAST(sum(monetary) AS DOUBLE) / (SELECT CAST(sum(monetary) AS DOUBLE) FROM s), 5) AS value_share,
+  median(recency) AS median_recency, median(frequency) AS median_frequency, round(CAST(median(CAST(monetary AS DOUBLE)) AS DOUBLE), 3) AS median_monetary FROM s GROUP BY 1""")
 def rfm_summary(spark, d):
-    return customers.rfm_summary(rfm_rank(spark, d))
+    s = customers.rfm_summary(rfm_rank(spark, d))
+    return s.withColumns({"customer_share": F.round("customer_share", 5), "value_share": F.round("value_share", 5), "median_monetary": F.round(F.col("median_monetary").cast("double"), 3)})
+
+
+@query("""WITH p AS (SELECT 100.0 * count(*) / sum(count(*)) OVER () AS share FROM lineitem GROUP BY l_returnflag) SELECT count(*) AS levels, round(sum(share * share), 4) AS hhi FROM p""")
+def breakdown_hhi(spark, d):
+    """Concentration of a breakdown's shares in percent, as texts use it."""
+    v = profile.entropy(t(spark, d, "lineitem"), "l_returnflag")
+    return v.select("levels", F.round(F.col("hhi") * 10_000, 4).alias("hhi"))
+
+
+@query("""SELECT 'order_date' AS "column", count(*) AS n, 'd/M/yyyy' AS format, count(*) AS parsed FROM orders""")
+def date_format_choice(spark, d):
+    """Text dates are read by the format that reads most values, all formats scored in one scan."""
+    from plumbline.operators import repair
+
+    text = t(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"))
+    return repair.date_formats(text, ["order_date"]).where("parsed = n").select("column", "n", "format", "parsed")
+
+
+@query("SELECT o_orderkey, v AS value, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS k FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25)")
+def top_rows(spark, d):
+    top = orders(spark, d).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    return top.select("o_orderkey", F.col("v").alias("value"), F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("k"))
 
 
 @query(f"""WITH a AS (SELECT *, date_diff('day', CAST(last_at AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS recency FROM {_ACT}), b AS (SELECT customer, CAST(floor(percent_rank() OVER (ORDER BY recency DESC) * 5) + 1 AS BIGINT) AS r, CAST(floor(percent_rank() OVER (ORDER BY frequency) * 5) + 1 AS BIGINT) AS f, CAST(floor(percent_rank() OVER (ORDER BY monetary) * 5) + 1 AS BIGINT) AS m FROM a)
