@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import as_bytes, free_shuffles, id_key, partitions, scratch, slices
 
 #: Bytes of text hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Of two to the power of this many bits, at most, is the map of buckets that more than one string goes to (64 MB).
 FILTER_BITS = 29
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -167,8 +167,9 @@ def _strings(docs: list, seen: dict, size: int, gram: int, shared: np.ndarray) -
         for b, d, s, n, a, z in zip(*(c[some].tolist() for c in columns)):
             text = buffer[a:z]
             key, tag, _ = docs[d]
-            was = seen.setdefault(text, (key, s))
-            for column, x in zip(out, (b, key, tag, s, n, None if was < (key, s) else text)):
+            if seen.setdefault(text, (key, s)) < (key, s):  # marked here already; any bucket passes it on
+                b, text = (key * 0x9E3779B1 + s) & 0x7FFFFFFF, None
+            for column, x in zip(out, (b, key, tag, s, n, text)):
                 column.append(x)
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["bucket", "doc", "tag", "start", "n", "words"])
