@@ -14,8 +14,6 @@ document is `und`. Empty tables give no rows. Extra columns pass through.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,44 +33,52 @@ TRAIN_DOCS, TRAIN_CHARS, TRAIN_WORDS = 2400, 20_000, 300_000
 LEXICON_LEAST = 5
 #: Words whose emissions a worker remembers.
 CACHE = 200_000
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-
-
-class _Rows(dict):
-    """Table row of a feature, remembered. A feature is a kind (one letter) and at most a few characters, or a lexicon word."""
-
-    def __missing__(self, name: str) -> int:
-        row = zlib.crc32(name.encode()) % TABLE
-        if len(self) < CACHE:
-            self[name] = row
-        return row
-
-
-_row_of = _Rows()
-
-
-def features(word: str, lexicon: set[str]) -> list[int]:
-    """Table rows of a lower-case word; none if it has no letter."""
-    w = word if word.isalpha() else _EDGE.sub("", word)
-    if not w or not (w.isalpha() or any(c.isalpha() for c in w)):
-        return []
-    w = w[:40]
-    padded = f"^{w}$"
-    n = len(padded)
-    names = ["\x01" + w[:1], "\x01" + w[:2], "\x01" + w[:3], "\x02" + w[-1:], "\x02" + w[-2:], "\x02" + w[-3:]]
-    names += [padded[i : i + 2] for i in range(n - 1)]
-    names += [padded[i : i + 3] for i in range(n - 2)]
-    if not w.isascii():
-        names += ["\x03" + c for c in set(w) if not c.isascii()]
-    if w in lexicon:
-        names.append("\x04" + w)
-    return [_row_of[x] for x in names]
+#: What is cut off a word's ends, besides white space.
+_EDGE = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_K = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
+
+
+def core(word: str) -> str:
+    """A lower-case word without marks and digits around it; empty if it has no letter."""
+    w = word if word.isalpha() else word.strip(_EDGE)
+    return w[:40] if w.isalpha() or any(c.isalpha() for c in w) else ""
+
+
+def _slot(tag: int, *parts: np.ndarray) -> np.ndarray:
+    """Table row of a feature: its kind and its bytes."""
+    h = np.full(len(parts[0]), tag * 0x27D4EB2F, np.uint64)
+    for i, x in enumerate(parts):
+        h = (h ^ x) * _K[i]
+        h ^= h >> np.uint64(17)
+    return (h % np.uint64(TABLE)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word's place, table row) of the affixes and n-grams of bare words, all words at once, as UTF-8 bytes."""
+    coded = [w.encode() for w in words]
+    sizes = np.array([len(x) for x in coded], np.int64)
+    if not len(sizes) or not sizes.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    buffer = np.frombuffer(b"".join(b"^" + x + b"$" for x in coded) + b"\0\0", np.uint8).astype(np.uint64)
+    start = np.cumsum(sizes + 2) - sizes - 2
+    full = np.flatnonzero(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 2)
+    left = np.repeat(start + sizes + 2, sizes + 2) - np.arange(len(owner))  # bytes from here to the word's end
+    a, b, c = buffer[:-2], buffer[1:-1], buffer[2:]
+    two, three = np.flatnonzero((left > 1) & (sizes[owner] > 0)), np.flatnonzero((left > 2) & (sizes[owner] > 0))
+    owners, rows = [owner[two], owner[three]], [_slot(1, a[two], b[two]), _slot(2, a[three], b[three], c[three])]
+    for k in (1, 2, 3):
+        some = full[sizes[full] >= k]
+        for tag, first in ((10 + k, start[some] + 1), (20 + k, start[some] + sizes[some] + 1 - k)):
+            owners.append(some)
+            rows.append(_slot(tag, *(buffer[first + i] for i in range(k))))
+    return np.concatenate(owners), np.concatenate(rows)
 
 
 class Model:
-    """Languages, weights (TABLE x languages), transitions and the lexicon."""
+    """Languages, weights (TABLE and lexicon rows x languages), transitions, and the lexicon: word -> row."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, moves: np.ndarray, lexicon: set[str]):
+    def __init__(self, languages: list[str], weights: np.ndarray, moves: np.ndarray, lexicon: dict[str, int]):
         self.languages, self.weights, self.moves, self.lexicon = languages, weights, moves, lexicon
 
 
@@ -110,30 +116,34 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: flo
     sequences: list[tuple[list[str], int]] = []
     total = 0
     for text, lang in rows:
-        words = text.lower().split()
+        words = [core(w) for w in text.lower().split()]
         if total > TRAIN_WORDS:
             break
         total += len(words)
-        counts.update(_EDGE.sub("", w)[:40] for w in words)
+        counts.update(words)
         sequences += [(words[i : i + SEQUENCE], languages.index(lang)) for i in range(0, len(words), SEQUENCE)]
-    lexicon = {w for w, n in counts.items() if n >= LEXICON_LEAST and w}
-    weights, moves = np.zeros((TABLE, max(k, 1))), np.zeros((max(k, 1), max(k, 1)))
-    squares, move_squares = np.full(TABLE, 1e-2), np.full(moves.shape, 1e-2)
-    known: dict[str, list[int]] = {}
-    for words, _ in sequences:
-        for w in words:
-            if w not in known:
-                known[w] = features(w, lexicon)
+    lexicon = {w: TABLE + i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEXICON_LEAST and w))}
+    size = TABLE + len(lexicon)
+    weights, moves = np.zeros((size, max(k, 1))), np.zeros((max(k, 1), max(k, 1)))
+    squares, move_squares = np.full(size, 1e-2), np.full(moves.shape, 1e-2)
+    vocabulary = {w: i for i, w in enumerate(counts)}
+    owner, row = features(list(vocabulary))
+    known = np.array([[vocabulary[w], r] for w, r in lexicon.items()], np.int64).reshape(-1, 2)
+    owner, row = np.concatenate([owner, known[:, 0]]), np.concatenate([row, known[:, 1]])
+    row = row[np.argsort(owner, kind="stable")]
+    many = np.bincount(owner, minlength=len(vocabulary))
+    begin = np.cumsum(many) - many
+    sequences = [(np.array([vocabulary[w] for w in words], np.int64), y) for words, y in sequences]
     rng = np.random.default_rng(7)
     for _ in range(epochs if k else 0):
         order = rng.permutation(len(sequences))
         for at in range(0, len(order), batch):
             some = [sequences[i] for i in order[at : at + batch]]
             lengths = np.array([len(w) for w, _ in some])
-            flat = [known[w] for words, _ in some for w in words]
-            sizes = np.array([len(x) for x in flat])
-            rows_of = np.fromiter((f for x in flat for f in x), np.int64)
+            flat = np.concatenate([w for w, _ in some])
+            sizes = many[flat]
             word_of = np.repeat(np.arange(len(flat)), sizes)
+            rows_of = row[np.repeat(begin[flat] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(word_of))]
             emit = np.stack([np.bincount(word_of, weights[rows_of, j], len(flat)) for j in range(k)], axis=1)
             padded = np.zeros((len(some), lengths.max(), k))
             live = np.arange(lengths.max())[None, :] < lengths[:, None]
@@ -142,7 +152,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: flo
             truth = np.repeat([y for _, y in some], lengths)
             error = -post[live]
             error[np.arange(len(truth)), truth] += 1
-            gradient = np.stack([np.bincount(rows_of, error[word_of, j], TABLE) for j in range(k)], axis=1) / len(some)
+            gradient = np.stack([np.bincount(rows_of, error[word_of, j], size) for j in range(k)], axis=1) / len(some)
             touched = np.unique(rows_of)
             g = gradient[touched] - decay * weights[touched]
             squares[touched] += (g**2).sum(axis=1)
@@ -163,7 +173,7 @@ def train(docs: DataFrame, allowed: Column | None = None, max_docs: int = TRAIN_
     ranked = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_docs)
     last = ranked.agg(F.max("h")).first()[0]
     if last is None:
-        return Model([], np.zeros((TABLE, 1), np.float32), np.zeros((1, 1), np.float32), set())
+        return Model([], np.zeros((TABLE, 1), np.float32), np.zeros((1, 1), np.float32), {})
     chosen = labelled.where(F.xxhash64("doc_id") <= last).select(F.xxhash64("doc_id").alias("h"), "text", "lang").orderBy("h", "lang", "text").limit(max_docs).collect()
     return fit([(r["text"], r["lang"]) for r in chosen])
 
@@ -181,16 +191,20 @@ class Predictor:
         if len(self.rows) > CACHE:
             self.rows, self.emissions, self.lettered = {}, self.emissions[:0], self.lettered[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        flat = [features(w, self.model.lexicon) for w in new]
-        sizes = np.array([len(x) for x in flat], np.int64)
-        rows = np.fromiter((f for x in flat for f in x), np.int64, int(sizes.sum()))
+        bare = [core(w) for w in new]
         emit = np.zeros((len(new), self.emissions.shape[1]), np.float32)
+        owner, rows = features(bare)
         if len(rows):
-            full = sizes > 0
-            emit[full] = np.add.reduceat(self.model.weights[rows], (np.cumsum(sizes) - sizes)[full], axis=0)
+            values = self.model.weights[rows]
+            for j in range(emit.shape[1]):
+                emit[:, j] = np.bincount(owner, values[:, j], len(new))
+        listed = [(i, self.model.lexicon[w]) for i, w in enumerate(bare) if w in self.model.lexicon]
+        if listed:
+            at, row = np.array(listed).T
+            emit[at] += self.model.weights[row]
         at = len(self.rows)
         self.rows.update(zip(new, range(at, at + len(new))))
-        self.emissions, self.lettered = np.concatenate([self.emissions, emit]), np.concatenate([self.lettered, sizes > 0])
+        self.emissions, self.lettered = np.concatenate([self.emissions, emit]), np.concatenate([self.lettered, np.array([bool(w) for w in bare], bool)])
 
     def marginals(self, texts: list[str]) -> list[np.ndarray]:
         """Per text, the marginals of its lettered words."""
