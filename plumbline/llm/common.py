@@ -53,6 +53,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that scratch() made for `df`, once all that reads it is written."""
+    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables, once no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -11,8 +11,9 @@ A dense tile (thousands of near copies) would pass nearly all its pairs. It emit
 candidates first; once the verified ones have made components, a second sweep emits every candidate that is
 still between two components. So no link between components is lost, and no group is expanded into all its pairs.
 
-Three passes compute shingles anew instead of shuffling them: counting prefix hashes, making tiles, and
-fetching the arrays of candidates. Bit maps of bounded size tell a pass what is worth sending.
+One pass over the texts keeps of each set its digest, its bitmap and the first hashes of its array. Nodes whose
+prefix reaches beyond those, and candidates that must be verified, have their whole arrays computed anew from the
+texts. Bit maps of bounded size tell which hashes and documents are worth sending.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a text of fewer words than a shingle is one shingle; a null
 or empty text has none and links with nothing. Rows with the same doc_id are one document for linking. A null
@@ -30,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, as_bytes, free_shuffles, id_key, partitions, scratch, slices
+from plumbline.llm.common import NULL_ID, as_bytes, discard, free_shuffles, id_key, partitions, scratch, slices
 from plumbline.llm.components import components
 from plumbline.llm.substrings import _P, _grams, word_hashes
 
 CHUNK = 1 << 20
 #: A hash that more nodes than this have is sorted last; at most so many of the most frequent are.
 COMMON, MOST_COMMON = 32, 1 << 16
-#: Nodes of a tile whose pairs are all emitted at once, and candidates each node of a larger tile emits first.
-SMALL, CLOSEST = 8, 2
+#: Tiles of so few nodes are compared without arrays; candidates that a node emits first, among those no larger than itself.
+SMALL, CLOSEST = 8, 1
 #: Bit maps have at most two to the power of this many bits (64 MB).
 FILTER_BITS = 29
 #: Prefixes are counted somewhat beyond their length, as far as sorting common hashes last may stretch them.
@@ -62,9 +63,11 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def _each(batches: Iterator[pa.RecordBatch], k: int):
-    """(keys, sets) by chunk of documents (doc, text)."""
+def _each(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray | None = None):
+    """(keys, sets) by chunk of documents (doc, text); with a bit map, of the documents it may hold only."""
     for batch in batches:
+        if wanted is not None:
+            batch = batch.filter(pa.array(has(wanted, batch.column(0).to_numpy())))
         doc, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
         for a, b in slices([len(t) for t in texts], CHUNK):
             yield doc[a:b], shingle_sets(texts[a:b], k)
@@ -109,6 +112,13 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)
 
 
+def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(x), bool)
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
+
+
 # -- passes over the texts ----------------------------------------------------------------------------
 
 
@@ -116,70 +126,105 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select(id_key("doc_id").alias("doc"), "text")
 
 
-def _meta(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, h1, h2, n): digest and size of each document's set."""
+def _meta(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc, h1, h2, n, head, signature): each document's set; head and signature once for each set of a chunk."""
 
     def run(batches):
         for doc, sets in _each(batches, k):
-            d = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(s) for s in sets], pa.int64())], names=["doc", "h1", "h2", "n"])
+            digests = [_digest(s) for s in sets]
+            d = np.array(digests, np.int64).reshape(-1, 2)
+            first = {x: i for i, x in reversed(list(enumerate(digests)))}
+            new = [first[x] == i and len(s) > 0 for i, (x, s) in enumerate(zip(digests, sets))]
+            head = [s[: _reach(len(s), percent)].tobytes() if x else None for s, x in zip(sets, new)]
+            signature = [_signature(s) if x else None for s, x in zip(sets, new)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(head, pa.binary()), pa.array(signature, pa.binary())], names=["doc", "h1", "h2", "n", "head", "signature"])
+
+    return _sets_of(docs).mapInArrow(run, "doc long, h1 long, h2 long, n long, head binary, signature binary")
+
+
+def _reach(n: int, percent: int) -> int:
+    """Hashes of a set that are kept and counted."""
+    return min(n, math.ceil(STRETCH * _prefix(n, percent)))
+
 
-    return _sets_of(docs).mapInArrow(run, "doc long, h1 long, h2 long, n long")
+def _hash_counts(nodes: DataFrame) -> DataFrame:
+    """(hash, nodes): how many nodes have a hash among their first ones; 2 or more only."""
 
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    return nodes.select("head").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("nodes")).where("nodes > 1")
 
-def _prefix_counts(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(hash, nodes): how many distinct sets of a task, summed, have a hash in their stretched prefix; 2 or more only."""
+
+def _short(nodes: DataFrame, percent: int, common) -> DataFrame:
+    """(node): nodes whose prefix, common hashes last, may reach beyond their first hashes."""
 
     def run(batches):
-        for _, sets in _each(batches, k):
-            distinct = {_digest(s): s for s in sets if len(s)}
-            if distinct:
-                h, n = np.unique(np.concatenate([s[: math.ceil(STRETCH * _prefix(len(s), percent))] for s in distinct.values()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+        for batch in batches:
+            node, n, head = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = [d for d, size, h in zip(node, n, head) if len(h) < 8 * size and (~_among(np.frombuffer(h, np.int64), common.value)).sum() < _prefix(size, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+    return nodes.select("node", "n", "head").mapInArrow(run, "node long")
 
-    return _sets_of(docs).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("nodes")).where("nodes > 1")
 
+_TILE = "hash long, n long, h1 long, h2 long, signature binary"
 
-def _tile_rows(docs: DataFrame, k: int, percent: int, common, shared) -> DataFrame:
-    """(hash, n, h1, h2, signature): a row for each prefix hash that another set may share."""
+
+def _rows(parts: list[tuple]) -> pa.RecordBatch:
+    """parts: (hashes, n, h1, h2, signature) of each node."""
+    hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    sizes = [len(p[0]) for p in parts]
+    each = [pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), sizes)) for i in (1, 2, 3)]
+    signature = pa.array([p[4] for p, m in zip(parts, sizes) for _ in range(m)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(hashes), *each, signature], names=["hash", "n", "h1", "h2", "signature"])
+
+
+def _far_rows(docs: DataFrame, k: int, percent: int, common, wanted) -> DataFrame:
+    """Tile rows of nodes that need their whole arrays: the prefix with common hashes last."""
 
     def run(batches):
-        late, bits = common.value, shared.value
-        for _, sets in _each(batches, k):
-            out: list[list] = [[], [], [], [], []]
+        for _, sets in _each(batches, k, wanted.value):
+            parts = []
             for (h1, h2), s in {_digest(s): s for s in sets if len(s)}.items():
-                p = _prefix(len(s), percent)
-                head = s[: math.ceil(STRETCH * p)].view(np.int64)
-                early = head[~np.isin(head, late)]
-                if len(early) < p and len(head) < len(s):
-                    every = s.view(np.int64)
-                    hot = np.isin(every, late)
-                    early = np.concatenate([every[~hot], every[hot]])
-                elif len(early) < p:
-                    early = np.concatenate([early, head[np.isin(head, late)]])
-                mine = early[:p]
-                mine = mine[has(bits, mine) | np.isin(mine, late)]
-                if len(mine):
-                    signature = _signature(s)
-                    for column, x in zip(out, (mine.tolist(), [len(s)] * len(mine), [h1] * len(mine), [h2] * len(mine), [signature] * len(mine))):
-                        column.extend(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["hash", "n", "h1", "h2", "signature"])
-
-    return _sets_of(docs).mapInArrow(run, "hash long, n long, h1 long, h2 long, signature binary")
+                p, every = _prefix(len(s), percent), s.view(np.int64)
+                often = _among(every, common.value)
+                if len(s) > _reach(len(s), percent) and (~often[: _reach(len(s), percent)]).sum() < p:
+                    parts.append((np.concatenate([every[~often], every[often]])[:p], len(s), h1, h2, _signature(s)))
+            yield _rows(parts)
+
+    return _sets_of(docs).mapInArrow(run, _TILE).dropDuplicates(["hash", "h1", "h2"])
+
+
+def _near_rows(nodes: DataFrame, percent: int, common, shared) -> DataFrame:
+    """Tile rows of all other nodes, from their first hashes: only hashes that another node may have."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for n, h1, h2, head, signature in zip(*(c.to_pylist() for c in batch.columns)):
+                p, x = _prefix(n, percent), np.frombuffer(head, np.int64)
+                often = _among(x, common.value)
+                if len(x) == n or (~often).sum() >= p:
+                    mine = np.concatenate([x[~often], x[often]])[:p]
+                    parts.append((mine[has(shared.value, mine)], n, h1, h2, signature))
+            yield _rows(parts)
+
+    return nodes.select("n", "h1", "h2", "head", "signature").mapInArrow(run, _TILE)
 
 
 def _arrays(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(h1, h2, hashes): the sorted arrays of sets whose digest may be wanted, once for each."""
+    """(h1, h2, hashes): the sorted arrays of the documents wanted; a set that several of them have may come again."""
 
     def run(batches):
-        bits = wanted.value
-        for _, sets in _each(batches, k):
+        for _, sets in _each(batches, k, wanted.value):
             own = {_digest(s): s for s in sets if len(s)}
-            keys = list(own)
-            some = [x for x, y in zip(keys, has(bits, np.array([x[0] for x in keys], np.int64))) if y] if keys else []
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([own[x].tobytes() for x in some], pa.binary())], names=["h1", "h2", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["h1", "h2", "hashes"])
 
-    return _sets_of(docs).mapInArrow(run, "h1 long, h2 long, hashes binary").groupBy("h1", "h2").agg(F.any_value("hashes").alias("hashes"))
+    return _sets_of(docs).mapInArrow(run, "h1 long, h2 long, hashes binary")
 
 
 # -- tiles --------------------------------------------------------------------------------------------
@@ -208,20 +253,23 @@ class _Tile:
         """Pairs of places in `nodes`, and whether pairs were left for a second sweep."""
         nodes, out = self.nodes, []
         if len(nodes) <= SMALL:
-            ints = [int.from_bytes(x[3], "little") for x in nodes]
+            ints, left = [int.from_bytes(x[3], "little") for x in nodes], False
             for j in range(1, len(nodes)):
+                found = []
                 for i in range(j):
                     a, b = nodes[i], nodes[j]
                     if 100 * a[0] >= self.percent * b[0] and (a[4] is None or a[4] != b[4]):
                         to = min(len(a[3]), len(b[3]))
                         differ = (_fold(ints[i], len(a[3]), to) ^ _fold(ints[j], len(b[3]), to)).bit_count()
                         if self.may_link(a[0], b[0], differ):
-                            out.append((i, j))
-            return out, False
+                            found.append((differ, i))
+                if len(found) > CLOSEST and not self.everything:
+                    found, left = sorted(found)[:CLOSEST], True
+                out.extend((i, j) for _, i in found)
+            return out, left
         size = np.array([x[0] for x in nodes], np.int64)
         labels = np.array([x[4] for x in nodes]) if nodes[0][4] is not None else None
         first = np.searchsorted(100 * size, self.percent * size, "left")  # the band below each node
-        best: list[list[tuple[int, int]]] = [[] for _ in nodes]
         left = False
         for lo in range(0, len(nodes), 256):
             hi = min(lo + 256, len(nodes))
@@ -236,19 +284,10 @@ class _Tile:
                 good = self.may_link(size[a:j], size[j], differ)
                 if labels is not None:
                     good &= labels[a:j] != labels[j]
-                for i in np.flatnonzero(good):
-                    i = int(i)
-                    if self.everything:
-                        out.append((a + i, j))
-                        continue
-                    for x, y in ((a + i, j), (j, a + i)):
-                        best[x].append((int(differ[i]), y))
-                        if len(best[x]) > 4 * CLOSEST:
-                            left = True
-                            best[x] = sorted(best[x])[:CLOSEST]
-        if not self.everything:
-            left |= any(len(x) > CLOSEST for x in best)
-            out = list({(min(x, y), max(x, y)) for x, own in enumerate(best) for _, y in sorted(own)[:CLOSEST]})
+                some = np.flatnonzero(good)
+                if len(some) > CLOSEST and not self.everything:
+                    some, left = some[np.argsort(differ[some], kind="stable")[:CLOSEST]], True
+                out.extend((a + i, j) for i in some.tolist())
         return out, left
 
 
@@ -295,11 +334,11 @@ def _sweep(tiles: DataFrame, percent: int, everything: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, hash long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) whose sets reach the threshold, by intersecting sorted arrays."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("a1").alias("h1")).union(pairs.select(F.col("b1").alias("h1"))).distinct()
-    arrays = scratch(_arrays(docs, k, spark.sparkContext.broadcast(bit_map(nodes, "h1"))), "arrays")
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): the pairs (a1, a2, b1, b2) whose sets reach the threshold, as nodes, by intersecting sorted arrays."""
+    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
+    wanted = nodes.select("h1", "h2", "node").join(ends, ["h1", "h2"], "left_semi").select("node").distinct()
+    arrays = scratch(_arrays(docs, k, docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "node"))), "arrays")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,32 +352,43 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     left = arrays.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("hashes").alias("x"))
     right = arrays.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("hashes").alias("y"))
     joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
-    return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    links = scratch(_as_nodes(joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct(), nodes), "verified")
+    del joined, left, right
+    discard(arrays)
+    free_shuffles(docs.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`; links are exact: 100 * overlap >= percent * union."""
     spark = docs.sparkSession
-    meta = scratch(_meta(docs, k), "sets")
-    node = scratch(meta.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node")), "nodes")
-    counts = scratch(_prefix_counts(docs, k, percent), "prefixes")
+    share = spark.sparkContext.broadcast
+    meta = scratch(_meta(docs, k, percent), "sets")
+    node = scratch(meta.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.max("n").alias("n"), F.any_value("head", F.lit(True)).alias("head"), F.any_value("signature", F.lit(True)).alias("signature")), "nodes")
+    counts = scratch(_hash_counts(node), "prefixes")
     late = [r[0] for r in counts.where(F.col("nodes") > COMMON).orderBy(F.desc("nodes"), "hash").limit(MOST_COMMON).select("hash").collect()]
-    common = spark.sparkContext.broadcast(np.array(sorted(late), np.int64))
-    shared = spark.sparkContext.broadcast(bit_map(counts, "hash"))
+    common = share(np.array(sorted(late), np.int64))
+    far = scratch(_far_rows(docs, k, percent, common, share(bit_map(scratch(_short(node, percent, common), "short"), "node"))), "far-tiles")
+    shared = share(bit_map(scratch(counts.select("hash").union(far.select("hash")).distinct(), "shared"), "hash"))
     free_shuffles(spark)
-    tiles = scratch(_tile_rows(docs, k, percent, common, shared).withColumn("label", F.lit(None).cast("long")), "tiles")
+    tiles = scratch(_near_rows(node, percent, common, shared).unionAll(far).withColumn("label", F.lit(None).cast("long")), "tiles")
     found = scratch(_sweep(tiles, percent, False), "candidates")
-    pairs = found.where("a1 is not null").select("a1", "a2", "b1", "b2").distinct()
-    links = scratch(_as_nodes(_verify(pairs, docs, k, percent), node), "verified")
-    copies = meta.where("n > 0").join(node, ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b")
+    pairs = scratch(found.where("a1 is not null").select("a1", "a2", "b1", "b2").distinct(), "pairs")
+    full = (meta, node, counts, far)
+    meta, node = scratch(meta.select("doc", "h1", "h2", "n"), "sets"), scratch(node.select("h1", "h2", "node"), "nodes")
+    for table in full:
+        discard(table)
+    free_shuffles(spark)
+    links = _verify(pairs, node, docs, k, percent)
+    copies = meta.where("n > 0").join(node.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b")
     dense = found.where("a1 is null").select("hash").distinct()
     if not dense.isEmpty():
         groups = components(links)
-        labelled = node.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("label"))
+        labelled = node.select("h1", "h2", "node").join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("label"))
         again = tiles.drop("label").join(dense, "hash", "left_semi").join(labelled, ["h1", "h2"])
         more = _sweep(again, percent, True).where("a1 is not null").select("a1", "a2", "b1", "b2").distinct()
         more = scratch(more.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "candidates")
-        links = links.unionAll(_as_nodes(_verify(more, docs, k, percent), node))
+        links = links.unionAll(_verify(more, node, docs, k, percent))
     groups = components(links.unionAll(copies))
     out = meta.join(groups, meta["doc"] == groups["node"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("c"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
