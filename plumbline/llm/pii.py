@@ -2,10 +2,11 @@
 
 E-mail and IP addresses, card and phone numbers follow fixed patterns. A linear-chain CRF over word-shape
 features labels every word of a text besides; it is trained here from a small labelled table and adds spans of
-kind `secret` (keys, passwords, tokens) and personal data in shapes the patterns do not know. Word shapes are computed for
-a whole batch at once, and Viterbi decodes many lines at a time in numpy.
+kinds `secret` (keys, passwords, tokens, also of letters only after a cue such as `password=`) and `personal` (national
+phone numbers, identity and account numbers, birth dates after a cue). Every line is decoded: each distinct word's shape is
+computed once, and Viterbi decodes many lines at a time in numpy.
 
-Spans are code points, end exclusive. Kinds in order: email, ip, card, phone, secret; spans the field finds that
+Spans are code points, end exclusive. Kinds in order: email, ip, card, phone, secret, personal; spans the field finds that
 touch a base span are dropped. A null or empty text has no spans. Rows that repeat are read each. Empty tables
 give no rows. Extra columns pass through; those named like a result column give way to it.
 """
@@ -24,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "personal")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9]|[A-Z]{12}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -60,27 +60,80 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # -- the random field ---------------------------------------------------------------------------------
 
-#: Labels: outside, and words of a secret.
-LABELS = ("O", "SECRET")
+#: Labels: outside, words of a secret, words of personal data.
+LABELS = ("O", "SECRET", "PERSONAL")
 #: Bits of a word's shape: what letters, digits and marks it has, and how long it is.
-SHAPE_BITS = ("lower", "upper", "digit", "other", "equals", "colon", "quote", "dash", "long8", "long12", "long16", "long24", "mixed", "digits3", "cue")
+SHAPE_BITS = ("lower", "upper", "digit", "other", "equals", "colon", "quote", "dash", "long8", "long12", "long16", "long24", "mixed", "digits3", "cue", "about", "number", "area", "rest", "date", "account", "case", "cued", "told")
 #: Words that announce a secret, whatever case and marks around them.
 CUES = ("token", "password", "passwd", "secret", "apikey", "api_key", "key", "bearer", "pwd", "auth", "credential")
 _CUE = re.compile(r"(?i)^\W*(?:" + "|".join(CUES) + r")\b")
+#: Words that announce personal data.
+SUBJECTS = ("phone", "telephone", "tel", "mobile", "call", "fax", "ssn", "iban", "passport", "born", "birthday", "dob")
+_SUBJECT = re.compile(r"(?i)^\W*(?:" + "|".join(SUBJECTS) + r")\b")
+#: Whole numbers of persons and accounts, an area code, what may follow one, a date.
+_NUMBER = re.compile(r"\(?[0-9]{3}\)?[-./]?[0-9]{3}[-.][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|0[0-9]{2,4}[-/][0-9]{4,8}")
+_AREA = re.compile(r"\([0-9]{2,5}\)")
+_REST = re.compile(r"[0-9]{3,4}-?[0-9]{3,5}")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+_CASE = re.compile(r"[a-z][A-Z]")
+_LOWER, _UPPER = re.compile(r"[a-z]"), re.compile(r"[A-Z]")
+_CUE_WORDS, _SUBJECT_WORDS = frozenset(CUES), frozenset(SUBJECTS)
 NUMBER = len(SHAPE_BITS)
+_BIT = {name: 1 << i for i, name in enumerate(SHAPE_BITS)}
 
 
 def shape(word: str) -> int:
     """The word's shape as a bit mask, in the order of SHAPE_BITS."""
     core = word.strip(".,;!?()[]{}\"'`")
+    if core.isalpha():  # most words: the same facts, with less work
+        lower, upper = (core.islower() or not core.isupper(), not core.islower()) if core.isascii() else (bool(_LOWER.search(core)), bool(_UPPER.search(core)))
+        n, low = len(core), core.lower()
+        out = lower * _BIT["lower"] | upper * _BIT["upper"] | (n >= 8) * _BIT["long8"] | (n >= 12) * _BIT["long12"] | (n >= 16) * _BIT["long16"] | (n >= 24) * _BIT["long24"]
+        if upper and _CASE.search(core):
+            out |= _BIT["case"]
+        if n != len(word) and ('"' in word or "'" in word):
+            out |= _BIT["quote"]
+        return out | (low in _CUE_WORDS) * _BIT["cue"] | (low in _SUBJECT_WORDS) * _BIT["about"]
     tail = core.rpartition("=")[2] if "=" in core else core
     digits = sum(c in "0123456789" for c in tail)
     upper, lower = any("A" <= c <= "Z" for c in tail), any("a" <= c <= "z" for c in tail)
     n = len(tail)
-    facts = (lower, upper, digits > 0, any(not c.isalnum() for c in tail), "=" in word, ":" in word, '"' in word or "'" in word, "-" in tail or "_" in tail, n >= 8, n >= 12, n >= 16, n >= 24, digits > 0 and (upper or lower) and tail.isascii() and tail.isalnum(), digits >= 3, bool(_CUE.match(word)))
+    value = word.strip(".,;!?\"'`").rpartition("=")[2]
+    forms = [bool(x.fullmatch(value)) for x in (_NUMBER, _AREA, _REST, _DATE, _ACCOUNT)] if digits else [False] * 5
+    facts = (lower, upper, digits > 0, any(not c.isalnum() for c in tail), "=" in word, ":" in word, '"' in word or "'" in word, "-" in tail or "_" in tail, n >= 8, n >= 12, n >= 16, n >= 24, digits > 0 and (upper or lower) and tail.isascii() and tail.isalnum(), digits >= 3, bool(_CUE.match(word)), bool(_SUBJECT.match(word)), *forms, bool(_CASE.search(tail)))
     return sum(1 << i for i, x in enumerate(facts) if x)
 
 
+class _Shapes(dict):
+    """Shapes by word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[word] = shape(word)
+        return out
+
+
+def in_context(shapes: list[int]) -> list[int]:
+    """Shapes of a line's words, with `cued` after a secret's cue and `=` or `:`, and `told` after the subject of personal data."""
+    announce = _BIT["cue"] | _BIT["about"]
+    if not any(s & announce for s in shapes):
+        return shapes
+    out = list(shapes)
+    for i, s in enumerate(shapes):
+        if s & announce:
+            letters = _BIT["lower"] | _BIT["upper"] | _BIT["digit"]
+            bare = i + 1 < len(shapes) and not shapes[i + 1] & letters and shapes[i + 1] & (_BIT["equals"] | _BIT["colon"])
+            at = i + 1 + bool(bare)
+            if at < len(shapes):
+                if s & _BIT["cue"] and (bare or s & _BIT["colon"]):
+                    out[at] |= _BIT["cued"]
+                if s & _BIT["about"]:
+                    out[at] |= _BIT["told"]
+    return out
+
+
 def _bits(mask: np.ndarray) -> np.ndarray:
     return ((mask[:, None] >> np.arange(NUMBER)[None, :]) & 1).astype(np.float64)
 
@@ -141,6 +194,37 @@ def labelled_table(n: int = 320, seed: int = 11) -> list[list[tuple[str, int]]]:
     return out
 
 
+def announced_table(n: int = 320, seed: int = 12) -> list[list[tuple[str, int]]]:
+    """Labelled sentences, made from a rule, of secrets that only a cue gives away and of personal data."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda a=2, b=9: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    camel = lambda: "".join(word(3, 7).capitalize() for _ in range(rng.randint(2, 4)))
+    any_case = lambda: rng.choice((str, str.capitalize, str.upper))
+    out = []
+    for _ in range(n):
+        sentence: list[tuple[str, int]] = []
+        for _ in range(rng.randint(2, 4)):
+            for _ in range(rng.choice((0, 0, 2, 4, 6))):  # a cue may come first in its line
+                sentence.append((any_case()(word(1, 10)) + rng.choice(("", "", "", "", ".", ",", ":")), 0))
+            end, cue, about = rng.choice(("", "", ".", ",")), any_case()(rng.choice(CUES)), any_case()(rng.choice(SUBJECTS))
+            value = rng.choice((camel, camel, lambda: word(6, 20), lambda: word(4, 7) + digits(2)))()
+            number = rng.choice((f"{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}){digits(3)}-{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"0{digits(3)}/{digits(6)}", f"{word(2, 2).upper()}{digits(rng.randint(14, 24))}"))
+            date = rng.choice((f"19{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.19{digits(2)}", f"{digits(1)}/{digits(2)}/{digits(2)}"))
+            announced = [(about + rng.choice(("", ":")), 0)]
+            sentence += rng.choice((
+                [(f"{cue}={value}{end}", 1)], [(f"{cue}:{value}{end}", 1)],
+                [(cue, 0), (rng.choice(("=", ":")), 0), (rng.choice((value, f'"{value}"', f"'{value}'")) + end, 1)],
+                [(f"{cue}:", 0), (rng.choice((camel(), f'"{value}"')) + end, 1)],
+                [(cue, 0), (word(), 0)], [(f"{word()}={value}", 0)], [(f"{word()}:{value}", 0)], [(f"{word()}:", 0), (camel(), 0)], [(word(), 0), ("=", 0), (f'"{value}"', 0)],
+                [(number + end, 2)], [(f"({digits(3)})", 2), (f"{digits(3)}-{digits(4)}{end}", 2)], [*announced, (number + end, 2)], [*announced, (date + end, 2)], [*announced, (digits(3) + "-" + digits(4) + end, 2)],
+                [*announced, (word(), 0)], [(date + end, 0)], [(f"{digits(3)}-{digits(4)}{end}", 0)], [(f"({digits(3)})", 0), (word(), 0)], [(digits(rng.choice((1, 4, 6, 10))) + end, 0)], [(f"{digits(2)}:{digits(2)}{end}", 0)],
+            ))
+        out.append(sentence)
+    return out
+
+
 class Field:
     """Weights of the field: emissions (features x labels) and transitions."""
 
@@ -150,9 +234,9 @@ class Field:
 
 def train(table: list[list[tuple[str, int]]] | None = None, rounds: int = 120, rate: float = 0.8, decay: float = 1e-3) -> Field:
     """Maximum likelihood by full-batch gradients with momentum; the table is a few thousand words."""
-    table = [s for s in (table if table is not None else labelled_table()) if s]
+    table = [s for s in (table if table is not None else labelled_table() + announced_table()) if s]
     k = len(LABELS)
-    x = [_design(np.array([shape(w) for w, _ in s])) for s in table]
+    x = [_design(np.array(in_context([shape(w) for w, _ in s]))) for s in table]
     lengths = np.array([len(s) for s in table])
     steps = lengths.max()
     live = np.arange(steps)[None, :] < lengths[:, None]
@@ -209,10 +293,10 @@ def viterbi(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Decoder:
-    """Finds secrets in texts with a trained field."""
+    """Finds secrets and personal data in texts with a trained field."""
 
     def __init__(self, field: Field):
-        self.field = field
+        self.field, self.shapes = field, _Shapes()
         pairs = NUMBER * (NUMBER - 1) // 2
         self.own = np.vstack([field.emissions[: NUMBER + pairs], field.emissions[-1:]])
         self.before, self.after = field.emissions[NUMBER + pairs : 2 * NUMBER + pairs], field.emissions[2 * NUMBER + pairs : -1]
@@ -231,60 +315,71 @@ class Decoder:
         emit[:-1] += np.where(last[:-1, None], 0, (bits @ self.after)[of[1:]])
         return emit
 
-    def secrets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """Spans of secrets in each text."""
-        sequences = []
+    def entities(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) of secrets and personal data in each text."""
+        sequences = []  # text, where its line starts, the line, first word, shapes
         for i, text in enumerate(texts):
-            if not _HINT.search(text):
-                continue
             at = 0
             for line in text.split("\n"):
-                if _HINT.search(line):
-                    spans = [(at + m.start(), at + m.end()) for m in _WORD.finditer(line)]
-                    sequences += [(i, spans[k : k + SEQUENCE]) for k in range(0, len(spans), SEQUENCE)]
+                shapes = in_context([self.shapes[w] for w in _WORD.findall(line)])
+                sequences += [(i, at, line, k, shapes[k : k + SEQUENCE]) for k in range(0, len(shapes), SEQUENCE)]
                 at += len(line) + 1
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        sequences.sort(key=lambda x: len(x[1]))  # of like length together
-        for at in range(0, len(sequences), 1024):
-            some = sequences[at : at + 1024]
-            lengths = np.array([len(x) for _, x in some])
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        sequences.sort(key=lambda x: len(x[4]))  # of like length together
+        for first in range(0, len(sequences), 1024):
+            some = sequences[first : first + 1024]
+            lengths = np.array([len(x[4]) for x in some])
             live = np.arange(lengths.max())[None, :] < lengths[:, None]
             emit = np.zeros((*live.shape, len(LABELS)))
-            emit[live] = self._scores(np.array([shape(texts[i][a:b]) for i, x in some for a, b in x], np.int64), lengths)
-            labels = viterbi(emit, self.field.moves, lengths)
-            for (i, spans), row, n in zip(some, labels, lengths):
-                for t in np.flatnonzero(row[:n] == 1):
-                    a, b = _trim(texts[i], *spans[t])
-                    if b - a >= LEAST and _HINT.search(texts[i], a, b):
-                        out[i].append((a, b))
-        return [sorted(x) for x in out]
+            emit[live] = self._scores(np.array([s for x in some for s in x[4]], np.int64), lengths)
+            labels = np.where(live, viterbi(emit, self.field.moves, lengths), 0)
+            for r in np.flatnonzero(labels.any(axis=1)):
+                i, at, line, k, shapes = some[r]
+                words, before = [m.span() for m in _WORD.finditer(line)][k : k + len(shapes)], 0
+                for t in np.flatnonzero(labels[r]):
+                    kind = int(labels[r, t])
+                    a, b = _trim(line, *words[t], _AROUND if kind == 1 else _MARKS)
+                    if b > a and kind == 2 and before == t and out[i]:
+                        out[i][-1] = ("personal", out[i][-1][1], at + b)  # words of one number
+                    elif b > a:
+                        out[i].append(("secret" if kind == 1 else "personal", at + a, at + b))
+                    before = t + 1 if b > a and kind == 2 else 0
+        return [sorted(x, key=lambda e: e[1:]) for x in out]
+
+    def secrets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Spans of secrets in each text."""
+        return [[(a, b) for kind, a, b in found if kind == "secret"] for found in self.entities(texts)]
 
 
 #: Words of a sequence; sequences are lines, longer ones are cut.
 SEQUENCE = 256
-#: A secret has a digit or a long run of capitals (lines without are not decoded) and so many code points.
-LEAST = 8
+#: Words whose shapes a worker remembers.
+CACHE = 500_000
 _AROUND = ".,;!?()[]{}\"'`"
+_MARKS = ".,;!?\"'`"
 
 
-def _trim(text: str, a: int, b: int) -> tuple[int, int]:
-    """A word without marks around it, and only what follows `=` in it."""
+def _trim(text: str, a: int, b: int, around: str = _AROUND) -> tuple[int, int]:
+    """A word without marks around it, and only what follows `=`, or a cue and `:`, in it."""
     word = text[a:b]
-    if "=" in word.rstrip(_AROUND + "=")[:-1]:
-        cut = word.rstrip(_AROUND + "=").rindex("=") + 1
+    if "=" in word.rstrip(around + "=")[:-1]:
+        cut = word.rstrip(around + "=").rindex("=") + 1
+        a, word = a + cut, word[cut:]
+    elif ":" in word.rstrip(around + ":") and (_CUE.match(word) or _SUBJECT.match(word)):
+        cut = word.index(":") + 1
         a, word = a + cut, word[cut:]
-    a += len(word) - len(word.lstrip(_AROUND))
-    return a, a + len(word.strip(_AROUND))
+    a += len(word) - len(word.lstrip(around))
+    return a, a + len(word.strip(around))
 
 
 @functools.cache
 def default_field() -> Field:
-    """The field trained on the table above, once for each driver process."""
+    """The field trained on the tables above, once for each driver process."""
     return train()
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """`docs` with n_email, n_ip, n_card, n_phone, n_secret, base_sha256 and spans."""
+    """`docs` with n_email, n_ip, n_card, n_phone, n_secret, n_personal, base_sha256 and spans."""
     field = field if field is not None else default_field()
     new = {**{f"n_{k}": T.LongType() for k in KINDS}, "base_sha256": T.StringType(), "spans": T.StringType()}
     carried = [c for c in docs.columns if c not in new]
@@ -296,9 +391,9 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             counts: list[list[int]] = [[] for _ in KINDS]
             digest, every = [], []
-            for text, secrets in zip(texts, decoder.secrets(texts)):
+            for text, entities in zip(texts, decoder.entities(texts)):
                 base = base_spans(text)
-                extra = [("secret", a, b) for a, b in secrets if all(b <= x or y <= a for _, x, y in base)]
+                extra = [(k, a, b) for k, a, b in entities if all(b <= x or y <= a for _, x, y in base)]
                 for column, kind in zip(counts, KINDS):
                     column.append(sum(k == kind for k, _, _ in (*base, *extra)))
                 written = [f"{k}:{a}:{b}" for k, a, b in base]

@@ -217,6 +217,16 @@ def test_secrets_are_found_and_plain_text_is_left(spark, docs, odd):
     assert pii.find(odd).count() == len(ODD) and pii.find(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_letters_and_personal_data_without_a_pattern():
+    decoder = pii.Decoder(pii.default_field())
+    found = lambda text: [(k, text[a:b]) for k, a, b in decoder.entities([text])[0]]
+    assert found("so password=CorrectHorseBattery ok") == [("secret", "CorrectHorseBattery")]
+    assert found("the token = \"OpenSesame\" here\npassword: hunter2") == [("secret", "OpenSesame"), ("secret", "hunter2")]
+    assert found("reach us at (555) 123-4567 or 555-123-4567 now") == [("personal", "(555) 123-4567"), ("personal", "555-123-4567")]
+    assert found("SSN 123-45-6789, IBAN DE89370400440532013000.") == [("personal", "123-45-6789"), ("personal", "DE89370400440532013000")]
+    assert found("The key point is simple: the token was plain, see a=b of 2024-01-05.\nKey: the main point") == []
+
+
 # -- quality ------------------------------------------------------------------------------------------
 
 
