@@ -8,8 +8,8 @@ the document's q-grams that any item has, in one table look-up per byte; (2) kee
 (4) verify bands that meet the bound by alignment inside the band, many at once. Nothing within the edit budget is missed.
 
 Items are broadcast in blocks of at most `BLOCK` bytes of text; a larger benchmark takes several blocks, each a
-narrow step over all documents. Items with fewer than `least` normalised bytes are not looked for (any text
-may hold them by chance). Nulls: a null text holds nothing; null items are ignored. Repeated rows are searched each.
+narrow step over all documents. Items so short that the bound for q falls below one are looked for by shorter q-grams, and
+those shorter than q as whole words without edits; only items without a letter or digit are not. Nulls: a null text holds nothing; null items are ignored. Repeated rows are searched each.
 An empty table gives no rows, an empty benchmark finds nothing. Extra columns pass through; those named like a result
 column give way to it.
 """
@@ -173,7 +173,44 @@ class Items:
         return result
 
 
-def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, least: int = 48) -> DataFrame:
+class Words:
+    """Items found without edits only, at word bounds, by their number of words."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        self.ids: dict[bytes, list[int]] = {}
+        for i, text in rows:
+            self.ids.setdefault(text, []).append(i)
+        self.lengths = sorted({t.count(b" ") + 1 for t in self.ids})
+
+    def search(self, text: bytes) -> list[int]:
+        words, found = text.split(), set()
+        for n in self.lengths:
+            found |= self.ids.keys() & (words if n == 1 else map(b" ".join, zip(*(words[k:] for k in range(n)))))
+        return [i for t in found for i in self.ids[t]]
+
+
+class Benchmark:
+    """Items of any length: by q-grams, by shorter ones where their bound would fall below one, and as whole words."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], q: int, rate: float):
+        edits = lambda r: int(len(r[1]) * rate)
+        short = [r for r in rows if len(r[1]) + 1 - q - edits(r) * q < 1]
+        near = [r for r in short if edits(r)]
+        self.parts = [Items([r for r in rows if len(r[1]) + 1 - q - edits(r) * q >= 1], q, rate)]
+        if near:
+            self.parts.append(Items(near, max(1, min(len(r[1]) // (edits(r) + 1) for r in near)), rate))
+        self.words = Words([r for r in short if not edits(r)])
+
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
+        """For each normalised text, (item's id, edits) of the items in it."""
+        out = [[(i, 0) for i in self.words.search(t)] if self.words.ids else [] for t in texts]
+        for part in self.parts:
+            for own, found in zip(out, part.search(texts)):
+                own += [(part.ids[i], e) for i, e in found]
+        return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, least: int = 1) -> DataFrame:
     """`docs` with contaminated, item_ids (array, ascending) and edits (array, in their order)."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -182,7 +219,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08,
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     for b in range(blocks):
         rows = [(r["item_id"], t) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if len(t := normalise(r["text"])) >= least]
-        shared = spark.sparkContext.broadcast(Items(sorted(rows), q, rate))
+        shared = spark.sparkContext.broadcast(Benchmark(sorted(rows), q, rate))
         out = out.mapInArrow(_step(shared, out.columns), T.StructType([f for f in out.schema.fields if f.name not in new] + [T.StructField(n, t) for n, t in new.items()]))
     return out
 
@@ -201,7 +238,7 @@ def _step(shared, columns: list[str]):
             for a, b in slices([len(t) for t in texts], CHUNK):
                 for h, found in zip(hits[a:b], items.search(texts[a:b])):
                     for i, e in found:
-                        h[items.ids[i]] = min(e, h.get(items.ids[i], e))
+                        h[i] = min(e, h.get(i, e))
             ids = [sorted(h) for h in hits]
             made = [pa.array([bool(h) for h in hits], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array([[h[i] for i in x] for h, x in zip(hits, ids)], pa.list_(pa.int64()))]
             kept = [c for c in columns if c not in ("contaminated", "item_ids", "edits")]

@@ -414,6 +414,19 @@ def test_decontamination_misses_nothing_within_the_budget(spark):
     assert decontaminate.find(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    items = ["In which year was he born?", "Name two rivers", "Pi day", "Art", "What is the capital city of France now?", "Who wrote it, and when?", "Why did they leave so early?"]
+    texts = ["Q: in which YEAR was he born? A: 1900", "please name two rivers here", "please name two rovers here", "it is Pi-day", "it is a picture of a party", "art", "what is the capital citi of frqnce now", "who wrote it and then", "why did thay leave so erly", "nothing of it", "in whixh yexr wxs he born"]
+    rows = list(enumerate(decontaminate.normalise(x) for x in items))
+    want = {}
+    for d, x in enumerate(map(decontaminate.normalise, texts)):
+        held = {i: edits(t, x) for i, t in rows}
+        want[d] = {i: e for i, e in held.items() if e <= int(0.08 * len(rows[i][1])) and (len(rows[i][1]) >= 10 or b" " + rows[i][1] + b" " in b" " + x + b" ")}
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: dict(zip(r["item_ids"], r["edits"])) for r in decontaminate.find(docs, bench).collect()}
+    assert got == want and [d for d in want if not want[d]] == [4, 9, 10]
+
+
 def test_decontamination_query(spark, docs):
     items = {r["item_id"]: decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op10_decontaminate(spark, SF).collect()}
