@@ -41,7 +41,7 @@ _K = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
 def core(word: str) -> str:
     """A lower-case word without marks and digits around it; empty if it has no letter."""
     w = word if word.isalpha() else word.strip(_EDGE)
-    return w[:40] if w.isalpha() or any(c.isalpha() for c in w) else ""
+    return w if w.isalpha() or any(c.isalpha() for c in w) else ""
 
 
 def _slot(tag: int, *parts: np.ndarray) -> np.ndarray:

@@ -302,6 +302,13 @@ def test_language_edges(spark, odd, docs):
     assert list(mixed) == [1] * 5 + [0] * 5  # code-switched words are labelled one by one
 
 
+def test_long_words_count_whole():
+    model = language.fit([("der die das und nicht", "de"), ("the and of that with", "en")] * 20)
+    apply = language.Predictor(model)
+    best = lambda text: model.languages[int(apply.marginals([text])[0].sum(axis=0).argmax())]
+    assert best("q" * 40 + "derdiedasundnicht" * 5) == "de" and best("q" * 40 + "theandofthatwith" * 5) == "en"
+
+
 # -- near duplicates ----------------------------------------------------------------------------------
 
 
