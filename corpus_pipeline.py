@@ -15,7 +15,7 @@ from plumbline.llm.queries import _tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No single language has this share of a rejected document's words.
-LEAST_SHARE = 0.3
+LEAST_SHARE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

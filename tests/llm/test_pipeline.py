@@ -40,6 +40,19 @@ def test_stages(spark, tmp_path):
     _check_packing(after.collect(), [(r["doc_id"], r["text"]) for r in before.collect()])
 
 
+def test_documents_without_a_leading_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    words = {}
+    for r in docs.where("text is not null").collect():
+        words.setdefault(r["lang"], []).extend(w for w in r["text"].split() if w.isalpha())
+    three = sorted(words)[:3]
+    even = " ".join(" ".join(words[lang][:384]) for lang in three)  # whole sequences of each
+    mostly = " ".join(words[three[0]][:640]) + " " + " ".join(words[three[1]][:128])
+    more = spark.createDataFrame([(-5, even, three[0], "s", len(even)), (-6, mostly, three[0], "s", len(mostly))], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionAll(more), SF).select("doc_id").collect()}
+    assert -5 not in kept and -6 in kept
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontaminate", "best_fit_packing"]
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
