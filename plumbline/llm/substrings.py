@@ -3,8 +3,8 @@
 A window is `size` consecutive words of one document. Its minimiser is the smallest hash among its `gram`-word
 sub-sequences; neighbouring windows mostly share it, so each run of them (a super-k-mer) travels once, as one
 packed string of its words, to the minimiser's bucket. Equal windows always meet there. A bucket's strings are
-sorted by minimiser and origin, their windows are hashed to 128 bits and sorted, and every window but the
-earliest of its kind is marked; marks come back as word intervals and join their documents.
+sorted by minimiser and origin, their windows are hashed to 128 bits (two independent hashes of their words) and
+sorted, and every window but the earliest of its kind is marked; marks come back as word intervals and join their documents.
 
 Most buckets would get a single string, which has no twin. A first pass counts strings by bucket; only those of
 buckets with two or more travel (a bit map of bounded size says which).
@@ -47,31 +47,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+#: Places of a word whose bytes have their values in a table; those of later bytes are computed.
+_PLACES = 64
+_values: dict[int, np.ndarray] = {}
 
 
-def _power(n: int, base: int, inverse: bool = False) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, or the inverses."""
-    key = (base, inverse)
-    if key not in _powers or len(_powers[key]) < n:
-        b = pow(base, -1, 2**64) if inverse else base
-        size = max(n, 1 << 16)
-        out = np.full(size, b, np.uint64)
-        out[0] = 1
-        _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][:n]
+def _value(code: np.ndarray, seed: int) -> np.ndarray:
+    """A random-looking value of each (place * 256 + byte)."""
+    return _mix(_mix(code.astype(np.uint64) * np.uint64(_P) + np.uint64((2 * seed + 1) * _Q % 2**64)))
 
 
-def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (exclusive) of each word of a buffer whose words are parted by single bytes 32 or 10, and their hashes."""
+def word_hashes(buffer: bytes, seeds: int = 1) -> tuple[np.ndarray, ...]:
+    """Start and end (exclusive) of each word of a buffer whose words are parted by single bytes 32 or 10, and `seeds` hashes.
+
+    A hash sums a value of each byte and its place, all drawn anew (tabulation), so words that differ anywhere have
+    unrelated hashes; those of two seeds are independent.
+    """
     raw = np.frombuffer(buffer, np.uint8)
     stop = np.flatnonzero((raw == 32) | (raw == 10))
     starts, ends = np.concatenate([[0], stop + 1]), np.concatenate([stop, [len(raw)]])
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(len(raw), _P), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power(len(raw) + 1, _P, True)[starts]
-    return starts, ends, _mix(value + (ends - starts).astype(np.uint64) * np.uint64(_Q))
+    place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, ends - starts + 1)[: len(raw)]
+    code = (place << 8) | raw
+    far = np.flatnonzero(place >= _PLACES)
+    near = np.where(place < _PLACES, code, 0) if len(far) else code
+    out = []
+    for seed in range(seeds):
+        if seed not in _values:
+            _values[seed] = _value(np.arange(_PLACES * 256), seed)
+        value = _values[seed][near]
+        value[far] = _value(code[far], seed)
+        sums = np.empty(len(raw) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(value, out=sums[1:])
+        out.append(_mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(_Q)))
+    return starts, ends, *out
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -196,12 +205,12 @@ def _mark(size: int, memory_windows: int):
             texts = rows.column(5).to_pylist()
             for a, b in slices([len(x) for x in texts], CHUNK):
                 bucket, doc, tag, start, n = (rows.column(i).to_numpy()[a:b] for i in range(5))
-                _, _, h = word_hashes(b"\n".join(texts[a:b]))
+                _, _, h, g = word_hashes(b"\n".join(texts[a:b]), 2)
                 first = np.concatenate([[0], np.cumsum(n + size - 1)])[:-1]  # first word of each row
                 row = np.repeat(np.arange(b - a), n)
                 nth = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
                 word = first[row] + nth
-                w1, w2, wdoc, wat, wbucket = _grams(h, size, _P)[word], _grams(h, size, _Q)[word], doc[row], (start[row] + nth).astype(np.int64), bucket[row]
+                w1, w2, wdoc, wat, wbucket = _grams(h, size, _P)[word], _grams(g, size, _Q)[word], doc[row], (start[row] + nth).astype(np.int64), bucket[row]
                 k = 0
                 if held_bucket is not None and held_bucket == bucket[0]:
                     k = len(held[0])
