@@ -103,30 +103,32 @@ class Items:
                 np.add.at(live, good[np.concatenate([[0], cut + 1])], 1)
                 np.add.at(live, good[np.concatenate([cut, [len(good) - 1]])] + w, -1)
         places = np.flatnonzero(mark & (np.cumsum(live[:-1]) > 0))
-        if not len(places):
-            return out
         k = np.searchsorted(self.gram, g[places])
         k[k == len(self.gram)] = 0
         real = self.gram[k] == g[places]
         places, k = places[real], k[real]
+        if not len(places):
+            return out
         counts = self.first[k + 1] - self.first[k]
         place = np.repeat(places, counts)
         entry = np.repeat(self.first[k], counts) + np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
         item = self.item[entry]
         diagonal = place - self.at[entry]
         step = self.budget[item] + 1
-        keys = np.concatenate([(item.astype(np.int64) << 40) + (diagonal // step - b + 2**32) for b in range(3)])
-        key, n = np.unique(keys, return_counts=True)
-        item, band = key >> 40, (key & (2**40 - 1)) - 2**32
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        doc = np.searchsorted(starts, place, "right") - 1  # an occurrence lies in one document
+        whole = np.concatenate([doc * len(self.ids) + item] * 3)
+        band = np.concatenate([diagonal // step - b for b in range(3)])
+        order = np.lexsort((band, whole))
+        whole, band = whole[order], band[order]
+        edge = np.flatnonzero(np.concatenate([[True], (whole[1:] != whole[:-1]) | (band[1:] != band[:-1]), [True]]))
+        whole, band, n = whole[edge[:-1]], band[edge[:-1]], np.diff(edge)
+        doc, item = np.divmod(whole, len(self.ids))
         enough = n >= self.need[item]
-        item, band, n = item[enough], band[enough], n[enough]
+        doc, item, band, n = doc[enough], item[enough], band[enough], n[enough]
         if not len(item):
             return out
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         # Several bands see one occurrence; in falling count, those of a text and item that is settled are skipped.
-        step = self.budget[item] + 1
-        middle = np.clip(band * step + step + self.sizes[item] // 2, 0, len(buffer) - 1)
-        doc = np.searchsorted(starts, middle, "right") - 1
         order = np.argsort(-n, kind="stable")
         found: dict[tuple[int, int], int] = {}
         item, band, doc = item[order], band[order], doc[order]
@@ -136,7 +138,7 @@ class Items:
         for some in (lead, rest):
             if some is rest:
                 some = np.flatnonzero(rest & ~np.array([(d, i) in found for d, i in zip(doc.tolist(), item.tolist())]))
-            edits = self.align(buffer, item[some], band[some])
+            edits = self.align(buffer, item[some], band[some], starts[doc[some]], starts[doc[some] + 1] - 1)
             for k, e in zip(some.tolist(), edits.tolist()):
                 at = (int(doc[k]), int(item[k]))
                 if e <= self.budget[item[k]]:
@@ -145,8 +147,8 @@ class Items:
             out[d].append((i, e))
         return out
 
-    def align(self, buffer: bytes, item: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Least edits of each item against the buffer, by dynamic programming over the diagonals of its band only."""
+    def align(self, buffer: bytes, item: np.ndarray, band: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least edits of each item against bytes low to high of the buffer, by dynamic programming over the diagonals of its band only."""
         raw = np.frombuffer(buffer, np.uint8)
         result = np.zeros(len(item), np.int64)
         order = np.argsort(self.sizes[item], kind="stable")
@@ -158,7 +160,8 @@ class Items:
             for r, i in enumerate(item[some]):
                 text[r, : self.sizes[i]] = np.frombuffer(self.texts[i], np.uint8)
             where = (band[some] * step)[:, None] + np.arange(rows + width)[None, :]
-            region = np.where((where >= 0) & (where < len(raw)), raw[np.clip(where, 0, len(raw) - 1)], 0)
+            inside = (where >= low[some, None]) & (where < high[some, None])
+            region = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)
             slope = np.arange(width)
             row = np.zeros((len(some), width), np.int32)  # an occurrence may start on any diagonal of the band
             final = row.min(axis=1)
