@@ -9,7 +9,8 @@ A conversation may hold a third of all rows: its turns are sorted and streamed,
 
 Nulls: a null text is empty, a null role is the empty role. Turns of equal position are ordered by role, then
 text; rows that repeat are turns of their own. A null conversation id is a conversation. A record whose
-fingerprint no mapping knows, or that is no JSON object, gives one turn of role `unknown` that holds the record.
+fingerprint no mapping knows, that is no JSON object, is nested beyond DEEPEST, or has a list with an element that is no
+turn, gives one turn of role `unknown` that holds the record.
 Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -61,12 +62,23 @@ LAYOUTS = (
 )
 
 
-def paths(value, at: str = "") -> set[str]:
-    """All nested field paths below a JSON value; elements of an array share the step []."""
+#: Records nested deeper than this have no layout here.
+DEEPEST = 24
+
+
+def _step(key: str) -> str:
+    """A key as a step of a path: marks that paths use are escaped."""
+    return re.sub(r"[\\.\[\]]", lambda m: "\\" + m[0], key)
+
+
+def paths(value, at: str = "", depth: int = 0) -> set[str]:
+    """All nested field paths below a JSON value; elements of an array share the step [], those that are no objects there are [?]."""
+    if depth > DEEPEST:
+        return {f"{at}..."}
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in {f"{at}.{k}" if at else k} | paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for key in [f"{at}.{_step(k)}" if at else _step(k)] for p in {key} | paths(v, key, depth + 1)}
     if isinstance(value, list):
-        return {p for v in value for p in {f"{at}[]"} | paths(v, f"{at}[]")}
+        return {p for v in value for p in {f"{at}[]" if isinstance(v, dict) else f"{at}[?]"} | paths(v, f"{at}[]", depth + 1)}
     return set()
 
 
@@ -77,13 +89,20 @@ def fingerprint(found: set[str] | frozenset[str]) -> str:
 MAPPINGS = {fingerprint(s): layout for layout in LAYOUTS for s in layout.path_sets()}
 
 
+def _alike(turns, layout: Layout) -> bool:
+    """Whether each turn of a list is an object with a role and a text: the paths of the list are those of all its elements together."""
+    return isinstance(turns, list) and all(isinstance(t, dict) and layout.role in t and layout.text in t for t in turns)
+
+
 def to_turns(record: str | None) -> tuple[str, list[tuple[str, str]]]:
     """Layout name and turns of one record."""
     try:
         value = json.loads(record or "")
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested beyond what the parser takes
         value = None
     layout = MAPPINGS.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+    if layout is not None and layout.turns and not _alike(value[layout.turns], layout):
+        layout = None
     text = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
     if layout is None:
         return "unknown", [("unknown", record or "")]
