@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from plumbline.llm import chat, components, decontaminate, jaccard, language, packing, pii, quality, queries, tokens
+from plumbline.llm import chat, components, decontaminate, jaccard, language, packing, pii, quality, queries, substrings, tokens
 from plumbline.llm.bpe import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -149,6 +149,31 @@ def test_unknown_layouts_are_kept():
         assert chat.to_turns(record) == ("unknown", [("unknown", record or "")])
 
 
+def test_awkward_records_are_kept():
+    odd = ['{"messages":[{"role":"user","content":"x"},"oops"]}', '{"messages":[{"role":"user","content":"x"},{"role":"user"}]}', '{"messages":[]}', '{"messages":{"role":"a","content":"b"}}', "[" * 200_000, "[" * 3000 + "]" * 3000,
+           '{"role":"a","text":' + '{"a":' * 300 + "1" + "}" * 301, '{"messages":1,"messages[]":2,"messages[].role":3,"messages[].content":4}', '{"messages":[["a"]]}']
+    for record in odd:
+        assert chat.to_turns(record) == ("unknown", [("unknown", record)])
+
+
+def test_layouts_through_the_table(spark):
+    messages = [{"role": "user", "content": "q1"}, {"role": "assistant", "content": "a <|im_end|> b"}]
+    records = [
+        (1, 0, json.dumps({"messages": messages})), (2, 0, json.dumps({"prompt": "p", "completion": "c"})), (3, 0, json.dumps({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]})),
+        (4, 0, json.dumps({"instruction": "i", "input": "x", "output": "o"})), (5, 0, "nonsense"), (6, 1, json.dumps({"role": "assistant", "text": "late"})), (6, 0, json.dumps({"role": "user", "text": "early"})),
+        (7, 0, json.dumps({"question": "q", "answer": "w"})), (7, 0, json.dumps({"question": "q", "answer": "w"})), (8, 0, json.dumps({"prompt": LONG * 5, "response": "r"})),
+    ]
+    want = {1: [("user", "q1"), ("assistant", "a <|im_end|> b")], 2: [("user", "p"), ("assistant", "c")], 3: [("user", "h"), ("assistant", "g")], 4: [("user", "i\n\nx"), ("assistant", "o")], 5: [("unknown", "nonsense")],
+            6: [("user", "early"), ("assistant", "late")], 7: [("user", "q"), ("assistant", "w")] * 2, 8: [("user", LONG * 5), ("assistant", "r")]}
+    df = spark.createDataFrame(records, "conv_id long, position long, record string").selectExpr("*", "'x' as layout", "1 as part")
+    made = chat.format_records(df)
+    layouts = {(r["conv_id"], r["layout"]) for r in made.collect()}
+    assert layouts == {(1, "messages"), (2, "prompt_completion"), (3, "conversations"), (4, "instruction"), (5, "unknown"), (6, "turn"), (7, "question_answer"), (8, "prompt_response")}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in chat.read_back(made).collect()}
+    assert got == {c: (len(x), digest("".join(f"{r}\n{t}\n" for r, t in x)), sum(len(t) for r, t in x if r == "assistant")) for c, x in want.items()}
+
+
 @pytest.mark.parametrize("text", ["", "<|im_end|>", "<\\|x|>", "<\\\\|", "a<|im_start|>user\nb<|im_end|>\n", "\\<|", "<", "|", LONG])
 def test_template_is_reversible(text):
     for role in ("assistant", "user", "we%ird\nro<|le"):
@@ -184,6 +209,49 @@ def test_base_spans():
     assert kinds == [("email", "a.b@c-d.example.com"), ("ip", "10.0.0.255"), ("card", "4539 5787 6362 1486"), ("phone", "+1 (988) 555-2485")]
 
 
+def brute_spans(text):
+    """The contract's patterns, tried at every place in turn."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in patterns.items():
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if not m:
+                at += 1
+                continue
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            good = {"email": True, "ip": kind == "ip" and all(int(x) < 256 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0, "phone": 8 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, *m.span()))
+            at = m.end()
+    return out
+
+
+def test_base_spans_against_brute_force(docs):
+    rng = random.Random(6)
+    texts = [r["text"] for r in docs.collect() if r["text"] and re.search("[0-9@]", r["text"])][:60]
+    texts = [t[:3000] for t in texts] + ["".join(rng.choice(marks) for _ in range(rng.randint(1, 60))) for marks in ("ab.@-+", "a.@", "0129.", "1. 25", "0123456789 -", "+01 (.)-5", "@a1.+- 0") for _ in range(400)]
+    luhn = ["4539578763621486", "4539-5787 6362-1486", "0" * 16, "0" * 20, "1.2.3.0000255", "1.2.3.256", "a@b.c.d+e@f.g", "a@b@c.d", "٤@b.c 1.2.3.٤"]
+    for text in texts + luhn:
+        assert pii.base_spans(text) == brute_spans(text)
+
+
+@pytest.mark.parametrize("text", ["9" * 1_000_000, "1.2.3." + "9" * 1_000_000, "a" * 1_000_000 + "@", "a@" + "b" * 1_000_000, "a@b" * 300_000, "1." * 500_000, "+1" + " " * 1_000_000, "x" * 1_000_000])
+def test_base_spans_of_a_megabyte(text):
+    import time
+
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_personal_data_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd 1.2.3." + "9" * 5000, 7), (2, None, 8)], "doc_id long, text string, n_email int")
+    assert sorted((r["doc_id"], r["n_email"], r["n_ip"]) for r in pii.find(df).collect()) == [(1, 1, 0), (2, 0, 0)]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     emit, moves = rng.normal(size=(30, 5, 3)), rng.normal(size=(3, 3))
@@ -359,6 +427,71 @@ def test_near_duplicates(spark, docs, k, percent):
     assert got == brute_groups(rows, k, percent)
 
 
+def _drift(n, words, seed):
+    """A family in which each text changes one or two words of an earlier one: most pairs are just below the threshold."""
+    rng = random.Random(seed)
+    family = [[f"d{seed}w{i}" for i in range(words)]]
+    while len(family) < n:
+        w = list(rng.choice(family))
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(words)] = f"x{len(family)}y{rng.randrange(9**9)}"
+        family.append(w)
+    return [" ".join(w) for w in family]
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_large_tiles_are_crossed_by_chunks(spark, monkeypatch, k, percent):
+    monkeypatch.setattr(jaccard, "CHUNK", 12)
+    rows = list(enumerate(_drift(150, 100, 1) + _drift(60, 160, 2) + _near_copies(60, 120, 6, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(df, k, percent).collect()) == brute_groups(rows, k, percent)
+
+
+def test_tile_keys_meet():
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        for _ in range(1500):
+            n = int(rng.integers(1, 300))
+            a = rng.integers(0, 2**64, n, np.uint64)
+            lost = int(rng.integers(0, n // 5 + 1))
+            b = np.concatenate([a[lost:], rng.integers(0, 2**64, int(rng.integers(0, n // 5 + 1)), np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if both < min(len(a), len(b)) + abs(len(a) - len(b)) and 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.tile_keys(a, percent), jaccard.tile_keys(b, percent)))
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    for m in (3, 20, 60):
+        cost = np.where(rng.random((m, m)) < 1.5 / m, rng.integers(0, 4, (m, m)), jaccard._NEVER).astype(np.int32)
+        cost = np.minimum(cost, cost.T)
+        np.fill_diagonal(cost, jaccard._NEVER)
+        label = rng.integers(0, m // 2, m)
+
+        def groups(pairs):
+            at = label.copy()
+            for i, j in pairs:
+                at[at == at[i]] = at[j]
+            return {tuple(at == x) for x in at}
+
+        made = jaccard.forest(cost, label)
+        assert len(made) < m and groups(made) == groups(zip(*np.nonzero(cost < jaccard._NEVER)))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64; here they differ."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    _, _, h, g = substrings.word_hashes(f"{a} {b}".encode(), 2)
+    assert h[0] != h[1] and g[0] != g[1]
+    head = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{head} {a}"), (2, f"{head} {b}")], "doc_id long, text string")
+    assert [r[0] for r in substrings.dedup_substrings(df).select("n_removed").collect()] == [0, 0]
+    df = spark.createDataFrame([(1, f"x y z {a}"), (2, f"x y z {b}")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.near_duplicates(df, 4, 85).collect()) == [1, 2]
+
+
 def test_near_duplicate_edges(spark, odd):
     got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(odd).collect())
     assert got == Counter((r[0], r[0]) for r in ODD)
@@ -434,6 +567,33 @@ def test_decontamination_of_short_items(spark):
     assert got == want and [d for d in want if not want[d]] == [4, 9, 10]
 
 
+def test_an_item_split_over_neighbouring_documents_is_in_neither(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    items = [" ".join(word() for _ in range(30)) for _ in range(3)]
+    rows = []
+    for x in items:
+        cut = len(x) // 2
+        rows += [f"before {x[:cut]}", f"{x[cut:]} after", x[:-4], x[5:], f"in {x} whole"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(5 * i + k, i) for i in range(3) for k in (2, 3, 4)}
+    for seed in range(3):
+        mixed = list(enumerate(rows))
+        random.Random(seed).shuffle(mixed) if seed else None
+        got = decontaminate.find(spark.createDataFrame(mixed, "doc_id long, text string").coalesce(1), bench).collect()
+        assert {(r["doc_id"], i) for r in got for i in r["item_ids"]} == want
+        assert all(e <= 5 for r in got for e in r["edits"])
+
+
+def test_decontamination_in_several_blocks(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = lambda df: {(r["doc_id"], i, e) for r in df.collect() for i, e in zip(r["item_ids"], r["edits"])}
+    want = held(decontaminate.find(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK", 1000)
+    clash = docs.selectExpr("doc_id", "text", "1 as item_ids", "2 as edits", "3 as item_id")
+    assert want and held(decontaminate.find(clash, bench)) == want
+
+
 def test_decontamination_query(spark, docs):
     items = {r["item_id"]: decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op10_decontaminate(spark, SF).collect()}
