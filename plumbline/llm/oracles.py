@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm.quality import BITS, LEAST_GROUP, METRICS, REACH
+from plumbline.llm.quality import BITS, METRICS, PRIOR
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -30,13 +30,15 @@ CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, {_MARK}
 
 def _op5() -> str:
     bits = f"greatest(length(bin(v)) - {BITS}, 0)"
-    quarter = lambda q, of: f"min(CASE WHEN {of[1]} * c >= {of[0]} * total THEN bucket END) AS {q}"
 
     def level(keys: str) -> str:
         sep = f"{keys}, " if keys else ""
-        return f"SELECT {sep}metric, max(total) AS total, {quarter('q1', (1, 4))}, {quarter('q2', (1, 2))} FROM (SELECT {sep}metric, bucket, sum(n) OVER (PARTITION BY {sep}metric ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY {sep}metric) AS total FROM (SELECT {sep}metric, bucket, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY ALL"
+        at = ", ".join(f"min(CASE WHEN 100 * c >= {p} * total THEN bucket END) AS q{i}" for i, p in enumerate(("(100 - upper)", "50", "upper")))
+        return f"SELECT {sep}metric, max(total) AS total, {at} FROM (SELECT {sep}metric, bucket, sum(n) OVER (PARTITION BY {sep}metric ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY {sep}metric) AS total FROM (SELECT {sep}metric, bucket, sum(n) AS n FROM k GROUP BY ALL)) JOIN s USING (metric) GROUP BY ALL"
 
-    spreads = ", ".join(f"({i}, {s}, {str(b).lower()})" for i, (s, b) in enumerate(METRICS.values()))
+    rules = ", ".join(f"({i}, {p}, {r}, {least}, {str(both).lower()})" for i, (p, r, least, both) in enumerate(METRICS.values()))
+    drawn = lambda n, q, above: f"floor((CAST({n} AS DOUBLE) * {q} + CAST({PRIOR} AS DOUBLE) * {above}) / (CAST({n} AS DOUBLE) + CAST({PRIOR} AS DOUBLE)))"
+    mixed = ", ".join(f"{drawn('a0.total', f'a0.q{i}', drawn('a1.total', f'a1.q{i}', f'a2.q{i}'))} AS q{i}" for i in range(3))
     return rf"""WITH d AS (SELECT doc_id, lang, source, {WORDS} AS w, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n >= 2) GROUP BY 1),
@@ -44,9 +46,9 @@ m AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 u AS (SELECT *, unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)]) AS v, unnest([0, 1, 2, 3]) AS metric FROM b),
 k AS (SELECT lang, source, metric, (v >> CAST({bits} AS BIGINT)) << CAST({bits} AS BIGINT) AS bucket, count(*) AS n FROM u WHERE NOT base_failed GROUP BY ALL),
-a0 AS ({level("lang, source")}), a1 AS ({level("lang")}), a2 AS ({level("")}), s(metric, spread, two) AS (VALUES {spreads}),
-f AS (SELECT a0.lang, a0.source, a0.metric, two, spread, CASE WHEN a0.total >= {LEAST_GROUP} THEN a0.q1 WHEN a1.total >= {LEAST_GROUP} THEN a1.q1 ELSE a2.q1 END AS q1, CASE WHEN a0.total >= {LEAST_GROUP} THEN a0.q2 WHEN a1.total >= {LEAST_GROUP} THEN a1.q2 ELSE a2.q2 END AS q2 FROM a0 JOIN a1 ON a1.metric = a0.metric AND a1.lang IS NOT DISTINCT FROM a0.lang JOIN a2 ON a2.metric = a0.metric JOIN s ON s.metric = a0.metric),
-o AS (SELECT u.doc_id, bool_and(coalesce(v <= q2 + {REACH} * greatest(q2 - q1, spread) AND (NOT two OR v >= q2 - {REACH} * greatest(q2 - q1, spread)), true)) AS inside FROM u LEFT JOIN f ON f.metric = u.metric AND f.lang IS NOT DISTINCT FROM u.lang AND f.source IS NOT DISTINCT FROM u.source GROUP BY 1)
+s(metric, upper, reach, least, two) AS (VALUES {rules}), a0 AS ({level("lang, source")}), a1 AS ({level("lang")}), a2 AS ({level("")}),
+f AS (SELECT a0.lang, a0.source, a0.metric, two, reach, least, {mixed} FROM a0 JOIN a1 ON a1.metric = a0.metric AND a1.lang IS NOT DISTINCT FROM a0.lang JOIN a2 ON a2.metric = a0.metric JOIN s ON s.metric = a0.metric),
+o AS (SELECT u.doc_id, bool_and(coalesce(v <= q1 + reach * greatest(q2 - q1, least) AND (NOT two OR v >= q1 - reach * greatest(q1 - q0, least)), true)) AS inside FROM u LEFT JOIN f ON f.metric = u.metric AND f.lang IS NOT DISTINCT FROM u.lang AND f.source IS NOT DISTINCT FROM u.source GROUP BY 1)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM b JOIN o ON o.doc_id = b.doc_id"""
 
 

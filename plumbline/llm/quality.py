@@ -2,9 +2,12 @@
 
 Each document is measured once. Its ratios, as integers, go to log-linear histogram sketches by language and
 source: counts by bucket, where a bucket keeps the value's leading bits (relative error 1/32). Sketches merge by
-adding counts, so a source with few documents falls back on its language's sketch, and that on the whole
-corpus. Medians and quartiles give each group fences, which are joined to the documents; the join is salted, as
-one source may hold a third of them.
+adding counts into those of a language and of the corpus. A group's fences lie around its median, as many spreads
+away as the metric's reach; the spread is the way from the median to a quantile that tells something about the
+metric: the quartiles of symbols and word length, where junk may fill the tail; the 99th percentile of repeats, which
+most texts have none of. A group of n documents takes n parts of its own quantiles and PRIOR parts of its language's, that
+likewise of the corpus's, so fences change smoothly with a group's size. They are joined to the documents; the join is
+salted, as one source may hold a third of them.
 
 Nulls: a null text has no words and fails; null languages and sources are groups of their own. Rows that repeat
 are measured each. Empty tables give no rows. Extra columns are ignored.
@@ -19,14 +22,13 @@ from plumbline.llm.common import WS, scratch
 
 #: Leading bits that a sketch bucket keeps.
 BITS = 6
-#: Documents a group needs for fences of its own.
-LEAST_GROUP = 200
+#: A group's quantiles count as its documents, those of the group above it as so many.
+PRIOR = 20
 #: Ways in which the documents of one group are dealt in the join.
 SALTS = 32
-#: Ratio, least spread (in the ratio's integer unit), whether the lower fence holds too.
-METRICS = {"symbols": (50, False), "dup_lines": (50, False), "repeats": (50, False), "word_length": (50, True)}
-#: Fences lie so many spreads from the median.
-REACH = 8
+#: By ratio: percentile whose way from the median is the spread, reach in spreads, least spread (in the ratio's integer
+#: unit, for groups in which nearly all documents are alike), whether there is a lower fence too.
+METRICS = {"symbols": (75, 8, 5, False), "dup_lines": (99, 3, 5, False), "repeats": (99, 3, 5, False), "word_length": (75, 12, 5, True)}
 
 
 def _let(value: Column, use) -> Column:
@@ -77,34 +79,39 @@ def sketch(measured: DataFrame) -> DataFrame:
     return ratio.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, low, high): arrays by metric, from the finest sketch that has enough documents."""
+def _quantiles(keyed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, metric, total, q0, q1, q2): lower percentile, median and upper percentile of merged sketches."""
+    merged = keyed.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))  # merging is adding counts
+    sums = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("total"))
+    upper = "case metric " + " ".join(f"when {k} then {m[0]}" for k, m in enumerate(METRICS.values())) + " end"
+    at = lambda p: F.expr(f"aggregate(b, named_struct('c', 0L, 'v', cast(null as bigint)), (a, x) -> named_struct('c', a.c + x.n, 'v', coalesce(a.v, if(100 * (a.c + x.n) >= ({p}) * total, x.bucket, null)))).v")
+    return sums.select(*keys, "metric", "total", at(f"100 - ({upper})").alias("q0"), at("50").alias("q1"), at(upper).alias("q2"))
+
+
+def fences(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, low, high): arrays by metric, from the group's quantiles drawn towards its language's and the corpus's."""
     keyed = sketches.select(F.struct("lang").alias("l"), F.struct("source").alias("s"), "lang", "source", "metric", "bucket", "n").withColumns({"l": F.to_json("l"), "s": F.to_json("s")})
-    levels = [("l", "s"), ("l",), ()]
-    stats = []
-    for keys in levels:  # merging a sketch is adding its counts
-        merged = keyed.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        sums = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("total"))
-        at = lambda q: F.expr(f"aggregate(b, named_struct('c', 0L, 'v', cast(null as bigint)), (a, x) -> named_struct('c', a.c + x.n, 'v', coalesce(a.v, if({q[1]} * (a.c + x.n) >= {q[0]} * total, x.bucket, null)))).v")
-        quart = sums.select(*keys, "metric", "total", at((1, 4)).alias("q1"), at((1, 2)).alias("q2"))
-        stats.append(quart.groupBy(*keys).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("metric", F.struct("q1", "q2")))).alias("q")))
-    own, lang, everything = stats
+    own, lang, everything = (_quantiles(keyed, keys) for keys in (("l", "s"), ("l",), ()))
+    names = ("total", "q0", "q1", "q2")
+    lang = lang.withColumnsRenamed({n: f"{n}b" for n in names})
+    everything = everything.withColumnsRenamed({n: f"{n}c" for n in names})
+    j = own.join(lang, ["l", "metric"]).join(F.broadcast(everything), "metric")  # a row for each metric
+    drawn = lambda n, q, above: F.floor((F.col(n).cast("double") * F.col(q) + F.lit(float(prior)) * above) / (F.col(n) + F.lit(float(prior))))
+    for q in names[1:]:
+        j = j.withColumn(q, drawn("total", q, drawn("totalb", f"{q}b", F.col(f"{q}c"))))
+    of = lambda i: F.expr("case metric " + " ".join(f"when {k} then {m[i]}" for k, m in enumerate(METRICS.values())) + " end")
+    width = lambda spread: of(1) * F.greatest(spread, of(2))
+    low = F.when(of(3), F.col("q1") - width(F.col("q1") - F.col("q0"))).otherwise(F.lit(-1))
+    j = j.select("l", "s", "metric", low.cast("long").alias("low"), (F.col("q1") + width(F.col("q2") - F.col("q1"))).cast("long").alias("high"))
+    by = j.groupBy("l", "s").agg(F.sort_array(F.collect_list(F.struct("metric", "low", "high"))).alias("f"))
     groups = keyed.select("l", "s", "lang", "source").distinct()
-    j = groups.join(own.select("l", "s", F.col("total").alias("t0"), F.col("q").alias("qa")), ["l", "s"]).join(lang.select("l", F.col("total").alias("t1"), F.col("q").alias("qb")), "l").crossJoin(F.broadcast(everything.select(F.col("q").alias("qc"))))  # one row
-    q = F.when(F.col("t0") >= least_group, F.col("qa")).when(F.col("t1") >= least_group, F.col("qb")).otherwise(F.col("qc"))
-    low, high = [], []
-    for k, (spread, both) in enumerate(METRICS.values()):
-        m = F.col("q")[F.lit(k)]
-        width = REACH * F.greatest(m["q2"] - m["q1"], F.lit(spread))
-        high.append(m["q2"] + width)
-        low.append(m["q2"] - width if both else F.lit(-1).cast("long"))
-    return j.select("lang", "source", q.alias("q")).select("lang", "source", F.array(*low).alias("low"), F.array(*high).alias("high"))
-
-
-def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+    return groups.join(by, ["l", "s"]).select("lang", "source", F.col("f.low").alias("low"), F.col("f.high").alias("high"))
+
+
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The measures with base_failed and kept."""
     measured = scratch(measure(docs), "quality")
-    limits = fences(sketch(measured), least_group).withColumnsRenamed({"lang": "_l", "source": "_s"}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    limits = fences(sketch(measured), prior).withColumnsRenamed({"lang": "_l", "source": "_s"}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     j = salted.join(limits, salted["lang"].eqNullSafe(limits["_l"]) & salted["source"].eqNullSafe(limits["_s"]) & (salted["_salt"] == limits["_salt"]), "left")
     inside = F.coalesce(F.forall(F.zip_with(_ratios(), F.zip_with("low", "high", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda v, f: (v >= f["a"]) & (v <= f["b"])), lambda x: x), F.lit(True))
