@@ -321,6 +321,23 @@ def test_quality(spark, docs, odd):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_groups_set_their_own_fences(spark):
+    """The same ratio passes in a source where it is common and fails in one where it is not; small sources lean on their language."""
+    rng = random.Random(8)
+    plain = lambda n, symbols=0: " ".join(["|"] * symbols + ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n - symbols)])
+    rows = [(i, plain(200, rng.randint(10, 50)), "en", "tables") for i in range(250)] + [(1000 + i, plain(200), "en", "prose") for i in range(250)] + [(2000 + i, plain(200), "de", "few") for i in range(3)]
+    same = plain(200, 40)
+    rows += [(5000, same, "en", "tables"), (5001, same, "en", "prose"), (5002, same, "de", "few"), (5003, plain(200, 180), "en", "tables")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert [kept[d] for d in (5000, 5001, 5003)] == [True, False, False]
+    assert sum(kept[r[0]] for r in rows[:500]) >= 498
+    limits = {(r["lang"], r["source"]): r["high"][0] for r in quality.fences(quality.sketch(quality.measure(df))).collect()}
+    assert limits["en", "tables"] > 5 * limits["en", "prose"]
+    alone = {(r["lang"], r["source"]): r["high"][0] for r in quality.fences(quality.sketch(quality.measure(df)), prior=0).collect()}
+    assert limits["de", "few"] != alone["de", "few"]
+
+
 def test_sketches_merge(docs):
     parts = docs.select("doc_id", "text", "lang", "source").randomSplit([0.5, 0.5], 3)
     one = quality.sketch(quality.measure(docs.select("doc_id", "text", "lang", "source")))
