@@ -36,11 +36,13 @@ def share_path(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs in one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf is None:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return conf.rstrip("/")
 
@@ -85,6 +87,17 @@ def id_key(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID)).cast("long")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of `df` has, for columns that come and go inside an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

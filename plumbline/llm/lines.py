@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import as_bytes, id_key, partitions, scratch
+from plumbline.llm.common import as_bytes, id_key, partitions, scratch, spare
 
 _STRIP = b" \t\n\x0b\x0c\r"
 #: Hashes of one shard, about: 20 bytes each in a worker's memory.
@@ -187,23 +187,24 @@ def probe(lines: DataFrame, index: DataFrame, shards: int, salts: int = SALTS) -
 def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, text_out: str = "kept_text") -> DataFrame:
     """Each row with n_lines, n_dropped, kept_sha256 and the text that stays (as column `text_out`; it may be "text")."""
     new = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_sha256": T.StringType(), text_out: T.StringType()}
-    carried = [c for c in docs.columns if c not in new and c != "_lost"] + ([] if text_out != "text" else [])
+    carried = [c for c in docs.columns if c not in new]
+    doc, gone, key = spare(docs, "_doc", "_lost", "_key")
     lines = scratch(line_hashes(docs, min_length), "lines")
     index, shards = build_index(lines, min_docs)
-    lost = probe(lines, index, shards).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h1").alias("_lost"))
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], *([F.col("text")] if "text" not in carried else []), id_key("doc_id").alias("_key"))
-    joined = source.join(lost, source["_key"] == lost["_doc"], "left").drop("_doc", "_key")
+    lost = probe(lines, index, shards).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("h1").alias(gone))
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], *([F.col("text")] if "text" not in carried else []), id_key("doc_id").alias(key))
+    joined = source.join(lost, source[key] == lost[doc], "left").drop(doc, key)
     names = [*carried, *new]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             n_lines, n_dropped, digest, kept_text = [], [], [], []
-            for text, gone in zip(as_bytes(col["text"]), col["_lost"], strict=True):
+            for text, lost in zip(as_bytes(col["text"]), col[gone], strict=True):
                 own = text.split(b"\n")
                 kept = own
-                if gone.is_valid:
-                    away = set(gone.as_py())
+                if lost.is_valid:
+                    away = set(lost.as_py())
                     kept = [x for x in own if not (_long_enough(k := key_of(x), min_length) and _hash(k)[0] in away)]
                 n_lines.append(len(own)), n_dropped.append(len(own) - len(kept))
                 body = b"\n".join(kept)

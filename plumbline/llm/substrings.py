@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import as_bytes, free_shuffles, id_key, partitions, scratch, slices
+from plumbline.llm.common import as_bytes, free_shuffles, id_key, partitions, scratch, slices, spare
 
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
@@ -268,17 +268,18 @@ def repeated_words(docs: DataFrame, size: int = 20, gram: int = 2, memory_window
 def dedup_substrings(docs: DataFrame, size: int = 20, text_out: str = "kept_text") -> DataFrame:
     """Each row with n_words, n_removed, kept_sha256 and the words that stay, joined by one blank (column `text_out`)."""
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), text_out: T.StringType()}
-    carried = [c for c in docs.columns if c not in new and c != "_gone"]
-    gone = repeated_words(docs, size).groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_mark")).agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], *([F.col("text")] if "text" not in carried else []), id_key("doc_id").alias("_key"), F.hash("text").alias("_tag"))
-    joined = source.join(gone, (source["_key"] == gone["_doc"]) & (source["_tag"] == gone["_mark"]), "left").drop("_doc", "_mark", "_key", "_tag")
+    carried = [c for c in docs.columns if c not in new]
+    doc, mark, gone, key, tag = spare(docs, "_doc", "_mark", "_gone", "_key", "_tag")
+    spans = repeated_words(docs, size).groupBy(F.col("doc").alias(doc), F.col("tag").alias(mark)).agg(F.collect_list(F.struct("start", "n")).alias(gone))
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], *([F.col("text")] if "text" not in carried else []), id_key("doc_id").alias(key), F.hash("text").alias(tag))
+    joined = source.join(spans, (source[key] == spans[doc]) & (source[tag] == spans[mark]), "left").drop(doc, mark, key, tag)
     names = [*carried, *new]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             n_words, n_removed, digest, kept_text = [], [], [], []
-            for text, spans in zip(as_bytes(col["text"]), col["_gone"], strict=True):
+            for text, spans in zip(as_bytes(col["text"]), col[gone], strict=True):
                 words = text.split()
                 kept = words
                 if spans.is_valid:
