@@ -59,9 +59,12 @@ ROWS = [
 
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_small(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as doc", "1 as shard", "2 as n_lines", "3 as tag")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as doc", "1 as shard", "2 as n_lines", "3 as tag", "4 as _key", "5 as _tag", "6 as _lost", "7 as _gone", "8 as _doc", "9 as _mark")
     got = lines.dedup_lines(df)
     assert {"shard", "tag", "text", "kept_text"} <= set(got.columns)
+    own = ["_key", "_tag", "_lost", "_gone", "_doc", "_mark"]
+    for out in (got, substrings.dedup_substrings(df)):
+        assert {tuple(r) for r in out.select(*own).collect()} <= {(4, 5, 6, 7, 8, 9)}
     assert sorted([tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()], key=repr) == brute_lines(rows)
     got = substrings.dedup_substrings(df).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted([tuple(r) for r in got.collect()], key=repr) == brute_windows(rows)

@@ -53,6 +53,26 @@ def test_documents_without_a_leading_language_go(spark):
     assert -5 not in kept and -6 in kept
 
 
+def test_stages_take_awkward_rows(spark):
+    """Null ids, texts and languages, empty and very long texts, repeated rows, other columns, no rows at all."""
+    long = " ".join(f"word{(i * i) % 911}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat and the dog of that house with the garden", "en", None, 9), (4, long, "en", "s", 1), (5, "the same short text of the house", "en", "s", 1), (5, "the same short text of the house", "en", "s", 1), (5, "another text of that man", "en", "s", 1), (6, "12345 !!", "en", "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.selectExpr("*", "1 as node", "2 as _lead", "3 as score", "4 as contaminated", "5 as _key", "6 as piece")
+    by = dict(corpus_pipeline.STAGES)
+    out = {name: [(r["doc_id"], r["text"]) for r in by[name](spark, docs, SF).collect()] for name in list(by)[:-1]}
+    texts = [(r[0], r[1]) for r in rows]
+    assert sorted(out["line_dedup"], key=repr) == sorted(((d, x or "") for d, x in texts), key=repr)
+    assert sorted(out["jaccard_join"], key=repr) == sorted(set(texts), key=repr)
+    assert sorted(out["decontaminate"], key=repr) == sorted(texts, key=repr)
+    _check_packing(by["best_fit_packing"](spark, docs, SF).collect(), texts)
+    known = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    stay = by["language_id"](spark, known.unionAll(plain), SF).where("doc_id is null or doc_id < 7").collect()
+    assert all(r["text"] not in (None, "", "12345 !!") for r in stay) and any(r["doc_id"] is None for r in stay)
+    for name, stage in by.items():
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontaminate", "best_fit_packing"]
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
