@@ -1,7 +1,12 @@
 """A training-data pipeline over `documents`: five stages, each one of the operators in plumbline.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents; other columns of the input are left out.
+
+Nulls: a null or empty text has no language and goes in the first stage; a stage given one by itself keeps it, a text
+without words being linked with nothing and holding no item, and packs it as a sequence of one separator. Null ids
+are kept and sort below all others. Rows that repeat stay, but for those that repeat the id and the text of a document
+that stands for its group of near copies. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +39,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays: the one with the smallest id."""
+    """One document of each group of near copies (five words, similarity 0.8) stays: the one with the smallest id.
+
+    Rows with that id and other texts stay beside it; of those with the same text one does.
+    """
     share_path(spark)
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("_lead")).distinct()
-    return docs.join(leads, id_key("doc_id") == F.col("_lead"), "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(leads, id_key("doc_id") == F.col("_lead"), "left_semi")
+    twice = scratch(docs.groupBy(id_key("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    repeated = id_key("doc_id") == F.col("_twice")
+    return kept.join(twice, repeated, "left_anti").unionAll(kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
