@@ -1,23 +1,29 @@
 """Exact Jaccard self-join of documents on word shingles, and the groups its links make.
 
-Texts with the same shingle set are one node. By prefix filtering, two nodes can only link if the first
-n - ceil(t * n) + 1 of their sorted shingle hashes share one; each shared hash is a tile. Hashes that very many
-nodes have are sorted last, so they seldom make a tile. A tile's nodes are swept in order of set size: only the
-band of sizes that can still reach the threshold is held. Inside the band, hashed parity bitmaps (a bit for each
-hash value modulo their length, half the set's size) are compared: the bits in which two differ bound their
-overlap from above. What passes is verified by intersecting the sorted hash arrays exactly.
-
-A dense tile (thousands of near copies) would pass nearly all its pairs. It emits each node's closest
-candidates first; once the verified ones have made components, a second sweep emits every candidate that is
-still between two components. So no link between components is lost, and no group is expanded into all its pairs.
-
-One pass over the texts keeps of each set its digest, its bitmap and the first hashes of its array. Nodes whose
-prefix reaches beyond those, and candidates that must be verified, have their whole arrays computed anew from the
-texts. Bit maps of bounded size tell which hashes and documents are worth sending.
+Texts with the same shingle set are one node. Sizes fall into bands of one octave; a node belongs to its own band
+and, near the upper edge, to the next one too, so any two sizes that can reach the threshold share a band. In a
+band the hash space is cut into parts, more of them than elements in which two linked sets can differ by d; so among
+the first d + 1 parts in which a node has any hash, one is the same in both. A tile is such a part with what it
+holds: (band, part, content). Nodes meet only in tiles.
+
+A tile's nodes carry hashed parity bitmaps: the bits in which two differ bound their overlap from above. The first
+sweep emits of the pairs that pass a forest only, closest pairs first: never more pairs than nodes, however dense
+the tile. What it emits is verified by intersecting the sorted hash arrays exactly. Where a pair of the forest fails,
+the tile is swept again with longer bitmaps, and every pair that passes them between two components is verified. So
+no link between components is lost, and no group is expanded into all its pairs.
+
+A tile of more than CHUNK nodes is dealt in chunks, each swept for itself; what lies in different components after
+that meets in the second sweep, chunk by chunk: the tile's largest component is not crossed with itself. No task
+holds more than two chunks.
+
+One pass over the texts keeps of each set its digest, its tiles' keys and a short bitmap. The arrays of nodes that
+are in emitted pairs or in large tiles are computed anew from the texts. Bit maps of bounded size tell which
+keys and documents are worth sending: beyond FILTER_BITS more rows travel than need to, and no result changes.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a text of fewer words than a shingle is one shingle; a null
-or empty text has none and links with nothing. Rows with the same doc_id are one document for linking. A null
-doc_id sorts first and gets component null. Empty tables give no rows. Extra columns are ignored.
+or empty text has none and links with nothing. Sets are compared by 64-bit hashes of their shingles. Rows with the same
+doc_id are one document for linking. A null doc_id sorts first and gets component null. Empty tables give no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +37,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, as_bytes, discard, free_shuffles, id_key, partitions, scratch, slices
+from plumbline.llm.common import NULL_ID, as_bytes, discard, id_key, partitions, scratch, slices
 from plumbline.llm.components import components
-from plumbline.llm.substrings import _P, _grams, word_hashes
+from plumbline.llm.substrings import _P, _Q, _grams, _mix, word_hashes
 
-CHUNK = 1 << 20
-#: A hash that more nodes than this have is sorted last; at most so many of the most frequent are.
-COMMON, MOST_COMMON = 32, 1 << 16
-#: Tiles of so few nodes are compared without arrays; candidates that a node emits first, among those no larger than itself.
-SMALL, CLOSEST = 8, 1
+CHUNK_BYTES = 1 << 20
+#: Nodes of a tile that one task compares with each other.
+CHUNK = 1024
+#: Bits of the bitmaps of the first sweep; those of the second have four for each hash of a set, in these bounds.
+SHORT_BITS, LONG_BITS = 512, 1 << 16
 #: Bit maps have at most two to the power of this many bits (64 MB).
 FILTER_BITS = 29
-#: Prefixes are counted somewhat beyond their length, as far as sorting common hashes last may stretch them.
-STRETCH = 1.3
+#: Keys that are counted together, about.
+BUCKET_KEYS = 1 << 17
+#: Tables of at most so many rows of two numbers are broadcast, larger ones joined by shuffle.
+SMALL_TABLE = 1 << 16
+_NEVER = np.int32(1 << 30)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -69,7 +78,7 @@ def _each(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray | None =
         if wanted is not None:
             batch = batch.filter(pa.array(has(wanted, batch.column(0).to_numpy())))
         doc, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-        for a, b in slices([len(t) for t in texts], CHUNK):
+        for a, b in slices([len(t) for t in texts], CHUNK_BYTES):
             yield doc[a:b], shingle_sets(texts[a:b], k)
 
 
@@ -78,27 +87,112 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n + (-percent * n // 100) + 1
+# -- tiles of a set -----------------------------------------------------------------------------------
+
+
+def most_different(n: int, percent: int) -> int:
+    """Elements in which a set of n and any it can link with differ at most."""
+    return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+
+
+def _parts(band: int, percent: int) -> int:
+    """Parts of the hash space in a band: some of them may be empty, so there are 15 % more than any set needs."""
+    return most_different((2 << band) - 1, percent) * 23 // 20 + 4
+
+
+def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the tiles of a sorted set; two sets that reach the threshold and are not equal share one at least.
+
+    Of two linked sets a and b, let a's list end at the lower part. It names d + 1 parts that hold something in a, with
+    d at least the number of elements in which they differ, so one of these parts is the same in b, which names it
+    too. A set with fewer parts that hold something names all parts, empty ones included, and the same count holds.
+    """
+    n, keys = len(s), []
+    need = most_different(n, percent) + 1
+    if need == 1:
+        return np.zeros(0, np.uint64)
+    own = n.bit_length() - 1
+    for band in (own, own + 1) if 100 * n >= percent * (2 << own) else (own,):
+        parts = _parts(band, percent)
+        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        held = np.add.reduceat(s, first)
+        if len(first) >= need:
+            at, content = part[first[:need]], held[:need]
+        else:
+            at, content = np.arange(parts, dtype=np.uint64), np.zeros(parts, np.uint64)
+            content[part[first].astype(np.int64)] = held
+        keys.append(_mix(content + at * np.uint64(_P) + np.uint64(band * _Q % 2**64)))
+    return np.concatenate(keys)
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << (max(1, len(s) // 2) - 1).bit_length())
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    """Parity bitmap: bit i is odd if an odd number of hashes is i modulo `bits`."""
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def _fold(x: int, size: int, to: int) -> int:
-    """A parity bitmap of `size` bytes as one of `to` bytes."""
-    while size > to:
-        size //= 2
-        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
-    return x
+def _long_bits(n: int) -> int:
+    return min(LONG_BITS, max(SHORT_BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def _words(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the shortest."""
+    least = min(len(x) for x in bitmaps) // 8
+    out = np.empty((len(bitmaps), least), np.uint64)
+    for i, x in enumerate(bitmaps):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
+def _may_link(na, nb, differ, percent: int):
+    """Whether sets of sizes na and nb can reach the threshold when their bitmaps differ in so many bits."""
+    return (differ * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
+def _costs(n: np.ndarray, label: np.ndarray, side: np.ndarray | None, words: np.ndarray, percent: int) -> np.ndarray:
+    """Bits in which the bitmaps of each two nodes differ; _NEVER for those that cannot link or need not be compared."""
+    m, step = len(n), max(1, (1 << 20) // words.size)
+    out = np.empty((m, m), np.int32)
+    for a in range(0, m, step):
+        z = min(m, a + step)
+        differ = np.bitwise_count(words[a:z, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int32)
+        good = _may_link(n[a:z, None], n[None, :], differ, percent) & (label[a:z, None] != label[None, :])
+        if side is not None:
+            good &= (side[a:z, None] != side[None, :]) | (side[a:z, None] == 2)
+        out[a:z] = np.where(good, differ, _NEVER)
+    return out
 
 
-def bit_map(keys: DataFrame, column: str) -> np.ndarray:
+def forest(cost: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs below _NEVER, of least total cost (Boruvka), over groups of nodes with one label."""
+    label, out = np.unique(label, return_inverse=True)[1], []
+    while True:
+        open_ = np.where(label[:, None] == label[None, :], _NEVER, cost)
+        to = open_.argmin(axis=1)
+        least = open_[np.arange(len(to)), to]
+        rows = np.flatnonzero(least < _NEVER)
+        if not len(rows):
+            return out
+        low, high = np.minimum(rows, to[rows]), np.maximum(rows, to[rows])
+        order = np.lexsort((high, low, least[rows]))
+        best = order[np.unique(label[rows[order]], return_index=True)[1]]  # the first of each group
+        for i, j in sorted(set(zip(low[best].tolist(), high[best].tolist()))):
+            a, b = label[i], label[j]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+                out.append((i, j))
+
+
+# -- bit maps of keys ---------------------------------------------------------------------------------
+
+
+def bit_map(keys: DataFrame, column: str, spread: int = 16) -> np.ndarray:
     """A bit map of the low bits of distinct long keys; its size follows their number up to FILTER_BITS."""
-    bits = min(FILTER_BITS, max(20, math.ceil(math.log2(16 * max(1, keys.count())))))
+    bits = min(FILTER_BITS, max(20, math.ceil(math.log2(spread * max(1, keys.count())))))
     at = F.col(column).bitwiseAND((1 << bits) - 1)
     parts = keys.groupBy((at / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(at % 32768).alias("b")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
@@ -109,14 +203,46 @@ def bit_map(keys: DataFrame, column: str) -> np.ndarray:
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & (8 * len(bits) - 1)
-    return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), [len(values)]]) if len(values) else np.zeros(1, np.int64)
+
+
+def _repeated(nodes: DataFrame) -> DataFrame:
+    """(key): the upper halves of tile keys that two nodes or more have. They travel packed by bucket, at most two of a kind from a batch."""
+    total = nodes.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    shift = max(0, 32 - max(4, math.ceil(math.log2(max(1, total // 8) / BUCKET_KEYS + 1))))
 
+    def pack(batches):
+        for batch in batches:
+            if len(batch):
+                kept, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> np.uint64(32), return_counts=True)
+                kept = np.repeat(kept, np.minimum(times, 2)).astype(np.uint32)
+                cut = _runs(kept >> np.uint32(shift))
+                yield pa.RecordBatch.from_arrays([pa.array((kept[cut[:-1]] >> np.uint32(shift)).astype(np.int32) if len(kept) else np.zeros(0, np.int32)), pa.array([kept[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "keys"])
+
+    def count(batches):
+        bucket, held = None, []
+
+        def done():
+            kept, times = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(kept[times > 1].astype(np.int64))], names=["key"])
 
-def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which of x are in a sorted list."""
-    if not len(listed):
-        return np.zeros(len(x), bool)
-    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != bucket and held:
+                    yield done()
+                    held = []
+                bucket = b
+                held.append(x)
+        if held:
+            yield done()
+
+    packed = nodes.select("keys").where(F.octet_length("keys") > 0).mapInArrow(pack, "bucket int, keys binary")
+    return packed.repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long")
 
 
 # -- passes over the texts ----------------------------------------------------------------------------
@@ -127,7 +253,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
 
 
 def _meta(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc, h1, h2, n, head, signature): each document's set; head and signature once for each set of a chunk."""
+    """(doc, h1, h2, n, keys, bits): each document's set; keys and bitmap once for each set of a chunk."""
 
     def run(batches):
         for doc, sets in _each(batches, k):
@@ -135,268 +261,184 @@ def _meta(docs: DataFrame, k: int, percent: int) -> DataFrame:
             d = np.array(digests, np.int64).reshape(-1, 2)
             first = {x: i for i, x in reversed(list(enumerate(digests)))}
             new = [first[x] == i and len(s) > 0 for i, (x, s) in enumerate(zip(digests, sets))]
-            head = [s[: _reach(len(s), percent)].tobytes() if x else None for s, x in zip(sets, new)]
-            signature = [_signature(s) if x else None for s, x in zip(sets, new)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(head, pa.binary()), pa.array(signature, pa.binary())], names=["doc", "h1", "h2", "n", "head", "signature"])
-
-    return _sets_of(docs).mapInArrow(run, "doc long, h1 long, h2 long, n long, head binary, signature binary")
-
+            keys = [tile_keys(s, percent).tobytes() if x else None for s, x in zip(sets, new)]
+            bits = [bitmap(s, SHORT_BITS) if x else None for s, x in zip(sets, new)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["doc", "h1", "h2", "n", "keys", "bits"])
 
-def _reach(n: int, percent: int) -> int:
-    """Hashes of a set that are kept and counted."""
-    return min(n, math.ceil(STRETCH * _prefix(n, percent)))
+    return _sets_of(docs).mapInArrow(run, "doc long, h1 long, h2 long, n long, keys binary, bits binary")
 
 
-def _hash_counts(nodes: DataFrame) -> DataFrame:
-    """(hash, nodes): how many nodes have a hash among their first ones; 2 or more only."""
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["hash", "n"])
-
-    return nodes.select("head").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("nodes")).where("nodes > 1")
-
-
-def _short(nodes: DataFrame, percent: int, common) -> DataFrame:
-    """(node): nodes whose prefix, common hashes last, may reach beyond their first hashes."""
+def _arrays(docs: DataFrame, k: int, wanted) -> DataFrame:
+    """(node, n, hashes, bits): sorted arrays and long bitmaps of the documents wanted."""
 
     def run(batches):
-        for batch in batches:
-            node, n, head = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = [d for d, size, h in zip(node, n, head) if len(h) < 8 * size and (~_among(np.frombuffer(h, np.int64), common.value)).sum() < _prefix(size, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
-
-    return nodes.select("node", "n", "head").mapInArrow(run, "node long")
-
-
-_TILE = "hash long, n long, h1 long, h2 long, signature binary"
+        for doc, sets in _each(batches, k, wanted.value):
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, _long_bits(len(s))) for s in sets], pa.binary())], names=["node", "n", "hashes", "bits"])
 
+    return _sets_of(docs).mapInArrow(run, "node long, n long, hashes binary, bits binary").where("n > 0")
 
-def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    """parts: (hashes, n, h1, h2, signature) of each node."""
-    hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    sizes = [len(p[0]) for p in parts]
-    each = [pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), sizes)) for i in (1, 2, 3)]
-    signature = pa.array([p[4] for p, m in zip(parts, sizes) for _ in range(m)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(hashes), *each, signature], names=["hash", "n", "h1", "h2", "signature"])
-
-
-def _far_rows(docs: DataFrame, k: int, percent: int, common, wanted) -> DataFrame:
-    """Tile rows of nodes that need their whole arrays: the prefix with common hashes last."""
-
-    def run(batches):
-        for _, sets in _each(batches, k, wanted.value):
-            parts = []
-            for (h1, h2), s in {_digest(s): s for s in sets if len(s)}.items():
-                p, every = _prefix(len(s), percent), s.view(np.int64)
-                often = _among(every, common.value)
-                if len(s) > _reach(len(s), percent) and (~often[: _reach(len(s), percent)]).sum() < p:
-                    parts.append((np.concatenate([every[~often], every[often]])[:p], len(s), h1, h2, _signature(s)))
-            yield _rows(parts)
 
-    return _sets_of(docs).mapInArrow(run, _TILE).dropDuplicates(["hash", "h1", "h2"])
+# -- sweeps -------------------------------------------------------------------------------------------
 
 
-def _near_rows(nodes: DataFrame, percent: int, common, shared) -> DataFrame:
-    """Tile rows of all other nodes, from their first hashes: only hashes that another node may have."""
+def _tile_rows(nodes: DataFrame, shared) -> DataFrame:
+    """(key, n, node, bits): a row for each tile of a node that another node may be in."""
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for n, h1, h2, head, signature in zip(*(c.to_pylist() for c in batch.columns)):
-                p, x = _prefix(n, percent), np.frombuffer(head, np.int64)
-                often = _among(x, common.value)
-                if len(x) == n or (~often).sum() >= p:
-                    mine = np.concatenate([x[~often], x[often]])[:p]
-                    parts.append((mine[has(shared.value, mine)], n, h1, h2, signature))
-            yield _rows(parts)
+            sizes = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            some = has(shared.value, (keys >> np.uint64(32)).astype(np.int64)) if len(keys) else np.zeros(0, bool)
+            row = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), *(batch.column(i).take(row) for i in (0, 1, 3))], names=["key", "n", "node", "bits"])
 
-    return nodes.select("n", "h1", "h2", "head", "signature").mapInArrow(run, _TILE)
+    return nodes.select("n", "node", "keys", "bits").mapInArrow(run, "key long, n long, node long, bits binary")
 
 
-def _arrays(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(h1, h2, hashes): the sorted arrays of the documents wanted; a set that several of them have may come again."""
-
-    def run(batches):
-        for _, sets in _each(batches, k, wanted.value):
-            own = {_digest(s): s for s in sets if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["h1", "h2", "hashes"])
-
-    return _sets_of(docs).mapInArrow(run, "h1 long, h2 long, hashes binary")
-
-
-# -- tiles --------------------------------------------------------------------------------------------
-
-
-class _Tile:
-    """The nodes of one hash, in order of size."""
-
-    def __init__(self, percent: int, everything: bool):
-        self.percent, self.everything = percent, everything
-        self.clear(None)
-
-    def clear(self, key) -> None:
-        self.key, self.nodes, self.known = key, [], set()
-
-    def add(self, n: int, h1: int, h2: int, signature: bytes, label) -> None:
-        if (h1, h2) not in self.known:
-            self.known.add((h1, h2))
-            self.nodes.append((n, h1, h2, signature, label))
-
-    def may_link(self, na: int, nb: int, differ):
-        most = (na + nb - differ) // 2
-        return 100 * most >= self.percent * (na + nb - most)
-
-    def candidates(self) -> tuple[list[tuple[int, int]], bool]:
-        """Pairs of places in `nodes`, and whether pairs were left for a second sweep."""
-        nodes, out = self.nodes, []
-        if len(nodes) <= SMALL:
-            ints, left = [int.from_bytes(x[3], "little") for x in nodes], False
-            for j in range(1, len(nodes)):
-                found = []
-                for i in range(j):
-                    a, b = nodes[i], nodes[j]
-                    if 100 * a[0] >= self.percent * b[0] and (a[4] is None or a[4] != b[4]):
-                        to = min(len(a[3]), len(b[3]))
-                        differ = (_fold(ints[i], len(a[3]), to) ^ _fold(ints[j], len(b[3]), to)).bit_count()
-                        if self.may_link(a[0], b[0], differ):
-                            found.append((differ, i))
-                if len(found) > CLOSEST and not self.everything:
-                    found, left = sorted(found)[:CLOSEST], True
-                out.extend((i, j) for _, i in found)
-            return out, left
-        size = np.array([x[0] for x in nodes], np.int64)
-        labels = np.array([x[4] for x in nodes]) if nodes[0][4] is not None else None
-        first = np.searchsorted(100 * size, self.percent * size, "left")  # the band below each node
-        left = False
-        for lo in range(0, len(nodes), 256):
-            hi = min(lo + 256, len(nodes))
-            base = int(first[lo])
-            to = min(len(x[3]) for x in nodes[base:hi])
-            words = np.stack([_folded(x[3], to) for x in nodes[base:hi]])
-            for j in range(lo, hi):
-                a = int(first[j])
-                if a == j:
-                    continue
-                differ = np.bitwise_count(words[a - base : j - base] ^ words[j - base]).sum(axis=1, dtype=np.int64)
-                good = self.may_link(size[a:j], size[j], differ)
-                if labels is not None:
-                    good &= labels[a:j] != labels[j]
-                some = np.flatnonzero(good)
-                if len(some) > CLOSEST and not self.everything:
-                    some, left = some[np.argsort(differ[some], kind="stable")[:CLOSEST]], True
-                out.extend((a + i, j) for i in some.tolist())
-        return out, left
-
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by (key, sub), cut where a tile ends."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if len(batch) else rest
+        if len(batch):
+            key, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (sub != sub[-1]))
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield batch.slice(0, cut)
+            rest = batch.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
 
-def _folded(signature: bytes, to: int) -> np.ndarray:
-    x = np.frombuffer(signature, np.uint64)
-    while 8 * len(x) > to:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
 
+def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """(key, a, b): candidate pairs of nodes with different labels, a forest of each tile or all of them.
 
-def _sweep(tiles: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """(a1, a2, b1, b2, hash): candidate pairs; rows with null a1 name tiles that left pairs over. tiles has a label (or null)."""
-    names = ["a1", "a2", "b1", "b2", "hash"]
+    rows: (key, sub, n, node, label, side, bits); sides 0 and 1 are compared with each other only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = _Tile(percent, everything)
-
-        def finish(out: list) -> None:
-            if len(tile.nodes) > 1:
-                pairs, left = tile.candidates()
-                for i, j in pairs:
-                    x, y = sorted((tile.nodes[i][1:3], tile.nodes[j][1:3]))
-                    out.append((*x, *y, None))
-                if left:
-                    out.append((None, None, None, None, tile.key))
-
-        def batch_of(out: list) -> pa.RecordBatch:
-            rows = list(dict.fromkeys(out))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
-
-        for batch in batches:
-            out: list = []
-            for key, *node in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != tile.key:
-                    finish(out)
-                    tile.clear(key)
-                tile.add(*node)
-            yield batch_of(out)
-        out = []
-        finish(out)
-        yield batch_of(out)
-
-    dealt = tiles.select("hash", "n", "h1", "h2", "signature", "label").repartition(partitions(tiles.sparkSession), "hash").sortWithinPartitions("hash", "n", "h1", "h2")
-    return dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, hash long")
-
-
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): the pairs (a1, a2, b1, b2) whose sets reach the threshold, as nodes, by intersecting sorted arrays."""
-    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = nodes.select("h1", "h2", "node").join(ends, ["h1", "h2"], "left_semi").select("node").distinct()
-    arrays = scratch(_arrays(docs, k, docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "node"))), "arrays")
+        for batch in _whole_tiles(batches):
+            key, sub, n, node, label, side = (batch.column(i).to_numpy() for i in range(6))
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), [True]]))
+            first, size = edge[:-1], np.diff(edge)
+            two = first[size == 2]  # most tiles: compared all at once
+            bits = batch.column(6)
+            out_a, out_b = [], []
+            if len(two):
+                if everything:
+                    differ = np.array([np.bitwise_count(w[0] ^ w[1]).sum() for w in (_words(bits.slice(i, 2).to_pylist()) for i in two.tolist())], np.int64)
+                else:
+                    x, y = (np.frombuffer(b"".join(bits.take(pa.array(i)).to_pylist()), np.uint64).reshape(len(two), -1) for i in (two, two + 1))
+                    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                good = _may_link(n[two], n[two + 1], differ, percent) & (label[two] != label[two + 1]) & ((side[two] != side[two + 1]) | (side[two] == 2))
+                out_a.append(two[good]), out_b.append(two[good] + 1)
+            for i, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+                to = i + m
+                if (label[i:to] == label[i]).all():
+                    continue
+                cost = _costs(n[i:to], label[i:to], side[i:to] if (side[i:to] < 2).any() else None, _words(bits.slice(i, m).to_pylist()), percent)
+                if everything:
+                    a, b = np.nonzero(np.triu(cost < _NEVER, 1))
+                else:
+                    pairs = forest(cost, label[i:to])
+                    a, b = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
+                out_a.append(a + i), out_b.append(b + i)
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["key", "a", "b"])
+
+    dealt = rows.select("key", "sub", "n", "node", "label", "side", "bits").repartition(partitions(rows.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "n", "node")
+    return dealt.mapInArrow(run, "key long, a long, b long")
+
+
+def _with_small(rows: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """A join that broadcasts `small` only after its rows are counted."""
+    return rows.join(F.broadcast(small) if small.count() <= SMALL_TABLE else small, on, how)
+
+
+def _first_tiles(tiles: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the first sweep: large tiles in chunks, other chunks in each tile."""
+    rows = _with_small(tiles, large, "key").withColumn("chunks", F.coalesce(F.ceil(F.col("nodes") / CHUNK), F.lit(1)))
+    return rows.select("key", F.pmod(F.xxhash64("node", "key"), "chunks").cast("int").alias("sub"), "n", "node", F.col("node").alias("label"), F.lit(2).alias("side"), "bits")
+
+
+def _second_tiles(tiles: DataFrame, keys: DataFrame, labels: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Rows of the second sweep: tiles that still hold several components. Chunks of large ones meet in pairs.
+
+    The chunks of a tile's largest component (side 0) meet those of all others (side 1), which also meet each other
+    (side 2). Its rows are repeated for each chunk of the others, and theirs for each of all chunks.
+    """
+    rows = _with_small(tiles.select("key", "node"), keys, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    tile = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = rows.join(tile, "key").withColumn("k", F.ceil(F.col("most") / CHUNK).cast("int")).withColumn("r", F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"))
+    at = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda sub, side: F.struct(sub.cast("int").alias("sub"), F.lit(side).alias("side"))
+    r, major, minor = F.col("r"), at("k"), at("r")
+    places = (
+        F.when(F.col("all") <= CHUNK, F.array(place(F.lit(0), 2)))
+        .when(F.col("label") == F.col("major"), F.transform(to("r"), lambda j: place(major * r + j, 0)))
+        .otherwise(F.concat(F.transform(to("k"), lambda i: place(i * r + minor, 1)), F.transform(to("r"), lambda j: place(-1 - (F.least(minor, j) * r + F.greatest(minor, j)), 2))))
+    )
+    rows = rows.select("key", "node", "label", F.explode(places).alias("at")).select("key", "node", "label", "at.sub", "at.side")
+    return rows.join(arrays.select("node", "n", "bits"), "node")
+
+
+def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs whose sets reach the threshold, by intersecting sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
-
-    left = arrays.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("hashes").alias("x"))
-    right = arrays.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("hashes").alias("y"))
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
-    links = scratch(_as_nodes(joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct(), nodes), "verified")
-    del joined, left, right
-    discard(arrays)
-    free_shuffles(docs.sparkSession)
-    return links
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes (node, n, keys, bits) that connect all nodes that any links connect."""
+    share = docs.sparkSession.sparkContext.broadcast
+    shared = share(bit_map(scratch(_repeated(nodes), "repeated"), "key", 64))
+    tiles = scratch(_tile_rows(nodes, shared), "tiles")
+    shared.unpersist()
+    large = scratch(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > CHUNK), "large")
+    found = scratch(_sweep(_first_tiles(tiles, large), percent, False), "found")
+    pairs = scratch(found.select("a", "b").distinct(), "pairs")
+    crowd = _with_small(tiles.select("key", "node"), large.select("key"), "key", "left_semi").select("node")
+    wanted = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct(), "wanted")
+    named = share(bit_map(wanted, "node"))
+    arrays = scratch(_arrays(docs, k, named), "arrays")
+    named.unpersist()
+    sure = scratch(_verify(pairs, arrays, percent), "links")
+    again = scratch(found.join(sure, ["a", "b"], "left_anti").select("key").union(large.select("key")).distinct(), "again")
+    if not again.isEmpty():
+        rows = _second_tiles(tiles, again, components(sure), arrays)
+        more = scratch(_sweep(rows, percent, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        sure = scratch(sure.unionAll(_verify(more, arrays, percent)), "links")
+    for table in (tiles, found, arrays):
+        discard(table)
+    return sure
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`; links are exact: 100 * overlap >= percent * union."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
-    meta = scratch(_meta(docs, k, percent), "sets")
-    node = scratch(meta.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.max("n").alias("n"), F.any_value("head", F.lit(True)).alias("head"), F.any_value("signature", F.lit(True)).alias("signature")), "nodes")
-    counts = scratch(_hash_counts(node), "prefixes")
-    late = [r[0] for r in counts.where(F.col("nodes") > COMMON).orderBy(F.desc("nodes"), "hash").limit(MOST_COMMON).select("hash").collect()]
-    common = share(np.array(sorted(late), np.int64))
-    far = scratch(_far_rows(docs, k, percent, common, share(bit_map(scratch(_short(node, percent, common), "short"), "node"))), "far-tiles")
-    shared = share(bit_map(scratch(counts.select("hash").union(far.select("hash")).distinct(), "shared"), "hash"))
-    free_shuffles(spark)
-    tiles = scratch(_near_rows(node, percent, common, shared).unionAll(far).withColumn("label", F.lit(None).cast("long")), "tiles")
-    found = scratch(_sweep(tiles, percent, False), "candidates")
-    pairs = scratch(found.where("a1 is not null").select("a1", "a2", "b1", "b2").distinct(), "pairs")
-    full = (meta, node, counts, far)
-    meta, node = scratch(meta.select("doc", "h1", "h2", "n"), "sets"), scratch(node.select("h1", "h2", "node"), "nodes")
-    for table in full:
-        discard(table)
-    free_shuffles(spark)
-    links = _verify(pairs, node, docs, k, percent)
-    copies = meta.where("n > 0").join(node.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")).where("a <> b")
-    dense = found.where("a1 is null").select("hash").distinct()
-    if not dense.isEmpty():
-        groups = components(links)
-        labelled = node.select("h1", "h2", "node").join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("label"))
-        again = tiles.drop("label").join(dense, "hash", "left_semi").join(labelled, ["h1", "h2"])
-        more = _sweep(again, percent, True).where("a1 is not null").select("a1", "a2", "b1", "b2").distinct()
-        more = scratch(more.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"), "candidates")
-        links = links.unionAll(_verify(more, node, docs, k, percent))
-    groups = components(links.unionAll(copies))
-    out = meta.join(groups, meta["doc"] == groups["node"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("c"))
+    full = scratch(_meta(docs, k, percent), "sets")
+    nodes = scratch(full.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.max("n").alias("n"), F.any_value("keys", F.lit(True)).alias("keys"), F.any_value("bits", F.lit(True)).alias("bits")), "nodes")
+    meta = scratch(full.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc", "n", "node"), "members")
+    discard(full)
+    several = meta.where("n > 0").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc")
+    same = meta.where("n > 0").join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    groups = components(links(docs, nodes, k, percent).unionAll(same))
+    discard(nodes)
+    out = meta.join(groups, "node", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")).alias("c"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"))
-
-
-def _as_nodes(pairs: DataFrame, node: DataFrame) -> DataFrame:
-    """Pairs of digests as pairs (a, b) of the smallest documents that have them."""
-    left = node.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("node").alias("a"))
-    right = node.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("node").alias("b"))
-    return pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b")
