@@ -399,6 +399,8 @@ def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    arrays = _with_small(arrays, ends, "node", "left_semi")  # only these travel
     left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
