@@ -8,9 +8,9 @@ holds: (band, part, content). Nodes meet only in tiles.
 
 A tile's nodes carry hashed parity bitmaps: the bits in which two differ bound their overlap from above. The first
 sweep emits of the pairs that pass a forest only, closest pairs first: never more pairs than nodes, however dense
-the tile. What it emits is verified by intersecting the sorted hash arrays exactly. Where a pair of the forest fails,
-the tile is swept again with longer bitmaps, and every pair that passes them between two components is verified. So
-no link between components is lost, and no group is expanded into all its pairs.
+the tile. What it emits is verified by intersecting the sorted hash arrays exactly. Where a pair of the forest fails and
+others were left out of it, the tile is swept again with longer bitmaps, and every pair that passes them between two
+components is verified. So no link between components is lost, and no group is expanded into all its pairs.
 
 A tile of more than CHUNK nodes is dealt in chunks, each swept for itself; what lies in different components after
 that meets in the second sweep, chunk by chunk: the tile's largest component is not crossed with itself. No task
@@ -45,7 +45,7 @@ CHUNK_BYTES = 1 << 20
 #: Nodes of a tile that one task compares with each other.
 CHUNK = 1024
 #: Bits of the bitmaps of the first sweep; those of the second have four for each hash of a set, in these bounds.
-SHORT_BITS, LONG_BITS = 512, 1 << 16
+SHORT_BITS, LONG_BITS = 2048, 1 << 16
 #: Bit maps have at most two to the power of this many bits (64 MB).
 FILTER_BITS = 29
 #: Keys that are counted together, about.
@@ -282,7 +282,7 @@ def _arrays(docs: DataFrame, k: int, wanted) -> DataFrame:
 
 
 def _tile_rows(nodes: DataFrame, shared) -> DataFrame:
-    """(key, n, node, bits): a row for each tile of a node that another node may be in."""
+    """(key, n, node): a row for each tile of a node that another node may be in."""
 
     def run(batches):
         for batch in batches:
@@ -291,9 +291,25 @@ def _tile_rows(nodes: DataFrame, shared) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)
             some = has(shared.value, (keys >> np.uint64(32)).astype(np.int64)) if len(keys) else np.zeros(0, bool)
             row = pa.array(row[some])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), *(batch.column(i).take(row) for i in (0, 1, 3))], names=["key", "n", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), *(batch.column(i).take(row) for i in (0, 1))], names=["key", "n", "node"])
 
-    return nodes.select("n", "node", "keys", "bits").mapInArrow(run, "key long, n long, node long, bits binary")
+    return nodes.select("n", "node", "keys").mapInArrow(run, "key long, n long, node long")
+
+
+def _unlike(rows: DataFrame) -> DataFrame:
+    """(key): of tiles that hold the same two or more nodes, by two hashes of all of them, one."""
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return held.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+
+
+def _of_keys(rows: DataFrame, keys) -> DataFrame:
+    """The rows whose keys a bit map may hold."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(keys.value, batch.column(0).to_numpy())))
+
+    return rows.select("key", "n", "node").mapInArrow(run, "key long, n long, node long")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +330,7 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """(key, a, b): candidate pairs of nodes with different labels, a forest of each tile or all of them.
+    """(key, a, b, more): candidate pairs of nodes with different labels, a forest of each tile (and whether it leaves others out) or all of them.
 
     rows: (key, sub, n, node, label, side, bits); sides 0 and 1 are compared with each other only.
     """
@@ -326,7 +342,7 @@ def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
             first, size = edge[:-1], np.diff(edge)
             two = first[size == 2]  # most tiles: compared all at once
             bits = batch.column(6)
-            out_a, out_b = [], []
+            out_a, out_b, more = [], [], []
             if len(two):
                 if everything:
                     differ = np.array([np.bitwise_count(w[0] ^ w[1]).sum() for w in (_words(bits.slice(i, 2).to_pylist()) for i in two.tolist())], np.int64)
@@ -334,7 +350,7 @@ def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
                     x, y = (np.frombuffer(b"".join(bits.take(pa.array(i)).to_pylist()), np.uint64).reshape(len(two), -1) for i in (two, two + 1))
                     differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
                 good = _may_link(n[two], n[two + 1], differ, percent) & (label[two] != label[two + 1]) & ((side[two] != side[two + 1]) | (side[two] == 2))
-                out_a.append(two[good]), out_b.append(two[good] + 1)
+                out_a.append(two[good]), out_b.append(two[good] + 1), more.append(np.zeros(good.sum(), bool))
             for i, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
                 to = i + m
                 if (label[i:to] == label[i]).all():
@@ -345,12 +361,13 @@ def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
                 else:
                     pairs = forest(cost, label[i:to])
                     a, b = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
-                out_a.append(a + i), out_b.append(b + i)
+                out_a.append(a + i), out_b.append(b + i), more.append(np.full(len(a), 2 * len(a) < np.count_nonzero(cost < _NEVER)))
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["key", "a", "b"])
+            left = np.concatenate(more) if more else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(left)], names=["key", "a", "b", "more"])
 
     dealt = rows.select("key", "sub", "n", "node", "label", "side", "bits").repartition(partitions(rows.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "n", "node")
-    return dealt.mapInArrow(run, "key long, a long, b long")
+    return dealt.mapInArrow(run, "key long, a long, b long, more boolean")
 
 
 def _with_small(rows: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
@@ -410,8 +427,11 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between nodes (node, n, keys, bits) that connect all nodes that any links connect."""
     share = docs.sparkSession.sparkContext.broadcast
     shared = share(bit_map(scratch(_repeated(nodes), "repeated"), "key", 64))
-    tiles = scratch(_tile_rows(nodes, shared), "tiles")
+    rows = scratch(_tile_rows(nodes, shared), "tile-rows")
     shared.unpersist()
+    unlike = share(bit_map(scratch(_unlike(rows), "unlike"), "key"))
+    tiles = scratch(_of_keys(rows, unlike).join(nodes.select("node", "n", "bits"), ["node", "n"]), "tiles")
+    unlike.unpersist()
     large = scratch(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > CHUNK), "large")
     found = scratch(_sweep(_first_tiles(tiles, large), percent, False), "found")
     pairs = scratch(found.select("a", "b").distinct(), "pairs")
@@ -421,12 +441,12 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     arrays = scratch(_arrays(docs, k, named), "arrays")
     named.unpersist()
     sure = scratch(_verify(pairs, arrays, percent), "links")
-    again = scratch(found.join(sure, ["a", "b"], "left_anti").select("key").union(large.select("key")).distinct(), "again")
+    again = scratch(found.where("more").join(sure, ["a", "b"], "left_anti").select("key").union(large.select("key")).distinct(), "again")
     if not again.isEmpty():
-        rows = _second_tiles(tiles, again, components(sure), arrays)
-        more = scratch(_sweep(rows, percent, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        again_rows = _second_tiles(tiles, again, components(sure), arrays)
+        more = scratch(_sweep(again_rows, percent, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         sure = scratch(sure.unionAll(_verify(more, arrays, percent)), "links")
-    for table in (tiles, found, arrays):
+    for table in (rows, tiles, found, arrays):
         discard(table)
     return sure
 
