@@ -125,8 +125,14 @@ def row_key(df: DataFrame) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a of a text's UTF-16 units as 32-bit number, by higher-order functions (no Python)."""
-    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    code = lambda x: F.ascii(x).cast("long")  # noqa: E731  the code point
+    units = F.transform(F.split(c, ""), lambda x: F.when(code(x) < 65536, F.array(code(x))).otherwise(F.array(55296 + F.shiftright(code(x) - 65536, 10), 56320 + (code(x) - 65536).bitwiseAND(1023))))
+    return F.aggregate(F.flatten(units), F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def short_id(c: Column) -> Column:
+    """Seven characters in base 36 that stand for a text."""
+    return F.lpad(F.conv(fnv1a(c).cast("string"), 10, 36), 7, "0")
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -157,7 +163,13 @@ def masked(c: str | Column, category: str) -> Column:
 
 
 def redacted(c: str | Column, mode: str) -> Column:
-    """redact, partial, bucket or hash, as the SQL profile shows masked values."""
+    """redact, partial, bucket or hash, as the SQL profile shows masked values; null becomes empty."""
     x = col(c).cast("string")
-    forms = {"redact": F.lit("•••"), "partial": F.concat(F.left(x, F.lit(2)), F.lit("•••"), F.right(x, F.lit(2))), "bucket": F.concat(F.lit("~"), F.format_string("%.0f", F.floor(x.try_cast("double") / 10) * 10)), "hash": F.concat(F.lit("id_"), F.conv(fnv1a(x).cast("string"), 10, 36))}
-    return F.when(x.isNotNull(), forms[mode])
+    parts = F.split(x, "@")
+    forms = {
+        "redact": F.repeat(F.lit("•"), F.least(F.length(x), F.lit(10))),
+        "partial": F.when(x.contains("@"), F.concat(F.left(parts[0], F.lit(1)), F.lit("•••@"), parts[1])).when(F.length(x) <= 4, F.lit("••••")).otherwise(F.concat(F.lit("••••"), F.right(x, F.lit(4)))),
+        "bucket": F.concat(F.upper(F.left(x, F.lit(2))), F.lit("•••")),
+        "hash": F.concat(F.lit("ID-"), short_id(x)),
+    }
+    return F.when(x.isNull() | (x == ""), F.lit("")).otherwise(forms[mode])

@@ -105,17 +105,16 @@ def rolling_z(y: Sequence[float], window: int = 12) -> list[float]:
             out.append(0.0)
             continue
         m = median(past)
-        scale = mad(past) or max(abs(m) * 0.01, 1e-9)
+        scale = mad(past) or pstdev(past) or max(abs(m), 1.0) * 1e-3
         out.append(max(-1e6, min(1e6, (v - m) / scale)))
     return out
 
 
 def cusum(y: Sequence[float], threshold: float = 5.0, drift: float = 0.5) -> list[int]:
     """Places where the two-sided cumulative sum of standardised values passes the threshold; it restarts there."""
-    s = stdev(y) if len(y) > 1 else 0.0
-    if not s:
+    if len(y) < 3:
         return []
-    m, up, down, out = mean(y), 0.0, 0.0, []
+    m, s, up, down, out = mean(y), pstdev(y) or 1.0, 0.0, 0.0, []
     for i, v in enumerate(y):
         z = (v - m) / s
         up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)

@@ -63,19 +63,33 @@ def top_values(df: DataFrame, column: str, k: int = 15) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), "value").limit(k).crossJoin(F.broadcast(n)).select("value", "n", F.round(100 * F.col("n") / F.col("_n"), 4).alias("pct"))
 
 
-_UNITS = {"minutely": 60, "hourly": 3600, "daily": 86400, "weekly": 604800, "monthly": 2629800, "quarterly": 7889400, "yearly": 31557600}
+# Units of time steps in seconds, the first that a median step fits is the granularity.
+UNITS = {"minute": 60, "hourly": 3600, "daily": 86400, "weekly": 604800, "monthly": 2592000, "quarterly": 7776000, "yearly": 31536000}
+#: Seconds of the stretches in which neighbouring dates are looked for on their own (about twelve days).
+STRETCH = 1 << 20
 
 
 def date_granularity(df: DataFrame, column: str) -> DataFrame:
-    """(dates, median_gap, granularity, gaps): from the distinct dates of a column."""
-    dates = df.select(F.unix_timestamp(F.col(column).cast("timestamp")).alias("t")).where("t is not null").distinct()
-    steps = dates.select("t", (F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("gap"))  # one row for each distinct date
-    stats = steps.agg(F.count(F.lit(1)).alias("dates"), F.median("gap").alias("median_gap"), F.collect_list("gap").alias("_g"))
-    name = F.lit("irregular")
-    for unit, seconds in reversed(_UNITS.items()):
-        name = F.when((F.col("median_gap") <= 1.35 * seconds) & (F.col("median_gap") * 1.35 >= seconds), unit).otherwise(name)
-    unit_of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _UNITS.items() for x in kv]), F.col("granularity")), F.col("median_gap").cast("int"))
-    return stats.withColumn("granularity", name).select("dates", "median_gap", "granularity", F.size(F.filter("_g", lambda g: g > 1.6 * unit_of)).cast("long").alias("gaps"))
+    """(dates, median_gap, granularity, gaps): from the distinct dates of a column; null below three dates, no gaps if irregular.
+
+    Steps are taken inside stretches of time; only the last date of each stretch is carried to the next one. The
+    median is weighted over distinct steps.
+    """
+    dates = df.select(F.unix_timestamp(F.col(column).cast("timestamp")).alias("t")).where("t is not null").distinct().withColumn("s", F.floor(F.col("t") / STRETCH))
+    ends = dates.groupBy("s").agg(F.max("t").alias("end")).select("s", F.lag("end").over(Window.orderBy("s")).alias("before"))  # a row for each twelve days
+    steps = dates.select("s", "t", F.lag("t").over(Window.partitionBy("s").orderBy("t")).alias("p")).join(ends, "s").select((F.col("t") - F.coalesce("p", "before")).alias("gap"))
+    counts = steps.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dates"), F.percentile("gap", F.lit(0.5), F.expr("if(gap is null, 0, n)")).alias("median_gap"))
+    name, unit = F.lit("irregular"), F.lit(None).cast("long")
+    for label, seconds in reversed(UNITS.items()):
+        fits = F.col("median_gap") <= 1.35 * seconds
+        name, unit = F.when(fits, label).otherwise(name), F.when(fits, F.lit(seconds).cast("long")).otherwise(unit)
+    enough = F.col("dates") >= 3
+    stats = stats.select("dates", "median_gap", F.when(enough, name).alias("granularity"), F.when(enough, unit).alias("_unit"))
+    over = F.sum(F.when(F.col("gap") > 1.6 * F.col("_unit"), F.col("n")).otherwise(0))
+    same = [F.max(c).alias(c) for c in ("median_gap", "granularity", "_unit")]  # one value each
+    out = counts.crossJoin(F.broadcast(stats)).agg(F.coalesce(F.max("dates"), F.lit(0)).alias("dates"), *same, over.alias("g"))
+    return out.select("dates", "median_gap", "granularity", F.when(F.col("_unit").isNotNull(), F.col("g")).alias("gaps"))
 
 
 def key_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import blank, ratio
+from plumbline.operators import profile
 
 # Weights of the dimensions, by profile (completeness, uniqueness, validity, consistency, outliers/cardinality, timeliness).
 WEIGHTS = {"core": (0.30, 0.15, 0.20, 0.10, 0.15, 0.10), "sql": (0.28, 0.18, 0.18, 0.14, 0.12, 0.10)}
@@ -101,6 +102,49 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").agg(F.count(F.lit(1)).alias("violations"))
 
 
+# Share of rows from which an issue is critical; days that data of a granularity may be old.
+CRITICAL = 30
+TOLERANCE = {"hourly": 2, "daily": 7, "weekly": 21, "monthly": 75, "quarterly": 200, "yearly": 500}
+
+
+def dimensions(df: DataFrame, as_of: str, date: str | None = None, amounts: tuple[str, ...] = (), shares: tuple[str, ...] = (), emails: tuple[str, ...] = (), categories: tuple[str, ...] = (), measures: tuple[str, ...] = ()) -> DataFrame:
+    """One row: completeness, uniqueness, validity, consistency, accuracy, timeliness, each from 0 to 100, their weighted score, and
+    whether an issue is critical: it touches CRITICAL percent of the rows (negative amounts never are, they may be refunds).
+
+    amounts must not be negative; shares lie in 0..1, or 0..100 if any is beyond 1.5; categories are checked for
+    spelling; measures of 20 values or more for outliers. A table without rows is complete and valid but for nothing.
+    """
+    q = lambda c: f"`{c}`"
+    count = lambda c: F.coalesce(F.count_if(F.coalesce(c, F.lit(False))), F.lit(0))
+    refunds = [count(negative(q(c))) for c in amounts]
+    broken = [count(bad_email(q(c))) for c in emails]
+    broken += [F.when(F.max(F.abs(F.col(q(c)))) > 1.5, count(outside_percentage(q(c), 100))).otherwise(count(outside_percentage(q(c), 1))) for c in shares]
+    broken += [count(implausible_date(q(date), as_of))] if date else []
+    constant = [F.when(F.coalesce(F.min(q(c)) == F.max(q(c)), F.lit(True)), 1).otherwise(0) for c in df.columns]
+    gone = [count(F.col(q(c)).isNull()) for c in df.columns]
+    one = df.agg(F.count(F.lit(1)).alias("n"), sum(gone, F.lit(0)).alias("missing"), sum(refunds + broken, F.lit(0)).alias("invalid"), F.greatest(F.lit(0), F.lit(0), *gone, *broken).alias("worst"), sum(constant, F.lit(0)).alias("constant"))
+    one = one.crossJoin(F.broadcast(exact_duplicates(df).select("duplicates")))
+    for i, c in enumerate(categories):
+        one = one.crossJoin(F.broadcast(casing(df, q(c)).select(F.col("inconsistent").alias(f"c{i}"))))
+    for i, c in enumerate(measures):
+        one = one.crossJoin(F.broadcast(robust_outliers(df, q(c)).select(F.when(F.col("n") >= 20, F.col("outliers")).otherwise(0).alias(f"o{i}"))))
+    late = F.lit(100.0)
+    if date:
+        one = one.crossJoin(F.broadcast(profile.date_granularity(df, date).select("granularity"))).crossJoin(F.broadcast(timeliness(df, date, as_of).select("age_days")))
+        most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv]), F.coalesce("granularity", F.lit("daily"))), F.lit(30))
+        late = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - 1.5 * F.greatest(F.lit(0), F.col("age_days") - most))), F.lit(100.0))
+    cells, part = F.col("n") * len(df.columns), lambda a, b: F.when(b > 0, 100 * a / b).otherwise(0.0)
+    total = lambda letter, names: sum((F.col(f"{letter}{i}") for i in range(len(names))), F.lit(0))
+    parts = {
+        "completeness": 100 - part(F.col("missing"), cells), "uniqueness": 100 - F.least(2 * part(F.col("duplicates"), F.col("n")), F.lit(100.0)),
+        "validity": 100 - F.least(4 * part(F.col("invalid") + total("c", categories), cells), F.lit(100.0)), "consistency": 100 - F.least(100.0 * F.col("constant") / max(1, len(df.columns)), F.lit(40.0)),
+        "accuracy": 100 - F.least(1.5 * part(total("o", measures), F.col("n")), F.lit(100.0)), "timeliness": late,
+    }
+    worst = F.greatest("worst", "duplicates", *[F.col(f"c{i}") for i in range(len(categories))])
+    out = one.select(*[F.round(c.cast("double"), 2).alias(k) for k, c in parts.items()], (part(worst, F.col("n")) >= CRITICAL).alias("critical"))
+    return out.withColumn("score", F.round(sum(w * F.col(k) for w, k in zip(WEIGHTS["core"], parts)), 2))
+
+
 def score(parts: tuple[float, ...], profile: str = "core") -> float:
     return sum(w * p for w, p in zip(WEIGHTS[profile], parts))
 

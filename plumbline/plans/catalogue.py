@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import calendar_index, fnv1a, masked, month_steps, period, period_label, pseudonym, ratio, row_key, surrogate_key, truthy
+from plumbline.functions.columns import calendar_index, fnv1a, masked, month_steps, period, period_label, pseudonym, ratio, redacted, row_key, surrogate_key, truthy
 from plumbline.operators import anomaly, customers, experiment, kpi, ledger, privacy, profile, quality, rootcause, segments, warehouse
 from plumbline.plans import dialect, recipes
 from plumbline.sources import demo, readers
@@ -256,7 +256,12 @@ def profile_top_values(spark, d):
     return profile.top_values(t(spark, d, "documents"), "lang")
 
 
-@query("""WITH x AS (SELECT DISTINCT epoch(o_orderdate) AS s FROM orders), g AS (SELECT s - lag(s) OVER (ORDER BY s) AS gap FROM x) SELECT count(*) + 0 AS dates, median(gap) AS median_gap, 'daily' AS granularity, count(*) FILTER (WHERE gap > 1.6 * 86400) AS gaps FROM g""")
+_UNIT = "CASE WHEN dates < 3 THEN NULL " + " ".join(f"WHEN median_gap <= 1.35 * {s} THEN {{{i}}}" for i, s in enumerate(profile.UNITS.values())) + " ELSE {last} END"
+
+
+@query(f"""WITH x AS (SELECT DISTINCT epoch(o_orderdate) AS s FROM orders), g AS (SELECT s - lag(s) OVER (ORDER BY s) AS gap FROM x), m AS (SELECT count(*) AS dates, median(gap) AS median_gap FROM g),
+  u AS (SELECT dates, median_gap, {_UNIT.format(*[f"'{k}'" for k in profile.UNITS], last="'irregular'")} AS granularity, {_UNIT.format(*profile.UNITS.values(), last="NULL")} AS unit FROM m)
+  SELECT dates, median_gap, granularity, CASE WHEN unit IS NOT NULL THEN (SELECT count(*) FROM g WHERE gap > 1.6 * unit) END AS gaps FROM u""")
 def date_granularity(spark, d):
     return profile.date_granularity(t(spark, d, "orders"), "o_orderdate").withColumn("median_gap", F.col("median_gap").cast("double"))
 
@@ -616,11 +621,34 @@ def mask_values(spark, d):
     return c.select("c_custkey", masked("email", "email").alias("email"), masked("card", "payment_card").alias("card"), masked("ip", "ip_address").alias("ip"), pseudonym(F.col("c_name")).alias("token"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({c}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
+
+
+@query(f"""SELECT n_name, {_FNV.format(c="n_name")} AS h FROM nation""")
 def fnv_pseudonyms(spark, d):
     return t(spark, d, "nation").select("n_name", fnv1a(F.col("n_name")).alias("h"))
 
 
+@query(f"""WITH e AS (SELECT c_custkey, c_name, lower(c_mktsegment) || '@mail.example.com' AS email FROM customer)
+  SELECT c_custkey, repeat('•', least(length(c_name), 10)) AS gone, left(email, 1) || '•••@mail.example.com' AS mail, '••••' || right(c_name, 4) AS part, upper(left(c_name, 2)) || '•••' AS kind, 'ID-' || lpad(to_base({_FNV.format(c="c_name")}, 36), 7, '0') AS token FROM e""")
+def sql_masks(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name", F.concat(F.lower("c_mktsegment"), F.lit("@mail.example.com")).alias("email"))
+    return c.select("c_custkey", redacted("c_name", "redact").alias("gone"), redacted("email", "partial").alias("mail"), redacted("c_name", "partial").alias("part"), redacted("c_name", "bucket").alias("kind"), redacted("c_name", "hash").alias("token"))
+
+
+@query("""WITH o AS (SELECT *, date_trunc('day', o_orderdate) AS d FROM orders), b AS (SELECT count(*) AS n, count(*) * 6 AS cells, count_if(o_totalprice < 0) + count_if(o_orderdate > TIMESTAMP '1998-10-02' OR o_orderdate < TIMESTAMP '1970-01-01') AS invalid, median(o_totalprice) AS med, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3, stddev_samp(o_totalprice) AS sd, max(o_orderdate) AS latest,
+  6 * count(*) - count(o_orderkey) - count(o_custkey) - count(o_orderstatus) - count(o_totalprice) - count(o_orderdate) - count(o_orderpriority) AS missing FROM orders),
+  c AS (SELECT CAST(count(DISTINCT o_orderkey) <= 1 AS INT) + CAST(count(DISTINCT o_custkey) <= 1 AS INT) + CAST(count(DISTINCT o_orderstatus) <= 1 AS INT) + CAST(count(DISTINCT o_totalprice) <= 1 AS INT) + CAST(count(DISTINCT o_orderdate) <= 1 AS INT) + CAST(count(DISTINCT o_orderpriority) <= 1 AS INT) AS constant FROM orders),
+  m AS (SELECT 1.4826 * median(abs(o_totalprice - med)) AS scale FROM orders, b), u AS (SELECT count(*) AS outliers FROM orders, b, m WHERE (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) AND abs(o_totalprice - med) / CASE WHEN scale > 0 THEN scale ELSE sd END > 3.5),
+  x AS (SELECT count(*) AS kinds FROM (SELECT DISTINCT * FROM orders)), s AS (SELECT coalesce(sum(n) FILTER (WHERE v <> trim(v) OR forms > 1), 0) AS spelt FROM (SELECT v, n, count(DISTINCT trim(v)) OVER (PARTITION BY k, lower(trim(v))) AS forms FROM (SELECT 1 AS k, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 2, o_orderpriority, count(*) FROM orders GROUP BY 2))),
+  g AS (SELECT median(gap) AS gap FROM (SELECT epoch(o_orderdate) - lag(epoch(o_orderdate)) OVER (ORDER BY o_orderdate) AS gap FROM (SELECT DISTINCT o_orderdate FROM orders))), l AS (SELECT CASE WHEN gap <= 81 THEN 30 WHEN gap <= 4860 THEN 2 WHEN gap <= 116640 THEN 7 WHEN gap <= 816480 THEN 21 WHEN gap <= 3499200 THEN 75 WHEN gap <= 10497600 THEN 200 WHEN gap <= 42573600 THEN 500 ELSE 30 END AS tolerance FROM g),
+  p AS (SELECT round(100 - 100.0 * missing / cells, 2) AS completeness, round(100 - least(200.0 * (n - kinds) / n, 100), 2) AS uniqueness, round(100 - least(400.0 * (invalid + spelt) / cells, 100), 2) AS validity, round(100 - least(100.0 * constant / 6, 40), 2) AS consistency, round(100 - least(150.0 * outliers / n, 100), 2) AS accuracy,
+  round(greatest(0, least(100, 100 - 1.5 * greatest(0, date_diff('day', CAST(latest AS DATE), DATE '1998-10-01') - tolerance))), 2) AS timeliness FROM b, c, u, x, s, l)
+  SELECT CAST(completeness AS DOUBLE) AS completeness, CAST(uniqueness AS DOUBLE) AS uniqueness, CAST(validity AS DOUBLE) AS validity, CAST(consistency AS DOUBLE) AS consistency, CAST(accuracy AS DOUBLE) AS accuracy, CAST(timeliness AS DOUBLE) AS timeliness, CAST(round(0.30 * completeness + 0.15 * uniqueness + 0.20 * validity + 0.10 * consistency + 0.15 * accuracy + 0.10 * timeliness, 2) AS DOUBLE) AS score FROM p""")
+def quality_score(spark, d):
+    return quality.dimensions(t(spark, d, "orders"), "1998-10-01", "o_orderdate", amounts=("o_totalprice",), categories=("o_orderstatus", "o_orderpriority"), measures=("o_totalprice",)).drop("critical")
+
+
 # -- joins, sets, scalars -----------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def dimensions(df: DataFrame, roles: dict[str, str], private: set[str], most: in
     return [c for _, c in sorted(fit)][:most]
 
 
-def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str] | None = None, grain: str | None = None, horizon: int = 3, title: str = "Analysis") -> dict:
+def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str] | None = None, grain: str | None = None, horizon: int = 3, title: str = "Analysis", as_of: str | None = None) -> dict:
     """Profile, quality, privacy, roles, KPIs, anomalies, root cause, forecast, report. A stage that fails becomes a warning."""
     out: dict = {"warnings": []}
 
@@ -129,11 +130,13 @@ def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str]
         out["domain"], out["domain_confidence"] = detect_domain(df.columns, bound)
 
         def checks() -> dict:
-            m, d = quality.missing(df).first(), quality.exact_duplicates(df).first()
-            unique = 100 * d["distinct_rows"] / d["row_count"] if d["row_count"] else 100.0
-            parts = (m["completeness"] or 100.0, unique, 100.0, 100.0, 100.0, 100.0)
-            total = quality.score(parts)
-            return {"completeness": m["completeness"], "duplicates": d["duplicates"], "score": total, "grade": quality.grade(total)[0], "usable": quality.grade(total)[1]}
+            kinds, mail = dict(df.dtypes), [c for c, f in (out.get("privacy") or {}).items() if f.get("category") == "email"]
+            money = tuple(c for r, c in bound.items() if r in ("revenue", "marketing_spend", "cost", "quantity", "salary") and profile.is_numeric(kinds[c]))
+            share = tuple(c for r, c in bound.items() if r == "discount" and profile.is_numeric(kinds[c]))
+            texts = tuple(dimensions(df, bound, set(mail)))
+            parts = quality.dimensions(df, as_of or datetime.now(timezone.utc).date().isoformat(), bound.get("date"), tuple(dict.fromkeys(money)), share, tuple(mail), texts, tuple(dict.fromkeys((*money, *share)))).first().asDict()
+            letter = quality.grade(parts["score"], critical=parts["critical"])
+            return {**parts, "duplicates": quality.exact_duplicates(df).first()["duplicates"], "grade": letter[0], "usable": letter[1]}
 
         stage("quality", checks)
         date = bound.get("date")

@@ -8,10 +8,12 @@ import zipfile
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from plumbline.functions import columns, stats
 from plumbline.functions import series as S
-from plumbline.functions import stats
 from plumbline.functions.stats import Moments
-from plumbline.operators import customers, experiment, quality, repair, rootcause
+from plumbline.operators import customers, experiment, profile, quality, repair, rootcause
 from plumbline.plans import catalogue, dialect, render, roles
 from plumbline.sources import demo, preview, readers, urls, xlsx
 
@@ -106,6 +108,61 @@ def test_analyse_runs_without_warnings(spark):
     assert "report" in empty
 
 
+def test_quality_measures_each_dimension(spark):
+    nothing = spark.createDataFrame([(None, None, None)] * 40, "a string, b double, d timestamp")
+    r = quality.dimensions(nothing, "2026-01-01", date="d", amounts=("b",), categories=("a",), measures=("b",)).first()
+    assert r["completeness"] == 0 and r["uniqueness"] == 0 and r["consistency"] == 60 and r["score"] < 60
+    out = roles.analyse(nothing)["quality"]
+    assert out["score"] < 60 and not out["usable"]
+    rows = [(f"x{i % 5}", float(i % 10), f"2025-12-{1 + i % 28:02d}") for i in range(100)] + [(" x1", -5.0, "2025-12-01"), ("X1", 9000.0, "2025-12-02")]
+    df = spark.createDataFrame(rows, "a string, b double, d string").selectExpr("a", "b", "cast(d as timestamp) d")
+    r = quality.dimensions(df, "2026-01-10", date="d", amounts=("b",), categories=("a",), measures=("b",)).first()
+    assert r["completeness"] == 100 and r["validity"] < 100 and r["accuracy"] < 100 and r["timeliness"] == 100 - 1.5 * (13 - 7) and r["uniqueness"] == 100 and not r["critical"]
+    assert quality.dimensions(df.limit(0), "2026-01-10", date="d").first()["timeliness"] == 100
+
+
+def test_granularity_rules(spark):
+    def of(days):
+        r = profile.date_granularity(spark.createDataFrame([(d,) for d in days], "d string").selectExpr("cast(d as timestamp) d"), "d").first()
+        return r["dates"], r["granularity"], r["gaps"]
+
+    assert of(["2025-01-01", "2025-01-02"]) == (2, None, None)
+    assert of(["2025-01-01", "2025-01-02", "2025-01-03", "2025-01-06", None, "2025-01-06"]) == (4, "daily", 1)
+    assert of([f"2025-{m:02d}-01" for m in range(1, 13)]) == (12, "monthly", 0)
+    assert of(["1900-01-01", "1950-01-01", "2000-01-01"]) == (3, "irregular", None)
+    assert of(["2025-01-01 00:00:10", "2025-01-01 00:00:11", "2025-01-01 00:00:12", "2025-01-01 00:09:12"]) == (4, "minute", 1)
+    assert of([]) == (0, None, None)
+
+
+def test_short_ids_and_masks(spark):
+    def fnv(text):
+        h = 2166136261
+        units = text.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "little")) * 16777619) % 2**32
+        digits = ""
+        while h:
+            h, d = divmod(h, 36)
+            digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[d] + digits
+        return digits.rjust(7, "0")
+
+    texts = ["", "a", "Zoë", "日本語", "😀 smile", "x" * 300]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in df.select(columns.short_id(F.col("t"))).collect()][1:] == [fnv(x) for x in texts][1:]
+    forms = {m: [r[0] for r in spark.createDataFrame([("ab@c.de",), ("abc",), ("abcdef",), ("",), (None,)], "t string").select(columns.redacted("t", m)).collect()] for m in ("redact", "partial", "bucket", "hash")}
+    assert forms["redact"] == ["•" * 7, "•" * 3, "•" * 6, "", ""] and forms["partial"] == ["a•••@c.de", "••••", "••••cdef", "", ""]
+    assert forms["bucket"] == ["AB•••", "AB•••", "AB•••", "", ""] and forms["hash"][:2] == ["ID-" + fnv("ab@c.de"), "ID-" + fnv("abc")]
+
+
+def test_detectors_against_closed_forms():
+    assert S.rolling_z([0.0, 0.0, 0.0, 0.001]) == [0.0, 0.0, 0.0, 1.0]  # a flat window: a thousandth of its level, of one at least
+    z = S.rolling_z([1.0, 1.0, 1.0, 5.0, 2.0])
+    assert math.isclose(z[3], 4000.0) and math.isclose(z[4], 1.0 / math.sqrt(3))  # no median deviation: the standard deviation
+    assert S.cusum([1.0, 2.0]) == [] and S.cusum([3.0] * 10) == []
+    y = [0.0] * 10 + [1.0] * 10
+    assert S.cusum(y, threshold=2.0) == [4, 9, 14, 19]  # steps of 1 - 0.5 in population deviations
+
+
 def test_customers(spark):
     assert math.isclose(customers.predicted_clv(10, 0.8), 50)
     assert math.isclose(customers.expected_lifetime(0.75), 4)
