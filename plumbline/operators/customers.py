@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import calendar_index, elapsed_days, ratio
+from plumbline.operators import ordered
 
 
 def activity(df: DataFrame, customer: str, date: str, value: Column, order: str | None = None) -> DataFrame:
@@ -14,18 +15,22 @@ def activity(df: DataFrame, customer: str, date: str, value: Column, order: str
     return df.where(F.col(customer).isNotNull()).groupBy(F.col(customer).alias("customer")).agg(F.min(date).alias("first_at"), F.max(date).alias("last_at"), n.alias("frequency"), F.sum(value).alias("monetary"))
 
 
-def ranked(df: DataFrame, column: str, down: bool = False) -> DataFrame:
-    """Adds `<column>_rank`: the average percentile rank, from distinct values.
+def ranks(df: DataFrame, columns: dict[str, bool]) -> DataFrame:
+    """Adds `<column>_rank` for each column -> downwards: the average percentile rank, from distinct values.
 
     Distinct values with their counts are far fewer than customers for recency and frequency; ranks come from a
     running count over them, and customers join on the value.
     """
-    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.desc(column) if down else F.asc(column)
-    w = Window.orderBy(order)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    places = values.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).crossJoin(F.broadcast(total))
-    return df.join(places.select(column, ((F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(f"{column}_rank")), column)
+    total, out = df.agg(F.count(F.lit(1)).alias("_total")), df
+    for column, down in columns.items():
+        values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+        places = ordered.running(values, column, "_n", down=down).crossJoin(F.broadcast(total))
+        out = out.join(places.select(column, ((F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(f"{column}_rank")), column)
+    return out
+
+
+def ranked(df: DataFrame, column: str, down: bool = False) -> DataFrame:
+    return ranks(df, {column: down})
 
 
 def _band(rank: str, bins: int) -> Column:
@@ -43,7 +48,7 @@ def rfm(df: DataFrame, customer: str, date: str, value: Column, as_of: str | Non
         last = a.agg((F.max("last_at") + F.expr("interval 1 day")).alias("_end"))
         a, end = a.crossJoin(F.broadcast(last)), F.col("_end")
     a = a.withColumn("recency", elapsed_days(end, F.col("last_at")))
-    out = ranked(ranked(ranked(a, "recency", True), "frequency"), "monetary")
+    out = ranks(a, {"recency": True, "frequency": False, "monetary": False})
     out = out.select("customer", "recency", "frequency", "monetary", _band("recency_rank", bins).alias("r"), _band("frequency_rank", bins).alias("f"), _band("monetary_rank", bins).alias("m"))
     return out.withColumn("segment", rfm_segment(bins))
 
@@ -80,8 +85,12 @@ def rfm_percent_rank(df: DataFrame, customer: str, date: str, value: Column, ord
     a = activity(df, customer, date, value, order)
     last = a.agg(F.max("last_at").alias("_end"))
     a = a.crossJoin(F.broadcast(last)).withColumn("recency", F.datediff("_end", "last_at"))
-    band = lambda c: (F.floor(F.percent_rank().over(Window.orderBy(c)) * 5) + 1).cast("long")
-    out = a.select("customer", band(F.desc("recency")).alias("r"), band(F.asc("frequency")).alias("f"), band(F.asc("monetary")).alias("m"))
+    total, out = a.agg(F.count(F.lit(1)).alias("_total")), a
+    for name, c, down in (("r", "recency", True), ("f", "frequency", False), ("m", "monetary", False)):
+        places = ordered.running(a.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", down=down).crossJoin(F.broadcast(total))
+        share = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0)
+        out = out.join(places.select(F.col(c).alias("_v"), (F.floor(share * 5) + 1).cast("long").alias(name)), F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
+    out = out.select("customer", "r", "f", "m")
     r, f, m = F.col("r"), F.col("f"), F.col("m")
     label = F
     for name, holds in (("Champions", (r >= 4) & (f >= 4) & (m >= 4)), ("Loyal", (r >= 3) & (f >= 3)), ("New / promising", (r >= 4) & (f <= 2)), ("Big spenders", (r >= 3) & (m >= 4)), ("At risk", (r == 2) & (f >= 3)), ("Cooling", r == 2), ("Lost high value", (r == 1) & (m >= 4))):
@@ -89,11 +98,33 @@ def rfm_percent_rank(df: DataFrame, customer: str, date: str, value: Column, ord
     return out.withColumn("segment", label.otherwise("Dormant"))
 
 
+# Labels of the ntile profile and the scores they stand for, the first that holds wins.
+NTILE_SEGMENTS = (
+    ("champion", lambda r, f, m: (r >= 4) & (f >= 4)),
+    ("new", lambda r, f, m: (r >= 4) & (f <= 2)),
+    ("at risk", lambda r, f, m: (r <= 2) & (f >= 4)),
+    ("lapsed", lambda r, f, m: (r <= 2) & (f <= 2)),
+)
+
+
 def rfm_ntile(df: DataFrame, customer: str, date: str, value: Column) -> DataFrame:
-    """(customer, r, f, m) by ntile(5), ties in order of customer."""
+    """(customer, r, f, m, segment) by ntile(5), ties in order of customer; the first rows of each order get the larger bands."""
     a = activity(df, customer, date, value)
-    tile = lambda c: F.ntile(5).over(Window.orderBy(c, "customer")).cast("long")
-    return a.select("customer", tile(F.asc("last_at")).alias("r"), tile(F.asc("frequency")).alias("f"), tile(F.asc("monetary")).alias("m"))
+    wide = a.select("customer").crossJoin(F.broadcast(a.agg(F.count(F.lit(1)).alias("_total"))))
+    for name, c in (("r", "last_at"), ("f", "frequency"), ("m", "monetary")):
+        wide = wide.join(ordered.numbered(a.select("customer", c), c, "customer").select("customer", F.col("_place").alias(f"_{name}")), "customer")
+    small, extra = F.floor(F.col("_total") / 5), F.col("_total") % 5
+
+    def tile(place: Column) -> Column:
+        long = extra * (small + 1)
+        return (F.when(place <= long, F.floor((place - 1) / (small + 1))).otherwise(extra + F.floor((place - 1 - long) / F.greatest(small, F.lit(1)))) + 1).cast("long")
+
+    out = wide.select("customer", *[tile(F.col(f"_{c}")).alias(c) for c in "rfm"])
+    r, f, m = F.col("r"), F.col("f"), F.col("m")
+    label = F
+    for name, holds in NTILE_SEGMENTS:
+        label = label.when(holds(r, f, m), F.lit(name))
+    return out.withColumn("segment", label.otherwise("core"))
 
 
 def cohorts(df: DataFrame, customer: str, date: str, freq: str = "M", last: int = 12) -> DataFrame:
@@ -122,8 +153,7 @@ def alive(a: DataFrame, as_of: Column) -> DataFrame:
 def gini(a: DataFrame, value: str = "monetary") -> DataFrame:
     """(customers, gini) from distinct values and their counts: sum of value times the ranks it spans."""
     v = a.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.orderBy("v")
-    r = v.withColumn("last", F.sum("n").over(w)).withColumn("ranks", F.col("n") * (2 * F.col("last") - F.col("n") + 1) / 2)
+    r = ordered.running(v, "v", "n").withColumn("ranks", F.col("n") * (2 * F.col("_before") + F.col("n") + 1) / 2)
     n, total = F.sum("n"), F.sum(F.col("v") * F.col("n"))
     return r.agg(n.cast("long").alias("customers"), (2 * F.sum(F.col("v") * F.col("ranks")) / (n * total) - (n + 1) / n).alias("gini"))
 

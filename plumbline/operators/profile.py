@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import ordered
+
 NUMERIC = ("byte", "tinyint", "short", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -27,20 +29,21 @@ def counts(df: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n, low, high, mean, median, std, p05, p25, p75, p95, zeros, negatives, skewness, kurtosis).
 
-    Percentiles are exact. Skewness and excess kurtosis use the sample deviation.
+    Percentiles are exact, from ordered ranges of counted values. Skewness and excess kurtosis use the sample deviation.
     """
     cols = columns or [c for c, k in df.dtypes if is_numeric(k)]
     parts = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.percentile(x, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias(f"q{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"g{i}"), F.skewness(x).alias(f"k{i}"), F.kurtosis(x).alias(f"u{i}")]
+        parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"g{i}"), F.skewness(x).alias(f"k{i}"), F.kurtosis(x).alias(f"u{i}")]
     one = df.agg(*parts)
     rows = []
     for i, c in enumerate(cols):
         shrink = (F.col(f"n{i}") - 1) / F.col(f"n{i}")
-        q = F.col(f"q{i}")
-        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"m{i}").alias("mean"), q[2].alias("median"), F.col(f"s{i}").alias("std"), q[0].alias("p05"), q[1].alias("p25"), q[3].alias("p75"), q[4].alias("p95"), F.col(f"z{i}").alias("zeros"), F.col(f"g{i}").alias("negatives"), (F.col(f"k{i}") * F.pow(shrink, F.lit(1.5))).alias("skewness"), ((F.col(f"u{i}") + 3) * F.pow(shrink, F.lit(2)) - 3).alias("kurtosis")))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"z{i}").alias("zeros"), F.col(f"g{i}").alias("negatives"), (F.col(f"k{i}") * F.pow(shrink, F.lit(1.5))).alias("skewness"), ((F.col(f"u{i}") + 3) * F.pow(shrink, F.lit(2)) - 3).alias("kurtosis")))
+    moments = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    q = F.broadcast(ordered.quantiles(df, cols, (0.05, 0.25, 0.5, 0.75, 0.95)).select("column", F.col("quantiles").alias("q")))  # a row for each column
+    return moments.join(q, "column", "left").select("column", "n", "low", "high", "mean", F.col("q")[2].alias("median"), "std", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p25"), F.col("q")[3].alias("p75"), F.col("q")[4].alias("p95"), "zeros", "negatives", "skewness", "kurtosis")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

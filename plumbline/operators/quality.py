@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import blank, ratio
-from plumbline.operators import profile
+from plumbline.operators import ordered, profile
 
 # Weights of the dimensions, by profile (completeness, uniqueness, validity, consistency, outliers/cardinality, timeliness).
 WEIGHTS = {"core": (0.30, 0.15, 0.20, 0.10, 0.15, 0.10), "sql": (0.28, 0.18, 0.18, 0.14, 0.12, 0.10)}
@@ -67,7 +67,7 @@ def casing(df: DataFrame, c: str) -> DataFrame:
 def tukey(df: DataFrame, c: str, reach: float = 1.5) -> DataFrame:
     """(low_fence, high_fence, outliers, share_of_total)."""
     x = F.col(c).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0] - reach * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"), (F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"))
+    q = ordered.quantiles(df.select(x.alias("x")), ["x"], (0.25, 0.75)).select(F.col("quantiles").alias("q")).select((F.col("q")[0] - reach * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"), (F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"))
     out = (x < F.col("low_fence")) | (x > F.col("high_fence"))
     return df.select(x.alias(c)).crossJoin(F.broadcast(q)).groupBy("low_fence", "high_fence").agg(F.count_if(out).alias("outliers"), ratio(F.sum(F.when(out, F.abs(x)).otherwise(0.0)), F.sum(F.abs(x)), 100).alias("share_of_total"))
 
@@ -75,9 +75,10 @@ def tukey(df: DataFrame, c: str, reach: float = 1.5) -> DataFrame:
 def robust_outliers(df: DataFrame, c: str, reach: float = 1.5, z: float = 3.5) -> DataFrame:
     """(n, median, mad, outliers): beyond the fences and beyond `z` scaled median deviations."""
     x = F.col(c).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp(x).alias("s"))
-    near = df.select(x.alias("x")).where("x is not null").crossJoin(F.broadcast(q))
-    dev = near.agg(F.median(F.abs(F.col("x") - F.col("q")[1])).alias("mad"))
+    values = df.select(x.alias("x")).where("x is not null")
+    q = values.agg(F.stddev_samp("x").alias("s")).crossJoin(F.broadcast(ordered.quantiles(values, ["x"], (0.25, 0.5, 0.75)).select(F.col("quantiles").alias("q"))))
+    near = values.crossJoin(F.broadcast(q))
+    dev = ordered.quantiles(near.select(F.abs(F.col("x") - F.col("q")[1]).alias("d")), ["d"], (0.5,)).select(F.col("quantiles")[0].alias("mad"))
     scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("s"))
     width = reach * (F.col("q")[2] - F.col("q")[0])
     out = ((F.col("x") < F.col("q")[0] - width) | (F.col("x") > F.col("q")[2] + width)) & (F.abs(F.col("x") - F.col("q")[1]) / scale > z)

@@ -470,7 +470,7 @@ def rfm_percent_rank(spark, d):
     return customers.rfm_percent_rank(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"), "o_orderkey")
 
 
-@query(f"SELECT customer, CAST(ntile(5) OVER (ORDER BY last_at, customer) AS BIGINT) AS r, CAST(ntile(5) OVER (ORDER BY frequency, customer) AS BIGINT) AS f, CAST(ntile(5) OVER (ORDER BY monetary, customer) AS BIGINT) AS m FROM {_ACT}")
+@query(f"""WITH s AS (SELECT customer, CAST(ntile(5) OVER (ORDER BY last_at, customer) AS BIGINT) AS r, CAST(ntile(5) OVER (ORDER BY frequency, customer) AS BIGINT) AS f, CAST(ntile(5) OVER (ORDER BY monetary, customer) AS BIGINT) AS m FROM {_ACT}) SELECT *, CASE WHEN r >= 4 AND f >= 4 THEN 'champion' WHEN r >= 4 AND f <= 2 THEN 'new' WHEN r <= 2 AND f >= 4 THEN 'at risk' WHEN r <= 2 AND f <= 2 THEN 'lapsed' ELSE 'core' END AS segment FROM s""")
 def rfm_ntile(spark, d):
     return customers.rfm_ntile(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))
 
@@ -577,7 +577,7 @@ def corr_pearson(spark, d):
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM orders) SELECT round(corr(a, b), 8) AS spearman, count(*) AS n FROM r""")
 def corr_spearman(spark, d):
     o = t(spark, d, "orders").select("o_totalprice", "o_custkey")
-    return customers.ranked(customers.ranked(o, "o_totalprice"), "o_custkey").agg(F.round(F.corr("o_totalprice_rank", "o_custkey_rank"), 8).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return customers.ranks(o, {"o_totalprice": False, "o_custkey": False}).agg(F.round(F.corr("o_totalprice_rank", "o_custkey_rank"), 8).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderpriority AS grp, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(var_samp(o_totalprice), 2) AS variance FROM orders GROUP BY 1")
