@@ -74,22 +74,35 @@ def numbered(df: DataFrame, column: str, key: str) -> DataFrame:
 def quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...]) -> DataFrame:
     """(column, n, quantiles): exact, with linear interpolation; a column without values has no row.
 
-    Values are counted first (with partial counts before the shuffle), and only the values at the wanted places leave
-    the ordered ranges.
+    A first pass counts ranges (a table of ranges after partial counts). They tell which ranges hold the wanted places, at
+    most two for each column and probability; a second pass shuffles the values of those alone.
     """
     tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c.strip('`')}`").cast("double").alias("value")) for c in columns])).alias("r")).select("r.*").where("value is not null")
-    counts = tall.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy("column").agg(F.sum("_n").alias("n"))
-    placed = running(counts, "value", "_n", ["column"]).join(F.broadcast(sizes), "column")
-    parts = []
-    for i, p in enumerate(probabilities):
+    tall = _ranged(tall, "value", "_range")
+    whole = Window.partitionBy("column")
+    counts = tall.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("_k"))
+    ranges = counts.withColumn("n", F.sum("_k").over(whole)).withColumn("_start", F.sum("_k").over(whole.orderBy("_range")) - F.col("_k"))
+
+    def places(p: float) -> tuple[Column, Column, Column]:
         at = F.lit(p) * (F.col("n") - 1)
-        holds = lambda place: (F.col("_before") <= place) & (place < F.col("_before") + F.col("_n"))
-        parts += [F.max(F.when(holds(F.floor(at)), F.col("value"))).alias(f"a{i}"), F.max(F.when(holds(F.ceil(at)), F.col("value"))).alias(f"b{i}")]
-    ends = placed.groupBy("column", "n").agg(*parts)
+        return F.floor(at), F.ceil(at), at
+
+    holds = lambda place, first, size: (F.col(first) <= place) & (place < F.col(first) + F.col(size))
+    wanted = F.lit(False)
+    for p in probabilities:
+        low, high, _ = places(p)
+        wanted = wanted | holds(low, "_start", "_k") | holds(high, "_start", "_k")
+    near = tall.join(F.broadcast(ranges.where(wanted).drop("_k")), ["column", "_range"])
+    values = near.groupBy("column", "n", "_range", "_start", "value").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("column", "_range").orderBy("value")
+    placed = values.withColumn("_before", F.col("_start") + F.sum("_n").over(own) - F.col("_n"))
+    ends = []
+    for i, p in enumerate(probabilities):
+        low, high, _ = places(p)
+        ends += [F.max(F.when(holds(low, "_before", "_n"), F.col("value"))).alias(f"a{i}"), F.max(F.when(holds(high, "_before", "_n"), F.col("value"))).alias(f"b{i}")]
 
     def mix(i: int, p: float) -> Column:
-        at, low, high = F.lit(p) * (F.col("n") - 1), F.col(f"a{i}"), F.col(f"b{i}")
-        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+        low, high, at = places(p)
+        return F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise((high - at) * F.col(f"a{i}") + (at - low) * F.col(f"b{i}"))
 
-    return ends.select("column", "n", F.array(*[mix(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"))
+    return placed.groupBy("column", "n").agg(*ends).select("column", "n", F.array(*[mix(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"))

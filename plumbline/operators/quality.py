@@ -76,13 +76,16 @@ def robust_outliers(df: DataFrame, c: str, reach: float = 1.5, z: float = 3.5) -
     """(n, median, mad, outliers): beyond the fences and beyond `z` scaled median deviations."""
     x = F.col(c).cast("double")
     values = df.select(x.alias("x")).where("x is not null")
-    q = values.agg(F.stddev_samp("x").alias("s")).crossJoin(F.broadcast(ordered.quantiles(values, ["x"], (0.25, 0.5, 0.75)).select(F.col("quantiles").alias("q"))))
-    near = values.crossJoin(F.broadcast(q))
-    dev = ordered.quantiles(near.select(F.abs(F.col("x") - F.col("q")[1]).alias("d")), ["d"], (0.5,)).select(F.col("quantiles")[0].alias("mad"))
-    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("s"))
-    width = reach * (F.col("q")[2] - F.col("q")[0])
-    out = ((F.col("x") < F.col("q")[0] - width) | (F.col("x") > F.col("q")[2] + width)) & (F.abs(F.col("x") - F.col("q")[1]) / scale > z)
-    return near.crossJoin(F.broadcast(dev)).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("q")[1]).alias("median"), F.max("mad").alias("mad"), F.count_if(out).alias("outliers"))
+    row = ordered.quantiles(values, ["x"], (0.25, 0.5, 0.75)).first()  # three numbers; literals keep the passes apart
+    low, middle, high = row["quantiles"] if row else (None, None, None)
+    middle = F.lit(middle).cast("double")
+    dev = ordered.quantiles(values.select(F.abs(F.col("x") - middle).alias("d")), ["d"], (0.5,)).first()
+    dev = F.lit(dev["quantiles"][0] if dev else None).cast("double")
+    spread = values.agg(F.stddev_samp("x").alias("_s"))
+    scale = F.when(dev > 0, 1.4826 * dev).otherwise(F.col("_s"))
+    width = reach * (F.lit(high).cast("double") - F.lit(low).cast("double"))
+    out = ((F.col("x") < F.lit(low).cast("double") - width) | (F.col("x") > F.lit(high).cast("double") + width)) & (F.abs(F.col("x") - middle) / scale > z)
+    return values.crossJoin(F.broadcast(spread)).agg(F.count(F.lit(1)).alias("n"), F.max(middle).alias("median"), F.max(dev).alias("mad"), F.count_if(out).alias("outliers"))
 
 
 def timeliness(df: DataFrame, date: str, as_of: str, tolerance: int = 45) -> DataFrame:
