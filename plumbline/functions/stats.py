@@ -227,3 +227,8 @@ def bootstrap(x: Sequence[float], statistic: str = "mean", rounds: int = 2000, a
     draws = sorted(of(rng.choices(x, k=len(x))) for _ in range(rounds))
     at = lambda q: draws[min(rounds - 1, max(0, int(q * rounds)))]
     return at(alpha / 2), at(1 - alpha / 2)
+
+
+def cliffs_delta(rank_sum: float, n: int, others: int) -> float:
+    """How far a group lies above the others, -1 to 1, from the sum of its average ranks among all."""
+    return 2 * (rank_sum - n * (n + 1) / 2) / (n * others) - 1 if n and others else 0.0

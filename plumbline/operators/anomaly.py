@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import series as S
@@ -29,6 +29,36 @@ def temporal_scores(series: DataFrame, z: float = 3.0) -> DataFrame:
     return near.crossJoin(F.broadcast(dev)).select("period", "value", "median", "mad", score.alias("z"), (F.abs(score) >= z).alias("is_anomaly"))
 
 
+def temporal_exceptions(long: DataFrame, partial: bool = False, z: float = 3.0, least: int = 8, keep: tuple[int, int] = (30, 10)) -> DataFrame:
+    """(kpi_id, period, value, median, mad, z, kind, suppressed) of the values in (kpi_id, period, value) beyond `z`.
+
+    Series with fewer than `least` values or next to no spread are left out. With `partial`, a dip in a series' last
+    period is suppressed, as the data end inside it. The strongest are reported, up to `keep` of either sort.
+    """
+    own = Window.partitionBy("kpi_id")  # a row for each reporting period
+    s = long.where("value is not null").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("median", F.percentile("value", F.lit(0.5)).over(own)).withColumn("_last", F.max("period").over(own))
+    s = s.withColumn("mad", 1.4826 * F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).over(own))
+    s = s.where((F.col("n") >= least) & (F.col("mad") > 0) & (F.col("mad") >= F.abs("median") * 1e-6)).withColumn("z", (F.col("value") - F.col("median")) / F.col("mad")).where(F.abs("z") >= z)
+    s = s.withColumn("kind", F.when(F.col("z") > 0, "spike").otherwise("dip"))
+    s = s.withColumn("suppressed", F.lit(partial) & (F.col("period") == F.col("_last")) & (F.col("kind") == "dip"))
+    cols = ["kpi_id", "period", "value", "median", "mad", "z", "kind", "suppressed"]
+    top = lambda sort, k: s.where(F.col("suppressed") == sort).select(*cols).orderBy(F.desc(F.abs("z")), "kpi_id", "period").limit(k)
+    return top(False, keep[0]).unionByName(top(True, keep[1]))
+
+
+def slots(long: DataFrame, cycle: int) -> DataFrame:
+    """(kpi_id, slot, n, mean, relative): means of a series' places in a cycle, also relative to its level."""
+    own = Window.partitionBy("kpi_id")  # a row for each reporting period
+    at = long.where("value is not null").withColumn("slot", ((F.row_number().over(own.orderBy("period")) - 1) % cycle).cast("long")).withColumn("_level", F.avg("value").over(own))
+    return at.groupBy("kpi_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("_level").alias("_level")).select("kpi_id", "slot", "n", "mean", (F.col("mean") / F.col("_level")).alias("relative"))
+
+
+def rule_exceptions(counts: dict[str, int], rows: int) -> list[dict]:
+    """Exceptions of a ledger's rules (rule -> rows it concerns): its share of all rows and a level, 20 % high, 5 % medium."""
+    share = lambda n: 100 * n / rows if rows else 0.0
+    return [{"rule": r, "rows": n, "pct": round(share(n), 4), "severity": "high" if share(n) >= 20 else "medium" if share(n) >= 5 else "low"} for r, n in counts.items() if n]
+
+
 def _ordered(p: pd.DataFrame) -> tuple[list[float], list[str]]:
     p = p.dropna(subset=["value"]).sort_values("period")
     return p["value"].astype(float).tolist(), p["period"].astype(str).tolist()

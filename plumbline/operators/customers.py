@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,11 +167,53 @@ def clv_inputs(df: DataFrame, customer: str, date: str, value: Column, segment:
     return g.withColumn("aov", ratio(F.col("revenue"), F.col("orders"))).withColumn("frequency", ratio(F.col("orders"), F.col("customers"))).withColumn("value_per_customer", ratio(F.col("revenue"), F.col("customers")))
 
 
+def value_concentration(a: DataFrame, value: str = "monetary", share: float = 0.1) -> DataFrame:
+    """(customers, top, share_of_value): the top tenth, rounded up and one at least, from value counts in order."""
+    v = a.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    whole = v.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customers"), F.sum(F.col("v") * F.col("n")).alias("whole"))
+    k = F.greatest(F.ceil(F.round(F.col("customers") * share, 9)), F.lit(1)).cast("long")
+    taken = F.least(F.col("n"), F.greatest(k - F.col("_before"), F.lit(0)))
+    top = ordered.running(v, "v", "n", down=True).crossJoin(F.broadcast(whole)).agg(F.sum(taken * F.col("v")).alias("part"))
+    return whole.crossJoin(F.broadcast(top)).select("customers", k.alias("top"), F.when((F.col("customers") > 0) & (F.col("whole") > 0), F.col("part") / F.col("whole")).otherwise(0.0).alias("share_of_value"))
+
+
+def steady_retention(curve: list[float]) -> float | None:
+    """The median ratio of neighbouring points of a retention curve, from its second point on, below one."""
+    steps = [b / a for a, b in zip(curve[1:], curve[2:]) if a > 0]
+    return min(median(steps), 0.999999) if steps else None
+
+
+# Days of a period.
+PERIOD_DAYS = {"D": 1.0, "W": 7.0, "M": 30.4375, "Q": 91.3125, "Y": 365.25}
+
+
+def clv_segments(df: DataFrame, customer: str, date: str, value: Column, segment: str | None = None, freq: str = "M", retention: float | None = None, margin: float = 0.3, discount: float = 0.01, horizon: int | None = None) -> DataFrame:
+    """(segment, customers, average_order_value, purchases_per_period, predicted_clv, historic_clv): by the segment of a customer's first row.
+
+    Without `segment` one row, `all`. Retention is that given, else the steady one of the cohort curve (a few numbers reach
+    the driver), else the share of customers with a second row, 0.95 at most.
+    """
+    used = df.where(F.col(customer).isNotNull() & F.col(date).isNotNull() & value.isNotNull())
+    group = F.min_by(F.col(segment).cast("string"), F.struct(F.col(date), F.col(segment))) if segment else F.lit("all")
+    per = used.groupBy(F.col(customer).alias("c")).agg(group.alias("segment"), F.sum(value).cast("double").alias("v"), F.count(F.lit(1)).alias("n"))
+    if retention is None:
+        curve = [r["retention"] for r in retention_curve(cohorts(used, customer, date, freq)).orderBy("step").collect()]
+        retention = steady_retention([float(x) for x in curve])
+    if retention is None:
+        retention = min(per.agg(F.avg((F.col("n") > 1).cast("double")).alias("r")).first()["r"] or 0.0, 0.95)
+    r = F.lit(min(max(float(retention), 0.0), 0.99))
+    span = used.agg(((F.floor((F.unix_timestamp(F.max(date).cast("timestamp")) - F.unix_timestamp(F.min(date).cast("timestamp"))) / 86400) + 1) / PERIOD_DAYS[freq]).alias("_span"))
+    g = per.where("segment is not null").groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), F.sum("v").alias("v"), F.sum("n").alias("n")).crossJoin(F.broadcast(span))
+    order, often = F.col("v") / F.col("n"), F.col("n") / (F.col("customers") * F.greatest("_span", F.lit(1.0)))
+    step = r / (1 + discount)
+    reach = step / (1 - step) if horizon is None else step * (1 - F.pow(step, F.lit(horizon))) / (1 - step)
+    return g.select("segment", "customers", order.alias("average_order_value"), often.alias("purchases_per_period"), (order * often * margin * reach).alias("predicted_clv"), (F.col("v") / F.col("customers") * margin).alias("historic_clv"))
+
+
 def predicted_clv(margin: float, retention: float, discount: float = 0.0, horizon: int | None = None) -> float:
-    """Value of a customer's future periods; the closed form without a horizon."""
-    retention = min(retention, 0.999999)
-    step = retention / (1 + discount)
-    return margin / (1 - step) if horizon is None else margin * (1 - step**horizon) / (1 - step)
+    """Value of the periods to come, the present one not included; the closed form without a horizon."""
+    step = min(retention, 0.999999) / (1 + discount)
+    return margin * step / (1 - step) if horizon is None else margin * step * (1 - step**horizon) / (1 - step)
 
 
 def expected_lifetime(retention: float) -> float:

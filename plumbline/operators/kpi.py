@@ -7,15 +7,18 @@ root cause. KPIs that need an entity level first (repeat rate, concentration) ar
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import series as S
 from plumbline.functions.columns import col, period, ratio, truthy, zero_sum
 
 Roles = dict[str, str]
 GRAINS = ("day", "week", "month", "quarter", "year")
+# Cycles looked for in a series of a grain.
+CYCLES = {"day": (7, 30), "week": (4, 13, 52), "month": (12, 4)}
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class Kpi:
     higher_is_better: bool = True
     additive: bool = False
     domains: tuple[str, ...] = ()
+    priority: int = 50
 
 
 REGISTRY: dict[str, Kpi] = {}
@@ -100,6 +104,79 @@ register(Kpi("clv", ("revenue", "customer_id"), lambda r: ratio(F.sum(col(r["rev
 register(Kpi("fraud_value_rate", ("revenue", "fraud_flag"), lambda r: ratio(F.sum(F.when(truthy(r["fraud_flag"], "fraud_value"), col(r["revenue"])).otherwise(0)), F.sum(col(r["revenue"])), 100), False))
 
 
+# How far up a domain's scorecard a definition stands (the smallest first), and the domains it is shown in.
+PLACES = """
+revenue 1 sales ecommerce finance banking marketing saas generic
+orders 5 sales ecommerce banking generic
+transaction_volume 4 banking
+units_sold 12 sales ecommerce manufacturing
+aov 6 sales ecommerce banking
+gross_profit 3 sales finance ecommerce
+customers 8 sales ecommerce banking saas
+purchase_frequency 14 sales ecommerce banking
+clv 15 sales ecommerce saas banking
+impressions 4 marketing
+clicks 5 marketing
+ctr 2 marketing
+conversion_rate 3 marketing ecommerce
+marketing_spend 6 marketing
+cpa 7 marketing
+cpc 11 marketing
+cpm 13 marketing
+roas 1 marketing
+average_spend 6 banking finance
+fraud_value_rate 3 banking
+churn_rate 4 saas banking ecommerce sales
+revenue_per_employee 8 hr finance
+avg_length_of_stay 2 healthcare
+output_units 1 manufacturing
+downtime 3 manufacturing
+satisfaction 25 sales ecommerce saas healthcare generic
+record_count 90 generic
+fraud_rate 14 banking
+spend_per_cardholder 22 banking
+merchant_reach 34 banking
+return_rate 26 ecommerce
+discount_depth 28 ecommerce
+revenue_per_customer 20 ecommerce
+cost_per_click 24 marketing
+click_to_conversion 18 marketing
+gross_margin_pct 12 sales
+revenue_per_account 21 sales
+readmission_rate 12 healthcare
+average_length_of_stay 18 healthcare
+patients_treated 26 healthcare
+attrition_rate 12 hr
+headcount 16 hr
+average_tenure 24 hr
+average_salary 30 hr
+defect_rate 12 manufacturing
+total_output 14 manufacturing
+average_downtime 20 manufacturing
+"""
+# The definitions an executive looks at first.
+NORTH_STARS = ("revenue", "roas")
+for _id, _like in (("cost_per_click", "cpc"), ("click_to_conversion", "conversion_rate"), ("average_length_of_stay", "avg_length_of_stay"), ("total_output", "output_units")):
+    register(replace(REGISTRY[_like], id=_id))
+for _id, _place, *_domains in (x.split() for x in PLACES.split("\n") if x):
+    register(replace(REGISTRY[_id], domains=tuple(_domains), priority=int(_place)))
+
+
+def for_domain(domain: str, roles: Roles, limit: int = 12) -> list[Kpi]:
+    """The domain's definitions that can be computed; with fewer than three of them all others that can be follow, `limit` at most."""
+    order = lambda some: sorted(some, key=lambda k: (k.priority, k.id))
+    own = [k for k in available(roles) if domain in k.domains]
+    if len(own) >= 3:
+        return order(own)
+    rest = [k for k in available(roles) if k not in own and k.id != "record_count"]
+    return (own + order(rest) or [REGISTRY["record_count"]])[:limit]
+
+
+def primary(kpis: list[Kpi]) -> Kpi | None:
+    """A north star if there is one, else the first."""
+    return next((k for k in kpis if k.id in NORTH_STARS), kpis[0] if kpis else None)
+
+
 def available(roles: Roles, ids: list[str] | None = None) -> list[Kpi]:
     """Definitions whose roles are bound; `gross_margin_pct` needs profit or cost besides."""
     some = [REGISTRY[i] for i in ids] if ids else list(REGISTRY.values())
@@ -134,15 +211,33 @@ def long_series(wide: DataFrame) -> DataFrame:
     return wide.unpivot(["period"], [c for c in wide.columns if c != "period"], "kpi_id", "value") if len(set(dict(wide.dtypes).values())) <= 2 else wide.select("period", *[F.col(c).cast("double") for c in wide.columns if c != "period"]).unpivot(["period"], [c for c in wide.columns if c != "period"], "kpi_id", "value")
 
 
-def scorecard(df: DataFrame, date: str, grain: str, roles: Roles, ids: list[str] | None = None) -> DataFrame:
-    """(kpi_id, period, value, previous, delta, delta_pct, direction): every period against the one before."""
+def scorecard(df: DataFrame, date: str, grain: str, roles: Roles, ids: list[str] | None = None, profile: str = "core") -> DataFrame:
+    """(kpi_id, period, value, previous, delta, delta_pct, direction, favourable): every period against the one before.
+
+    A change below 0.5 % is flat in the core profile, one below 1e-9 in the SQL profile; a flat one is neither favourable
+    nor not.
+    """
     wide = series(df, date, grain, roles, ids)
     kpis = [c for c in wide.columns if c != "period"]
     tall = wide.select("period", *[F.col(c).cast("double").alias(c) for c in kpis]).unpivot(["period"], kpis, "kpi_id", "value")
     w = Window.partitionBy("kpi_id").orderBy("period")
     out = tall.withColumn("previous", F.lag("value").over(w)).withColumn("delta", F.col("value") - F.col("previous"))
     out = out.withColumn("delta_pct", ratio(F.col("delta"), F.abs("previous"), 100))
-    return out.withColumn("direction", F.when(F.abs("delta_pct") < 0.5, "flat").when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("flat"))
+    flat = F.abs("delta") < 1e-9 if profile == "sql" else F.coalesce(F.abs("delta_pct"), F.lit(0.0)) < 0.5
+    out = out.withColumn("direction", F.when(flat, "flat").when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("flat"))
+    better = F.col("kpi_id").isin(*[k for k in kpis if REGISTRY[k].higher_is_better])
+    return out.withColumn("favourable", F.when(F.col("direction") != "flat", (F.col("direction") == "up") == better))
+
+
+def cards(rows: list[dict], grain: str, last: int = 24) -> list[dict]:
+    """One card for each KPI from the collected rows of a scorecard: its latest row, a sparkline, the trend from four values on, a season."""
+    out = []
+    for k in dict.fromkeys(r["kpi_id"] for r in rows):
+        own = sorted((r for r in rows if r["kpi_id"] == k), key=lambda r: str(r["period"]))
+        y = [r["value"] for r in own if r["value"] is not None]
+        cycle, strength = S.season(y, CYCLES.get(grain, (7, 12)))
+        out.append({**own[-1], "higher_is_better": REGISTRY[k].higher_is_better, "additive": REGISTRY[k].additive, "sparkline": y[-last:], "trend": S.mann_kendall(y) if len(y) >= 4 else None, "cycle": cycle, "strength": strength})
+    return out
 
 
 def by_entity(df: DataFrame, entity: str, value: str | None = None, order: str | None = None, by: list[str] | None = None) -> DataFrame:

@@ -110,6 +110,66 @@ def inclusion(child: DataFrame, child_column: str, parent: DataFrame, parent_col
     return values.join(parents, "v", "left").agg(F.count(F.lit(1)).alias("child_values"), F.count("_in").alias("contained")).withColumn("ratio", F.when(F.col("child_values") > 0, F.col("contained") / F.col("child_values")))
 
 
+def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
+    """(column, samples): the k least distinct values of each column, as text; one aggregation, no order of rows.
+
+    Each partial result holds k values a column.
+    """
+    cols = columns or df.columns
+    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])).alias("r")).select("r.*").where("value is not null").distinct()
+    w = Window.partitionBy("column").orderBy("value")
+    return tall.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+
+
+def midnight(df: DataFrame, column: str) -> DataFrame:
+    """(all_midnight): whether every time of a column stands at midnight, so that it is a date."""
+    x = F.col(column).cast("timestamp")
+    return df.agg(F.coalesce(F.every(x == F.date_trunc("day", x)), F.lit(False)).alias("all_midnight"))
+
+
+def key_score(column: str, table: str, kind: str) -> float:
+    """How much a unique, complete column looks like the table's key: by its name, what it means and the table's name."""
+    named = column.lower() == "id" or column.lower().endswith(("_id", "id", "key", "code", "number", "uuid"))
+    return 1.0 + 1.0 * named + 0.75 * (kind == "identifier") + 0.5 * column.lower().startswith(table.lower().rstrip("s"))
+
+
+def primary_key(df: DataFrame, table: str = "dataset") -> list[str]:
+    """The unique column that looks most like a key, else the first pair of candidates that is unique; [] if none."""
+    kinds = dict(df.dtypes)
+    rows = [r.asDict() for r in counts(df).collect()]
+    means = {r["column"]: semantic_type(r["column"], kinds[r["column"]], r["n"], r["missing"], r["distinct_values"]) for r in rows}
+    single = [r["column"] for r in rows if r["is_unique"] and not r["missing"]]
+    if single:
+        return [max(single, key=lambda c: key_score(c, table, means[c]))]
+    whole = ("identifier", "categorical", "date", "datetime", "ordinal", "geo")
+    some = [r["column"] for r in rows if r["n"] and not r["missing"] and not r["is_constant"] and means[r["column"]] in whole]
+    if len(some) < 2:
+        return []
+    unique = {(r["first"], r["second"]) for r in key_pairs(df, some).where("is_key").collect()}
+    return list(next((p for p in combinations(some[:12], 2) if p in unique), ()))
+
+
+def table_schema(df: DataFrame, table: str = "dataset") -> dict:
+    """Columns by what they are for: times, measures, dimensions, identifiers and the primary key."""
+    kinds = dict(df.dtypes)
+    means = {r["column"]: semantic_type(r["column"], kinds[r["column"]], r["n"], r["missing"], r["distinct_values"]) for r in counts(df).collect()}
+    pick = lambda *what: [c for c, m in means.items() if m in what]
+    return {"types": means, "times": pick("date", "datetime"), "measures": pick("numeric", "currency", "count", "percentage"), "dimensions": pick("boolean", "categorical", "ordinal", "geo"), "identifiers": pick("identifier"), "primary_key": primary_key(df, table)}
+
+
+def cardinality_issues(profile: DataFrame, categories: list[str]) -> DataFrame:
+    """(column, issue, affected): from `counts`, constant columns and categories with more than half of the rows (50 at least) as values."""
+    rows = F.col("n") + F.col("missing")
+    crowded = F.col("column").isin(*categories) & (F.col("distinct_values") > F.greatest(F.lit(50.0), 0.5 * rows))
+    issue = F.when(F.col("is_constant") & (F.col("n") > 0), "constant").when(crowded, "cardinality")
+    return profile.select("column", issue.alias("issue"), F.when(F.col("is_constant"), rows).otherwise(F.col("distinct_values")).alias("affected")).where("issue is not null")
+
+
+def gap_issue(granularity: DataFrame) -> DataFrame:
+    """(granularity, gaps): a row if periods are missing, from `date_granularity`."""
+    return granularity.where("gaps > 0").select("granularity", "gaps")
+
+
 def name_bonus(child: str, parent: str) -> float:
     """What a foreign-key candidate's name adds to its containment."""
     return 0.05 if child == parent else 0.02 if child.lower().endswith(("id", "key")) else -0.10

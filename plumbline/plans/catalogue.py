@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import calendar_index, fnv1a, masked, month_steps, period, period_label, pseudonym, ratio, redacted, row_key, surrogate_key, truthy
 from plumbline.operators import anomaly, customers, experiment, kpi, ledger, privacy, profile, quality, rootcause, segments, warehouse
-from plumbline.plans import dialect, recipes
+from plumbline.plans import dialect, domains, recipes
 from plumbline.sources import demo, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,14 +89,17 @@ def kpi_series_month(spark, d):
 @query(f"""WITH s AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period, CAST(sum(v) AS DOUBLE) AS revenue, CAST(count(DISTINCT o_orderkey) AS DOUBLE) AS orders FROM {_ORD} GROUP BY 1),
   u AS (SELECT 'revenue' AS kpi_id, period, revenue AS value FROM s UNION ALL SELECT 'orders', period, orders FROM s), w AS (SELECT *, lag(value) OVER (PARTITION BY kpi_id ORDER BY period) AS previous FROM u)
   SELECT kpi_id, period, value, previous, round(value - previous, 4) AS delta, round((value - previous) / abs(previous) * 100, 6) AS delta_pct,
-  CASE WHEN abs((value - previous) / abs(previous) * 100) < 0.5 THEN 'flat' WHEN value > previous THEN 'up' WHEN value < previous THEN 'down' ELSE 'flat' END AS direction FROM w""")
+  CASE WHEN abs((value - previous) / abs(previous) * 100) < 0.5 THEN 'flat' WHEN value > previous THEN 'up' WHEN value < previous THEN 'down' ELSE 'flat' END AS direction,
+  CASE WHEN abs((value - previous) / abs(previous) * 100) >= 0.5 THEN value > previous END AS favourable FROM w""")
 def kpi_scorecard_quarter(spark, d):
     return kpi.scorecard(orders(spark, d), "o_orderdate", "quarter", ROLES, ["revenue", "orders"]).withColumn("delta", F.round("delta", 4)).withColumn("delta_pct", r6("delta_pct"))
 
 
-@query("""SELECT count(DISTINCT date_trunc('day', o_orderdate)) AS day, count(DISTINCT date_trunc('week', o_orderdate)) AS week, count(DISTINCT date_trunc('month', o_orderdate)) AS month, count(DISTINCT date_trunc('quarter', o_orderdate)) AS quarter, count(DISTINCT date_trunc('year', o_orderdate)) AS year FROM orders""")
+@query("""WITH g AS (SELECT count(o_orderdate) AS n, count(DISTINCT date_trunc('day', o_orderdate)) AS day, count(DISTINCT date_trunc('week', o_orderdate)) AS week, count(DISTINCT date_trunc('month', o_orderdate)) AS month, count(DISTINCT date_trunc('quarter', o_orderdate)) AS quarter, count(DISTINCT date_trunc('year', o_orderdate)) AS year FROM orders)
+  SELECT day, week, month, quarter, year, CASE WHEN day >= 4 AND n >= 3 * day THEN 'day' WHEN week >= 4 AND n >= 3 * week THEN 'week' WHEN month >= 4 AND n >= 3 * month THEN 'month' WHEN quarter >= 4 AND n >= 3 * quarter THEN 'quarter' WHEN year >= 4 AND n >= 3 * year THEN 'year' WHEN day >= 2 THEN 'day' WHEN week >= 2 THEN 'week' WHEN month >= 2 THEN 'month' WHEN quarter >= 2 THEN 'quarter' WHEN year >= 2 THEN 'year' ELSE 'day' END AS grain FROM g""")
 def grain_choice(spark, d):
-    return orders(spark, d).agg(*[F.count_distinct(period("o_orderdate", g)).alias(g) for g in kpi.GRAINS])
+    o = orders(spark, d)
+    return o.agg(*[F.count_distinct(period("o_orderdate", g)).alias(g) for g in kpi.GRAINS]).withColumn("grain", F.lit(kpi.choose_grain(o, "o_orderdate")))
 
 
 @query("""WITH p AS (SELECT year(o_orderdate) AS yr, o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1, 2) SELECT CAST(yr AS BIGINT) AS yr, count(*) AS customers, round(100 * avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END), 6) AS repeat_rate FROM p GROUP BY 1""")
@@ -779,3 +782,130 @@ def stream_window_kpis(spark, d):
 
     e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return window_kpis(e, "ts", "value", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# -- domains, profiles and exceptions -------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS period, CAST(sum(v) AS DOUBLE) AS revenue, CAST(sum(v) AS DOUBLE) / count(DISTINCT o_custkey) AS revenue_per_customer FROM {_ORD} GROUP BY 1),
+  u AS (SELECT 'revenue' AS kpi_id, period, revenue AS value FROM s UNION ALL SELECT 'revenue_per_customer', period, revenue_per_customer FROM s), w AS (SELECT *, lag(value) OVER (PARTITION BY kpi_id ORDER BY period) AS previous FROM u)
+  SELECT kpi_id, period, round(value, 4) AS value, round(value - previous, 4) AS delta, CASE WHEN abs(value - previous) < 1e-9 THEN 'flat' WHEN value > previous THEN 'up' WHEN value < previous THEN 'down' ELSE 'flat' END AS direction, CASE WHEN abs(value - previous) >= 1e-9 THEN value > previous END AS favourable FROM w""")
+def kpi_scorecard_sql(spark, d):
+    s = kpi.scorecard(orders(spark, d), "o_orderdate", "year", ROLES, ["revenue", "revenue_per_customer"], "sql")
+    return s.select("kpi_id", "period", F.round("value", 4).alias("value"), F.round("delta", 4).alias("delta"), "direction", "favourable")
+
+
+@query(f"""SELECT o_orderstatus, round(CAST(sum(v) AS DOUBLE), 2) AS revenue, count(DISTINCT o_orderkey) AS orders, round(CAST(sum(v) AS DOUBLE) / count(DISTINCT o_orderkey), 6) AS aov, count(DISTINCT o_custkey) AS customers, round(CAST(count(DISTINCT o_orderkey) AS DOUBLE) / count(DISTINCT o_custkey), 6) AS purchase_frequency,
+  round(3 * CAST(sum(v) AS DOUBLE) / count(DISTINCT o_custkey), 6) AS clv, round(CAST(sum(v) AS DOUBLE) / count(DISTINCT o_custkey), 6) AS revenue_per_customer FROM {_ORD} GROUP BY 1""")
+def domain_kpis(spark, d):
+    """The scorecard of a domain: the definitions its plugin names and the roles allow."""
+    ids, first = domains.choose_kpis("ecommerce", ROLES)
+    k = kpi.aggregate(orders(spark, d), ROLES, ids, [F.col("o_orderstatus")])
+    return rounded(k.withColumn(first, F.round(F.col(first).cast("double"), 2)), *[i for i in ids if i not in ("orders", "customers", first)])
+
+
+@query("""SELECT l_returnflag, round(CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 8) AS cost_per_click, round(100 * CAST(sum(l_linenumber) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 6) AS click_to_conversion, round(avg(l_linenumber), 6) AS average_length_of_stay,
+  round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT l_suppkey), 4) AS revenue_per_account, count(DISTINCT l_partkey) AS merchant_reach, count(DISTINCT l_suppkey) AS patients_treated, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_output, round(avg(CAST(l_linenumber AS DOUBLE)), 6) AS average_downtime FROM lineitem GROUP BY 1""")
+def plugin_kpis(spark, d):
+    i = t(spark, d, "lineitem").withColumns({"tax": F.col("l_tax").cast("decimal(18,4)"), "qty": money("l_quantity"), "v": money("l_extendedprice")})
+    roles = {"marketing_spend": "tax", "clicks": "qty", "conversions": "l_linenumber", "length_of_stay": "l_linenumber", "revenue": "v", "customer_id": "l_suppkey", "merchant_id": "l_partkey", "output": "qty", "downtime": "l_linenumber"}
+    k = kpi.aggregate(i, roles, ["cost_per_click", "click_to_conversion", "average_length_of_stay", "revenue_per_account", "merchant_reach", "patients_treated", "total_output", "average_downtime"], [F.col("l_returnflag")])
+    places = {"cost_per_click": 8, "click_to_conversion": 6, "average_length_of_stay": 6, "revenue_per_account": 4, "total_output": 2, "average_downtime": 6}
+    return k.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in places.items()})
+
+
+@query(f"""WITH r AS (SELECT CAST(monetary AS DOUBLE) AS v, row_number() OVER (ORDER BY monetary DESC) AS k, count(*) OVER () AS n FROM {_ACT}) SELECT max(n) AS customers, CAST(max(ceil(n * 0.1)) AS BIGINT) AS top, round(sum(v) FILTER (WHERE k <= ceil(n * 0.1)) / sum(v), 6) AS share_of_value FROM r""")
+def value_concentration(spark, d):
+    return customers.value_concentration(customers.activity(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"))).withColumn("share_of_value", r6("share_of_value"))
+
+
+@query(f"""WITH p AS (SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) AS segment, CAST(sum(v) AS DOUBLE) AS v, count(*) AS n FROM {_ORD} GROUP BY 1), s AS (SELECT (floor((epoch(max(o_orderdate)) - epoch(min(o_orderdate))) / 86400) + 1) / 30.4375 AS span FROM orders),
+  g AS (SELECT segment, count(*) AS customers, sum(v) / sum(n) AS a, sum(n) / (count(*) * max(span)) AS f, sum(v) / count(*) AS h FROM p, s GROUP BY 1) SELECT segment, customers, round(a, 4) AS average_order_value, round(f, 8) AS purchases_per_period, round(a * f * 0.3 * (0.8 / 1.01) * (1 - power(0.8 / 1.01, 12)) / (1 - 0.8 / 1.01), 4) AS predicted_clv, round(h * 0.3, 4) AS historic_clv FROM g""")
+def clv_segments(spark, d):
+    c = customers.clv_segments(orders(spark, d), "o_custkey", "o_orderdate", F.col("v"), "o_orderpriority", retention=0.8, horizon=12)
+    return c.withColumns({n: F.round(n, 8 if n == "purchases_per_period" else 4) for n in ("average_order_value", "purchases_per_period", "predicted_clv", "historic_clv")})
+
+
+@query("""WITH v AS (SELECT DISTINCT 'lang' AS "column", lang AS x FROM documents WHERE lang IS NOT NULL UNION SELECT 'source', source FROM documents WHERE source IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY x) AS k FROM v) SELECT "column", string_agg(x, '|' ORDER BY x) AS samples FROM r WHERE k <= 5 GROUP BY 1""")
+def sample_values(spark, d):
+    return profile.sample_values(t(spark, d, "documents"), ["lang", "source"]).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("SELECT bool_and(o_orderdate = date_trunc('day', o_orderdate)) AS all_midnight FROM orders")
+def date_is_midnight(spark, d):
+    return profile.midnight(t(spark, d, "orders"), "o_orderdate")
+
+
+@query("""WITH c AS (SELECT 'one' AS "column", 1 AS distinct_values, count(*) AS n FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name), count(*) FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), count(*) FROM customer)
+  SELECT * FROM (SELECT "column", CASE WHEN distinct_values <= 1 THEN 'constant' WHEN distinct_values > greatest(50, 0.5 * n) THEN 'cardinality' END AS issue, CASE WHEN distinct_values <= 1 THEN n ELSE distinct_values END AS affected FROM c) WHERE issue IS NOT NULL""")
+def q_cardinality(spark, d):
+    c = t(spark, d, "customer").select(F.lit(1).alias("one"), "c_name", "c_mktsegment")
+    return profile.cardinality_issues(profile.counts(c), ["c_name", "c_mktsegment"])
+
+
+@query("""WITH x AS (SELECT DISTINCT epoch(date_trunc('month', o_orderdate)) AS s FROM orders WHERE month(o_orderdate) NOT IN (4, 5)), g AS (SELECT s - lag(s) OVER (ORDER BY s) AS gap FROM x) SELECT 'monthly' AS granularity, count(*) FILTER (WHERE gap > 1.6 * 2592000) AS gaps FROM g HAVING count(*) FILTER (WHERE gap > 1.6 * 2592000) > 0""")
+def q_gaps(spark, d):
+    """Months without April and May: one gap a year, found from the steps between dates."""
+    o = t(spark, d, "orders").where(~F.month("o_orderdate").isin(4, 5)).select(F.date_trunc("month", "o_orderdate").alias("m"))
+    return profile.gap_issue(profile.date_granularity(o, "m"))
+
+
+@query("""WITH s AS (SELECT event_type AS kpi_id, CAST(CAST(date_trunc('hour', ts) AS TIMESTAMP) AS VARCHAR) AS period, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2), m AS (SELECT kpi_id, median(value) AS med, 1.4826 * mad(value) AS d, count(*) AS n, max(period) AS last FROM s GROUP BY 1),
+  z AS (SELECT kpi_id, period, value, med AS median, round(d, 6) AS mad, (value - med) / d AS zz, period = last AND value < med AS suppressed FROM s JOIN m USING (kpi_id) WHERE n >= 8 AND d > 0 AND d >= abs(med) * 1e-6), k AS (SELECT *, row_number() OVER (PARTITION BY suppressed ORDER BY abs(zz) DESC, kpi_id, period) AS place FROM z WHERE abs(zz) >= 3)
+  SELECT kpi_id, period, value, median, mad, round(zz, 6) AS z, CASE WHEN zz > 0 THEN 'spike' ELSE 'dip' END AS kind, suppressed FROM k WHERE place <= CASE WHEN suppressed THEN 10 ELSE 30 END""")
+def temporal_exceptions(spark, d):
+    e = t(spark, d, "events").groupBy(F.col("event_type").alias("kpi_id"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return anomaly.temporal_exceptions(e, True).withColumn("mad", r6("mad")).withColumn("z", r6("z"))
+
+
+@query("""SELECT 'email' AS "column", count(*) AS n, CAST(0 AS DOUBLE) AS dates, CAST(1 AS DOUBLE) AS email, CAST(0 AS DOUBLE) AS phone, CAST(0 AS DOUBLE) AS payment_card, CAST(0 AS DOUBLE) AS national_id FROM customer UNION ALL SELECT 'card', count(*), 0, 0, 0, 1, 0 FROM customer UNION ALL
+  SELECT 'id', count(*), 0, 0, round(avg(CASE WHEN c_custkey % 4 > 0 THEN 1.0 ELSE 0 END), 6), 0, round(avg(CASE WHEN c_custkey % 4 > 0 THEN 1.0 ELSE 0 END), 6) FROM customer UNION ALL SELECT 'day', count(*), 1, 0, round(avg(1.0), 6), 0, 0 FROM customer""")
+def pii_shares_sql(spark, d):
+    """Shares of values by rule on columns made for the purpose; a date and an id of digits look like a telephone number to the rules."""
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select(F.concat(F.lit("u"), k, F.lit("@mail.example.com")).alias("email"), F.concat(F.lit("4539 5787 6362 1"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("card"), F.when(k % 4 > 0, F.concat(F.lit("123-45-6"), F.lpad((k % 1000).cast("string"), 3, "0"))).otherwise("none").alias("id"), F.concat(F.lit("2001-02-1"), k % 10).alias("day"))
+    return rounded(privacy.sql_shares(c), "dates", "email", "phone", "payment_card", "national_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY sha256(concat(o_orderkey, ':7')), o_orderkey LIMIT 200")
+def random_sample(spark, d):
+    """A sampling operator: 200 rows, repeatable."""
+    return readers.random_sample(t(spark, d, "orders"), "o_orderkey", 200).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST(concat('0x', substr(sha256(concat(o_orderkey, ':7')), 1, 8)) AS BIGINT) < 429496729")
+def share_sample(spark, d):
+    """A sampling operator: one row in ten, repeatable."""
+    return readers.share_sample(t(spark, d, "orders"), "o_orderkey", 10).select("o_orderkey", "o_custkey")
+
+
+_NAMED = "SELECT o_orderkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS running, CAST(row_number() OVER w AS BIGINT) AS place FROM {o} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+
+
+@query(_NAMED.format(o="orders"))
+def named_window(spark, d):
+    return spark.sql(_NAMED.format(o="{o}"), o=t(spark, d, "orders"))
+
+
+@query(f"""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(v) AS DOUBLE) AS value FROM {_ORD} GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i, avg(value) OVER () AS level FROM m) SELECT CAST(i % 12 AS BIGINT) AS slot, count(*) AS n, round(avg(value), 4) AS mean, round(avg(value) / max(level), 6) AS relative FROM i GROUP BY 1""")
+def season_slots(spark, d):
+    return rounded(anomaly.slots(kpi.scorecard(orders(spark, d), "o_orderdate", "month", ROLES, ["revenue"]), 12), "relative").select("slot", "n", F.round("mean", 4).alias("mean"), "relative")
+
+
+@query("""WITH r AS (SELECT l_returnflag = 'R' AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS k FROM lineitem), s AS (SELECT CAST(sum(k) FILTER (WHERE g) AS DOUBLE) AS rs, count(*) FILTER (WHERE g) AS n, count(*) FILTER (WHERE NOT g) AS m FROM r)
+  SELECT n, m AS others, round(rs - n * (n + 1) / 2.0, 1) AS u, round(2 * (rs - n * (n + 1) / 2.0) / (CAST(n AS DOUBLE) * m) - 1, 8) AS cliffs_delta FROM s""")
+def cliffs_delta(spark, d):
+    """Quantity of returned lines against the others, from average ranks."""
+    i = t(spark, d, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").alias("g"))
+    total = i.agg(F.count(F.lit(1)).alias("_t"))
+    s = customers.ranked(i, "l_quantity").crossJoin(F.broadcast(total)).agg(F.sum(F.when(F.col("g"), F.col("l_quantity_rank") * F.col("_t"))).alias("rs"), F.count_if("g").alias("n"), F.count_if(~F.col("g")).alias("others"))
+    u = F.col("rs") - F.col("n") * (F.col("n") + 1) / 2
+    return s.select("n", "others", F.round(u, 1).alias("u"), F.round(2 * u / (F.col("n").cast("double") * F.col("others")) - 1, 8).alias("cliffs_delta"))
+
+
+@query("SELECT l_returnflag, true AS parts_close, true AS p90_close FROM lineitem GROUP BY 1")
+def approx_within_bounds(spark, d):
+    """Sketches against exact numbers: distinct parts within 15 %, the 90 % quantile between the exact 89 % and 91 % ones."""
+    x = F.col("l_extendedprice")
+    g = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.count_distinct("l_partkey").alias("e"), F.percentile_approx(x, 0.9).alias("p"), F.percentile(x, F.array(F.lit(0.89), F.lit(0.91))).alias("q"))
+    return g.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e")).alias("parts_close"), F.col("p").between(F.col("q")[0], F.col("q")[1]).alias("p90_close"))

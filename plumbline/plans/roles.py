@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import series as S
+from plumbline.functions import sqlprofile
 from plumbline.functions.columns import period
 from plumbline.operators import anomaly, kpi, privacy, profile, quality, rootcause
-from plumbline.plans import render
+from plumbline.plans import domains, render
 
 # Names that mean a role (an underscore may be missing), in order.
 ROLE_NAMES = {
@@ -143,15 +144,19 @@ def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str]
         if date:
             g = grain or kpi.choose_grain(df, date)
             out["grain"] = g
-            stage("scorecard", lambda: [r.asDict() for r in kpi.scorecard(df, date, g, bound, kpis).orderBy("kpi_id", "period").collect()])
+            ids, lead = domains.choose_kpis(out["domain"], bound) if kpis is None else (kpis, next((k for k in ("revenue", "record_count", *kpis) if k in kpis), None))
+            stage("scorecard", lambda: [r.asDict() for r in kpi.scorecard(df, date, g, bound, ids).orderBy("kpi_id", "period").collect()])
             card = out.get("scorecard") or []
-            lead = next((k for k in ("revenue", "record_count") if any(r["kpi_id"] == k for r in card)), None)
+            out["primary"] = lead
+            stage("cards", lambda: kpi.cards(card, g))
             y = [r["value"] for r in card if r["kpi_id"] == lead]
             labels = [str(r["period"]) for r in card if r["kpi_id"] == lead]
             stage("anomalies", lambda: S.anomalies(y, labels))
             stage("forecast", lambda: S.forecast(y, horizon))
+            stage("future", lambda: [name for _, name in sqlprofile.future_periods([r["period"] for r in card if r["kpi_id"] == lead], horizon, g)])
             stage("trend", lambda: S.mann_kendall(y))
             dims = dimensions(df, bound, {c for c, f in (out.get("privacy") or {}).items() if f["policy"] == "mask"} | {date})
+            dims = domains.ordered_dimensions(out["domain"], lead, bound, dims)
             out["dimensions"] = dims
             if len(labels) >= 2 and dims:
                 end = df.agg(F.max(period(date, g)).alias("m")).select(F.expr(f"cast(m + interval 1 {g} as date)") if g != "quarter" else F.add_months("m", 3)).first()[0]

@@ -73,6 +73,17 @@ def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return repair(text)[0]
 
 
+def random_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows at random, the same ones at every run: those whose hash of (key, seed) is least, by take-ordered."""
+    return df.orderBy(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), key).limit(n)
+
+
+def share_sample(df: DataFrame, key: str, percent: float, seed: int = 7) -> DataFrame:
+    """Each row with a chance of `percent`, decided by a hash of (key, seed): repeatable, and no shuffle."""
+    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), 1, 8), 16, 10).cast("long")
+    return df.where(place < int(percent / 100 * 2**32))
+
+
 def systematic_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     """Rows at the places floor(i * N / n) of an order, i below n. The order is total, so ranks come from range partitions."""
     ranked = _ranked(df, order)

@@ -164,7 +164,8 @@ def test_detectors_against_closed_forms():
 
 
 def test_customers(spark):
-    assert math.isclose(customers.predicted_clv(10, 0.8), 50)
+    assert math.isclose(customers.predicted_clv(10, 0.8), 40)  # the present period is not part of it
+    assert math.isclose(customers.predicted_clv(10, 0.5, 0.0, 2), 7.5)
     assert math.isclose(customers.expected_lifetime(0.75), 4)
     from pyspark.sql import functions as F
 
