@@ -58,6 +58,19 @@ def summary(funnel: DataFrame) -> DataFrame:
     return last.agg(*[F.sum(m).alias(m) for m in MEASURES], F.sum("revenue").alias("revenue"), F.sum("campaign_spend").alias("campaign_spend")).withColumn("connect_rate", ratio(F.col("connects"), F.col("dials"))).withColumn("close_rate", ratio(F.col("conversions"), F.col("connects"))).withColumn("roas", ratio(F.col("revenue"), F.col("campaign_spend")))
 
 
+def trends(funnel: DataFrame, months: int = 12) -> DataFrame:
+    """(call_month, dials, connects, conversions, connect_rate, close_rate) of the last months."""
+    g = trailing(funnel, months).groupBy("call_month").agg(*[F.sum(m).alias(m) for m in ("dials", "connects", "conversions")])
+    return g.withColumn("connect_rate", ratio(F.col("connects"), F.col("dials"))).withColumn("close_rate", ratio(F.col("conversions"), F.col("connects")))
+
+
+def health(funnel: DataFrame) -> DataFrame:
+    """(months, first_month, last_month, broken_rows): what the mart covers, and rows that break the funnel."""
+    broken = F.coalesce((F.col("connects") > F.col("dials")) | (F.col("qualified_leads") > F.col("connects")) | (F.col("conversions") > F.col("qualified_leads")), F.lit(False))
+    months = funnel.groupBy("call_month").agg(F.count_if(broken).alias("b"))
+    return months.agg(F.count(F.lit(1)).alias("months"), F.min("call_month").alias("first_month"), F.max("call_month").alias("last_month"), F.coalesce(F.sum("b"), F.lit(0)).alias("broken_rows"))
+
+
 def funnel_is_monotonic(stg: DataFrame) -> DataFrame:
     """Rows that break the funnel; a sound table has none."""
     return stg.where((F.col("connects") > F.col("dials")) | (F.col("qualified_leads") > F.col("connects")) | (F.col("conversions") > F.col("qualified_leads")))

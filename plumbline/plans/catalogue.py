@@ -909,3 +909,44 @@ def approx_within_bounds(spark, d):
     x = F.col("l_extendedprice")
     g = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.count_distinct("l_partkey").alias("e"), F.percentile_approx(x, 0.9).alias("p"), F.percentile(x, F.array(F.lit(0.89), F.lit(0.91))).alias("q"))
     return g.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e")).alias("parts_close"), F.col("p").between(F.col("q")[0], F.col("q")[1]).alias("p90_close"))
+
+
+# -- a star schema over the order lines: a line is a block of calls ---------------------------------------
+
+_CALLS = """(SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS call_month, l_returnflag AS campaign, l_linestatus AS pool, CAST(l_linenumber * 40 AS BIGINT) AS dials, CAST(l_linenumber * (4 + l_partkey % 9) AS BIGINT) AS connects, CAST(l_linenumber * 3 AS BIGINT) AS qualified_leads, CAST(l_linenumber AS BIGINT) AS conversions, CAST(l_linenumber AS DECIMAL(18,2)) AS campaign_spend, CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue FROM lineitem)"""
+
+
+def _calls(spark, d) -> DataFrame:
+    i, n = t(spark, d, "lineitem"), F.col("l_linenumber")
+    raw = i.select(F.date_trunc("month", "l_shipdate").alias("call_date"), F.col("l_returnflag").alias("campaign"), F.col("l_linestatus").alias("caller_id_pool"), F.lit("human").alias("agent_type"), (n * 40).alias("dials"), (n * (4 + F.col("l_partkey") % 9)).alias("connects"), (n * 3).alias("qualified_leads"), n.alias("conversions"), F.lit(90.0).alias("qa_score"), n.alias("campaign_spend"), money("l_extendedprice").alias("revenue"))
+    return warehouse.monthly_funnel(warehouse.staging(raw))
+
+
+@query(f"""WITH g AS (SELECT pool, call_month, sum(connects) AS connects, sum(dials) AS dials, CAST(sum(connects) AS DOUBLE) / CAST(sum(dials) AS DOUBLE) AS rate FROM {_CALLS} GROUP BY 1, 2), m AS (SELECT *, lag(rate) OVER (PARTITION BY pool ORDER BY call_month) AS previous FROM g)
+  SELECT pool AS caller_id_pool, call_month, CAST(connects AS BIGINT) AS connects, CAST(dials AS BIGINT) AS dials, round(rate, 6) AS rate, round(previous, 6) AS previous_rate, round((rate - previous) / previous, 6) AS change, md5(strftime(call_month, '%Y-%m-%d') || '|' || pool) AS pool_key, coalesce((rate - previous) / previous < -0.05, false) AS spam_flag_risk FROM m""")
+def warehouse_pool_rates(spark, d):
+    return rounded(warehouse.pool_health(_calls(spark, d), -0.05), "rate", "previous_rate", "change")
+
+
+@query(f"""SELECT call_month, campaign, CAST(sum(dials) AS BIGINT) AS dials, CAST(sum(connects) AS BIGINT) AS connects, CAST(sum(qualified_leads) AS BIGINT) AS qualified_leads, CAST(sum(conversions) AS BIGINT) AS conversions, round(CAST(sum(campaign_spend) AS DOUBLE), 2) AS campaign_spend, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue, md5(strftime(call_month, '%Y-%m-%d') || '|' || campaign) AS campaign_key,
+  round(CAST(sum(connects) AS DOUBLE) / sum(dials), 4) AS connect_rate, round(CAST(sum(qualified_leads) AS DOUBLE) / sum(connects), 4) AS qualification_rate, round(CAST(sum(conversions) AS DOUBLE) / sum(qualified_leads), 4) AS conversion_rate FROM {_CALLS} GROUP BY 1, 2""")
+def warehouse_campaign_rates(spark, d):
+    c = warehouse.campaign_performance(_calls(spark, d)).drop("cost_per_acquisition", "roas", "revenue_per_connect")
+    return c.withColumns({n: F.round(F.col(n).cast("double"), 2) for n in ("campaign_spend", "revenue")})
+
+
+@query(f"""SELECT CAST(sum(dials) AS BIGINT) AS dials, CAST(sum(connects) AS BIGINT) AS connects, CAST(sum(qualified_leads) AS BIGINT) AS qualified_leads, CAST(sum(conversions) AS BIGINT) AS conversions, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue, round(CAST(sum(campaign_spend) AS DOUBLE), 2) AS campaign_spend, round(CAST(sum(connects) AS DOUBLE) / sum(dials), 6) AS connect_rate, round(CAST(sum(conversions) AS DOUBLE) / sum(connects), 6) AS close_rate, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(campaign_spend) AS DOUBLE), 4) AS roas FROM {_CALLS} WHERE call_month = (SELECT CAST(date_trunc('month', max(l_shipdate)) AS DATE) FROM lineitem)""")
+def warehouse_last_month(spark, d):
+    s = rounded(warehouse.summary(_calls(spark, d)), "connect_rate", "close_rate")
+    return s.withColumns({"revenue": F.round(F.col("revenue").cast("double"), 2), "campaign_spend": F.round(F.col("campaign_spend").cast("double"), 2), "roas": F.round(F.col("roas").cast("double"), 4)})
+
+
+@query(f"""WITH m AS (SELECT call_month, sum(dials) AS dials, sum(connects) AS connects, sum(conversions) AS conversions FROM {_CALLS} GROUP BY 1), l AS (SELECT max(call_month) AS last FROM m)
+  SELECT call_month, CAST(dials AS BIGINT) AS dials, CAST(connects AS BIGINT) AS connects, CAST(conversions AS BIGINT) AS conversions, round(CAST(connects AS DOUBLE) / dials, 6) AS connect_rate, round(CAST(conversions AS DOUBLE) / connects, 6) AS close_rate FROM m, l WHERE call_month >= last - INTERVAL 11 MONTH""")
+def warehouse_trends(spark, d):
+    return rounded(warehouse.trends(_calls(spark, d), 12), "connect_rate", "close_rate")
+
+
+@query(f"SELECT count(*) AS months, min(call_month) AS first_month, max(call_month) AS last_month, CAST(0 AS BIGINT) AS broken_rows FROM (SELECT DISTINCT call_month FROM {_CALLS})")
+def warehouse_health(spark, d):
+    return warehouse.health(_calls(spark, d))

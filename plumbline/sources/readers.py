@@ -17,27 +17,38 @@ from plumbline.sources import preview
 SUFFIXES = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".xlsx": "xlsx", ".xlsm": "xlsx", ".orc": "orc"}
 
 
-def load_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, schema: str | None = None, skip: int = 0) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, schema: str | None = None, skip: int = 0, multiline: bool | None = None) -> DataFrame:
     """Delimited text, every column a string unless a schema is given; tokens for missing values become null.
 
-    Delimiter and header are sniffed from the first lines, read by Spark. `skip` leading lines are dropped.
+    Delimiter and header are sniffed from the first lines, read by Spark. `skip` leading lines of each file are dropped.
+    Files are split among tasks unless a quoted value goes on in the next line; a pass over the lines looks for one with
+    an odd number of quotation marks, unless `multiline` says it.
     """
-    head = [r["value"] for r in spark.read.text(path).limit(200).collect()][skip:]
+    text = spark.read.text(path)
+    head = [r["value"] for r in text.limit(200).collect()][skip:]
     found = preview.sniff("\n".join(head))
     sep, header = sep or found["delimiter"], found["header"] if header is None else header
-    reader = spark.read.option("sep", sep).option("header", header and not skip).option("ignoreLeadingWhiteSpace", True).option("multiLine", not skip).option("escape", '"')
-    if skip:  # no reader option: number the lines of each file's first split
-        lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
-        body = lines.where(F.col("_n") >= skip + bool(header)).select("value")
+    if skip:  # no reader option
         names = next(csv.reader([head[0]], delimiter=sep)) if header and head else [f"_c{i}" for i in range(len(head[0].split(sep)) if head else 0)]
         fields = schema or ", ".join(f"`{n.strip()}` string" for n in names)
-        out = body.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
+        out = _without_head(text, skip + bool(header)).select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
     else:
+        if multiline is None:
+            multiline = not text.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+        reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("multiLine", multiline).option("escape", '"')
         out = (reader.schema(schema) if schema else reader).csv(path)
     out = out.toDF(*[c.strip() for c in out.columns])
     return clean_nulls(out)
 
 
+def _without_head(text: DataFrame, n: int) -> DataFrame:
+    """Lines without the first n of each file: numbers run on inside a split, and only a file's first split holds its head."""
+    lines = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    starts = lines.where(F.col("_block") == 0).groupBy("_file").agg(F.min("_n").alias("_first"))  # a row for each file
+    late = (F.col("_block") > 0) | (F.col("_n") >= F.col("_first") + n)
+    return lines.join(F.broadcast(starts), "_file").where(late).select("value")
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """Any supported file or folder, by its suffix."""
     kind = SUFFIXES.get(PurePosixPath(path).suffix.lower())

@@ -180,3 +180,17 @@ def test_analysis_of_a_domain(spark):
     assert not r["warnings"], r["warnings"]
     assert r["primary"] == "revenue" and {c["kpi_id"] for c in r["cards"]} <= {"revenue", "orders", "aov", "customers", "purchase_frequency", "clv", "revenue_per_customer", "units_sold"} | set(kpi.REGISTRY)
     assert r["future"] == ["Nov 2024", "Dec 2024", "Jan 2025"]
+
+
+def test_preamble_of_each_file_goes(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part{i}.csv").write_text("made by a tool\n# of files\nname,amount\n" + "".join(f"n{i}_{k},{k}\n" for k in range(50)))
+    rows = readers.load_csv(spark, str(tmp_path), skip=2, header=True).collect()
+    assert sorted(r["name"] for r in rows) == sorted(f"n{i}_{k}" for i in range(3) for k in range(50))
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,note\nx,"one\ntwo"\ny,plain\n')
+    assert {r["note"] for r in readers.load_csv(spark, str(tmp_path / "a.csv")).collect()} == {"one\ntwo", "plain"}
+    (tmp_path / "b.csv").write_text('name,note\n' + 'x,"one, two"\n' * 300)
+    assert readers.load_csv(spark, str(tmp_path / "b.csv")).where("note = 'one, two'").count() == 300
