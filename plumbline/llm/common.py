@@ -98,6 +98,12 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def carried(df: DataFrame, new) -> list[str]:
+    """The columns of `df` that stay beside the columns `new`: Spark does not tell names apart by case."""
+    taken = {c.lower() for c in new}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

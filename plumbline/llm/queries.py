@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, jaccard, language, lines, oracles, packing, pii, quality, substrings, tokens
+from plumbline.llm import align, chat, decontaminate, jaccard, language, lines, oracles, packing, pii, quality, substrings, tokens
 from plumbline.llm.common import scratch, table
 
 
@@ -16,6 +16,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, text_out="text").select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -70,7 +76,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
-_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate)
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer(), _pieces(), keep_text=False)
+
+
+_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate, op12_tokenizer_alignment)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Tokens, learned labels, spans and alignments are not for SQL: op4, op6, op7, op8 and op10 are tested against brute force.
 ORACLES: dict[str, str] = {"op1_line_dedup": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op3_chat_format": oracles.OP3, "op5_quality_rules": oracles.OP5, "op9_jaccard_join": oracles.OP9}
