@@ -60,3 +60,14 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = a GROUP BY 1"""
+
+OP11 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d), t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY 1),
+g AS (SELECT lang, s, array_to_string(w[i:i+s-1], ' ') AS phrase FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS s) WHERE len(w) >= s)),
+f AS (SELECT lang, s, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, w, f AS a, unnest(range(1, s)) AS k FROM f WHERE s > 1),
+x AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, t.n, (CAST(1000 AS HUGEINT) * a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k+1:], ' ') JOIN t ON t.lang = c.lang),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[j:j+z-1], ' ') AS phrase, max(f) AS longer FROM (SELECT lang, w, f, z, unnest(range(1, s - z + 2)) AS j FROM (SELECT *, unnest(range(2, s)) AS z FROM f WHERE s > 2)) GROUP BY 1, 2),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN i ON i.lang = m.lang AND i.phrase = m.phrase WHERE longer IS NULL OR longer < a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
