@@ -83,7 +83,7 @@ class Grams:
         return self.buffer[self.starts[at] : self.ends[at + n - 1]].decode("utf-8", "replace")
 
 
-def _grams_of(batch: pa.RecordBatch) -> Iterator[tuple[str, Grams]]:
+def _grams_of(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[str, Grams]]:
     """The batch's texts (columns lang, text) by language, in chunks."""
     by_lang: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -93,11 +93,11 @@ def _grams_of(batch: pa.RecordBatch) -> Iterator[tuple[str, Grams]]:
         whole = b"\n".join(texts)
         first = 0
         while first < len(whole):
-            last = first + CHUNK
+            last = first + chunk
             if last < len(whole):
                 last = whole.rfind(b"\n", first + 1, last)
                 if last < 0:
-                    last = whole.find(b"\n", first + CHUNK)
+                    last = whole.find(b"\n", first + chunk)
             last = len(whole) if last < 0 else last
             words = _BLANKS.sub(b" ", _LINES.sub(b"\n", whole[first:last])).strip(b" \n")
             if words:
@@ -116,19 +116,20 @@ def _add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
 
 def _packed(source: DataFrame, orders: tuple[int, ...], below: int, maps, parts: int) -> DataFrame:
     """(part, mass, hashes, counts): what each task's documents hold of the orders, by hash partition."""
+    most, chunk = HELD, CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            for _, grams in _grams_of(batch):
+            for _, grams in _grams_of(batch, chunk):
                 for n in orders:
                     h = grams.order(n)[0][grams.kept(n, maps.value, below)]
                     h, c = np.unique(h, return_counts=True)
                     held.append((h, c.astype(np.int64)))
                     waiting += len(h)
-                if waiting > HELD // 2:
+                if waiting > most // 2:
                     held, waiting = [_add(held)], 0
-                    if len(held[0][0]) > HELD:
+                    if len(held[0][0]) > most:
                         yield send(*held[0])
                         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         yield send(*_add(held))
@@ -209,11 +210,12 @@ def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFram
             maps[n] = bit_map(found, "h")
         below = orders[-1]
     shared = spark.sparkContext.broadcast(maps)
+    most, chunk = HELD // 16, CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, int] = {}
         for batch in batches:
-            for lang, grams in _grams_of(batch):
+            for lang, grams in _grams_of(batch, chunk):
                 total[lang, 0, None] = total.get((lang, 0, None), 0) + grams.size
                 for n in shared.value:
                     at = np.flatnonzero(grams.order(n)[1])
@@ -222,7 +224,7 @@ def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFram
                     for i, c in zip(at[first].tolist(), times.tolist()):
                         key = lang, n, grams.phrase(i, n)
                         total[key] = total.get(key, 0) + c
-                if len(total) > HELD // 16:
+                if len(total) > most:
                     yield rows(total)
                     total.clear()
         yield rows(total)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import align, chat, decontaminate, jaccard, language, lines, oracles, packing, phrases, pii, quality, substrings, tokens
+from plumbline.llm import align, chat, decontaminate, jaccard, language, lines, oracles, packing, phrases, pii, quality, substrings, suffixes, tokens
 from plumbline.llm.common import scratch, table
 
 
@@ -84,7 +84,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer(), _pieces(), keep_text=False)
 
 
-_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate, op11_phrase_mining, op12_tokenizer_alignment)
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), bytes_out=None)
+
+
+_ALL = (op1_line_dedup, op2_substring_dedup, op3_chat_format, op4_personal_data, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_jaccard_join, op10_decontaminate, op11_phrase_mining, op12_tokenizer_alignment, op13_suffix_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Tokens, learned labels, spans and alignments are not for SQL: op4, op6, op7, op8 and op10 are tested against brute force.
 ORACLES: dict[str, str] = {"op1_line_dedup": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op3_chat_format": oracles.OP3, "op5_quality_rules": oracles.OP5, "op9_jaccard_join": oracles.OP9, "op11_phrase_mining": oracles.OP11}
