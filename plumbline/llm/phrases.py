@@ -4,17 +4,17 @@ Texts are lower-cased (A-Z), split at punctuation and line breaks into pieces an
 lies within one piece, and everything is counted by language (null: `und`). Orders are mined in turn (one word,
 two, three, then four and five): an n-gram counts only where the shorter ones in it survived. Tasks send the counts of
 the n-grams of their documents, packed, to the hash partition of each. A partition merges them into one
-Misra-Gries summary whose capacity exceeds the partition's mass divided by the threshold, so it takes less than the
-threshold off any count, and every n-gram that reaches it survives. Survivors go back as a bit map of bounded size
-(FILTER_BITS; where it is too full, more n-grams travel and no result changes), and a last pass over the texts counts them
-exactly, by their words.
+Misra-Gries summary whose capacity exceeds the partition's mass divided by the threshold (SLACK times), so it takes less than a
+SLACK-th of the threshold off any count, and every n-gram that reaches it survives. Survivors go back as a bit map of bounded size
+(FILTER_BITS; where it is too full, more n-grams travel and no result changes). Another pass over the texts counts them
+exactly, packed again, by 96-bit hashes. What is frequent is then read as text in one of its documents, that with the smallest
+32-bit hash, in a last pass.
 
-Memory: a summary holds mass / threshold counters; more texts want more partitions (SUMMARIES for each shuffle
+Memory: a summary holds SLACK * mass / threshold counters; more texts want more partitions (SUMMARIES for each shuffle
 partition), not larger ones. A frequent n-gram is one counter of each task, so no key is hot. A task keeps HELD
 distinct n-grams before it sends them.
 
-N-grams are told apart by 64-bit tabulation hashes until the last pass, which adds up strings. Cuts, scores, covered phrases and
-ranks are joins and windows over the frequent phrases; scores are exact (decimals of 38 digits).
+Cuts, scores, covered phrases and ranks are joins and windows over the frequent phrases; scores are exact (decimals of 38 digits).
 
 Nulls: a null or empty text has no words. Rows that repeat count each. doc_id is not used, nor are other columns. Ties of a score go to
 the more frequent phrase, then to the smaller in byte order. Empty tables give no rows.
@@ -41,6 +41,8 @@ CHUNK = 1 << 22
 HELD = 1 << 22
 #: Summaries of each shuffle partition.
 SUMMARIES = 4
+#: How far a summary's capacity exceeds its mass divided by the threshold.
+SLACK = 8
 #: Fixed: orders that are mined together, each after the survivors of those before it.
 LEVELS = ((1,), (2,), (3,), (4, 5))
 
@@ -50,31 +52,36 @@ _LINES, _BLANKS = re.compile(rb" *\n[ \n]*"), re.compile(rb"  +")
 
 
 class Grams:
-    """The words of a buffer of one language and the hashes of their n-grams."""
-
-    def __init__(self, lang: str, buffer: bytes):
-        self.buffer = buffer
-        self.starts, self.ends, words = word_hashes(buffer)
-        self.size = len(words)
-        self.joined = np.frombuffer(buffer, np.uint8)[self.ends[:-1]] == 32  # the next word is of the same piece
-        self.hashes = {1: _mix(words ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))}
+    """The words of documents of one language and the hashes of their n-grams."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        self.buffer = b"\n".join(texts)
+        self.starts, self.ends, *words = word_hashes(self.buffer, 2)
+        self.size = len(self.starts)
+        self.joined = np.frombuffer(self.buffer, np.uint8)[self.ends[:-1]] == 32  # the next word is of the same piece
+        lang_hash = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+        self.hashes = [{1: _mix(w ^ lang_hash)} for w in words]
         self.valid = {1: np.ones(self.size, bool)}
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        owner = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32)
+        self.owner = owner[np.searchsorted(first, self.starts, "right") - 1]  # of each word's document
 
-    def order(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def order(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n-gram at each word, and whether it is one."""
-        if n not in self.hashes:
-            h, ok = self.order(n - 1)
-            rest = self.hashes[1][n - 1 :]
-            self.hashes[n] = _mix(h[: len(rest)] * np.uint64(_P) + rest)
+        made = self.hashes[seed]
+        if n not in made:
+            h, ok = self.order(n - 1, seed)
+            rest = made[1][n - 1 :]
+            made[n] = _mix(h[: len(rest)] * np.uint64(_P) + rest)
             self.valid[n] = ok[: len(rest)] & self.joined[n - 2 :][: len(rest)]
-        return self.hashes[n], self.valid[n]
+        return made[n], self.valid[n]
 
-    def kept(self, n: int, maps: dict[int, np.ndarray], below: int) -> np.ndarray:
+    def kept(self, n: int, maps: dict[int, np.ndarray], below: int, shift: int) -> np.ndarray:
         """Places of the n-grams all of whose n-grams of order `below` are in the map."""
         h, ok = self.order(n)
         at = np.flatnonzero(ok)
         if below:
-            inner = self.order(below)[0].view(np.int64)
+            inner = (self.order(below)[0] >> np.uint64(shift)).view(np.int64)
             for k in range(n - below + 1):
                 at = at[has(maps[below], inner[at + k])]
         return at
@@ -83,30 +90,43 @@ class Grams:
         return self.buffer[self.starts[at] : self.ends[at + n - 1]].decode("utf-8", "replace")
 
 
+def _pieces_of(text: bytes, chunk: int) -> Iterator[bytes]:
+    """A text as lines of pieces whose words are parted by one blank, in parts of about `chunk` bytes."""
+    first = 0
+    while first < len(text):
+        last = first + chunk
+        if last < len(text):
+            last = text.rfind(b"\n", first + 1, last)
+            if last < 0:
+                last = text.find(b"\n", first + chunk)
+        last = len(text) if last < 0 else last
+        words = _BLANKS.sub(b" ", _LINES.sub(b"\n", text[first:last])).strip(b" \n")
+        if words:
+            yield words
+        first = last + 1
+
+
 def _grams_of(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[str, Grams]]:
     """The batch's texts (columns lang, text) by language, in chunks."""
     by_lang: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-        if text:
-            by_lang.setdefault("und" if lang is None else lang, []).append(text.translate(_TABLE))
+    sizes: dict[str, int] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        raw = text.as_buffer() if text.is_valid else None
+        if raw is None or not raw.size:
+            continue
+        lang = "und" if lang is None else lang
+        for part in _pieces_of(raw.to_pybytes().translate(_TABLE), chunk):
+            by_lang.setdefault(lang, []).append(part)
+            sizes[lang] = sizes.get(lang, 0) + len(part)
+            if sizes[lang] >= chunk:
+                yield lang, Grams(lang, by_lang.pop(lang))
+                sizes.pop(lang)
     for lang, texts in by_lang.items():
-        whole = b"\n".join(texts)
-        first = 0
-        while first < len(whole):
-            last = first + chunk
-            if last < len(whole):
-                last = whole.rfind(b"\n", first + 1, last)
-                if last < 0:
-                    last = whole.find(b"\n", first + chunk)
-            last = len(whole) if last < 0 else last
-            words = _BLANKS.sub(b" ", _LINES.sub(b"\n", whole[first:last])).strip(b" \n")
-            if words:
-                yield lang, Grams(lang, words)
-            first = last + 1
+        yield lang, Grams(lang, texts)
 
 
 def _add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal hashes as one."""
+    """Counts of equal keys as one."""
     h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
     order = np.argsort(h)
     h, c = h[order], c[order]
@@ -114,36 +134,53 @@ def _add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
+def _shift(parts: int) -> int:
+    """Hashes lose so many low bits that a key, without its partition, has 32."""
+    return 32 - (parts.bit_length() - 1)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(0, np.int64)
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+
+
 def _packed(source: DataFrame, orders: tuple[int, ...], below: int, maps, parts: int) -> DataFrame:
-    """(part, mass, hashes, counts): what each task's documents hold of the orders, by hash partition."""
-    most, chunk = HELD, CHUNK
+    """(part, mass, data): what each task's documents hold of the orders, by hash partition: a row with the mass, and one with keys and counts."""
+    most, chunk, shift = HELD, CHUNK, _shift(parts)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        held, waiting = [none], 0
         for batch in batches:
             for _, grams in _grams_of(batch, chunk):
                 for n in orders:
-                    h = grams.order(n)[0][grams.kept(n, maps.value, below)]
-                    h, c = np.unique(h, return_counts=True)
+                    h, c = np.unique(grams.order(n)[0][grams.kept(n, maps.value, below, shift)] >> np.uint64(shift), return_counts=True)
                     held.append((h, c.astype(np.int64)))
                     waiting += len(h)
                 if waiting > most // 2:
                     held, waiting = [_add(held)], 0
                     if len(held[0][0]) > most:
                         yield send(*held[0])
-                        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                        held = [none]
         yield send(*_add(held))
 
     def send(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        part = (h >> np.uint64(33)).astype(np.int64) % parts
+        times = -(-c // 255)  # a count of over a byte takes several entries
+        low = np.repeat(c // times, times)
+        more = np.repeat(c - c // times * times, times)
+        low += (np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)) < more
+        h = np.repeat(h, times)
+        part = (h % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, h, c = part[order], h[order], c[order]
-        cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1], np.ones(min(1, len(part)), bool)]))
-        rows = list(zip(cut[:-1], cut[1:]))
-        columns = [pa.array([int(part[a]) for a, _ in rows], pa.int32()), pa.array([int(c[a:z].sum()) for a, z in rows], pa.int64()), pa.array([h[a:z].tobytes() for a, z in rows], pa.binary()), pa.array([c[a:z].astype("<u4").tobytes() for a, z in rows], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "mass", "hashes", "counts"])
+        part, rest, low = part[order], (h // np.uint64(parts)).astype("<u4")[order], low.astype(np.uint8)[order]
+        rows = _runs(part)
+        own = [int(part[a]) for a, _ in rows]
+        data = [rest[a:z].tobytes() + low[a:z].tobytes() for a, z in rows]
+        columns = [pa.array(own + own, pa.int32()), pa.array([int(low[a:z].sum(dtype=np.int64)) for a, z in rows] + [None] * len(rows), pa.int64()), pa.array([None] * len(rows) + data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "mass", "data"])
 
-    return source.mapInArrow(run, "part int, mass long, hashes binary, counts binary")
+    return source.mapInArrow(run, "part int, mass long, data binary")
 
 
 class Summary:
@@ -167,33 +204,97 @@ class Summary:
         return self.h[self.c + self.lost >= threshold]
 
 
-def survivors(packed: DataFrame, threshold: int) -> DataFrame:
-    """(h): the n-grams that may be frequent."""
-    masses = {r["part"]: r["mass"] for r in packed.groupBy("part").agg(F.sum("mass").alias("mass")).collect()}  # a number for each summary
+def _by_part(packed: DataFrame, each, schema: str) -> DataFrame:
+    """Rows (part, mass, data) dealt by part, masses first; `each` makes batches of a part's number, mass and data as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, summary, held, waiting = None, None, [], 0
-
-        def done() -> pa.RecordBatch:
-            summary.merge(held)
-            return pa.RecordBatch.from_arrays([pa.array(summary.survivors(threshold).view(np.int64))], names=["h"])
-
+        part, mass, made = None, 0, None
         for batch in batches:
-            for p, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for p, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if p != part:
-                    if summary is not None:
-                        yield done()
-                    part, summary, held, waiting = p, Summary(masses[p] // threshold + 1), [], 0
-                held.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), "<u4").astype(np.int64)))
-                waiting += len(held[-1][0])
-                if waiting > max(summary.capacity, 1 << 16):
-                    summary.merge(held)
-                    held, waiting = [], 0
-        if summary is not None:
-            yield done()
-
-    dealt = packed.select("part", "hashes", "counts").repartition(partitions(packed.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "h long")
+                    if made is not None:
+                        yield made.done()
+                    part, mass, made = p, 0, None
+                if m is not None:
+                    mass += m
+                    continue
+                if made is None:
+                    made = each(part, mass)
+                made.take(data.as_buffer())
+        if made is not None:
+            yield made.done()
+
+    dealt = packed.repartition(partitions(packed.sparkSession), "part").sortWithinPartitions("part", F.col("mass").isNull())
+    return dealt.mapInArrow(run, schema)
+
+
+class _Surviving:
+    """A part's summary as its packed counts arrive."""
+
+    def __init__(self, part: int, mass: int, parts: int, threshold: int):
+        self.part, self.parts, self.threshold = part, parts, threshold
+        self.summary, self.held, self.waiting = Summary(SLACK * (mass // threshold + 1)), [], 0
+
+    def take(self, data) -> None:
+        n = data.size // 5
+        self.held.append((np.frombuffer(data, "<u4", n).astype(np.uint64), np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64)))
+        self.waiting += n
+        if self.waiting > max(self.summary.capacity, 1 << 16):
+            self.summary.merge(self.held)
+            self.held, self.waiting = [], 0
+
+    def done(self) -> pa.RecordBatch:
+        self.summary.merge(self.held)
+        found = self.summary.survivors(self.threshold) * np.uint64(self.parts) + np.uint64(self.part)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+
+#: What the exact count sends of an n-gram in a task: 96 bits of hash, its count, the least hash of its documents.
+_EXACT = np.dtype([("h", "<u8"), ("g", "<u4"), ("n", "<u4"), ("owner", "<u4")])
+
+
+def _merged(x: np.ndarray) -> np.ndarray:
+    """Entries of equal hashes as one: counts added, the least owner."""
+    x = x[np.lexsort((x["g"], x["h"]))]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (x["h"][1:] != x["h"][:-1]) | (x["g"][1:] != x["g"][:-1])]))
+    out = x[first]
+    if len(first):
+        out["n"], out["owner"] = np.add.reduceat(x["n"], first), np.minimum.reduceat(x["owner"], first)
+    return out
+
+
+class _Exact:
+    """A part's exact counts as they arrive."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.sum = threshold, np.zeros(0, np.int64)
+        self.all, self.held = np.zeros(0, _EXACT), []
+
+    def take(self, data) -> None:
+        self.held.append(np.frombuffer(data, _EXACT))
+        if sum(map(len, self.held)) > max(len(self.all), 1 << 16):
+            self._merge()
+
+    def _merge(self) -> None:
+        both = np.concatenate([self.all, *self.held])
+        order = np.lexsort((both["g"], both["h"]))
+        wide = np.concatenate([self.sum, *(x["n"].astype(np.int64) for x in self.held)])[order]
+        both = both[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), (both["h"][1:] != both["h"][:-1]) | (both["g"][1:] != both["g"][:-1])]))
+        self.all, self.sum, self.held = both[first], np.add.reduceat(wide, first) if len(first) else wide, []
+        if len(first):
+            self.all["owner"] = np.minimum.reduceat(both["owner"], first)
+
+    def done(self) -> pa.RecordBatch:
+        self._merge()
+        some = self.sum >= self.threshold
+        x = self.all[some]
+        return pa.RecordBatch.from_arrays([pa.array(x["h"].view(np.int64)), pa.array(x["g"].astype(np.int64)), pa.array(x["owner"].astype(np.int64)), pa.array(self.sum[some])], names=["h", "g", "owner", "f"])
+
+
+def _owned(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A key of an n-gram in the documents that are to give its words."""
+    return _mix(h ^ (owner.astype(np.uint64) * np.uint64(_P))).view(np.int64)
 
 
 def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -201,42 +302,78 @@ def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     source = docs.select("lang", "text")
     parts = SUMMARIES * partitions(spark)
+    shift, most, chunk = _shift(parts), HELD // 4, CHUNK
     maps: dict[int, np.ndarray] = {}
     below = 0
     for orders in LEVELS:
-        packed = scratch(_packed(source, orders, below, spark.sparkContext.broadcast(dict(maps)), parts), "n-grams")
-        found = scratch(survivors(packed, threshold), "surviving")
+        packed = _packed(source, orders, below, spark.sparkContext.broadcast(dict(maps)), parts)
+        found = scratch(_by_part(packed, lambda part, mass: _Surviving(part, mass, parts, threshold), "h long"), "surviving")
         for n in orders:
             maps[n] = bit_map(found, "h")
         below = orders[-1]
     shared = spark.sparkContext.broadcast(maps)
-    most, chunk = HELD // 16, CHUNK
+
+    def surviving(grams: Grams, n: int) -> np.ndarray:
+        h, ok = grams.order(n)
+        at = np.flatnonzero(ok)
+        return at[has(shared.value[n], (h[at] >> np.uint64(shift)).view(np.int64))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, int] = {}
+        held, waiting = [np.zeros(0, _EXACT)], 0
+        for batch in batches:
+            for _, grams in _grams_of(batch, chunk):
+                for n in shared.value:
+                    at = surviving(grams, n)
+                    x = np.ones(len(at), _EXACT)
+                    x["h"], x["g"], x["owner"] = grams.order(n)[0][at], grams.order(n, 1)[0][at] >> np.uint64(32), grams.owner[at]
+                    held.append(_merged(x))
+                    waiting += len(held[-1])
+                if waiting > most:
+                    held, waiting = [_merged(np.concatenate(held))], 0
+                    if len(held[0]) > most:
+                        yield send(held[0])
+                        held = [np.zeros(0, _EXACT)]
+        yield send(_merged(np.concatenate(held)))
+
+    def send(x: np.ndarray) -> pa.RecordBatch:
+        part = (x["h"] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rows = _runs(part[order])
+        columns = [pa.array([int(part[order[a]]) for a, _ in rows], pa.int32()), pa.array([None] * len(rows), pa.int64()), pa.array([x[order[a:z]].tobytes() for a, z in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "mass", "data"])
+
+    exact = _by_part(source.mapInArrow(count, "part int, mass long, data binary"), lambda part, mass: _Exact(threshold), "h long, g long, owner long, f long")
+    exact = scratch(exact, "counted")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_owned(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))], names=["k"])
+
+    wanted = spark.sparkContext.broadcast(bit_map(exact.select("h", "owner").mapInArrow(keys, "k long"), "k", 64))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
         for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
             for lang, grams in _grams_of(batch, chunk):
-                total[lang, 0, None] = total.get((lang, 0, None), 0) + grams.size
+                totals[lang] = totals.get(lang, 0) + grams.size
                 for n in shared.value:
-                    at = np.flatnonzero(grams.order(n)[1])
-                    at = at[has(shared.value[n], grams.order(n)[0].view(np.int64)[at])]
-                    _, first, times = np.unique(grams.order(n)[0][at], return_index=True, return_counts=True)
-                    for i, c in zip(at[first].tolist(), times.tolist()):
-                        key = lang, n, grams.phrase(i, n)
-                        total[key] = total.get(key, 0) + c
-                if len(total) > most:
-                    yield rows(total)
-                    total.clear()
-        yield rows(total)
-
-    def rows(total: dict) -> pa.RecordBatch:
-        keys = list(total)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
-
-    counted = source.mapInArrow(count, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    counted = scratch(counted.where((F.col("words") == 0) | (F.col("f") >= threshold)), "phrases")
-    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("f").alias("n"))
+                    at = surviving(grams, n)
+                    at = at[has(wanted.value, _owned(grams.order(n)[0][at], grams.owner[at]))]
+                    at = at[np.unique(grams.order(n)[0][at], return_index=True)[1]]
+                    for column, x in zip(out, ([lang] * len(at), [n] * len(at), [grams.phrase(i, n) for i in at.tolist()], grams.order(n)[0][at].view(np.int64).tolist(), (grams.order(n, 1)[0][at] >> np.uint64(32)).tolist())):
+                        column += x
+            yield rows(out)
+        yield rows([list(totals), [0] * len(totals), [None] * len(totals), list(totals.values()), [0] * len(totals)])
+
+    def rows(out: list[list]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["lang", "words", "phrase", "h", "g"])
+
+    texts = scratch(source.mapInArrow(read, "lang string, words int, phrase string, h long, g long"), "phrase-texts")
+    named = texts.where("words > 0").groupBy("h", "g").agg(F.min(F.struct("lang", "words", "phrase")).alias("x"))
+    counts = scratch(exact.join(named, ["h", "g"]).select("x.*", "f"), "phrases")
+    return counts, texts.where("words = 0").groupBy("lang").agg(F.sum("h").alias("n"))
 
 
 def collocations(docs: DataFrame, threshold: int = 100, top: int = 2000, percent: int = 100) -> DataFrame:

@@ -73,7 +73,7 @@ def test_summaries_keep_what_is_frequent():
     for _ in range(20):
         threshold = int(rng.integers(3, 60))
         items = np.minimum(rng.zipf(1.3, 6000), 10**6).astype(np.uint64)
-        summary, true = phrases.Summary(len(items) // threshold + 1), Counter(items.tolist())
+        summary, true = phrases.Summary(len(items) // threshold + 1), Counter(items.tolist())  # without slack
         for part in np.array_split(items, 17):
             h, c = np.unique(part, return_counts=True)
             summary.merge([(h, c.astype(np.int64))])
