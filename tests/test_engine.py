@@ -14,7 +14,7 @@ from plumbline.functions import columns, stats
 from plumbline.functions import series as S
 from plumbline.functions.stats import Moments
 from plumbline.operators import customers, experiment, profile, quality, repair, rootcause
-from plumbline.plans import catalogue, dialect, render, roles
+from plumbline.plans import catalogue, dialect, evidence, render, roles  # noqa: F401
 from plumbline.sources import demo, preview, readers, urls, xlsx
 
 SF = "/root/testdata/sf0.001"
