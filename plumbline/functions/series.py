@@ -202,7 +202,8 @@ def _holt_winters(y, h, c, a=0.3, b=0.08, g=0.3, phi=0.95):
     if not c or len(y) < 2 * c:
         return _holt(y, h, c)
     level, slope = mean(y[:c]), (mean(y[c : 2 * c]) - mean(y[:c])) / c
-    parts = [v - level for v in y[:c]]
+    cycles = [y[k : k + c] for k in range(0, len(y) - c + 1, c)]
+    parts = [mean(x[i] - mean(x) for x in cycles) for i in range(c)]
     for i, v in enumerate(y):
         before, s = level, parts[i % c]
         level = a * (v - s) + (1 - a) * (level + phi * slope)

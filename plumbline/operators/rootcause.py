@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import in_period, ratio
-from plumbline.functions.stats import Moments, Test, benjamini_hochberg, poisson_rates, two_proportions, welch
 
 
 def segment_moments(df: DataFrame, dims: list[str], date: str, baseline: str, current: str, end: str, value: Column, weight: Column | None = None) -> DataFrame:
@@ -65,55 +64,3 @@ def drill(df: DataFrame, dim: str, segments: list[str], sub: str, date: str, bas
     ts = F.col(date)
     now = in_period(ts, current, end)
     return few.where(in_period(ts, baseline, end)).groupBy(F.col(dim).cast("string").alias("parent"), F.col(sub).cast("string").alias("child")).agg(F.coalesce(F.sum(F.when(now, value)), F.lit(0)).alias("s1"), F.coalesce(F.sum(F.when(~now, value)), F.lit(0)).alias("s0"), F.count(F.lit(1)).alias("n"))
-
-
-def _moments(n: float, s: float, q: float, shift: float = 0.0) -> Moments:
-    mean = s / n if n else 0.0
-    return Moments(n, mean - shift, max(0.0, (q - n * mean * mean) / (n - 1)) if n > 1 else 0.0)
-
-
-def tests(rows: list[dict], flag: bool = False, rate: float = 0.10, support: int = 15) -> list[dict]:
-    """Significance of each segment from its moments: the smallest p of the tests that apply, then false-discovery control."""
-    n0, n1 = sum(r["n0"] for r in rows), sum(r["n1"] for r in rows)
-    s0, s1 = sum(r["s0"] for r in rows), sum(r["s1"] for r in rows)
-    shift = (s1 / n1 if n1 else 0) - (s0 / n0 if n0 else 0)
-    out = []
-    for r in (r for r in rows if r["n0"] + r["n1"] >= support):
-        tried: list[Test] = [poisson_rates(r["n1"], r["n0"], n1 or 1, n0 or 1)]
-        tried.append(two_proportions(r["s1"], r["n1"], r["s0"], r["n0"]) if flag else welch(_moments(r["n1"], r["s1"], r["q1"], shift), _moments(r["n0"], r["s0"], r["q0"])))
-        out.append({**r, "p": min(t.p for t in tried)})
-    for r, yes in zip(out, benjamini_hochberg([r["p"] for r in out], rate)):
-        r["significant"] = yes
-    return out
-
-
-def verdict(parts: dict, significant: float) -> tuple[float, str]:
-    """Explanatory power of a dimension and what to call it."""
-    p = 0.45 * parts["dispersion"] + 0.35 * parts["concentration"] + 0.20 * significant
-    return p, "driver" if p >= 0.55 else "partial" if p >= 0.30 else "none"
-
-
-def analyse(df: DataFrame, dims: list[str], date: str, baseline: str, current: str, end: str, value: Column, segments: int = 6, ratio_weight: Column | None = None) -> dict:
-    """Dimensions in order of power, with their leading segments, roles and a second level below the first."""
-    m = segment_moments(df, dims, date, baseline, current, end, value, ratio_weight).persist()
-    try:
-        split = additive(m)
-        rows = [r.asDict() for r in split.where("n0 + n1 > 0").orderBy("dimension", F.desc(F.abs("delta")), "segment").collect()]  # dimensions have few levels by choice
-        powers = {r["dimension"]: r.asDict() for r in power(split).collect()}
-    finally:
-        m.unpersist()
-    tree = []
-    for d in dims:
-        own = tests([r for r in rows if r["dimension"] == d])
-        total = sum(r["delta"] for r in own)
-        for r in own:
-            r["role"] = "stable" if not r["significant"] else "driver" if r["delta"] * total > 0 else "offset"
-        p, name = verdict(powers.get(d, {"dispersion": 0, "concentration": 0}), sum(r["significant"] for r in own) / len(own) if own else 0)
-        tree.append({"dimension": d, "power": p, "verdict": name, "segments": sorted(own, key=lambda r: -abs(r["excess"]))[:segments]})
-    tree.sort(key=lambda t: -t["power"])
-    if len(tree) > 1 and tree[0]["segments"]:
-        first = [s["segment"] for s in tree[0]["segments"] if abs(s["contribution"] or 0) >= 10 and s["segment"] is not None][:3]
-        if first:
-            tree[0]["children"] = [r.asDict() for r in drill(df, tree[0]["dimension"], first, tree[1]["dimension"], date, baseline, current, end, value).collect()]
-    shares = [t["power"] for t in tree]
-    return {"tree": tree, "exonerated": [t["dimension"] for t in tree if t["verdict"] == "none"], "confidence": min(0.99, 0.35 + 0.45 * (max((abs(s["contribution"] or 0) for t in tree[:1] for s in t["segments"]), default=0) / 100) + 0.2 * (shares[0] if shares else 0))}

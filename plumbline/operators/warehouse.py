@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ratio, surrogate_key
@@ -31,10 +31,16 @@ def pool_health(funnel: DataFrame, limit: float = -0.30) -> DataFrame:
     return m.withColumn("pool_key", surrogate_key(F.date_format("call_month", "yyyy-MM-dd"), F.col("caller_id_pool"))).withColumn("spam_flag_risk", F.coalesce(F.col("change") < limit, F.lit(False)))
 
 
+def share(top: str, bottom: str, places: int = 4) -> Column:
+    """A rate of whole numbers, rounded half up in decimals, so that a tie does not depend on how a double is stored."""
+    exact = F.col(top).cast("decimal(20, 0)") / F.col(bottom).cast("decimal(20, 0)")
+    return F.when(F.col(bottom) != 0, F.round(exact, places).cast("double"))
+
+
 def campaign_performance(funnel: DataFrame) -> DataFrame:
     g = funnel.groupBy("call_month", "campaign").agg(*[F.sum(m).alias(m) for m in MEASURES], F.sum("campaign_spend").alias("campaign_spend"), F.sum("revenue").alias("revenue"))
-    rate = lambda a, b, k=4: F.round(ratio(F.col(a), F.col(b)), k)
-    return g.withColumns({"campaign_key": surrogate_key(F.date_format("call_month", "yyyy-MM-dd"), F.col("campaign")), "connect_rate": rate("connects", "dials"), "qualification_rate": rate("qualified_leads", "connects"), "conversion_rate": rate("conversions", "qualified_leads"), "cost_per_acquisition": rate("campaign_spend", "conversions", 2), "roas": rate("revenue", "campaign_spend", 2), "revenue_per_connect": rate("revenue", "connects", 2)})
+    rate = lambda a, b, k: F.round(ratio(F.col(a), F.col(b)), k)
+    return g.withColumns({"campaign_key": surrogate_key(F.date_format("call_month", "yyyy-MM-dd"), F.col("campaign")), "connect_rate": share("connects", "dials"), "qualification_rate": share("qualified_leads", "connects"), "conversion_rate": share("conversions", "qualified_leads"), "cost_per_acquisition": rate("campaign_spend", "conversions", 2), "roas": rate("revenue", "campaign_spend", 2), "revenue_per_connect": rate("revenue", "connects", 2)})
 
 
 def latest(df: DataFrame, month: str = "call_month") -> DataFrame:

@@ -916,6 +916,11 @@ def approx_within_bounds(spark, d):
 _CALLS = """(SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS call_month, l_returnflag AS campaign, l_linestatus AS pool, CAST(l_linenumber * 40 AS BIGINT) AS dials, CAST(l_linenumber * (4 + l_partkey % 9) AS BIGINT) AS connects, CAST(l_linenumber * 3 AS BIGINT) AS qualified_leads, CAST(l_linenumber AS BIGINT) AS conversions, CAST(l_linenumber AS DECIMAL(18,2)) AS campaign_spend, CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue FROM lineitem)"""
 
 
+def _rate4(top: str, bottom: str) -> str:
+    """A rate at four places, half up in whole numbers: a tie does not depend on how a double is stored."""
+    return f"CAST((20000 * CAST(sum({top}) AS HUGEINT) + sum({bottom})) // (2 * sum({bottom})) AS DOUBLE) / 10000"
+
+
 def _calls(spark, d) -> DataFrame:
     i, n = t(spark, d, "lineitem"), F.col("l_linenumber")
     raw = i.select(F.date_trunc("month", "l_shipdate").alias("call_date"), F.col("l_returnflag").alias("campaign"), F.col("l_linestatus").alias("caller_id_pool"), F.lit("human").alias("agent_type"), (n * 40).alias("dials"), (n * (4 + F.col("l_partkey") % 9)).alias("connects"), (n * 3).alias("qualified_leads"), n.alias("conversions"), F.lit(90.0).alias("qa_score"), n.alias("campaign_spend"), money("l_extendedprice").alias("revenue"))
@@ -929,7 +934,7 @@ def warehouse_pool_rates(spark, d):
 
 
 @query(f"""SELECT call_month, campaign, CAST(sum(dials) AS BIGINT) AS dials, CAST(sum(connects) AS BIGINT) AS connects, CAST(sum(qualified_leads) AS BIGINT) AS qualified_leads, CAST(sum(conversions) AS BIGINT) AS conversions, round(CAST(sum(campaign_spend) AS DOUBLE), 2) AS campaign_spend, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue, md5(strftime(call_month, '%Y-%m-%d') || '|' || campaign) AS campaign_key,
-  round(CAST(sum(connects) AS DOUBLE) / sum(dials), 4) AS connect_rate, round(CAST(sum(qualified_leads) AS DOUBLE) / sum(connects), 4) AS qualification_rate, round(CAST(sum(conversions) AS DOUBLE) / sum(qualified_leads), 4) AS conversion_rate FROM {_CALLS} GROUP BY 1, 2""")
+  {_rate4('connects', 'dials')} AS connect_rate, {_rate4('qualified_leads', 'connects')} AS qualification_rate, {_rate4('conversions', 'qualified_leads')} AS conversion_rate FROM {_CALLS} GROUP BY 1, 2""")
 def warehouse_campaign_rates(spark, d):
     c = warehouse.campaign_performance(_calls(spark, d)).drop("cost_per_acquisition", "roas", "revenue_per_connect")
     return c.withColumns({n: F.round(F.col(n).cast("double"), 2) for n in ("campaign_spend", "revenue")})

@@ -67,8 +67,9 @@ def charts(analysis: dict) -> list[Chart]:
     for k in dict.fromkeys(r["kpi_id"] for r in card):
         own = [r for r in card if r["kpi_id"] == k]
         out.append(Chart(f"series_{k}", "line", [{"period": str(r["period"]), "value": r["value"]} for r in own], {"x": "period", "y": "value"}, describe_series(k, [r["value"] for r in own if r["value"] is not None])))
-    for t in (analysis.get("root_cause") or {}).get("tree", []):
-        out.append(Chart(f"waterfall_{t['dimension']}", "waterfall", [{"segment": s["segment"], "delta": s["delta"]} for s in t["segments"]], {"x": "segment", "y": "delta"}, f"{t['dimension']} explains the change with power {t['power']:.2f}."))
+    cause = analysis.get("root_cause") or {}
+    for t in cause.get("dimensions", []):
+        out.append(Chart(f"waterfall_{t['dimension']}", "waterfall", [{"segment": s["segment"], "delta": s["delta"]} for s in cause["by_dimension"][t["dimension"]]], {"x": "segment", "y": "delta"}, f"{t['dimension']} explains the change with power {t['power']:.2f}."))
     if analysis.get("forecast"):
         out.append(Chart("forecast", "band", analysis["forecast"], {"x": "step", "y": "value"}, f"Forecast by {analysis['forecast'][0]['model']}."))
     return out
@@ -102,10 +103,9 @@ def _advice(id_: str, text: str, impact: float, confidence: float, urgency: floa
 
 @rule
 def lead_driver(a: dict):
-    tree = (a.get("root_cause") or {}).get("tree") or []
-    drivers = [s for s in (tree[0]["segments"] if tree else []) if s.get("role") == "driver"]
+    drivers = [s for s in (a.get("root_cause") or {}).get("nodes", []) if s["role"] == "driver"]
     if drivers:
-        return _advice("lead_driver", f"Look into {tree[0]['dimension']} = {drivers[0]['segment']}: it moved by {short(drivers[0]['delta'])}.", 0.9, (a.get("root_cause") or {}).get("confidence", 0.5), 0.8)
+        return _advice("lead_driver", f"Look into {drivers[0]['dimension']} = {drivers[0]['segment']}: it moved by {short(drivers[0]['delta'])}.", 0.9, (a.get("root_cause") or {}).get("confidence", 0.5), 0.8)
 
 
 @rule

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import series as S
-from plumbline.functions import sqlprofile
 from plumbline.functions.columns import period
-from plumbline.operators import anomaly, kpi, privacy, profile, quality, rootcause
-from plumbline.plans import domains, render
+from plumbline.operators import anomaly, causes, kpi, outlook, privacy, profile, quality
+from plumbline.plans import domains, kinds, render
 
 # Names that mean a role (an underscore may be missing), in order.
 ROLE_NAMES = {
@@ -89,17 +88,10 @@ def resolve_roles(df: DataFrame, given: dict[str, str] | None = None) -> tuple[d
     return out, trail
 
 
-DOMAIN_ROLES = {"banking": ("fraud_flag", "merchant_id"), "marketing": ("impressions", "clicks", "marketing_spend", "campaign_id"), "ecommerce": ("order_id", "product_id", "return_flag"), "sales": ("revenue", "quantity", "discount"), "hr": ("employee_id", "salary", "churn_flag", "tenure"), "healthcare": ("length_of_stay", "readmission_flag"), "manufacturing": ("downtime", "output", "defect_flag")}
-
-
-def detect_domain(columns: list[str], roles: dict[str, str]) -> tuple[str, float]:
-    """The domain with most of its roles bound (and its name's words among the columns), and a confidence up to 0.99."""
-    text = " ".join(columns).lower()
-    points = {d: 2.0 * sum(r in roles for r in wanted) + (d in text) for d, wanted in DOMAIN_ROLES.items()}
-    best, second = sorted(points.items(), key=lambda x: -x[1])[:2]
-    if best[1] < 4:
-        return "generic", 0.3
-    return best[0], min(0.99, 0.15 + 0.45 * min(1.0, 2.2 * best[1] / sum(points.values())) + 0.55 * (best[1] - second[1]) / best[1])
+def detect_domain(df: DataFrame, roles: dict[str, str], texts: list[str] | None = None) -> tuple[str, float]:
+    """The domain that names, roles and values speak for most, and a confidence."""
+    lead = kinds.domains(df, roles, texts).where("confidence IS NOT NULL").orderBy("place").first()
+    return lead["domain"], lead["confidence"]
 
 
 def dimensions(df: DataFrame, roles: dict[str, str], private: set[str], most: int = 6, levels: tuple[int, int] = (2, 40)) -> list[str]:
@@ -128,7 +120,7 @@ def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str]
         stage("privacy", lambda: privacy.detect(df))
         bound, trail = resolve_roles(df, roles)
         out["roles"], out["role_trail"] = bound, trail
-        out["domain"], out["domain_confidence"] = detect_domain(df.columns, bound)
+        out["domain"], out["domain_confidence"] = detect_domain(df, bound, dimensions(df, bound, {c for c, f in (out.get("privacy") or {}).items() if f["policy"] == "mask"}, 12))
 
         def checks() -> dict:
             kinds, mail = dict(df.dtypes), [c for c, f in (out.get("privacy") or {}).items() if f.get("category") == "email"]
@@ -153,15 +145,25 @@ def analyse(df: DataFrame, roles: dict[str, str] | None = None, kpis: list[str]
             labels = [str(r["period"]) for r in card if r["kpi_id"] == lead]
             stage("anomalies", lambda: S.anomalies(y, labels))
             stage("forecast", lambda: S.forecast(y, horizon))
-            stage("future", lambda: [name for _, name in sqlprofile.future_periods([r["period"] for r in card if r["kpi_id"] == lead], horizon, g)])
+            stage("future", lambda: outlook.month_labels(df.sparkSession, labels[-1], horizon, g) if labels else [])
             stage("trend", lambda: S.mann_kendall(y))
             dims = dimensions(df, bound, {c for c, f in (out.get("privacy") or {}).items() if f["policy"] == "mask"} | {date})
             dims = domains.ordered_dimensions(out["domain"], lead, bound, dims)
             out["dimensions"] = dims
-            if len(labels) >= 2 and dims:
-                end = df.agg(F.max(period(date, g)).alias("m")).select(F.expr(f"cast(m + interval 1 {g} as date)") if g != "quarter" else F.add_months("m", 3)).first()[0]
+            cycle = next((c["cycle"] for c in out.get("cards") or [] if c["kpi_id"] == lead), None)
+
+            def cause() -> dict | None:
+                spans = causes.compared(df, date, g, cycle)
+                if spans is None:
+                    return None
                 value = F.col(bound["revenue"]) if lead == "revenue" else F.lit(1.0)
-                stage("root_cause", lambda: rootcause.analyse(df, dims, date, labels[-2], labels[-1], str(end), value))
+                at = {"current": spans.current[0].date(), "baseline": spans.baseline[0].date()}
+                others = [(k, *(next((float(r["value"]) for r in card if r["kpi_id"] == k and r["period"] == p and r["value"] is not None), None) for p in at.values())) for k in dict.fromkeys(r["kpi_id"] for r in card)]
+                others = df.sparkSession.createDataFrame(others, "kpi_id string, current double, baseline double")
+                return causes.explain(df, dims, date, spans, value, sources=[F.col(bound["revenue"])] if "revenue" in bound else [], others=others, kpi_id=lead, higher_is_better=kpi.REGISTRY[lead].higher_is_better)
+
+            if len(labels) >= 2 and dims:
+                stage("root_cause", cause)
         stage("report", lambda: render.report(title, out))
     finally:
         df.unpersist()

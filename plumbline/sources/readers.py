@@ -7,6 +7,7 @@ import io
 import json
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +18,66 @@ from plumbline.sources import preview
 SUFFIXES = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".xlsx": "xlsx", ".xlsm": "xlsx", ".orc": "orc"}
 
 
+_TORN = "a quoted value runs over lines: read the file with multiline=True"
+
+
 def load_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, schema: str | None = None, skip: int = 0, multiline: bool | None = None) -> DataFrame:
     """Delimited text, every column a string unless a schema is given; tokens for missing values become null.
 
-    Delimiter and header are sniffed from the first lines, read by Spark. `skip` leading lines of each file are dropped.
-    Files are split among tasks unless a quoted value goes on in the next line; a pass over the lines looks for one with
-    an odd number of quotation marks, unless `multiline` says it.
+    Delimiter, header and quoted line breaks are sniffed from the first lines, read by Spark. `skip` leading lines of each file are dropped.
+    Files are split among tasks unless quoted values run over lines (`multiline`, or seen in the first lines); a file is one task then.
+    Where such a value turns up unannounced, the read fails instead of tearing the record.
     """
-    text = spark.read.text(path)
-    head = [r["value"] for r in text.limit(200).collect()][skip:]
+    head = [r["value"] for r in spark.read.text(path).limit(200 + skip).collect()][skip:]
     found = preview.sniff("\n".join(head))
     sep, header = sep or found["delimiter"], found["header"] if header is None else header
-    if skip:  # no reader option
-        names = next(csv.reader([head[0]], delimiter=sep)) if header and head else [f"_c{i}" for i in range(len(head[0].split(sep)) if head else 0)]
-        fields = schema or ", ".join(f"`{n.strip()}` string" for n in names)
-        out = _without_head(text, skip + bool(header)).select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
+    if multiline is None:
+        multiline = any(line.count('"') % 2 for line in head)
+    first = next(csv.reader(io.StringIO("\n".join(head)), delimiter=sep), []) if head else []
+    names = [n.strip() for n in first] if header else [f"_c{i}" for i in range(len(first))]
+    if len(set(names)) < len(names) or not names or schema:  # Spark names what is doubled
+        names = [c.strip() for c in (spark.read.schema(schema) if schema else spark.read.option("sep", sep).option("header", header).option("multiLine", multiline)).csv(path).columns]
+    fields = schema or ", ".join(f"`{n}` string" for n in names)
+    odd = lambda c: F.length(F.regexp_replace(c, '[^"]', "")) % 2 == 1
+    whole = lambda bad: F.when(bad, F.raise_error(F.lit(_TORN)).cast("boolean")).otherwise(F.lit(True))
+    if skip and multiline:
+        out = _records(spark.read.text(path, wholetext=True), skip + bool(header), sep, len(names)).select(F.from_csv("value", fields, {"sep": ",", "escape": '"', "multiLine": "true"}).alias("r")).select("r.*")
+    elif skip:
+        lines = _without_head(spark.read.text(path), skip + bool(header)).where(whole(odd("value")))
+        out = lines.select(F.from_csv("value", fields, {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
     else:
-        if multiline is None:
-            multiline = not text.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
         reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("multiLine", multiline).option("escape", '"')
-        out = (reader.schema(schema) if schema else reader).csv(path)
-    out = out.toDF(*[c.strip() for c in out.columns])
-    return clean_nulls(out)
+        torn = "_torn"
+        while torn in names:
+            torn += "_"
+        out = reader.option("columnNameOfCorruptRecord", torn).option("columnPruning", multiline).schema(f"{fields}, `{torn}` string").csv(path)
+        if not multiline:
+            out = out.where(whole(F.coalesce(odd(torn), F.lit(False))))
+        out = out.drop(torn)
+    return clean_nulls(out.toDF(*names) if not schema else out)
+
+
+def _records(files: DataFrame, n: int, sep: str, width: int) -> DataFrame:
+    """Records of whole files (value) without their first n lines, as lines of plain CSV that may hold line breaks in quotes."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                rest = io.StringIO(text, newline="")
+                for _ in range(n):
+                    rest.readline()
+                out = []
+                for row in csv.reader(rest, delimiter=sep):
+                    if row:
+                        line = io.StringIO()
+                        csv.writer(line, lineterminator="", quoting=csv.QUOTE_MINIMAL).writerow((row + [""] * width)[:width])
+                        out.append(line.getvalue())
+                    if len(out) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                        out = []
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return files.select("value").mapInArrow(run, "value string")
 
 
 def _without_head(text: DataFrame, n: int) -> DataFrame:

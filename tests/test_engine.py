@@ -14,7 +14,7 @@ from plumbline.functions import columns, stats
 from plumbline.functions import series as S
 from plumbline.functions.stats import Moments
 from plumbline.operators import customers, experiment, profile, quality, repair, rootcause
-from plumbline.plans import catalogue, dialect, evidence, render, roles  # noqa: F401
+from plumbline.plans import catalogue, dialect, evidence, outlooks, render, roles  # noqa: F401
 from plumbline.sources import demo, preview, readers, urls, xlsx
 
 SF = "/root/testdata/sf0.001"
@@ -88,19 +88,6 @@ def test_series():
     assert [x["label"] for x in spike] == ["7"]
 
 
-def test_planted_cause_is_found(spark):
-    for kind in ("banking", "retail", "manufacturing"):
-        dim, level, _ = demo.KINDS[kind]["planted"]
-        df = demo.generate(spark, kind, 20_000)
-        from pyspark.sql import functions as F
-
-        out = rootcause.analyse(df, list(demo.KINDS[kind]["dims"]), "date", "2024-04-24", "2024-05-24", "2024-06-24", F.col(demo.KINDS[kind]["measure"]))
-        assert out["tree"][0]["dimension"] == dim
-        assert out["tree"][0]["segments"][0]["segment"] == level
-        for s in out["tree"][0]["segments"]:
-            assert math.isclose(s["excess"], s["delta"] - s["expected"], abs_tol=1e-6)
-
-
 def test_analyse_runs_without_warnings(spark):
     out = roles.analyse(demo.generate(spark, "ecommerce", 8000), grain="month")
     assert out["warnings"] == [] and out["roles"]["revenue"] == "revenue" and out["report"]["markdown"].startswith("# ")

@@ -1,15 +1,15 @@
 """Ordered ranks, SQL-profile statistics, domains, governance, schemas: closed forms and small tables."""
 
 import math
-from datetime import date, datetime, timezone
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import sqlprofile as Q
-from plumbline.operators import anomaly, customers, kpi, ordered, privacy, profile, quality
-from plumbline.plans import domains, roles
+from plumbline.functions import series as S
+from plumbline.operators import anomaly, customers, kpi, ordered, outlook, privacy, profile, quality
+from plumbline.plans import domains, governance, kinds, roles
 from plumbline.sources import readers
 
 AWKWARD = [None, 0.0, -0.0, -3.5, -3.5, 1e-300, 2.0, 2.0, 2.0, 1024.0, 1023.9999999, 1e300, -1e300, 7.25]
@@ -75,49 +75,66 @@ def test_retention_and_value_of_customers(spark):
     assert rows["a"]["predicted_clv"] == pytest.approx(20 * 2 * 0.3 * 0.5 / 0.5)  # too short for a curve: half the customers came again
 
 
-def test_normal_tail_and_tests():
-    for z in (-3.0, -1.0, 0.0, 0.5, 1.96, 4.0):
-        assert math.isclose(Q.normal_cdf(z), 0.5 * math.erfc(-z / math.sqrt(2)), abs_tol=1e-7)
-    assert Q.proportions(30, 100, 10, 100) == {"z": 3.536, "p": 0.0004}
-    assert Q.proportions(3, 4, 10, 100) == {"z": 0.0, "p": 1.0}
-    assert Q.welch(10, 2, 50, 9, 2, 50) == {"t": 2.5, "p": 0.0124, "d": 0.5}
-    assert Q.quantile([1, 2, 3, 4], 0.5) == 2.5 and Q.quantile([], 0.5) == 0.0 and Q.hhi([0.5, 0.5]) == 0.5
-    up = Q.mann_kendall([1, 2, 3, 4, 5, 6])
-    assert (up["direction"], up["slope"], up["tau"]) == ("increasing", 1.0, 1.0)
-    assert Q.mann_kendall([1, 2, 3, 4, 5])["direction"] == "flat"  # five values never are significant
-
-
-def test_sql_forecast():
-    assert Q.forecast([1.0] * 12) == [] and Q.forecast([1, 2, 3]) == []
-    assert Q.MODELS["holt"]([0.0, 10.0, 20.0], 1)[0] == pytest.approx(26.003084)  # by hand
-    best = Q.forecast([5.0, 9.0] * 6)[0]  # a level between the two is nearer than the last value
-    assert best["model"] != "naive" and best["beats_naive"] and best["mase"] < 0.98
-    assert Q.backtest([5.0, 9.0] * 6, "naive") == {"model": "naive", "mase": 1.0, "mape": round((4 / 5 + 4 / 9) / 2 * 100, 4), "rmse": 4.0, "folds": 6}
-    wide = [r["high"] - r["low"] for r in Q.forecast([5.0, 9.0] * 6)]
-    assert wide[1] / wide[0] == pytest.approx(math.sqrt(2), rel=1e-3) and wide[2] / wide[0] == pytest.approx(math.sqrt(3), rel=1e-3)
-    assert Q.MODELS["ses"]([10.0, 20.0], 2) == [13.5, 13.5]
+def _series(spark, **named):
+    rows = [(k, date(2020 + i // 12, i % 12 + 1, 1), float(v)) for k, y in named.items() for i, v in enumerate(y)]
+    return spark.createDataFrame(rows, "kpi_id string, period date, value double")
 
 
-def test_sql_season():
-    y = [10.0, 20.0, 30.0, 20.0] * 3
-    assert Q.season(y, "quarter", [f"q{i}" for i in range(12)]) == {"detected": True, "period": 4, "strength": 1.0, "peak": "q2", "trough": "q0"}
-    assert not Q.season([10.0, 10.1, 10.0, 10.1] * 3, "quarter")["detected"] and not Q.season(y[:7], "quarter")["detected"]
+def test_normal_tail_and_tests(spark):
+    zs = (-3.0, -1.0, 0.0, 0.5, 1.96, 4.0)
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", outlook.two_sided(F.col("z")).alias("p")).collect():
+        assert math.isclose(r["p"], math.erfc(abs(r["z"]) / math.sqrt(2)), abs_tol=2e-7)
+    share = lambda *v: spark.range(1).select(outlook.proportions(*[F.lit(float(x)) for x in v]).alias("x")).first()["x"].asDict()
+    assert share(30, 100, 10, 100) == {"z": 3.536, "p": 0.0004} and share(3, 4, 10, 100) == {"z": 0.0, "p": 1.0}
+    mean = spark.range(1).select(outlook.welch(*[F.lit(float(x)) for x in (10, 2, 50, 9, 2, 50)]).alias("x")).first()["x"].asDict()
+    assert mean == {"t": 2.5, "p": 0.0124, "d": 0.5}
+    got = {r["kpi_id"]: r for r in outlook.mann_kendall(_series(spark, up=[1, 2, 3, 4, 5, 6], five=[1, 2, 3, 4, 5], short=[1, 2, 3])).collect()}
+    assert (got["up"]["direction"], got["up"]["slope"], got["up"]["tau"]) == ("increasing", 1.0, 1.0)
+    assert got["five"]["direction"] == "flat" and "short" not in got  # five values never are significant
 
 
-def test_future_periods():
-    assert Q.future_periods([date(2024, 11, 1), date(2024, 12, 1)], 2) == [(date(2025, 1, 1), "Jan 2025"), (date(2025, 2, 1), "Feb 2025")]
-    assert Q.future_periods([date(2024, 7, 1), date(2024, 10, 1)], 1) == [(date(2025, 1, 1), "Q1 2025")]
-    assert Q.future_periods([date(2024, 12, 16), date(2024, 12, 23)], 1) == [(date(2024, 12, 30), "W01 2024")]
-    assert Q.future_periods([date(2024, 2, 28)], 1, "day") == [(date(2024, 2, 29), "2024-02-29")] and Q.future_periods([], 3) == []
+def test_sql_forecast(spark):
+    y = [5.0, 9.0] * 6
+    rows = outlook.outlook(_series(spark, saw=y, flat=[1.0] * 12, short=[1, 2, 3])).orderBy("kpi_id", "step").collect()
+    assert {r["kpi_id"] for r in rows} == {"saw"} and rows[0]["model"] != "naive" and rows[0]["beats_naive"] and rows[0]["mase"] < 0.98  # a level between the two is nearer
+    tests = {r["model"]: r.asDict() for r in outlook.backtests(_series(spark, saw=y)).collect()}
+    assert tests["naive"] == {"kpi_id": "saw", "model": "naive", "mase": 1.0, "mape": round((4 / 5 + 4 / 9) / 2 * 100, 4), "rmse": 4.0, "folds": 6}
+    wide = [r["high"] - r["low"] for r in rows]
+    assert wide[1] / wide[0] == pytest.approx(math.sqrt(2), rel=1e-3) and wide[2] / wide[0] == pytest.approx(math.sqrt(3), rel=1e-3)
+    last = outlook._series(_series(spark, a=[0.0, 10.0, 20.0], b=[10.0, 20.0])).select("kpi_id", F.element_at("s", -1).alias("s")).collect()
+    last = {r["kpi_id"]: r["s"] for r in last}
+    assert last["a"]["level"] + 0.9 * last["a"]["slope"] == pytest.approx(26.003084) and last["b"]["ses"] == 13.5  # by hand
 
 
-def test_classify_and_domain():
-    assert Q.classify("is_new", "int", 2, 100, 0, 1) == "boolean" and Q.classify("order_id", "bigint", 90, 100) == "identifier"
-    assert Q.classify("revenue", "double", 90, 100) == "currency" and Q.classify("click_rate", "double", 9, 100) == "percentage"
-    assert Q.classify("note", "string", 900, 1000) == "text" and Q.classify("town", "string", 40, 1000) == "categorical"
-    found = Q.detect_domain(["patient_id", "ward", "length_of_stay", "region"])
-    assert found["domain"] == "healthcare" and found["scores"] == {"healthcare": 12, "sales": 1} and found["confidence"] == 0.91
-    assert Q.detect_domain(["x", "y"])["domain"] == "generic"
+def test_sql_season(spark):
+    y = [10.0, 20.0, 30.0, 20.0] * 3
+    got = {r["kpi_id"]: r.asDict() for r in outlook.seasons(_series(spark, wave=y, small=[10.0, 10.1, 10.0, 10.1] * 3, short=y[:7]), 4).collect()}
+    assert got["wave"] == {"kpi_id": "wave", "detected": True, "cycle": 4, "strength": 1.0, "peak": date(2020, 3, 1), "trough": date(2020, 1, 1)}
+    assert not got["small"]["detected"] and not got["short"]["detected"]
+
+
+def test_future_periods(spark):
+    rows = [("m", date(2024, 11, 1)), ("m", date(2024, 12, 1)), ("q", date(2024, 7, 1)), ("q", date(2024, 10, 1)), ("w", date(2024, 12, 16)), ("w", date(2024, 12, 23)), ("one", date(2024, 2, 1))]
+    long = spark.createDataFrame(rows, "kpi_id string, period date")
+    got = {r["kpi_id"]: (r["start"], r["label"]) for r in outlook.future_periods(long, 1).collect()}
+    assert got == {"m": (date(2025, 1, 1), "Jan 2025"), "q": (date(2025, 1, 1), "Q1 2025"), "w": (date(2024, 12, 30), "W01 2024"), "one": (date(2024, 3, 1), "Mar 2024")}
+    assert outlook.month_labels(spark, "2024-02-28", 1, "day") == ["2024-02-29"] and outlook.future_periods(long.limit(0)).count() == 0
+
+
+def test_kinds_and_domains(spark):
+    rows = [("is_new", "int", 100, 2, 0.0, 1.0), ("order_id", "bigint", 100, 90, 1.0, 99.0), ("revenue", "double", 100, 90, 0.0, 9.0), ("click_rate", "double", 100, 9, 0.0, 9.0), ("note", "string", 1000, 900, None, None), ("town", "string", 1000, 40, None, None), ("at", "timestamp_ntz", 9, 9, None, None), ("odd", "array<int>", 9, 9, None, None)]
+    got = {r["column"]: r["kind"] for r in kinds.kinds(spark.createDataFrame(rows, "column string, type string, rows long, distinct_values long, low double, high double")).collect()}
+    assert got == {"is_new": "boolean", "order_id": "identifier", "revenue": "currency", "click_rate": "percentage", "note": "text", "town": "categorical", "at": "datetime", "odd": "categorical"}
+    names = spark.createDataFrame([("patient_id",), ("ward",), ("length_of_stay",), ("region",)], "column string")
+    found = kinds.sql_domains(names).orderBy("place").collect()
+    assert [(r["domain"], r["points"], r["confidence"]) for r in found] == [("healthcare", 12, 0.91), ("sales", 1, None)]
+    assert kinds.sql_domains(spark.createDataFrame([("x",)], "column string")).count() == 0
+    df = spark.createDataFrame([("Visa ",), ("ATM withdrawal",), (None,)], "k string")
+    lead = kinds.domains(df, {"merchant_id": "m"}).where("confidence IS NOT NULL").collect()
+    assert [(r["domain"], r["points"]) for r in lead] == [("banking", 6.0)]
+    assert kinds.domains(df.select(F.lit("q").alias("k"))).where("confidence IS NOT NULL").first()["domain"] == "generic"
+    f = {r["column"]: (r["distinct_values"], r["low"]) for r in kinds.facts(spark.range(50).select("id", (F.col("id") % 3).cast("string").alias("s")), exact=False).collect()}
+    assert abs(f["id"][0] - 50) <= 2 and f["id"][1] == 0.0 and f["s"] == (3, None)
 
 
 def test_domains():
@@ -130,15 +147,17 @@ def test_domains():
     assert domains.ordered_dimensions("none", "revenue", bound, ["a", "b"], 1) == ["a"]
 
 
-def test_governance():
-    advice = [{"id": "a", "category": "margin", "impact": 0.9, "confidence": 0.95, "urgency": 1.0, "metric": "revenue", "evidence": [{"method": "welch", "p": 0.01}, {"method": "welch", "p": 0.2}]}, {"id": "b", "category": "growth", "impact": 0.5, "confidence": 0.5, "urgency": 1.0, "amount": -300_000}]
-    rows = domains.govern(advice, "ecommerce", "usable with care", 0.6, datetime(2024, 1, 1, tzinfo=timezone.utc))
-    a, b = rows
+def test_governance(spark):
+    rows = [("a", "margin", 0.9, 0.95, 1.0, None, "revenue", [("welch", 0.01), ("welch", 0.2)]), ("b", None, 0.5, 0.5, 1.0, -300_000.0, None, None)]
+    advice = spark.createDataFrame(rows, "id string, category string, impact double, confidence double, urgency double, amount double, metric string, evidence array<struct<method: string, p: double>>")
+    a, b = governance.decide(advice, "ecommerce", "usable with care", 0.6).orderBy("id").collect()
     assert (a["confidence"], a["confidence_before"], a["priority"], a["owner"], a["approval"]) == (0.6, 0.95, "medium", "Head of Merchandising", True)
-    assert a["tests"] == ["welch"] and a["significance"] == 0.01 and len(a["trail"]) == 5 and a["trail"][0].startswith("2024-01-01T00:00:00Z")
-    assert b["approval"] and b["authority"] == "Commercial Director" and b["priority"] == "low"
-    assert not domains.govern([advice[1]], "none", "ready", None)[0]["approval"]
-    assert domains.explain(a)["evidence"] == 2 and domains.explain(a)["about"] == ["revenue"]
+    assert a["tests"] == ["welch"] and a["significance"] == 0.01
+    assert [(t["rule"], t["before"], t["after"]) for t in a["trail"]] == [("fired", "", "a"), ("evidence", "", "2"), ("readiness", "", ""), ("cap", "0.95", "0.60"), ("owner", "", "Head of Merchandising"), ("approval", "", "Commercial Director")]
+    assert b["approval"] and b["authority"] == "Commercial Director" and b["priority"] == "low" and b["category"] == "growth"
+    free = governance.decide(advice, "none", "ready").orderBy("id").collect()
+    assert [(r["approval"], r["authority"], r["confidence"]) for r in free] == [(True, "Analytics Lead", 0.95), (False, "", 0.5)]
+    assert governance.decide(advice.limit(0), "hr", "ready").count() == 0
 
 
 def test_cards_and_exceptions(spark):
@@ -194,3 +213,34 @@ def test_quoted_line_breaks_are_found(spark, tmp_path):
     assert {r["note"] for r in readers.load_csv(spark, str(tmp_path / "a.csv")).collect()} == {"one\ntwo", "plain"}
     (tmp_path / "b.csv").write_text('name,note\n' + 'x,"one, two"\n' * 300)
     assert readers.load_csv(spark, str(tmp_path / "b.csv")).where("note = 'one, two'").count() == 300
+
+
+def test_quoted_line_breaks_behind_a_preamble(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"p{i}.csv").write_text(f'made by a tool\nname,note\nx{i},"one\ntwo, ""three"""\ny,plain\nz\n')
+    want = sorted([("x0", 'one\ntwo, "three"'), ("x1", 'one\ntwo, "three"'), ("y", "plain"), ("y", "plain"), ("z", None), ("z", None)], key=str)
+    for multiline in (None, True):
+        rows = readers.load_csv(spark, str(tmp_path), skip=1, header=True, multiline=multiline).collect()
+        assert sorted([tuple(r) for r in rows], key=str) == want
+    with pytest.raises(Exception, match="runs over lines"):
+        readers.load_csv(spark, str(tmp_path), skip=1, header=True, multiline=False).collect()
+
+
+def test_a_late_quoted_line_break_fails_loudly(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("name,note\n" + "a,b\n" * 500 + 'x,"one\ntwo"\n')
+    with pytest.raises(Exception, match="runs over lines"):
+        readers.load_csv(spark, str(tmp_path / "late.csv")).select("note").collect()
+    assert readers.load_csv(spark, str(tmp_path / "late.csv"), multiline=True).count() == 501
+
+
+def test_holt_winters_starts_from_all_cycles():
+    y = [1.0, 5.0, 3.0, 7.0]  # two cycles of two; their mean season is (-2, 2)
+    level, slope, parts = 3.0, 1.0, [-2.0, 2.0]
+    for i, v in enumerate(y):
+        before, s = level, parts[i % 2]
+        level = 0.3 * (v - s) + 0.7 * (level + 0.95 * slope)
+        slope = 0.08 * (level - before) + 0.92 * 0.95 * slope
+        parts[i % 2] = 0.3 * (v - level) + 0.7 * s
+    assert S.MODELS["holt_winters"](y, 1, 2)[0] == pytest.approx(level + 0.95 * slope + parts[0])
+    uneven = [10.0, 20.0, 10.0, 40.0]
+    assert S.MODELS["holt_winters"](uneven, 2, 2) != S.MODELS["holt_winters"]([10.0, 20.0, 10.0, 20.0], 2, 2)
