@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import as_bytes, carried, id_key, partitions, scratch, slices, spare
+from plumbline.llm.common import as_bytes, carried, discard, id_key, partitions, scratch, slices, spare
 from plumbline.llm.substrings import _mix, _slide_min
 
 #: Bytes of text handled at a time, and starts of a piece of a document, at most.
@@ -169,9 +169,12 @@ def _collapse(strings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(key, tag, start, n) of all windows of texts that occur twice; and of those of one text of each kind that shares its least sub-string with other kinds."""
     strings = scratch(strings, name)
     kinds = scratch(strings.groupBy("bucket", "h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "tag", "start", "n")).alias("lead")), name + "-kinds")
-    copies = strings.join(kinds.where("times > 1").select("h1", "h2"), ["h1", "h2"]).select("key", "tag", "start", "n")
+    copies = scratch(strings.join(kinds.where("times > 1").select("h1", "h2"), ["h1", "h2"]).select("key", "tag", "start", "n"), name + "-copies")
     shared = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket")
-    return copies, kinds.join(shared, "bucket").select("lead.*")
+    leads = scratch(kinds.join(shared, "bucket").select("lead.*"), name + "-leads")
+    discard(strings)
+    discard(kinds)
+    return copies, leads
 
 
 def _cut_pieces(size: int):
@@ -362,11 +365,11 @@ def repeated_starts(pieces: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, k)) for x, k in zip(out, kinds)], names=["ends", "name", "check", "lead", "piece", "at"])
 
     key_type = "k1 long, k2 long, k3 long, piece long, at int"
-    first = _ranked(scratch(pieces.select("piece", "text", "windows").mapInArrow(triples, key_type), "triples"), ["k1", "k2", "k3"], "names")
-    second = _ranked(scratch(_by_piece(first, again, key_type), "name-triples"), ["k1", "k2", "k3"], "long-names")
+    first = _ranked(pieces.select("piece", "text", "windows").mapInArrow(triples, key_type), ["k1", "k2", "k3"], "names")
+    second = _ranked(_by_piece(first, again, key_type), ["k1", "k2", "k3"], "long-names")
     texts = pieces.select("piece", F.lit(-1).cast("int").alias("at"), F.lit(0).cast("long").alias("name"), "text", "windows")
     named = second.select("piece", "at", "name", F.lit(None).cast("binary").alias("text"), F.lit(None).cast(texts.schema["windows"].dataType).alias("windows"))
-    orders = scratch(_by_piece(texts.unionAll(named), merge, "ends long, name long, check long, lead long, piece long, at int"), "orders")
+    orders = _by_piece(texts.unionAll(named), merge, "ends long, name long, check long, lead long, piece long, at int")
     return _ranked(orders, ["lead", "ends", "name", "check"], "neighbours").select("piece", "at")
 
 
