@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordered
+from plumbline.operators import ordered, sketches
 
 NUMERIC = ("byte", "tinyint", "short", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -16,9 +20,18 @@ def is_numeric(kind: str) -> bool:
     return kind.startswith(NUMERIC)
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """(column, n, missing, missing_pct, distinct_values, unique_pct, is_unique, is_constant) in one aggregation."""
+def counts(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column, n, missing, missing_pct, distinct_values, unique_pct, is_unique, is_constant) in one aggregation.
+
+    Exact distinct counts send every row once for each column; with `exact=False` sketches of bounded size are sent instead, distinct_values
+    is within 5 % and a column counts as unique where it may be.
+    """
     cols = df.columns
+    if not exact:
+        e = sketches.estimates(sketches.column_sketches(df)).select("column", "n", "missing", "distinct_values")
+        near = (F.col("distinct_values") >= (1 - sketches.DISTINCT_ERROR) * F.col("n")) & (F.col("n") > 0)
+        of = lambda a, b: F.when(b > 0, F.round(100 * a / b, 4)).otherwise(F.lit(0.0))
+        return e.select("column", "n", "missing", of(F.col("missing"), F.col("n") + F.col("missing")).alias("missing_pct"), "distinct_values", of(F.least("distinct_values", "n"), F.col("n")).alias("unique_pct"), near.alias("is_unique"), (F.col("distinct_values") <= 1).alias("is_constant"))
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)], *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("n"), (F.col("_n") - F.col(f"c{i}")).alias("missing"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(cols)]))
     r = one.select("_n", rows.alias("r")).select("_n", "r.*")
@@ -111,14 +124,23 @@ def inclusion(child: DataFrame, child_column: str, parent: DataFrame, parent_col
 
 
 def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """(column, samples): the k least distinct values of each column, as text; one aggregation, no order of rows.
+    """(column, samples): the k least distinct values of each column, as text; no order of rows.
 
-    Each partial result holds k values a column.
+    A task keeps k values a column while it reads, so what is shuffled does not grow with the values.
     """
     cols = columns or df.columns
-    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])).alias("r")).select("r.*").where("value is not null").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return tall.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[str]] = [[] for _ in cols]
+        for batch in batches:
+            for i in range(len(cols)):
+                some = pc.unique(batch.column(i)).drop_null().to_pylist()
+                kept[i] = heapq.nsmallest(k, {*kept[i], *some}, key=lambda v: v.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, own in zip(cols, kept) for _ in own], pa.string()), pa.array([v for own in kept for v in own], pa.string())], names=["column", "value"])
+
+    text = df.select(*[F.col(f"`{c}`").cast("string") for c in cols])
+    few = text.mapInArrow(least, "column string, value string")
+    return few.groupBy("column").agg(F.slice(F.array_sort(F.collect_set("value")), 1, k).alias("samples"))
 
 
 def midnight(df: DataFrame, column: str) -> DataFrame:
@@ -145,8 +167,7 @@ def primary_key(df: DataFrame, table: str = "dataset") -> list[str]:
     some = [r["column"] for r in rows if r["n"] and not r["missing"] and not r["is_constant"] and means[r["column"]] in whole]
     if len(some) < 2:
         return []
-    unique = {(r["first"], r["second"]) for r in key_pairs(df, some).where("is_key").collect()}
-    return list(next((p for p in combinations(some[:12], 2) if p in unique), ()))
+    return list(next(iter(sketches.key_candidates(df, list(combinations(some[:12], 2)))), ()))
 
 
 def table_schema(df: DataFrame, table: str = "dataset") -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import causes, kpi
+from plumbline.operators import causes, keys, kpi, sketches
 from plumbline.plans.catalogue import ROLES, items, orders, query, r6, rounded, t
 
 _SIDES = "sum(CASE WHEN {side} THEN 1 ELSE 0 END)"
@@ -142,3 +142,57 @@ def rc_sql_powers(spark, d):
     """How well each dimension explains a quarter's change by the SQL profile: coverage by drivers and concentration."""
     nodes, whole = _sql_nodes(spark, d)
     return causes.sql_powers(nodes, whole)
+
+
+# -- keys, sketches and order of arrival --------------------------------------------------------------
+
+_FK = {"region": "r_regionkey n r_name s", "nation": "n_nationkey n n_name s n_regionkey n", "customer": "c_custkey n c_name s c_nationkey n c_acctbal n c_mktsegment s", "supplier": "s_suppkey n s_name s s_nationkey n s_acctbal n", "part": "p_partkey n p_name s p_brand s p_type s p_size n p_retailprice n", "orders": "o_orderkey n o_custkey n o_orderstatus s o_totalprice n o_orderpriority s", "lineitem": "l_orderkey n l_partkey n l_suppkey n l_linenumber n l_quantity n l_extendedprice n l_discount n l_tax n l_returnflag s l_linestatus s", "documents": "doc_id n lang s source s n_chars n", "labels": "doc_id n quality n toxic n", "benchmark": "item_id n"}
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id", "benchmark": "item_id"}
+
+
+def _fk_values() -> str:
+    out = []
+    for table, cols in _FK.items():
+        names = cols.split()
+        for c, k in zip(names[::2], names[1::2]):
+            value = f"CASE WHEN {c} = round({c}) THEN 'n' || CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE 'n' || CAST(CAST({c} AS DOUBLE) AS VARCHAR) END" if k == "n" else f"'s' || {c}"
+            out.append(f"SELECT DISTINCT '{table}.{c}' AS c, {value} AS v FROM {table} WHERE {c} IS NOT NULL")
+    return " UNION ALL ".join(out)
+
+
+_PARENTS = ", ".join(f"'{name}.{c}'" for name, c in _KEYS.items())
+
+
+@query(f"""WITH v AS ({_fk_values()}), n AS (SELECT c, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.c AS child, b.c AS parent, count(*) AS matched FROM v a JOIN v b ON a.v = b.v WHERE b.c IN ({_PARENTS}) AND split_part(a.c, '.', 1) <> split_part(b.c, '.', 1) GROUP BY 1, 2),
+  r AS (SELECT child, parent, matched, CAST(matched AS DOUBLE) / x.n AS ratio, split_part(child, '.', 2) AS cn, split_part(parent, '.', 2) AS pn FROM p JOIN n x ON x.c = child JOIN n y ON y.c = parent WHERE x.n >= 2 AND x.n <= y.n),
+  s AS (SELECT child, parent, matched, ratio, round(least(1.0, ratio + CASE WHEN cn = pn THEN 0.05 WHEN regexp_matches(cn, '{keys.KEY_NAME}') THEN 0.02 ELSE -0.10 END), 4) AS confidence FROM r WHERE ratio >= 0.95) SELECT child, parent, matched, round(ratio, 4) AS ratio, confidence FROM s WHERE confidence >= 0.95""")
+def foreign_key_candidates(spark, d):
+    """References between ten tables by the values their columns share: one inverted index for all pairs of columns."""
+    tables = {name: t(spark, d, name).select(*cols.split()[::2]) for name, cols in _FK.items()}
+    return keys.foreign_keys(tables, _KEYS)
+
+
+_SKETCHED = ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, " + (f"CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std" if c != "l_returnflag" else "NULL AS low, NULL AS high, NULL AS mean, NULL AS std") + ", true AS distinct_close, true AS quantiles_close FROM lineitem" for c in _SKETCHED))
+def profile_sketches(spark, d):
+    """Lines sketched by month and merged, as a store of daily sketches would be; counts and moments are exact, estimates are held against exact numbers."""
+    li = t(spark, d, "lineitem")
+    parts = sketches.column_sketches(li.select(F.date_trunc("month", "l_shipdate").alias("month"), *_SKETCHED), ["month"])
+    e = sketches.estimates(sketches.merge(parts), (0.25, 0.5, 0.75))
+    steps = [q + s * sketches.RANK_ERROR for q in (0.25, 0.5, 0.75) for s in (-1, 1)]
+    exact = li.agg(*[F.struct(F.count_distinct(c).alias("u"), (F.percentile(c, F.array(*[F.lit(x) for x in steps])) if c != "l_returnflag" else F.lit(None).cast("array<double>")).alias("q")).alias(c) for c in _SKETCHED])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.u").alias("u"), F.col(f"{c}.q").alias("q")) for c in _SKETCHED])).alias("x")).select("x.*")
+    close = F.abs(F.col("distinct_values") - F.col("u")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("u"))
+    inside = F.expr("q IS NULL OR forall(sequence(0, 2), i -> quantiles[i] >= q[2 * i] AND quantiles[i] <= q[2 * i + 1])")
+    return rounded(e.join(F.broadcast(exact), "column"), "mean", "std").select("column", "n", "missing", "low", "high", "mean", "std", close.alias("distinct_close"), inside.alias("quantiles_close"))
+
+
+@query("""WITH x AS (SELECT 'event' AS of, CAST(ts AS TIMESTAMP) < lag(CAST(ts AS TIMESTAMP)) OVER (ORDER BY event_id) AS fell FROM events UNION ALL SELECT 'value', value < lag(value) OVER (ORDER BY event_id) FROM events UNION ALL SELECT 'order', o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) FROM orders)
+  SELECT of, count(*) AS rows, count(*) FILTER (WHERE fell) AS breaks, count(*) FILTER (WHERE fell) = 0 AS monotonic FROM x GROUP BY 1""")
+def monotonic_columns(spark, d):
+    """Whether times and values rise with the numbers in which rows arrived."""
+    e, o = t(spark, d, "events"), t(spark, d, "orders")
+    made = [keys.monotonic(e, "ts", "event_id").withColumn("of", F.lit("event")), keys.monotonic(e, "value", "event_id").withColumn("of", F.lit("value")), keys.monotonic(o, "o_orderdate", "o_orderkey").withColumn("of", F.lit("order"))]
+    return made[0].unionAll(made[1]).unionAll(made[2]).select("of", "rows", "breaks", "monotonic")
