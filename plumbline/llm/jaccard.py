@@ -9,8 +9,10 @@ holds: (band, part, content). Nodes meet only in tiles.
 A tile's nodes carry hashed parity bitmaps: the bits in which two differ bound their overlap from above. The first
 sweep emits of the pairs that pass a forest only, closest pairs first: never more pairs than nodes, however dense
 the tile. What it emits is verified by intersecting the sorted hash arrays exactly. Where a pair of the forest fails and
-others were left out of it, the tile is swept again with longer bitmaps, and every pair that passes them between two
-components is verified. So no link between components is lost, and no group is expanded into all its pairs.
+others were left out of it, the tile is swept again with longer bitmaps: of the nodes that still have a pair to pass between two
+components, the arrays themselves come to the tile, once each, and all overlaps are counted there at once (elements that many nodes
+hold by a product of matrices, others by the pairs that hold them). Only links leave the tile, a forest of them. So no
+link between components is lost, no pair that fails is sent anywhere, and no group is expanded into all its pairs.
 
 A tile of more than CHUNK nodes is dealt in chunks, each swept for itself; what lies in different components after
 that meets in the second sweep, chunk by chunk: the tile's largest component is not crossed with itself. No task
@@ -329,8 +331,86 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rest
 
 
-def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """(key, a, b, more): candidate pairs of nodes with different labels, a forest of each tile (and whether it leaves others out) or all of them.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sorted sets share, exactly.
+
+    An element that f of N sets hold counts for f * f pairs; from N / 10 on it goes through a product of matrices instead. One that a
+    single set holds counts for nothing.
+    """
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    everything, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(everything, kind="stable")
+    everything, owner = everything[order], owner[order]
+    edge = np.flatnonzero(np.concatenate([[True], everything[1:] != everything[:-1], [True]])) if len(everything) else np.zeros(1, np.int64)
+    first, held = edge[:-1], np.diff(edge)
+    for f in np.unique(held[(held > 1) & (held < max(8, m // 10))]).tolist():
+        starts = first[held == f]
+        for k in range(0, len(starts), step := max(1, (1 << 20) // (f * f))):
+            own = owner[starts[k : k + step, None] + np.arange(f)]
+            out += np.bincount((own[:, :, None] * m + own[:, None, :]).ravel(), minlength=m * m).reshape(m, m) if len(own) * f * f > m * m // 8 else _scattered(own, m)
+    many = np.flatnonzero(held >= max(8, m // 10))
+    for k in range(0, len(many), 2048):
+        some = many[k : k + 2048]
+        at = np.repeat(first[some] - np.concatenate([[0], np.cumsum(held[some])[:-1]]), held[some]) + np.arange(held[some].sum())
+        dense = np.zeros((m, len(some)), np.float32)
+        dense[owner[at], np.repeat(np.arange(len(some)), held[some])] = 1
+        out += (dense @ dense.T).astype(np.int64)  # whole numbers below 2 ** 24 are exact
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _scattered(own: np.ndarray, m: int) -> np.ndarray:
+    out = np.zeros((m, m), np.int64)
+    np.add.at(out, (own[:, :, None], own[:, None, :]), 1)
+    return out
+
+
+def _exact_sweep(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links between different labels in each tile; rows: (key, sub, n, node, label, side, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_tiles(batches):
+            key, sub, n, node, label, side = (batch.column(i).to_numpy() for i in range(6))
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), [True]]))
+            out_a, out_b = [], []
+            for i, to in zip(edge.tolist(), edge[1:].tolist()):
+                if (label[i:to] == label[i]).all():
+                    continue
+                both = overlaps([np.frombuffer(x, np.uint64) for x in batch.column(6).slice(i, to - i).to_pylist()])
+                union = n[i:to, None] + n[None, i:to] - both
+                good = (100 * both >= percent * union) & (label[i:to, None] != label[None, i:to])
+                if (side[i:to] < 2).any():
+                    good &= (side[i:to, None] != side[None, i:to]) | (side[i:to, None] == 2)
+                for x, y in forest(np.where(good, (union - both).astype(np.int32), _NEVER), label[i:to]):
+                    out_a.append(i + x), out_b.append(i + y)
+            a, b = node[np.array(out_a, np.int64)], node[np.array(out_b, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt = rows.select("key", "sub", "n", "node", "label", "side", "hashes").repartition(partitions(rows.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "n", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _in_question(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, sub, n, node, label, side) of nodes whose bitmaps let them link with another label's in their tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_tiles(batches):
+            key, sub, n, _, label, side = (batch.column(i).to_numpy() for i in range(6))
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), [True]]))
+            stays = np.zeros(len(key), bool)
+            for i, to in zip(edge.tolist(), edge[1:].tolist()):
+                if not (label[i:to] == label[i]).all():
+                    cost = _costs(n[i:to], label[i:to], side[i:to] if (side[i:to] < 2).any() else None, _words(batch.column(6).slice(i, to - i).to_pylist()), percent)
+                    stays[i:to] = (cost < _NEVER).any(axis=1)
+            yield batch.select(list(range(6))).filter(pa.array(stays))
+
+    dealt = rows.select("key", "sub", "n", "node", "label", "side", "bits").repartition(partitions(rows.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "n", "node")
+    return dealt.mapInArrow(run, "key long, sub int, n long, node long, label long, side int")
+
+
+def _sweep(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b, more): candidate pairs of nodes with different labels, a forest of each tile, and whether it leaves others out.
 
     rows: (key, sub, n, node, label, side, bits); sides 0 and 1 are compared with each other only.
     """
@@ -344,11 +424,8 @@ def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
             bits = batch.column(6)
             out_a, out_b, more = [], [], []
             if len(two):
-                if everything:
-                    differ = np.array([np.bitwise_count(w[0] ^ w[1]).sum() for w in (_words(bits.slice(i, 2).to_pylist()) for i in two.tolist())], np.int64)
-                else:
-                    x, y = (np.frombuffer(b"".join(bits.take(pa.array(i)).to_pylist()), np.uint64).reshape(len(two), -1) for i in (two, two + 1))
-                    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                x, y = (np.frombuffer(b"".join(bits.take(pa.array(i)).to_pylist()), np.uint64).reshape(len(two), -1) for i in (two, two + 1))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
                 good = _may_link(n[two], n[two + 1], differ, percent) & (label[two] != label[two + 1]) & ((side[two] != side[two + 1]) | (side[two] == 2))
                 out_a.append(two[good]), out_b.append(two[good] + 1), more.append(np.zeros(good.sum(), bool))
             for i, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
@@ -356,11 +433,8 @@ def _sweep(rows: DataFrame, percent: int, everything: bool) -> DataFrame:
                 if (label[i:to] == label[i]).all():
                     continue
                 cost = _costs(n[i:to], label[i:to], side[i:to] if (side[i:to] < 2).any() else None, _words(bits.slice(i, m).to_pylist()), percent)
-                if everything:
-                    a, b = np.nonzero(np.triu(cost < _NEVER, 1))
-                else:
-                    pairs = forest(cost, label[i:to])
-                    a, b = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
+                pairs = forest(cost, label[i:to])
+                a, b = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
                 out_a.append(a + i), out_b.append(b + i), more.append(np.full(len(a), 2 * len(a) < np.count_nonzero(cost < _NEVER)))
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
             left = np.concatenate(more) if more else np.zeros(0, bool)
@@ -433,7 +507,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     tiles = scratch(_of_keys(rows, unlike).join(nodes.select("node", "n", "bits"), ["node", "n"]), "tiles")
     unlike.unpersist()
     large = scratch(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > CHUNK), "large")
-    found = scratch(_sweep(_first_tiles(tiles, large), percent, False), "found")
+    found = scratch(_sweep(_first_tiles(tiles, large), percent), "found")
     pairs = scratch(found.select("a", "b").distinct(), "pairs")
     crowd = _with_small(tiles.select("key", "node"), large.select("key"), "key", "left_semi").select("node")
     wanted = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct(), "wanted")
@@ -443,9 +517,9 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     sure = scratch(_verify(pairs, arrays, percent), "links")
     again = scratch(found.where("more").join(sure, ["a", "b"], "left_anti").select("key").union(large.select("key")).distinct(), "again")
     if not again.isEmpty():
-        again_rows = _second_tiles(tiles, again, components(sure), arrays)
-        more = scratch(_sweep(again_rows, percent, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-        sure = scratch(sure.unionAll(_verify(more, arrays, percent)), "links")
+        asked = scratch(_in_question(_second_tiles(tiles, again, components(sure), arrays), percent), "in-question")
+        more = _exact_sweep(asked.join(arrays.select("node", "hashes"), "node"), percent)
+        sure = scratch(sure.unionAll(more), "links")
     for table in (rows, tiles, found, arrays):
         discard(table)
     return sure

@@ -93,3 +93,30 @@ def test_perfect_hash_has_one_slot_each():
     levels, slot = lines.build(h)
     assert sorted(slot) == list(range(len(h)))
     assert (lines.look_up(levels, [np.cumsum(x) - 1 for x in levels], h) == slot).all()
+
+
+def test_overlaps_are_exact():
+    import numpy as np
+
+    from plumbline.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for m, universe in ((2, 30), (9, 200), (120, 400), (60, 100_000)):
+        sets = [np.unique(np.concatenate([rng.integers(0, universe, rng.integers(0, 80)), np.arange(15)])).astype(np.uint64) for _ in range(m)]
+        sets[0] = np.zeros(0, np.uint64)
+        assert (jaccard.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
+def test_a_group_just_below_the_threshold_sends_no_pairs(spark, monkeypatch):
+    """Texts of 200 shingles, 183 in all of them, link with nobody; two of them link with a near copy each."""
+    from plumbline.llm import jaccard
+
+    common = " ".join(f"c{i}" for i in range(186))
+    rows = [(i, f"{common} " + " ".join(f"u{i}x{j}" for j in range(17))) for i in range(400)]
+    rows += [(1000, rows[7][1] + " more"), (1001, rows[300][1] + " other words")]
+    seen = []
+    real = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()}
+    assert got == {**{i: i for i in range(400)}, 1000: 7, 1001: 300}
+    assert sum(seen) < 8 * len(rows)  # a forest of each tile, not its pairs
