@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import carried, slices
 
 #: Bytes of item text that one broadcast holds at most.
 BLOCK = 8 << 20
@@ -128,21 +128,12 @@ class Items:
         doc, item, band, n = doc[enough], item[enough], band[enough], n[enough]
         if not len(item):
             return out
-        # Several bands see one occurrence; in falling count, those of a text and item that is settled are skipped.
-        order = np.argsort(-n, kind="stable")
+        # Several bands see one occurrence, and a text may hold an item more than once: the least edits of all bands count.
         found: dict[tuple[int, int], int] = {}
-        item, band, doc = item[order], band[order], doc[order]
-        _, lead = np.unique(doc * len(self.ids) + item, return_index=True)
-        rest = np.ones(len(item), bool)
-        rest[lead] = False
-        for some in (lead, rest):
-            if some is rest:
-                some = np.flatnonzero(rest & ~np.array([(d, i) in found for d, i in zip(doc.tolist(), item.tolist())]))
-            edits = self.align(buffer, item[some], band[some], starts[doc[some]], starts[doc[some] + 1] - 1)
-            for k, e in zip(some.tolist(), edits.tolist()):
-                at = (int(doc[k]), int(item[k]))
-                if e <= self.budget[item[k]]:
-                    found[at] = min(e, found.get(at, e))
+        edits = self.align(buffer, item, band, starts[doc], starts[doc + 1] - 1)
+        for d, i, e in zip(doc.tolist(), item.tolist(), edits.tolist()):
+            if e <= self.budget[i]:
+                found[d, i] = min(e, found.get((d, i), e))
         for (d, i), e in sorted(found.items()):
             out[d].append((i, e))
         return out
@@ -151,11 +142,13 @@ class Items:
         """Least edits of each item against bytes low to high of the buffer, by dynamic programming over the diagonals of its band only."""
         raw = np.frombuffer(buffer, np.uint8)
         result = np.zeros(len(item), np.int64)
-        order = np.argsort(self.sizes[item], kind="stable")
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
+        order = np.lexsort((self.sizes[item], self.budget[item]))
+        widths = self.budget[item[order]]  # bands of one width together: what an item is given does not depend on its neighbours
+        cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(order)]
+        for at, to in ((a, min(a + 256, z)) for first, z in zip(cuts, cuts[1:]) for a in range(first, z, 256)):
+            some = order[at:to]
             sizes, step = self.sizes[item[some]], self.budget[item[some]] + 1
-            width, rows = int(3 * step.max()) + 1, int(sizes.max())
+            width, rows = int(3 * step[0]) + 1, int(sizes.max())
             text = np.zeros((len(some), rows), np.uint8)
             for r, i in enumerate(item[some]):
                 text[r, : self.sizes[i]] = np.frombuffer(self.texts[i], np.uint8)
@@ -219,7 +212,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08,
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
     new = {"contaminated": T.BooleanType(), "item_ids": T.ArrayType(T.LongType()), "edits": T.ArrayType(T.LongType())}
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    out = docs.select(*[F.col(f"`{c}`") for c in carried(docs, new)])
     for b in range(blocks):
         rows = [(r["item_id"], t) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if len(t := normalise(r["text"])) >= least]
         shared = spark.sparkContext.broadcast(Benchmark(sorted(rows), q, rate))

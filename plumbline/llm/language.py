@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import carried as columns_beside
+
 #: Hashed features.
 TABLE = 1 << 17
 #: Words of a sequence.
@@ -233,7 +235,7 @@ class Predictor:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score; input columns of these names give way."""
     new = {"lang_pred": T.StringType(), "score": T.DoubleType()}
-    carried = [c for c in docs.columns if c not in new]
+    carried = columns_beside(docs, new)
     at = carried.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size but for the lexicon, bounded by TRAIN_WORDS
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import carried as columns_beside
 from plumbline.llm.common import as_bytes, id_key, partitions, scratch, spare
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -187,7 +188,7 @@ def probe(lines: DataFrame, index: DataFrame, shards: int, salts: int = SALTS) -
 def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, text_out: str = "kept_text") -> DataFrame:
     """Each row with n_lines, n_dropped, kept_sha256 and the text that stays (as column `text_out`; it may be "text")."""
     new = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_sha256": T.StringType(), text_out: T.StringType()}
-    carried = [c for c in docs.columns if c not in new]
+    carried = columns_beside(docs, new)
     doc, gone, key = spare(docs, "_doc", "_lost", "_key")
     lines = scratch(line_hashes(docs, min_length), "lines")
     index, shards = build_index(lines, min_docs)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import carried as columns_beside
+
 KINDS = ("email", "ip", "card", "phone", "secret", "personal")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -348,6 +350,7 @@ class Decoder:
                 sequences += [(i, at, line, k, shapes[k : k + SEQUENCE]) for k in range(0, len(shapes), SEQUENCE)]
                 at += len(line) + 1
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        spans: dict[tuple[int, int], np.ndarray] = {}
         sequences.sort(key=lambda x: len(x[4]))  # of like length together
         for first in range(0, len(sequences), 1024):
             some = sequences[first : first + 1024]
@@ -358,7 +361,9 @@ class Decoder:
             labels = np.where(live, viterbi(emit, self.field.moves, lengths), 0)
             for r in np.flatnonzero(labels.any(axis=1)):
                 i, at, line, k, shapes = some[r]
-                words, before = [m.span() for m in _WORD.finditer(line)][k : k + len(shapes)], 0
+                if (i, at) not in spans:  # once for each line that holds anything
+                    spans[i, at] = np.array([m.span() for m in _WORD.finditer(line)], np.int32)
+                words, before = spans[i, at][k : k + len(shapes)].tolist(), 0
                 for t in np.flatnonzero(labels[r]):
                     kind = int(labels[r, t])
                     a, b = _trim(line, *words[t], _AROUND if kind == 1 else _MARKS)
@@ -405,7 +410,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """`docs` with n_email, n_ip, n_card, n_phone, n_secret, n_personal, base_sha256 and spans."""
     field = field if field is not None else default_field()
     new = {**{f"n_{k}": T.LongType() for k in KINDS}, "base_sha256": T.StringType(), "spans": T.StringType()}
-    carried = [c for c in docs.columns if c not in new]
+    carried = columns_beside(docs, new)
     at = carried.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import carried as columns_beside
 from plumbline.llm.common import as_bytes, free_shuffles, id_key, partitions, scratch, slices, spare
 
 #: Bytes of text hashed at a time.
@@ -268,7 +269,7 @@ def repeated_words(docs: DataFrame, size: int = 20, gram: int = 2, memory_window
 def dedup_substrings(docs: DataFrame, size: int = 20, text_out: str = "kept_text") -> DataFrame:
     """Each row with n_words, n_removed, kept_sha256 and the words that stay, joined by one blank (column `text_out`)."""
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), text_out: T.StringType()}
-    carried = [c for c in docs.columns if c not in new]
+    carried = columns_beside(docs, new)
     doc, mark, gone, key, tag = spare(docs, "_doc", "_mark", "_gone", "_key", "_tag")
     spans = repeated_words(docs, size).groupBy(F.col("doc").alias(doc), F.col("tag").alias(mark)).agg(F.collect_list(F.struct("start", "n")).alias(gone))
     source = docs.select(*[F.col(f"`{c}`") for c in carried], *([F.col("text")] if "text" not in carried else []), id_key("doc_id").alias(key), F.hash("text").alias(tag))

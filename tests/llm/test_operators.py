@@ -619,3 +619,42 @@ def test_decontamination_query(spark, docs):
         exact = {i for i, x in items.items() if x in plain}
         assert exact <= got[r["doc_id"]]
         assert not got[r["doc_id"]] - exact or all(edits(items[i], plain) <= 0.08 * len(items[i]) for i in got[r["doc_id"]] - exact)
+
+
+def test_one_very_long_line_is_decoded_in_linear_time():
+    import time
+
+    decoder = pii.Decoder(pii.default_field())
+    part = " ".join(f"word{i % 50}" for i in range(99)) + " password=Zk3pQ9xLr2Tv8m "
+    decoder.entities([part * 10])
+    took = []
+    for n in (200, 800):
+        start = time.process_time()
+        found = decoder.entities([part * n])[0]
+        took.append(time.process_time() - start)
+        assert len(found) == n and all((part * n)[a:b] == "Zk3pQ9xLr2Tv8m" for _, a, b in found)
+    assert took[1] < 2 and took[1] < 12 * max(took[0], 0.05)
+
+
+def test_edits_are_least_and_do_not_depend_on_other_items():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    short = " ".join(word() for _ in range(9))[:44].strip()
+    long = " ".join(word() for _ in range(700))
+    once, twice = short[:20] + "#" + short[21:], short[:10] + "#" + short[11:30] + "#" + short[31:]
+    texts = [decontaminate.normalise(x) for x in (f"before {twice} and after {once} end", f"{once} {long}", f"x {twice} {long[:3000]}#{long[3001:]} y", short)]
+    alone = [decontaminate.Benchmark([(1, decontaminate.normalise(short))], 10, 0.08).search([t])[0] for t in texts]
+    both = decontaminate.Benchmark(sorted([(1, decontaminate.normalise(short)), (2, decontaminate.normalise(long))]), 10, 0.08).search(texts)
+    edits = [dict(x) for x in both]
+    assert [dict(x).get(1) for x in alone] == [e.get(1) for e in edits]
+    assert edits[0][1] <= 2 and edits[3] == {1: 0} and edits[1][2] == 0 and edits[2][2] <= 2
+
+
+@pytest.mark.parametrize("name", ["N_EMAIL", "Spans", "CONTAMINATED", "N_Lines", "KEPT_SHA256"])
+def test_names_that_differ_by_case_give_way(spark, name):
+    df = spark.createDataFrame([(1, "some text of a few words", 5)], f"doc_id long, text string, {name} int")
+    from plumbline.llm import lines
+
+    outs = {"n_email": lambda: pii.find(df), "spans": lambda: pii.find(df), "contaminated": lambda: decontaminate.find(df, spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string")), "n_lines": lambda: lines.dedup_lines(df), "kept_sha256": lambda: substrings.dedup_substrings(df)}
+    out = outs[name.lower()]()
+    assert [c for c in out.columns if c.lower() == name.lower()] == [name.lower()] and out.select(name).count() == 1
