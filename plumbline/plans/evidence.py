@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import causes, keys, kpi, sketches
+from plumbline.operators import causes, keys, kpi, ledger, sketches
 from plumbline.plans.catalogue import ROLES, items, orders, query, r6, rounded, t
 
 _SIDES = "sum(CASE WHEN {side} THEN 1 ELSE 0 END)"
@@ -196,3 +196,45 @@ def monotonic_columns(spark, d):
     e, o = t(spark, d, "events"), t(spark, d, "orders")
     made = [keys.monotonic(e, "ts", "event_id").withColumn("of", F.lit("event")), keys.monotonic(e, "value", "event_id").withColumn("of", F.lit("value")), keys.monotonic(o, "o_orderdate", "o_orderkey").withColumn("of", F.lit("order"))]
     return made[0].unionAll(made[1]).unionAll(made[2]).select("of", "rows", "breaks", "monotonic")
+
+
+# -- a ledger made of the order lines -------------------------------------------------------------------
+
+_LEDGER = """l AS (SELECT CASE WHEN l_returnflag = 'R' AND l_orderkey % 3 = 0 THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice, CASE WHEN l_suppkey % 10 > 0 THEN l_suppkey END AS customer, CASE WHEN l_returnflag = 'R' AND l_orderkey % 3 = 0 OR l_linenumber = 7 THEN -l_quantity WHEN l_quantity = 50 THEN 0 ELSE l_quantity END AS quantity,
+  CASE WHEN l_discount > 0.09 THEN 0 ELSE l_extendedprice END AS price, CASE WHEN l_tax > 0.01 THEN 'part' END AS description, l_shipdate AS date FROM lineitem)"""
+_ROLES = {"invoice": "invoice", "customer": "customer", "quantity": "quantity", "price": "price", "description": "description", "date": "date"}
+_SALE = "invoice NOT LIKE 'C%' AND quantity > 0 AND price > 0"
+
+
+def _ledger(spark, d):
+    back = (F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 3 == 0)
+    q = F.col("l_quantity")
+    return t(spark, d, "lineitem").select(F.concat(F.when(back, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice"), F.when(F.col("l_suppkey") % 10 > 0, F.col("l_suppkey")).alias("customer"), F.when(back | (F.col("l_linenumber") == 7), -q).when(q == 50, 0).otherwise(q).alias("quantity"), F.when(F.col("l_discount") > 0.09, 0).otherwise(F.col("l_extendedprice")).alias("price"), F.when(F.col("l_tax") > 0.01, "part").alias("description"), F.col("l_shipdate").alias("date"))
+
+
+_COUNTED = " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE {when}) AS rows, '{what}' AS treatment FROM l" for name, when, what in (("cancelled", "invoice LIKE 'C%'", "held out"), ("negative_quantity", "quantity < 0 AND invoice NOT LIKE 'C%'", "excluded"), ("zero_quantity", "quantity = 0", "excluded"), ("non_positive_price", "price <= 0", "excluded"), ("missing_customer", "customer IS NULL", "kept for revenue"), ("missing_description", "description IS NULL", "kept")))
+
+
+@query(f"""WITH {_LEDGER}, r AS ({_COUNTED} UNION ALL SELECT 'duplicates', (SELECT count(*) FROM l) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)), 'reported'), p AS (SELECT *, 100.0 * rows / (SELECT count(*) FROM l) AS pct FROM r WHERE rows > 0)
+  SELECT rule, rows, round(pct, 4) AS pct, treatment, CASE WHEN pct >= 20 THEN 'high' WHEN pct >= 5 THEN 'medium' ELSE 'low' END AS severity FROM p""")
+def ledger_quality_rules(spark, d):
+    """What the rules of a ledger find among order lines written as invoices: one scan, one table of rules."""
+    return ledger.quality_rules(_ledger(spark, d), _ROLES)
+
+
+@query(f"""WITH {_LEDGER}, s AS (SELECT *, CAST(quantity * 100 AS BIGINT) * CAST(round(price * 100) AS BIGINT) AS cents FROM l WHERE {_SALE}), a AS (SELECT CAST(sum(cents) AS DOUBLE) / 10000 AS revenue, CAST(count(DISTINCT invoice) AS DOUBLE) AS orders, CAST(sum(quantity) AS DOUBLE) AS units, CAST(count(DISTINCT customer) AS DOUBLE) AS customers FROM s),
+  c AS (SELECT CAST(count(DISTINCT invoice) FILTER (WHERE invoice LIKE 'C%') AS DOUBLE) AS x, CAST(count(DISTINCT invoice) AS DOUBLE) AS y FROM l), p AS (SELECT customer, count(DISTINCT invoice) AS n FROM s WHERE customer IS NOT NULL GROUP BY 1), r AS (SELECT CAST(count(*) FILTER (WHERE n > 1) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM p),
+  u AS (SELECT 'revenue' AS kpi, 'sales' AS scope, revenue AS value, NULL AS numerator, NULL AS denominator FROM a UNION ALL SELECT 'orders', 'sales', orders, NULL, NULL FROM a UNION ALL SELECT 'units', 'sales', units, NULL, NULL FROM a UNION ALL SELECT 'customers', 'sales', customers, NULL, NULL FROM a UNION ALL SELECT 'aov', 'sales', revenue / orders, revenue, orders FROM a UNION ALL SELECT 'repeat_rate', 'identified customers', x / y * 100, x, y FROM r UNION ALL SELECT 'cancellation_rate', 'all', x / y * 100, x, y FROM c)
+  SELECT kpi, scope, round(value, 2) AS value, round(CAST(numerator AS DOUBLE), 2) AS numerator, round(CAST(denominator AS DOUBLE), 2) AS denominator FROM u""")
+def ledger_kpis(spark, d):
+    """A ledger's figures: completed sales, identified customers and all invoices, each with its parts."""
+    value = F.col("quantity").cast("decimal(12,2)") * F.round("price", 2).cast("decimal(14,2)")
+    k = ledger.kpis(_ledger(spark, d), _ROLES, value)
+    return k.withColumns({c: F.round(c, 2) for c in ("value", "numerator", "denominator")})
+
+
+@query(f"""WITH {_LEDGER} SELECT count(*) AS rows, count(*) FILTER (WHERE {_SALE}) AS in_scope, strftime(min(date) FILTER (WHERE {_SALE}), '%Y-%m-%d %H') AS first, strftime(max(date) FILTER (WHERE {_SALE}), '%Y-%m-%d %H') AS last, hour(max(date) FILTER (WHERE {_SALE})) < 23 AS partial FROM l""")
+def ledger_coverage(spark, d):
+    """What completed sales cover, and whether their last day is cut short."""
+    c = ledger.coverage(_ledger(spark, d), _ROLES)
+    return c.withColumns({x: F.date_format(x, "yyyy-MM-dd HH") for x in ("first", "last")})

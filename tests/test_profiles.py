@@ -244,3 +244,26 @@ def test_holt_winters_starts_from_all_cycles():
     assert S.MODELS["holt_winters"](y, 1, 2)[0] == pytest.approx(level + 0.95 * slope + parts[0])
     uneven = [10.0, 20.0, 10.0, 40.0]
     assert S.MODELS["holt_winters"](uneven, 2, 2) != S.MODELS["holt_winters"]([10.0, 20.0, 10.0, 20.0], 2, 2)
+
+
+def test_dialect_rules():
+    from plumbline.plans.dialect import translate
+
+    cases = [
+        ("bigquery", "DATE_TRUNC('month', MIN(order_date))", "DATE_TRUNC(MIN(order_date), MONTH)"), ("bigquery", "DATE_TRUNC('week', d)", "DATE_TRUNC(d, WEEK(MONDAY))"),
+        ("hive", "DATE_TRUNC('month', order_date)", "TRUNC(order_date, 'MM')"), ("hive", "DATE_TRUNC('week', d)", "DATE_SUB(d, PMOD(DATEDIFF(d, '1970-01-05'), 7))"), ("hive", "date_trunc('day', d)", "TO_DATE(d)"),
+        ("bigquery", "DATE_DIFF('month', cohort, period)", "DATE_DIFF(period, cohort, MONTH)"), ("hive", "DATE_DIFF('day', a, b)", "DATEDIFF(b, a)"), ("hive", "DATE_DIFF('month', a, b)", "CAST(MONTHS_BETWEEN(b, a) AS INT)"), ("hive", "DATE_DIFF('year', a, b)", "CAST(MONTHS_BETWEEN(b, a) / 12 AS INT)"),
+        ("bigquery", "QUANTILE_CONT(amount, 0.5)", "PERCENTILE_CONT(amount, 0.5) OVER ()"), ("bigquery", "APPROX_QUANTILE(amount, 0.9)", "APPROX_QUANTILES(amount, 100)[OFFSET(90)]"), ("hive", "QUANTILE_CONT(amount, 0.5)", "percentile_approx(amount, 0.5)"),
+        ("bigquery", "CAST(x AS DOUBLE) + TRY_CAST(y AS INTEGER)", "CAST(x AS FLOAT64) + SAFE_CAST(y AS INT64)"), ("hive", "TRY_CAST(x AS VARCHAR)", "CAST(x AS STRING)"), ("hive", "APPROX_COUNT_DISTINCT(id)", "COUNT(DISTINCT id)"), ("hive", "STRING_AGG(x, ', ')", "concat_ws(', ', collect_list(x))"),
+        ("bigquery", 'SELECT "order date" FROM "my table"', "SELECT `order date` FROM `my table`"), ("bigquery", "SELECT '(all segments)' AS s", "SELECT '(all segments)' AS s"), ("hive", "SELECT 'a \"b\" c'", "SELECT 'a \"b\" c'"), ("bigquery", "SELECT * EXCLUDE (a) FROM t", "SELECT * EXCEPT (a) FROM t"), ("duckdb", "SELECT 1;", "SELECT 1;"),
+        ("hive", "SELECT 'AS VARCHAR' AS s, my_date_trunc('month', d)", "SELECT 'AS VARCHAR' AS s, my_date_trunc('month', d)"),
+    ]
+    for dialect, sql, want in cases:
+        assert translate(sql, dialect)[0] == want, (dialect, sql)
+    notes = lambda sql, dialect: " ".join(translate(sql, dialect)[1])
+    assert "QUALIFY" in notes("SELECT * FROM t QUALIFY rn <= 3", "hive") and "approximate" in notes("SELECT QUANTILE_CONT(a, 0.5) FROM t", "hive")
+    assert all("FILTER" in notes("SELECT SUM(x) FILTER (WHERE c) FROM t", d) for d in ("bigquery", "hive"))
+    assert "GROUPING__ID" in notes("SELECT GROUPING(region) FROM t GROUP BY ROLLUP(region)", "hive") and "partition" in notes("SELECT region FROM orders", "bigquery")
+    assert translate("SELECT 1", "bigquery")[1] == [] and translate("SELECT * FROM orders LIMIT 20", "hive")[1] == []
+    with pytest.raises(ValueError, match="unknown dialect"):
+        translate("SELECT 1", "oracle")
