@@ -65,8 +65,18 @@ def slices(df: DataFrame, dim: str, value: Column, date: Column, current, baseli
     return top.withColumn("share", ratio(F.col("total"), F.sum("total").over(Window.partitionBy(F.lit(1))), 100)).withColumn("delta", F.coalesce("_c", F.lit(0)) - F.coalesce("_b", F.lit(0))).drop("_c", "_b")
 
 
-def nested(df: DataFrame, dim: str, sub: str, value: Column, groups: int = 7, children: int = 6) -> DataFrame:
-    """(segment, child, total): the largest children of the largest segments."""
+def nested(df: DataFrame, dim: str, sub: str, value: Column, groups: int = 7, children: int = 6, date: Column | None = None, spans: tuple | None = None) -> DataFrame:
+    """(segment, child, total): the largest children of the largest segments.
+
+    With a date and three times (a, b, c) also share, the child's percentage of its segment, and delta, its change between [a, b) and [b, c).
+    """
     top = df.groupBy(F.col(dim).alias("segment")).agg(F.sum(value).alias("_t")).orderBy(F.desc("_t"), "segment").limit(groups).select("segment")
-    pairs = df.groupBy(F.col(dim).alias("segment"), F.col(sub).alias("child")).agg(F.sum(value).alias("total")).join(F.broadcast(top), "segment", "left_semi")
+    more = []
+    if date is not None:
+        a, b, c = (F.lit(x) for x in spans)
+        part = lambda low, high: F.coalesce(F.sum(F.when((date >= low) & (date < high), value)), F.lit(0))
+        more = [(part(b, c) - part(a, b)).alias("delta")]
+    pairs = df.groupBy(F.col(dim).alias("segment"), F.col(sub).alias("child")).agg(F.sum(value).alias("total"), *more).join(F.broadcast(top), "segment", "left_semi")
+    if date is not None:
+        pairs = pairs.withColumn("share", ratio(F.col("total"), F.sum("total").over(Window.partitionBy("segment")), 100))
     return pairs.withColumn("_k", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("total"), "child"))).where(F.col("_k") <= children).drop("_k")

@@ -420,9 +420,13 @@ def series_trends(spark, d):
     return anomaly.trends(_monthly(spark, d))
 
 
-@query()
+@query(f"""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(v) AS DOUBLE) AS v FROM {_ORD} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM m),
+  c AS (SELECT *, (0.5 * lag(v, 6) OVER w + lag(v, 5) OVER w + lag(v, 4) OVER w + lag(v, 3) OVER w + lag(v, 2) OVER w + lag(v, 1) OVER w + v + lead(v, 1) OVER w + lead(v, 2) OVER w + lead(v, 3) OVER w + lead(v, 4) OVER w + lead(v, 5) OVER w + 0.5 * lead(v, 6) OVER w) / 12 AS t FROM r WINDOW w AS (ORDER BY period)),
+  e AS (SELECT a.period, a.i, a.v, b.t AS trend FROM c a JOIN c b ON b.i = least(greatest(a.i, 6), a.n - 7) WHERE a.n >= 24), p AS (SELECT i % 12 AS slot, avg(v - trend) AS phase FROM e GROUP BY 1), q AS (SELECT slot, phase - avg(phase) OVER () AS seasonal FROM p)
+  SELECT 'revenue' AS kpi_id, CAST(period AS VARCHAR) AS period, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(v - trend - seasonal, 3) AS residual FROM e JOIN q ON q.slot = e.i % 12""")
 def series_decomposition(spark, d):
-    return anomaly.decomposition(_monthly(spark, d))
+    x = anomaly.decomposition(_monthly(spark, d).where("kpi_id = 'revenue'"))
+    return x.withColumns({c: F.round(c, 3) for c in ("trend", "seasonal", "residual")})
 
 
 # -- customers ----------------------------------------------------------------------------------------
@@ -739,26 +743,6 @@ def pool_mom_change(spark, d):
     return rounded(warehouse.month_over_month(e, "pool", "week", "good", "n"), "rate", "previous_rate", "change")
 
 
-def _telesales(spark) -> DataFrame:
-    return warehouse.monthly_funnel(warehouse.staging(demo.generate(spark, "telesales", 6000)))
-
-
-@query()
-def warehouse_pool_health(spark, d):
-    return warehouse.pool_health(_telesales(spark))
-
-
-@query()
-def warehouse_campaigns(spark, d):
-    campaigns, _ = warehouse.seeds(spark)
-    return warehouse.with_dim(warehouse.campaign_performance(_telesales(spark)), campaigns, "campaign")
-
-
-@query()
-def warehouse_summary(spark, d):
-    return warehouse.summary(_telesales(spark))
-
-
 @query("SELECT o_orderpriority, o_orderkey, date_diff('month', TIMESTAMP '1995-01-01', o_orderdate) AS m FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 def console_qualify(spark, d):
     """A console statement in DuckDB's dialect, translated."""
@@ -767,12 +751,13 @@ def console_qualify(spark, d):
     return spark.sql(dialect.translate(sql, "spark")[0]).withColumn("m", F.col("m").cast("long"))
 
 
-@query()
+@query(f"""WITH u AS (SELECT l_shipdate >= '2000-01-01' AS cur, CAST(v AS DOUBLE) AS v, unnest(['l_returnflag', 'l_linestatus', 'l_linenumber']) AS dimension, unnest([l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)]) AS segment FROM {_ITM} WHERE l_shipdate >= '1999-01-01' AND l_shipdate < '2001-01-01'),
+  m AS (SELECT dimension, segment, coalesce(sum(v) FILTER (WHERE cur), 0) AS s1, coalesce(sum(v) FILTER (WHERE NOT cur), 0) AS s0 FROM u GROUP BY 1, 2), d AS (SELECT *, s1 - s0 AS delta, s1 - s0 - abs(s0) / sum(abs(s0)) OVER w * (sum(s1) OVER w - sum(s0) OVER w) AS excess FROM m WINDOW w AS (PARTITION BY dimension))
+  SELECT dimension, count(*) AS segments, round(least(1.0, coalesce(sum(abs(excess)) / nullif(sum(abs(delta)), 0), 0)), 6) AS dispersion, round(coalesce(max(abs(excess)) / nullif(sum(abs(excess)), 0), 0), 6) AS concentration, round(coalesce(abs(sum(delta)) / nullif(sum(abs(delta)), 0), 0), 6) AS coverage FROM d GROUP BY 1""")
 def demo_root_cause(spark, d):
-    """The planted cause of a demo table, recovered."""
-    df = demo.generate(spark, "banking", 20_000)
-    m = rootcause.segment_moments(df, ["region", "channel", "customer_segment"], "date", "2024-04-25", "2024-05-25", "2024-06-24", F.col("transaction_amount"))
-    return rootcause.power(rootcause.additive(m))
+    """How well three dimensions of the order lines explain the change of a year."""
+    m = rootcause.segment_moments(items(spark, d), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_shipdate", "1999-01-01", "2000-01-01", "2001-01-01", F.col("v"))
+    return rounded(rootcause.power(rootcause.additive(m)), "dispersion", "concentration", "coverage")
 
 
 @query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -955,3 +940,80 @@ def warehouse_trends(spark, d):
 @query(f"SELECT count(*) AS months, min(call_month) AS first_month, max(call_month) AS last_month, CAST(0 AS BIGINT) AS broken_rows FROM (SELECT DISTINCT call_month FROM {_CALLS})")
 def warehouse_health(spark, d):
     return warehouse.health(_calls(spark, d))
+
+
+@query(f"""WITH g AS (SELECT pool, call_month, sum(connects) AS connects, sum(dials) AS dials, CAST(sum(connects) AS DOUBLE) / CAST(sum(dials) AS DOUBLE) AS rate FROM {_CALLS} GROUP BY 1, 2), m AS (SELECT *, lag(rate) OVER (PARTITION BY pool ORDER BY call_month) AS previous FROM g)
+  SELECT pool AS caller_id_pool, call_month, CAST(connects AS BIGINT) AS connects, CAST(dials AS BIGINT) AS dials, round(rate, 6) AS rate, round(previous, 6) AS previous_rate, round((rate - previous) / previous, 6) AS change, md5(strftime(call_month, '%Y-%m-%d') || '|' || pool) AS pool_key, coalesce((rate - previous) / previous < -0.3, false) AS spam_flag_risk FROM m""")
+def warehouse_pool_health(spark, d):
+    return rounded(warehouse.pool_health(_calls(spark, d)), "rate", "previous_rate", "change")
+
+
+@query(f"""WITH c AS (SELECT call_month, campaign, CAST(sum(conversions) AS BIGINT) AS conversions, CAST(sum(campaign_spend) AS DOUBLE) AS spend, md5(strftime(call_month, '%Y-%m-%d') || '|' || campaign) AS campaign_key FROM {_CALLS} GROUP BY 1, 2), k AS (SELECT l_returnflag AS campaign, count(DISTINCT l_partkey) AS parts FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+  SELECT call_month, campaign, conversions, campaign_key, round(spend / conversions, 2) AS cost_per_acquisition, parts FROM c LEFT JOIN k USING (campaign)""")
+def warehouse_campaigns(spark, d):
+    """Campaigns with the columns of their dimension, a missing one null."""
+    parts = t(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_returnflag").alias("campaign")).agg(F.count_distinct("l_partkey").alias("parts"))
+    c = warehouse.campaign_performance(_calls(spark, d)).select("call_month", "campaign", "conversions", "campaign_key", F.col("cost_per_acquisition").cast("double").alias("cost_per_acquisition"))
+    return warehouse.with_dim(c, parts, "campaign")
+
+
+@query(f"""WITH c AS (SELECT * FROM {_CALLS} WHERE pool = 'F') SELECT CAST(sum(dials) AS BIGINT) AS dials, CAST(sum(connects) AS BIGINT) AS connects, CAST(sum(qualified_leads) AS BIGINT) AS qualified_leads, CAST(sum(conversions) AS BIGINT) AS conversions, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue, round(CAST(sum(campaign_spend) AS DOUBLE), 2) AS campaign_spend, round(CAST(sum(connects) AS DOUBLE) / sum(dials), 6) AS connect_rate, round(CAST(sum(conversions) AS DOUBLE) / sum(connects), 6) AS close_rate, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(campaign_spend) AS DOUBLE), 3) AS roas FROM c WHERE call_month = (SELECT max(call_month) FROM c)""")
+def warehouse_summary(spark, d):
+    """The last month of one pool."""
+    s = rounded(warehouse.summary(_calls(spark, d).where("caller_id_pool = 'F'")), "connect_rate", "close_rate")
+    return s.withColumns({"revenue": F.round(F.col("revenue").cast("double"), 2), "campaign_spend": F.round(F.col("campaign_spend").cast("double"), 2), "roas": F.round(F.col("roas").cast("double"), 3)})
+
+
+# -- definitions and checks without a query of their own so far --------------------------------------------
+
+_SUMS = {"revenue": "l_extendedprice", "units_sold": "l_quantity", "gross_profit": "l_tax", "impressions": "l_orderkey", "clicks": "l_partkey", "marketing_spend": "l_discount", "output_units": "l_quantity", "downtime": "l_linenumber"}
+_MEANS = {"average_spend": "l_extendedprice", "average_salary": "l_suppkey", "average_tenure": "l_linenumber", "satisfaction": "l_tax", "avg_length_of_stay": "l_quantity"}
+_RATIOS = {"ctr": ("l_partkey", "l_orderkey", 100), "conversion_rate": ("l_linenumber", "l_partkey", 100), "cpa": ("l_discount", "l_linenumber", 1), "cpc": ("l_discount", "l_partkey", 1), "cpm": ("l_discount", "l_orderkey", 1000)}
+_PER = {"revenue_per_customer": 1, "revenue_per_employee": 1, "spend_per_cardholder": 1, "clv": 3}
+_KPI_ROLES = {"revenue": "l_extendedprice", "quantity": "l_quantity", "profit": "l_tax", "impressions": "l_orderkey", "clicks": "l_partkey", "marketing_spend": "l_discount", "output": "l_quantity", "downtime": "l_linenumber", "salary": "l_suppkey", "tenure": "l_linenumber", "satisfaction": "l_tax", "length_of_stay": "l_quantity", "conversions": "l_linenumber", "customer_id": "l_suppkey", "employee_id": "l_suppkey", "order_id": "l_orderkey"}
+
+
+@query("SELECT l_returnflag, " + ", ".join([*[f"round(sum(CAST({c} AS DOUBLE)), 2) AS {k}" for k, c in _SUMS.items()], *[f"round(avg(CAST({c} AS DOUBLE)), 6) AS {k}" for k, c in _MEANS.items()], *[f"round(sum(CAST({a} AS DOUBLE)) / sum(CAST({b} AS DOUBLE)) * {f}, 6) AS {k}" for k, (a, b, f) in _RATIOS.items()], *[f"round(sum(l_extendedprice) / count(DISTINCT l_suppkey) * {f}, 4) AS {k}" for k, f in _PER.items()], "CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS customers", "CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS headcount", "CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS orders", "CAST(count(*) AS DOUBLE) AS transaction_volume"]) + " FROM lineitem GROUP BY 1")
+def kpi_definitions(spark, d):
+    """Twenty-six definitions over one set of roles, in one aggregation."""
+    ids = [*_SUMS, *_MEANS, *_RATIOS, *_PER, "customers", "headcount", "orders", "transaction_volume"]
+    k = kpi.aggregate(t(spark, d, "lineitem"), _KPI_ROLES, ids, [F.col("l_returnflag")])
+    places = {**dict.fromkeys(_SUMS, 2), **dict.fromkeys(_PER, 4)}
+    return k.select("l_returnflag", *[F.round(F.col(c).cast("double"), places.get(c, 6)).alias(c) for c in ids])
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(pow(({c} - m), 4)) / pow(var_pop({c}), 2) * pow((count(*) - 1.0) / count(*), 2) - 3, 6) AS kurtosis, round(avg(pow(({c} - m), 3)) / pow(var_pop({c}), 1.5) * pow((count(*) - 1.0) / count(*), 1.5), 6) AS skewness FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)""" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def profile_shape(spark, d):
+    """Skewness and excess kurtosis by the sample deviation."""
+    s = profile.numeric_summary(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(s, "kurtosis", "skewness").select("column", "kurtosis", "skewness")
+
+
+@query("""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1), w AS (SELECT period, n, list(n) OVER (ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past FROM m), x AS (SELECT *, list_aggregate(past, 'median') AS med FROM w)
+  SELECT period, n, CAST(med AS DOUBLE) AS median, round(1.4826 * list_aggregate(list_transform(past, lambda v: abs(v - med)), 'median'), 6) AS mad FROM x""")
+def rolling_mad(spark, d):
+    """Median and median deviation of the twelve months before each."""
+    m = t(spark, d, "orders").groupBy(period("o_orderdate", "month").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    m = m.withColumn("past", F.collect_list("n").over(Window.orderBy("period").rowsBetween(-12, -1)))  # one row for each month
+    mid = lambda a: F.when(F.size(a) > 0, (F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2.0)
+    m = m.withColumn("median", mid(F.col("past")))
+    return m.select("period", "n", "median", F.round(1.4826 * mid(F.transform("past", lambda v: F.abs(v - F.col("median")))), 6).alias("mad"))
+
+
+@query("""WITH s AS (SELECT r_name AS segment, n_name AS child, sum(v) AS total, sum(v) FILTER (WHERE yr = 2000) AS c, sum(v) FILTER (WHERE yr = 1999) AS b FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v, year(o_orderdate) AS yr FROM orders) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
+  g AS (SELECT segment FROM s GROUP BY 1 ORDER BY sum(total) DESC, segment LIMIT 3), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY total DESC, child) AS k, sum(total) OVER (PARTITION BY segment) AS whole FROM s WHERE segment IN (SELECT segment FROM g))
+  SELECT segment, child, total, round(CAST(total AS DOUBLE) / CAST(whole AS DOUBLE) * 100, 6) AS share, CAST(coalesce(c, 0) - coalesce(b, 0) AS DECIMAL(29,2)) AS delta FROM r WHERE k <= 4""")
+def nested_changes(spark, d):
+    """The largest nations of the largest regions: share of their region, change between two years."""
+    o = orders(spark, d).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = segments.nested(o, "r_name", "n_name", F.col("v"), 3, 4, F.col("o_orderdate"), ("1999-01-01", "2000-01-01", "2001-01-01"))
+    return rounded(n, "share").withColumn("delta", F.col("delta").cast("decimal(29,2)"))
+
+
+@query("""SELECT c_mktsegment, count(*) FILTER (WHERE CAST(c_custkey % 3 AS VARCHAR) IN ('1', 'true', 'True', 'TRUE', 'yes', 'Yes', 'Y')) AS flagged, count(*) AS n FROM customer GROUP BY 1""")
+def sql_flags(spark, d):
+    """Rows whose value counts as true in the SQL profile."""
+    from plumbline.functions.columns import sql_flag
+
+    c = t(spark, d, "customer")
+    return c.groupBy("c_mktsegment").agg(F.count_if(sql_flag((F.col("c_custkey") % 3).cast("string"))).alias("flagged"), F.count(F.lit(1)).alias("n"))
