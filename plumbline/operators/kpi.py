@@ -6,6 +6,7 @@ root cause. KPIs that need an entity level first (repeat rate, concentration) ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -43,6 +44,19 @@ def register(kpi: Kpi) -> Kpi:
     return kpi
 
 
+def from_sql(id: str, expression: str, higher_is_better: bool = True, additive: bool = False, domains: tuple[str, ...] = (), priority: int = 50) -> Kpi:
+    """A definition from an aggregate in SQL with roles in braces, as plugins write them: sum({revenue}) / count(DISTINCT {order_id}).
+
+    The roles it names are those it needs; each becomes the bound column's quoted name, and the rest is Spark SQL. Registered like any other.
+    """
+    needs = tuple(dict.fromkeys(re.findall(r"\{(\w+)\}", expression)))
+
+    def build(roles: Roles) -> Column:
+        return F.expr(re.sub(r"\{(\w+)\}", lambda m: "`" + roles[m[1]].replace("`", "``") + "`", expression))
+
+    return register(Kpi(id, needs, build, higher_is_better, additive, domains, priority))
+
+
 def _sum(role: str) -> Callable[[Roles], Column]:
     return lambda r: zero_sum(col(r[role]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import causes, keys, kpi, ledger, sketches
+from plumbline.plans import ledger_advice
 from plumbline.plans.catalogue import ROLES, items, orders, query, r6, rounded, t
 
 _SIDES = "sum(CASE WHEN {side} THEN 1 ELSE 0 END)"
@@ -238,3 +239,37 @@ def ledger_coverage(spark, d):
     """What completed sales cover, and whether their last day is cut short."""
     c = ledger.coverage(_ledger(spark, d), _ROLES)
     return c.withColumns({x: F.date_format(x, "yyyy-MM-dd HH") for x in ("first", "last")})
+
+
+_SQL_KPIS = {"order_value_sql": "sum({revenue}) / count(DISTINCT {order_id})", "large_share_sql": "100.0 * count_if({revenue} > 200000) / count(*)", "net_sql": "sum({revenue} * (1 - coalesce({discount}, 0)))"}
+
+
+@query("""SELECT l_returnflag, round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 4) AS order_value_sql, round(100.0 * count(*) FILTER (WHERE l_extendedprice > 200000) / count(*), 6) AS large_share_sql, round(sum(l_extendedprice * (1 - coalesce(l_discount, 0))), 2) AS net_sql FROM lineitem GROUP BY 1""")
+def kpi_sql_templates(spark, d):
+    """Definitions written as SQL over roles, beside the built-in ones, in one aggregation."""
+    for name, text in _SQL_KPIS.items():
+        kpi.from_sql(name, text)
+    try:
+        k = kpi.aggregate(t(spark, d, "lineitem"), {"revenue": "l_extendedprice", "order_id": "l_orderkey", "discount": "l_discount"}, list(_SQL_KPIS), [F.col("l_returnflag")])
+    finally:
+        for name in _SQL_KPIS:
+            kpi.REGISTRY.pop(name)
+    return k.withColumns({c: F.round(c, n) for c, n in zip(_SQL_KPIS, (4, 6, 2))})
+
+
+@query(f"""WITH {_LEDGER}, s AS (SELECT *, CAST(quantity * 100 AS BIGINT) * CAST(round(price * 100) AS BIGINT) / 10000.0 AS v FROM l WHERE {_SALE}), p AS (SELECT customer, count(DISTINCT invoice) AS n, sum(v) AS v, count(*) AS lines FROM s GROUP BY 1),
+  k AS (SELECT customer, v, row_number() OVER (ORDER BY v DESC, customer) AS pos, sum(v) OVER (ORDER BY v DESC, customer ROWS UNBOUNDED PRECEDING) / sum(v) OVER () * 100 AS cum FROM p WHERE customer IS NOT NULL AND v > 0), t AS (SELECT count(*) AS entities, min(pos) FILTER (WHERE cum >= 80) AS for80, sum(v) AS total FROM k),
+  f AS (SELECT sum(v) AS revenue, count(*) FILTER (WHERE customer IS NOT NULL) AS known, count(*) FILTER (WHERE customer IS NOT NULL AND n > 1) AS many, coalesce(sum(v) FILTER (WHERE customer IS NOT NULL AND n > 1), 0) AS mv, coalesce(sum(v) FILTER (WHERE customer IS NULL), 0) AS av, 100.0 * coalesce(sum(lines) FILTER (WHERE customer IS NULL), 0) / sum(lines) AS apct FROM p),
+  g AS (SELECT 100.0 * count(DISTINCT invoice) FILTER (WHERE invoice LIKE 'C%') / count(DISTINCT invoice) AS rate FROM l), b AS (SELECT CASE WHEN n <= 2 THEN 'Few' WHEN n <= 40 THEN 'Some' ELSE 'Many' END AS segment, count(*) AS customers, sum(v) AS value FROM p WHERE customer IS NOT NULL GROUP BY 1),
+  c AS (SELECT segment, value, value / customers / (sum(value) OVER () / sum(customers) OVER ()) AS lift, customers, count(*) OVER () AS bands FROM b), d AS (SELECT * FROM c WHERE bands >= 3 AND customers >= 10 ORDER BY lift DESC, segment LIMIT 1),
+  r AS (SELECT 'activation' AS rule, 'growth' AS category, 'repeat_rate' AS metric, 'One-time customers' AS segment, least(92, 45 + (100 - 100.0 * many / known) * 0.4) AS score, 0.55 AS confidence, greatest(0, coalesce(mv / nullif(many, 0), 0) - greatest(0, revenue - mv) / nullif(known - many, 0)) * (known - many) * 0.05 AS impact, true AS hypothesis FROM f WHERE known - many >= 20
+    UNION ALL SELECT 'retention', 'retention', 'revenue', 'Top customers', least(95, 105 - 100.0 * for80 / entities), 0.78, total * 0.02, true FROM t WHERE entities >= 20 AND 100.0 * for80 / entities <= 45 UNION ALL SELECT 'cancellations', 'operations', 'cancellation_rate', 'Cancelled invoices', least(88, 40 + rate * 6), 0.8, NULL, false FROM g WHERE rate >= 1
+    UNION ALL SELECT 'identity', 'data', 'customers', 'Unidentified transactions', least(90, 40 + apct), 0.85, av, false FROM f WHERE apct >= 10 UNION ALL SELECT 'targeting', 'growth', 'revenue', segment, least(85, 40 + (lift - 1) * 30), 0.5, value * 0.03, true FROM d WHERE lift >= 1.2 UNION ALL SELECT 'quality_gate', 'data-quality', NULL, NULL, 75, 0.9, NULL, false)
+  SELECT rule, category, metric, segment, round(CAST(score AS DOUBLE), 1) AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS priority, round(CASE WHEN rule = 'quality_gate' THEN confidence ELSE CAST(confidence AS DOUBLE) * 0.7 END, 2) AS confidence, round(CAST(impact AS DOUBLE), 2) AS impact, hypothesis, rule = 'quality_gate' AS act FROM r""")
+def ledger_recommendations(spark, d):
+    """What the made ledger asks for where data quality is poor: all but its repair are to be looked into."""
+    df = _ledger(spark, d)
+    value = F.col("quantity").cast("decimal(12,2)") * F.round("price", 2).cast("decimal(14,2)")
+    sale = df.where(ledger.in_scope(_ROLES)).where("customer IS NOT NULL").groupBy("customer").agg(F.count_distinct("invoice").alias("n"), F.sum(value).cast("double").alias("v"))
+    bands = sale.groupBy(F.when(F.col("n") <= 2, "Few").when(F.col("n") <= 40, "Some").otherwise("Many").alias("segment")).agg(F.count(F.lit(1)).alias("customers"), F.sum("v").alias("value"))
+    return ledger_advice.advise(ledger_advice.facts(df, _ROLES, value), bands, 65.0)
