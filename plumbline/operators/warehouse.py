@@ -82,8 +82,17 @@ def funnel_is_monotonic(stg: DataFrame) -> DataFrame:
     return stg.where((F.col("connects") > F.col("dials")) | (F.col("qualified_leads") > F.col("connects")) | (F.col("conversions") > F.col("qualified_leads")))
 
 
+# The rows of the two dimensions.
+POOLS = (("Pool A", "Primary outbound DID pool"), ("Pool B", "Secondary outbound DID pool"), ("Pool C", "Overflow outbound DID pool"), ("Pool D", "Regional outbound DID pool"))
+CAMPAIGNS = (
+    ("Lending - Personal Loans", "Lending", "Personal loan disbursal", 5200),
+    ("Broking - Account Activation", "Broking", "Demat account activation", 1450),
+    ("Insurance - Policy Renewals", "Insurance", "Policy renewal", 3100),
+    ("EdTech - Admissions", "EdTech", "Admissions counselling", 6400),
+    ("E-commerce - Order Confirmation", "E-commerce", "Order confirmation", 850),
+)
+
+
 def seeds(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The campaign and caller-pool dimensions."""
-    pools = [(f"Pool {c}", f"Outbound number pool {c}") for c in "ABCD"]
-    campaigns = [(f"Campaign {i}", line, f"Offer {i}", 1000.0 * i) for i, line in enumerate(("Cards", "Loans", "Insurance", "Savings", "Upgrades"), 1)]
-    return spark.createDataFrame(campaigns, "campaign string, business_line string, offering string, avg_ticket double"), spark.createDataFrame(pools, "caller_id_pool string, pool_description string")
+    return spark.createDataFrame(CAMPAIGNS, "campaign string, business_line string, offering string, avg_ticket_inr int"), spark.createDataFrame(POOLS, "caller_id_pool string, pool_description string")

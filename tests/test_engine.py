@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import columns, stats
 from plumbline.functions import series as S
 from plumbline.functions.stats import Moments
-from plumbline.operators import customers, experiment, profile, quality, repair, rootcause
+from plumbline.operators import customers, experiment, profile, quality, repair
 from plumbline.plans import catalogue, dialect, evidence, outlooks, render, roles  # noqa: F401
 from plumbline.sources import demo, preview, readers, urls, xlsx
 
