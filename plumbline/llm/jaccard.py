@@ -46,6 +46,10 @@ from plumbline.llm.substrings import _P, _Q, _grams, _mix, word_hashes
 CHUNK_BYTES = 1 << 20
 #: Nodes of a tile that one task compares with each other.
 CHUNK = 1024
+#: Elements that count as much as a node where tiles are cut into chunks for the second sweep.
+WEIGHT = 2048
+#: Elements whose overlaps are counted at a time.
+ELEMENTS = 1 << 21
 #: Bits of the bitmaps of the first sweep; those of the second have four for each hash of a set, in these bounds.
 SHORT_BITS, LONG_BITS = 2048, 1 << 16
 #: Bit maps have at most two to the power of this many bits (64 MB).
@@ -337,6 +341,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     An element that f of N sets hold counts for f * f pairs; from N / 10 on it goes through a product of matrices instead. One that a
     single set holds counts for nothing.
     """
+    m = len(sets)
+    total = sum(map(len, sets))
+    if total > ELEMENTS:  # by ranges of the hash space
+        out = np.zeros((m, m), np.int64)
+        cuts = [np.concatenate([[0], np.searchsorted(x, np.arange(1, total // ELEMENTS + 1, dtype=np.uint64) * np.uint64(2**64 // (total // ELEMENTS + 1))), [len(x)]]) for x in sets]
+        for k in range(total // ELEMENTS + 1):
+            out += _counted([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts)])
+        return out
+    return _counted(sets)
+
+
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
     m = len(sets)
     out = np.zeros((m, m), np.int64)
     everything, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
@@ -461,10 +477,11 @@ def _second_tiles(tiles: DataFrame, keys: DataFrame, labels: DataFrame, arrays:
     The chunks of a tile's largest component (side 0) meet those of all others (side 1), which also meet each other
     (side 2). Its rows are repeated for each chunk of the others, and theirs for each of all chunks.
     """
-    rows = _with_small(tiles.select("key", "node"), keys, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    rows = _with_small(tiles.select("key", "node", "n"), keys, "key", "left_semi").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    weight = 1 + F.col("n") / WEIGHT  # arrays of large sets fill a chunk with fewer nodes
+    counts = rows.groupBy("key", "label").agg(F.sum(weight).alias("c"))
     tile = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rows = rows.join(tile, "key").withColumn("k", F.ceil(F.col("most") / CHUNK).cast("int")).withColumn("r", F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"))
+    rows = rows.drop("n").join(tile, "key").withColumn("k", F.ceil(F.col("most") / CHUNK).cast("int")).withColumn("r", F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"))
     at = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda sub, side: F.struct(sub.cast("int").alias("sub"), F.lit(side).alias("side"))
