@@ -1,15 +1,15 @@
 """Alignment of two tokenizers' tokens over the same bytes: byte-level BPE (A, `tokenizers`) and pieces with byte fallback (B, `sentencepiece`).
 
-A text is encoded by both with one blank in front. The spans that the libraries give (A: character offsets; B: byte
-spans of the proto) are coarse cuts: tokens that end inside a character share its span, and all but the last of a
-character's byte-fallback tokens have an empty one. Between two coarse cuts that hold, ends are refined by the
-tokens' decoded bytes. Only where a token ends inside a character is there anything to refine, so the libraries are asked for spans there:
-A for the words that hold such tokens (a blank between two other characters always starts a token, so a word by itself has the tokens it
-has in its text; its ids are compared), B for texts with fallback tokens of longer characters. Elsewhere the decoded bytes are the
-spans, and A's ids come from the faster encoder of `bpe`, which gives the same.
-Offsets at which a token of A and one of B both end cut
-the tokens into groups; the two tokens that end there are linked. The corpus's links are counted by pair of ids, and
-every document's links are looked up in those counts.
+Texts are encoded by both with one blank in front. Both libraries are asked for the spans of all tokens (A: character offsets; B: byte
+spans). These are the coarse cuts: a span that is not empty and that the next one does not overlap ends at a character's end. Tokens that end
+inside a character share its span in A and have an empty one in B, so between two coarse cuts the ends are refined by the tokens'
+decoded bytes. In words of ASCII every byte is a character and no token can end inside one: their tokens' bytes are the spans, A's ids come from
+the faster encoder of `bpe`. Offsets at which a token of A and one of B both end cut the tokens into groups; the two tokens that end there
+are linked. The corpus's links are counted by pair of ids, and every document's links are looked up in those counts.
+
+A blank or line feed behind a character that is no white space always starts a token of both (A's words start there, and no piece of B has a
+blank behind another character or a line feed beside one; `Both` looks that up), so texts are cut there and each word of a portion is encoded once, many in
+one call. Words that come again are remembered, up to WORDS. With other tokenizers texts are encoded whole, with spans.
 
 Documents are encoded once; their links are kept as packed ids in the shared folder and read twice. The counts have a row
 for each pair of ids seen: up to BROADCAST_PAIRS of them are sent to every task, more are joined.
@@ -22,10 +22,13 @@ no rows. A text is handled whole, by one task.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,14 @@ from plumbline.llm.common import carried, scratch, slices, spare
 
 #: Pairs of ids (20 bytes each) that are sent to every task; more of them are joined instead.
 BROADCAST_PAIRS = 2_000_000
-#: Words whose spans a worker remembers, and bytes of texts or links handled at a time.
-WORDS, CHUNK = 50_000, 1 << 22
+#: Words that a worker remembers, their characters at most, and those encoded in one call.
+WORDS, LONGEST, CALL = 150_000, 64, 1024
+#: Bytes of texts or links handled at a time.
+CHUNK = 1 << 21
+_CUT = re.compile(r"(?<=\S)(?=\n| [\s\S])")
+_WIDE = re.compile(r"\s[ \n]| $")  # where _CUT and a plain cut before each blank and line feed differ
+#: Of a word: its groups as text (each with a mark behind), its links, and its tokens of A times 2**32 and of B.
+Word = tuple[bytes, bytes, int]
 
 
 class Both:
@@ -52,21 +61,22 @@ class Both:
 
         self.a = Tokenizer.from_file(tokenizer)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        getattr(self.a.model, "_resize_cache", int)(0)  # what is worth remembering is in `known`
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         with open(tokenizer, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self.fast = Encoder(tokenizer, literal_specials=True)
-        self.exact = spec.get("normalizer") is None  # byte-level tokens then give the text back
+        self.known: dict[str, Word | None] = {}
+        self.met = bytearray(1 << 22)  # hashes of words that were encoded before
         byte_of = _byte_of()
         words = {i: t.encode() for t, i in ((x["content"], x["id"]) for x in spec.get("added_tokens", []))}
         words |= {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in words}
         self.a_bytes = [words.get(i, b"") for i in range(max(words) + 1)]
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(n))]
-        self.plain, self.unknown = _identity(model), self.b.unk_id()
+        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        self.by_word = _byte_level(spec) and _identity(model) and not any(re.search("[^▁]▁", p) or ("\n" in p and p != "\n") for p in pieces)
+        self.fast = Encoder(tokenizer, literal_specials=True).whole if self.by_word else None
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.part = np.array([self.b.is_byte(i) and self.b_bytes[i] > b"\x7f" for i in range(n)])  # of a longer character
         # "a1,a2|b1;": every id with either of the marks that may follow it
         self.marked = [f"{i}{m}".encode() for m in ",|" for i in range(len(words))] + [f"{i}{m}".encode() for m in ",;" for i in range(n)]
 
@@ -74,60 +84,81 @@ class Both:
         """Ids and byte ends of A's and of B's tokens of blank + text; None where their bytes differ from it."""
         spaced = " " + text
         raw = spaced.encode()
-        a = np.frombuffer(self.fast.ids(spaced), np.uint32).astype(np.int64)
-        b = self.b.encode(text, return_type="numpy").astype(np.int64)
-        if not self._gives(a, self.a_size, self.a_bytes, self.exact, raw) or not self._gives(b, self.b_size, self.b_bytes, self.plain and self.unknown not in b, raw):
-            return None
-        a_cut = self._cuts(raw, a) if len(raw) != len(spaced) else None
-        b_cut = None
-        if self.part[b].any():
-            spans = self.b.encode(text, return_type="offset_mapping", return_bytes=True)["offsets"]
-            b_cut = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(b))[1::2] + 1  # the blank that B adds itself
-        return a, refine(a_cut, self.a_size[a]), b, refine(b_cut, self.b_size[b])
-
-    def _cuts(self, raw: bytes, a: np.ndarray) -> np.ndarray | None:
-        """A's coarse cuts: the library's spans of the words in which a token ends inside a character, the decoded ends of other tokens."""
-        ends, byte = np.cumsum(self.a_size[a]), np.frombuffer(raw, np.uint8)
-        inside = ends[np.append((byte & 0xC0) == 0x80, False)[ends]] - 1
-        if not len(inside):
+        if self.by_word and text.isascii():
+            a, b = np.array(self.fast(spaced), np.int64), self.b.encode(text, return_type="numpy").astype(np.int64)
+            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
+                return None
+            return a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b])
+        own, other = self.a.encode(spaced, add_special_tokens=False), self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        a_ids, b_ids = own.ids, other["ids"]
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             return None
-        own = (byte > 32) & (byte < 127)  # no kind of blank; nor is what 0xC3 leads
-        after = own | (byte == 0xC3)
-        before = own.copy()
-        before[1:] |= byte[:-1] == 0xC3
-        blank = np.flatnonzero(byte[1:-1] == 32) + 1
-        bounds = np.concatenate([[0], blank[before[blank - 1] & after[blank + 1]], [len(raw)]])
-        cuts = ends.copy()
-        for k in np.unique(np.searchsorted(bounds, inside, "right") - 1).tolist():
-            low, high = int(bounds[k]), int(bounds[k + 1])
-            i, j = np.searchsorted(ends, (low, high), "right")
-            ids, spans = self._word(raw[low:high])
-            if not np.array_equal(ids, a[i:j]):
-                return self._spans(raw.decode())[1]
-            cuts[i:j] = low + spans
-        return cuts
-
-    def _word(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if word not in self.words:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = self._spans(word.decode())
-        return self.words[word]
-
-    def _spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A's ids and the byte ends of their spans, by the library's character offsets."""
-        own = self.a.encode(text, add_special_tokens=False)
-        chars = np.fromiter(chain.from_iterable(own.offsets), np.int64, 2 * len(own.ids))[1::2]
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return np.array(own.ids, np.int64), np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[chars]
-
-    @staticmethod
-    def _gives(ids: np.ndarray, sizes: np.ndarray, words: list[bytes], faithful: bool, raw: bytes) -> bool:
-        """Whether the tokens' bytes are the text's; a tokenizer that changes nothing else can only change their number."""
-        return int(sizes[ids].sum()) == len(raw) and (faithful or b"".join(map(words.__getitem__, ids.tolist())) == raw)
-
-    def groups(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Places of the linked tokens in A and B, and the groups as text."""
+        a_span = np.fromiter(chain.from_iterable(own.offsets), np.int64, 2 * len(a_ids))
+        if len(raw) != len(spaced):
+            a_span = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))[a_span]
+        b_span = np.fromiter(chain.from_iterable(other["offsets"]), np.int64, 2 * len(b_ids)) + 1
+        b_span[0] = 0  # the blank that B adds itself
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        return a, refine(a_span.reshape(-1, 2), self.a_size[a]), b, refine(b_span.reshape(-1, 2), self.b_size[b])
+
+    def split(self, text: str) -> list[str]:
+        """Blank + text cut into words."""
+        spaced = " " + text
+        if not self.by_word:
+            return [spaced]
+        if "\0" in text or _WIDE.search(spaced):
+            return _CUT.split(spaced)
+        return spaced.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+
+    def encode(self, texts: list[str]) -> list[list[Word] | None]:
+        """The words of each text; None for a text whose tokens' bytes differ from it."""
+        gc.disable()  # else it looks through all words, which hold no cycles, again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[Word] | None]:
+        known, cut = self.known, [self.split(t) for t in texts]
+        new = Counter(filterfalse(known.__contains__, chain.from_iterable(cut)))
+        last = [w for w in new if not self.by_word or w[-1].isspace()]  # only at the end of a text: no other can follow it
+        rest = [w for w in new if self.by_word and not w[-1].isspace()]
+        kinds = [w for w in rest if w.isascii()], [w for w in rest if not w.isascii()]
+        for some in [*([w] for w in last), *(kind[i : i + CALL] for kind in kinds for i in range(0, len(kind), CALL))]:
+            known.update(zip(some, self._words(some)))
+        out = [list(map(known.__getitem__, words)) for words in cut]
+        full = len(known) - len(new) >= WORDS
+        for w, times in new.items():
+            at = hash(w) & 0x3FFFFF
+            if full or not (times > 1 or self.met[at]) or len(w) > LONGEST or w[-1].isspace():
+                del known[w]
+                self.met[at] = 1
+        if full and 3 * new.total() > sum(map(len, cut)):  # other words than those before
+            known.clear()
+            self.met = bytearray(len(self.met))
+        return [None if None in words else words for words in out]
+
+    def _words(self, words: list[str]) -> list[Word | None]:
+        """Each word as if alone, from the tokens of all together."""
+        parts = words if words[0][0] == " " else [" x", *words]  # B puts a blank before the first
+        found = self.tokens("".join(parts)[1:])
+        if found is not None:
+            a, a_end, b, b_end = found
+            at_a, at_b, marks = self.groups(a, a_end, b, b_end)
+            bounds = np.cumsum([len(p.encode()) for p in parts])
+            link = np.searchsorted(a_end[at_a], bounds)
+        if found is None or not np.array_equal(a_end[at_a[link]], bounds):  # a word's end is an end of both
+            half = len(words) // 2
+            return [*self._words(words[:half]), *self._words(words[half:])] if half else [None]
+        links = (b[at_b] << 32 | a[at_a]).astype("<i8").tobytes()
+        out, since, n_a, n_b = [], 0, 0, 0
+        for k, i, j in zip((8 * link + 8).tolist(), (at_a[link] + 1).tolist(), (at_b[link] + 1).tolist()):
+            out.append((b"".join(marks[n_a + n_b : i + j]), links[since:k], ((i - n_a) << 32) + j - n_b))
+            since, n_a, n_b = k, i, j
+        return out[len(parts) - len(words) :]
+
+    def groups(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places of the linked tokens in A and B, and the tokens of all groups, each with its mark, as text."""
         both = np.zeros(int(a_end[-1]) + 1, np.int8)
         both[a_end] = 1
         both[b_end] += 1
@@ -139,7 +170,14 @@ class Both:
         last_a[at_a], last_b[at_b] = 1, 1
         codes[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = a + last_a * len(self.a_bytes)
         codes[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = b + last_b * len(self.b_bytes) + 2 * len(self.a_bytes)
-        return at_a, at_b, b"".join(map(self.marked.__getitem__, codes.tolist()))[:-1]
+        return at_a, at_b, list(map(self.marked.__getitem__, codes.tolist()))
+
+
+def _byte_level(spec: dict) -> bool:
+    """Whether the tokenizer is byte-level BPE of words that begin at white space, without a normaliser or ordinary added tokens."""
+    words, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+    return plain and spec.get("normalizer") is None and spec.get("truncation") is None and all(t["special"] for t in spec.get("added_tokens", []))
 
 
 def _identity(model: str) -> bool:
@@ -153,15 +191,14 @@ def _identity(model: str) -> bool:
     return n.name == "identity" and not n.precompiled_charsmap and not n.remove_extra_whitespaces and n.escape_whitespaces and n.add_dummy_prefix and not proto.trainer_spec.treat_whitespace_as_suffix
 
 
-def refine(coarse: np.ndarray | None, sizes: np.ndarray) -> np.ndarray:
-    """Byte ends of tokens with decoded sizes: from each coarse cut that holds, the sizes are added up to the next."""
-    ends = np.cumsum(sizes)
-    if coarse is None:
-        return ends
-    holds = coarse == ends  # a token that ends with a character
-    base = np.where(holds, coarse, 0)
-    since = np.maximum.accumulate(base)  # the last cut that holds
-    return since + (ends - np.maximum.accumulate(np.where(holds, ends, 0)))
+def refine(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from coarse spans (start, end) and decoded sizes: a span that is not empty and that the next does not overlap gives its token's end; from there to the next such end the sizes are added up."""
+    start, end = spans[:, 0], spans[:, 1]
+    cut = end > start
+    cut[:-1] &= start[1:] >= end[:-1]
+    sums = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), -1))
+    return np.where(last < 0, sums, end[last] + sums - sums[last])
 
 
 _both: dict[tuple[str, str], Both] = {}
@@ -186,7 +223,7 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def encode(docs: DataFrame, tokenizer: str, model: str, links: str = "links") -> DataFrame:
-    """`docs` with n_a, n_b, n_groups, n_links, groups_sha256 and the links as packed (A's ids, then B's; unsigned 32-bit), null without tokens."""
+    """`docs` with n_a, n_b, n_groups, n_links, groups_sha256 and the links packed (B's id * 2**32 + A's id, 64-bit each), null without tokens."""
     new = {**{c: T.LongType() for c in _COUNTS}, "groups_sha256": T.StringType(), links: T.BinaryType()}
     names = carried(docs, new)
     source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if "text" in names else ["text"]))
@@ -195,15 +232,16 @@ def encode(docs: DataFrame, tokenizer: str, model: str, links: str = "links") ->
         pair = both(tokenizer, model)
         for batch in _portions(batches, "text"):
             out: list[list] = [[] for _ in new]
-            for text in batch.column(batch.schema.get_field_index("text")):
-                text = text.as_py()
-                found = pair.tokens(text) if text else None
-                if found is None:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = iter(pair.encode([t for t in texts if t]))
+            for text in texts:
+                words = next(found) if text else None
+                if words is None:
                     row = (0, 0, 0, 0, "", None)
                 else:
-                    at_a, at_b, groups = pair.groups(*found)
-                    ids = np.concatenate([found[0][at_a], found[2][at_b]]).astype("<u4").tobytes()
-                    row = (len(found[0]), len(found[2]), len(at_a), len(at_a), hashlib.sha256(groups).hexdigest(), ids)
+                    groups, codes, n = zip(*words)
+                    codes, n = b"".join(codes), sum(n)
+                    row = (n >> 32, n & 0xFFFFFFFF, len(codes) // 8, len(codes) // 8, hashlib.sha256(b"".join(groups)[:-1]).hexdigest(), codes)
                 for column, x in zip(out, row):
                     column.append(x)
             kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
@@ -214,8 +252,7 @@ def encode(docs: DataFrame, tokenizer: str, model: str, links: str = "links") ->
 
 def _codes(blob: bytes) -> np.ndarray:
     """Links as B's id * 2**32 + A's id."""
-    ids = np.frombuffer(blob, "<u4").astype(np.int64).reshape(2, -1)
-    return (ids[1] << 32) | ids[0]
+    return np.frombuffer(blob, "<i8")
 
 
 def pair_counts(encoded: DataFrame, links: str = "links") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 
+import numpy as np
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -91,3 +93,33 @@ def test_coarse_cuts_are_refined():
                     assert raw[start:end] == words[i]
                     start = end
                 assert start == len(raw)
+
+
+def test_coarse_cuts_give_the_ends():
+    """The libraries' spans count: characters' ends come from them, decoded sizes only fill up between two of them."""
+    spans = np.array([(0, 4), (1, 4), (4, 6), (6, 6), (6, 6), (6, 9), (9, 11)])  # two tokens share a character (A), two have an empty span (B)
+    assert align.refine(spans, np.array([3, 1, 2, 1, 1, 1, 2])).tolist() == [3, 4, 6, 7, 8, 9, 11]
+    assert align.refine(spans, np.array([3, 1, 9, 1, 1, 9, 9])).tolist() == [3, 4, 6, 7, 8, 9, 11]  # a cut of the library is kept
+
+
+def test_words_as_in_whole_texts():
+    """Words encoded many at once, remembered or not, give what the whole text's tokens give."""
+    both = align.Both(A, B)
+    assert both.by_word
+    rng = random.Random(3)
+    pool = [" ", " ", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", " ", "　", "\x1c", "\x00", "'s", "The", "foo.", "é", "ñañ", "漢字", "😀", "▁", "<s>", "<|endoftext|>", "1", "!!", "́", "a" * 70]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(300)] + [t for _, t in TEXTS if t]
+    whole = []
+    for text in texts:
+        found = both.tokens(text)
+        if found is not None:
+            assert np.array_equal(found[1], np.cumsum(both.a_size[found[0]])) and np.array_equal(found[3], np.cumsum(both.b_size[found[2]]))
+            at_a, at_b, marks = both.groups(*found)
+            found = b"".join(marks), (found[2][at_b] << 32 | found[0][at_a]).tobytes(), (len(found[0]) << 32) + len(found[2])
+        whole.append(found)
+    assert any(x is None for x in whole) and sum(x is not None for x in whole) > 150
+    for many in (1, 50, 400, 400):
+        got = [x for i in range(0, len(texts), many) for x in both.encode(texts[i : i + many])]
+        assert [None if x is None else (b"".join(w[0] for w in x), b"".join(w[1] for w in x), sum(w[2] for w in x)) for x in got] == whole
+    both.by_word = False
+    assert [None if x is None else x[0] for x in both.encode(texts)] == whole
