@@ -82,3 +82,17 @@ def test_table(spark):
     want = brute(rows, 400)
     assert sum(x[2] > 0 for x in want) > 5
     assert sorted([tuple(r) for r in queries.op13_suffix_dedup(spark, SF).select(*COLUMNS).collect()], key=repr) == want
+
+
+def test_only_repeated_names_are_written(spark, monkeypatch):
+    """Rows that occur once are not written for the next step, but for those at the edges of ranges, which may go on in the next one."""
+    written = []
+    monkeypatch.setattr(suffixes, "scratch", lambda df, name: written.append(df.localCheckpoint()) or written[-1])
+    rows = [(i % 7 if i % 10 == 0 else 1000 + i, i, i) for i in range(5000)] + [(3, 9000, 1), (-5, 9001, 1), (-5, 9002, 1)]
+    got = suffixes._ranked(spark.createDataFrame(rows, "k1 long, piece long, at int").repartition(5), ["k1"], "x").collect()
+    keys = [k for k, _, _ in rows]
+    assert sorted((r.piece, r["at"]) for r in got) == sorted((p, a) for k, p, a in rows if keys.count(k) > 1)
+    order = {k: n for n, k in enumerate(sorted(set(keys)))}
+    assert all(r.name == order[k] for r in got for k, p, _ in rows if p == r.piece)
+    ranges = suffixes.partitions(spark)
+    assert written[0].count() <= len(got) + ranges * 8
