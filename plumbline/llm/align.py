@@ -43,9 +43,9 @@ from plumbline.llm.common import carried, scratch, slices, spare
 #: Pairs of ids (20 bytes each) that are sent to every task; more of them are joined instead.
 BROADCAST_PAIRS = 2_000_000
 #: Words that a worker remembers, their characters at most, and those encoded in one call.
-WORDS, LONGEST, CALL = 150_000, 64, 1024
+WORDS, LONGEST, CALL = 80_000, 64, 1024
 #: Bytes of texts or links handled at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?=\n| [\s\S])")
 _WIDE = re.compile(r"\s[ \n]| $")  # where _CUT and a plain cut before each blank and line feed differ
 #: Of a word: its groups as text (each with a mark behind), its links, and its tokens of A times 2**32 and of B.
