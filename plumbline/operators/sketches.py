@@ -53,6 +53,24 @@ def estimates(sketches: DataFrame, quantiles: tuple[float, ...] = (0.05, 0.25, 0
     return sketches.select(*keep, "n", "missing", F.hll_sketch_estimate("distinct_sketch").alias("distinct_values"), "low", "high", mean.alias("mean"), std.alias("std"), q.alias("quantiles"))
 
 
+def ranks(df: DataFrame, found: DataFrame, columns: list[str], quantiles: int) -> DataFrame:
+    """The rows of `found` (estimates of the columns of `df`, one row for each) with `below` and `upto`, null for others than `columns`: how many values
+    lie under each of its `quantiles` quantiles, and how many up to it. One scan compares with them and counts; no value is kept or shuffled.
+
+    Rank sketches are random, so estimates made twice may differ: the rows go through the scan instead of being joined to its result.
+    """
+    own = lambda c: F.get(F.filter("_found", lambda r: r["column"] == c), F.lit(0))["quantiles"]
+    each = [(i, c, k) for i, c in enumerate(columns) for k in range(quantiles)]
+    one = found.agg(F.collect_list(F.struct(*found.columns)).alias("_found")).select("_found", *[F.get(own(c), F.lit(k)).alias(f"_q{i}_{k}") for i, c, k in each])  # a row for each column
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    numbers = numbers.unionAll(df.sparkSession.range(0, 1, 1, 1).select(*[F.lit(None).cast("double")] * len(columns)))  # carries the rows past a table without any
+    counts = [F.count_if(test).alias(f"{name}{i}_{k}") for i, _, k in each for name, test in (("below", F.col(f"_x{i}") < F.col(f"_q{i}_{k}")), ("upto", F.col(f"_x{i}") <= F.col(f"_q{i}_{k}")))]
+    row = numbers.crossJoin(F.broadcast(one)).agg(F.first("_found").alias("_found"), *counts)
+    of = lambda name: F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.array(*[F.col(f"{name}{i}_{k}") for k in range(quantiles)]))])
+    rows = row.select(F.explode("_found").alias("_r"), of("below").alias("_b"), of("upto").alias("_u"))
+    return rows.select("_r.*", F.col("_b")[F.col("_r.column")].alias("below"), F.col("_u")[F.col("_r.column")].alias("upto"))
+
+
 def key_candidates(df: DataFrame, pairs: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
     """Of some column combinations those that identify rows, in their order: sketches of all in one scan, exact counts of the few that may."""
     if not pairs:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import causes, keys, kpi, ledger, sketches
@@ -181,12 +184,13 @@ def profile_sketches(spark, d):
     """Lines sketched by month and merged, as a store of daily sketches would be; counts and moments are exact, estimates are held against exact numbers."""
     li = t(spark, d, "lineitem")
     parts = sketches.column_sketches(li.select(F.date_trunc("month", "l_shipdate").alias("month"), *_SKETCHED), ["month"])
-    e = sketches.estimates(sketches.merge(parts), (0.25, 0.5, 0.75))
-    steps = [q + s * sketches.RANK_ERROR for q in (0.25, 0.5, 0.75) for s in (-1, 1)]
-    exact = li.agg(*[F.struct(F.count_distinct(c).alias("u"), (F.percentile(c, F.array(*[F.lit(x) for x in steps])) if c != "l_returnflag" else F.lit(None).cast("array<double>")).alias("q")).alias(c) for c in _SKETCHED])
-    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.u").alias("u"), F.col(f"{c}.q").alias("q")) for c in _SKETCHED])).alias("x")).select("x.*")
+    cuts = (0.25, 0.5, 0.75)
+    e = sketches.ranks(li, sketches.estimates(sketches.merge(parts), cuts), [c for c in _SKETCHED if c != "l_returnflag"], len(cuts))
+    exact = reduce(DataFrame.unionAll, [li.agg(F.count_distinct(c).alias("u")).select(F.lit(c).alias("column"), "u") for c in _SKETCHED])  # a shuffle of one column each
     close = F.abs(F.col("distinct_values") - F.col("u")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("u"))
-    inside = F.expr("q IS NULL OR forall(sequence(0, 2), i -> quantiles[i] >= q[2 * i] AND quantiles[i] <= q[2 * i + 1])")
+    place = lambda p: F.lit(p) * (F.col("n") - 1)  # noqa: E731  of the exact quantile; an estimate is a value of the column, so it is held against both by its rank
+    low, high = ([place(p + s * sketches.RANK_ERROR) for p in cuts] for s in (-1, 1))
+    inside = F.col("quantiles").isNull() | reduce(Column.__and__, [(F.col("upto")[i] > F.ceil(low[i])) & (F.col("below")[i] <= F.floor(high[i])) for i in range(len(cuts))])
     return rounded(e.join(F.broadcast(exact), "column"), "mean", "std").select("column", "n", "missing", "low", "high", "mean", "std", close.alias("distinct_close"), inside.alias("quantiles_close"))
 
 

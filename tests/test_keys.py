@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import keys, profile, sketches
+from plumbline.plans import evidence
 
 
 def test_references_are_found_across_number_types(spark):
@@ -39,6 +40,48 @@ def test_sketches_of_parts_are_those_of_the_whole(spark):
     assert {r["column"]: r["n"] for r in sketches.merge(stored, ["day"]).where("day = 3").collect()} == {"k": 2857, "x": 2857, "s": 1904, "none": 0}
 
 
+def test_ranks_of_estimates_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, -0.0, 0.0, 1e300, -7.5, rng.random()]), "t") for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k int, `x.y` double, s string").repartition(5)
+    found = spark.createDataFrame([("x.y", 1, [-7.5, 0.0, 0.5]), ("k", 2, [0.0, 12.0, 40.0]), ("s", 3, None)], "column string, tag int, quantiles array<double>")
+    got = {r["column"]: r for r in sketches.ranks(df, found, ["k", "x.y"], 3).collect()}
+    for i, c in enumerate(("k", "x.y")):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert got[c]["below"] == [sum(v < q for v in values) for q in got[c]["quantiles"]]
+        assert got[c]["upto"] == [sum(v <= q for v in values) for q in got[c]["quantiles"]]
+    assert [got[c]["tag"] for c in ("x.y", "k", "s")] == [1, 2, 3] and got["s"]["below"] is None and got["s"]["upto"] is None
+    none = sketches.ranks(df.limit(0), found, ["k", "x.y"], 3).collect()
+    assert {r["column"]: r["upto"] for r in none} == {"k": [0, 0, 0], "x.y": [0, 0, 0], "s": None}
+
+
+def _largest_parts(plan) -> list[int]:
+    """Bytes of the largest partition of each shuffle of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _largest_parts(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        own = [max(plan.mapStats().get().bytesByPartitionId())] if kind == "ShuffleQueryStageExec" and plan.mapStats().isDefined() else []
+        return own + _largest_parts(plan.plan())
+    return [x for i in range(plan.children().size()) for x in _largest_parts(plan.children().apply(i))]
+
+
+def test_no_task_of_the_sketched_profile_gets_all_values(spark, tmp_path):
+    lines = spark.range(200_000).select(F.col("id").alias("l_orderkey"), (F.col("id") * 7919 % 50_021).alias("l_partkey"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"), (F.sqrt("id") + 900).alias("l_extendedprice"), F.when(F.col("id") % 9 > 0, F.col("id").cast("string").substr(1, 1)).alias("l_returnflag"), F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(id % 90 as int))").alias("l_shipdate"))
+    lines.coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = evidence.profile_sketches(spark, str(tmp_path))
+        got = {r["column"]: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {c: (r["n"], r["missing"], r["low"], r["high"]) for c, r in got.items()} == {"l_orderkey": (200_000, 0, 0, 199_999), "l_partkey": (200_000, 0, 0, 50_020), "l_quantity": (200_000, 0, 1, 50), "l_extendedprice": (200_000, 0, 900, 900 + 199_999 ** 0.5), "l_returnflag": (177_777, 22_223, None, None)}
+    assert all(r["distinct_close"] and r["quantiles_close"] for r in got.values())
+    parts = _largest_parts(df._jdf.queryExecution().executedPlan())
+    assert len(parts) > 2 and max(parts) < 300_000, parts  # a map of all values of four columns, for their percentiles, took megabytes
+
+
 def test_keys_by_sketch_are_exact(spark):
     df = spark.range(3000).select((F.col("id") % 60).cast("string").alias("a"), (F.col("id") / 60).cast("int").cast("string").alias("b"), (F.col("id") % 2999).cast("string").alias("near"), F.lit("x").alias("c"))
     assert sketches.key_candidates(df, [("a", "c"), ("near", "c"), ("a", "b")]) == [("a", "b")]
